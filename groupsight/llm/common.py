@@ -61,6 +61,13 @@ def training_row(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % 5 != 0
 
 
+def bounded_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """At most max_rows rows (id, label) of the training part, those with the smallest hash of their id."""
+    rows = labels.where(training_row(F.col(id_col)) & F.col(label_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
+    return rows.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) links: (node, root), root the smallest node reachable.
 

@@ -17,13 +17,17 @@ an empty result; other columns are not read, so they cannot clash.
 
 from __future__ import annotations
 
+import base64
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,49 +37,65 @@ LENGTH = 2048
 END = 1
 DIMS, BITS = 3, 12
 TOKENIZER = "byte_bpe_50k.json"
-_CACHE: dict[str, tuple[int, ...]] = {}
-_CACHE_CHUNKS = 400_000
-_TOKENIZERS: dict[str, object] = {}
+RANKS = "byte_bpe_50k.tiktoken"
+_CACHE_CHUNKS = 150_000
 _OPEN_SPACE = re.compile(r" (?=\s|$)")
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file, loaded once in a worker."""
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+class Chunks(dict):
+    """Token ids of chunks of text, as little-endian 16-bit numbers; new chunks are encoded when asked for."""
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _CACHE.clear()
-    return _TOKENIZERS[path]
+    def __init__(self, ranks_path: str, vocabulary_path: str):
+        super().__init__()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, _lines(ranks_path))}
+        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.vocabulary_path, self.whole = vocabulary_path, None
 
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        out = struct.pack(f"<{len(ids)}H", *ids)
+        self[chunk] = out
+        return out
 
-def encode(text: str, path: str) -> np.ndarray:
-    """Token ids of a whole text.
+    def with_specials(self, text: str) -> bytes:
+        """Ids of a text that may hold a special token's string, by the vocabulary's own file."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.vocabulary_path)
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+
+def _lines(path: str) -> list[bytes]:
+    with open(path, "rb") as f:
+        return f.read().splitlines()
+
+
+@lru_cache(maxsize=1)
+def chunks_of(ranks_path: str, vocabulary_path: str) -> Chunks:
+    """One table of chunks for a worker."""
+    return Chunks(ranks_path, vocabulary_path)
+
+
+def encode(text: str | None, known: Chunks) -> bytes:
+    """Token ids of a whole text, as little-endian 16-bit numbers.
 
     The byte-level pattern never joins a visible character and a space that follows it, so a text
-    without two spaces in a row falls apart at its spaces into chunks whose ids are looked up;
-    only new chunks go to the tokenizer. Other texts, and those that hold a special token's
-    string, go there whole.
+    without two white spaces in a row at a space falls apart at its spaces into chunks whose ids are
+    looked up. Other texts are encoded whole, and those that may hold a special token by
+    the vocabulary's own file; the rank file holds the same vocabulary.
     """
-    t = tokenizer(path)
     if not text:
-        return np.empty(0, np.uint16)
-    if "<|" in text or _OPEN_SPACE.search(text):
-        return np.array(t.encode(text, add_special_tokens=False).ids, np.uint16)
-    chunks = (" " + text.replace(" ", "\x00 ")).split("\x00") if "\x00" not in text else None
-    if chunks is None:
-        return np.array(t.encode(text, add_special_tokens=False).ids, np.uint16)
-    chunks[0] = chunks[0][1:]
-    if len(_CACHE) > _CACHE_CHUNKS:
-        _CACHE.clear()
-    missing = [c for c in dict.fromkeys(chunks) if c not in _CACHE]
-    if missing:
-        for c, e in zip(missing, t.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            _CACHE[c] = tuple(e.ids)
-    out: list[int] = []
-    for c in chunks:
-        out += _CACHE[c]
-    return np.array(out, np.uint16)
+        return b""
+    if "<|" in text:
+        return known.with_specials(text)
+    if "\x00" in text or _OPEN_SPACE.search(text):
+        ids = known.encode(text)
+        return struct.pack(f"<{len(ids)}H", *ids)
+    if len(known) > _CACHE_CHUNKS:
+        known.clear()
+    return b"".join(map(known.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
 
 def directions(dims: int = DIMS) -> np.ndarray:
@@ -122,29 +142,27 @@ def curve_key(ids: np.ndarray, table: np.ndarray) -> int:
     return hilbert([int(u) for u in np.minimum(unit * (1 << BITS), (1 << BITS) - 1)], BITS)
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, vocabulary_path: str) -> DataFrame:
     """(id, row, key, n, ids): token ids as little-endian 16-bit numbers, END included."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
+    end = struct.pack("<H", END)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = directions()
+        table, known = directions(), chunks_of(ranks_path, vocabulary_path)
         for pdf in parts:
-            all_ids = [encode(t, path) if isinstance(t, str) else np.empty(0, np.uint16) for t in pdf.t]
-            keys = [curve_key(x, table) for x in all_ids]
-            yield pd.DataFrame({
-                "id": pdf.id, "row": pdf.row, "key": np.array(keys, np.int64), "n": np.array([len(x) + 1 for x in all_ids], np.int64),
-                "ids": [np.append(x, np.uint16(END)).astype("<u2").tobytes() for x in all_ids],
-            })
+            ids = [encode(t, known) + end for t in pdf.t]
+            keys = [curve_key(np.frombuffer(x, "<u2")[:-1], table) for x in ids]
+            yield pd.DataFrame({"id": pdf.id, "row": pdf.row, "key": np.array(keys, np.int64), "n": np.array([len(x) // 2 for x in ids], np.int64), "ids": ids})
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
     return rows.mapInPandas(run, f"id {kind}, row long, key long, n long, ids binary")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, vocabulary_path: str | None = None, length: int = LENGTH) -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key): a row per piece."""
-    path = tokenizer_path or public_tokenizers.path(TOKENIZER)
-    tokens = cut(tokenized(docs, id_col, text_col, path), "tokens")  # row numbers are fixed from here on
+    files = ranks_path or public_tokenizers.path(RANKS), vocabulary_path or public_tokenizers.path(TOKENIZER)
+    tokens = cut(tokenized(docs, id_col, text_col, *files), "tokens")  # row numbers are fixed from here on
     order = ["key", "id", "row"]
     ranged = tokens.select("id", "row", "key", "n").repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = cut(ranged.withColumn("part", F.spark_partition_id()), "curve_order")

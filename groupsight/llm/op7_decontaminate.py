@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from groupsight.llm.common import prepare
 
 _WORD = re.compile(r"[^\W_]+")
-_CACHE: dict[str, int] = {}
-_CACHE_WORDS = 300_000
+_KNOWN_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint32(0x9E3779B1)
+_FILTER_BITS = 20
 SMALLEST = 8
 
 
@@ -43,27 +44,29 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word, kept for the words met so far."""
-    if len(_CACHE) > _CACHE_WORDS:
-        _CACHE.clear()
-    out = list(map(_CACHE.get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _CACHE[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return np.array(out, np.uint64)
+class WordHashes(dict):
+    """64-bit hashes of the words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_KNOWN = WordHashes()
 
 
 def shingle_hashes(words: list[str], size: int) -> np.ndarray:
     """A 64-bit hash of each run of `size` words."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    w = _hashes(words)
+    if len(_KNOWN) > _KNOWN_WORDS:
+        _KNOWN.clear()
+    w = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
     n = len(w) - size + 1
     h = np.zeros(n, np.uint64)
     for d in range(size):
-        h = (h ^ w[d : d + n]) * _MIX
+        h ^= w[d : d + n]
+        h *= _MIX
         h ^= h >> np.uint64(29)
     return h
 
@@ -89,43 +92,79 @@ def _permuted(low: np.ndarray, high: np.ndarray, seed: np.uint32) -> np.ndarray:
     return x
 
 
+def _pairwise(x: np.ndarray) -> np.ndarray:
+    """Minima of neighbouring pairs; an odd last value stands alone."""
+    if len(x) % 2:
+        x = np.append(x, x[-1])
+    return np.minimum(x[::2], x[1::2])
+
+
 class Items:
     """One block of test items: exact shingles, and signatures by size partition and permutation."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int, permutations: int):
         self.ids = [i for i, _ in rows]
         self.shingles = [shingles(words_of(t), size) for _, t in rows]
-        self.sets = [np.unique(shingle_hashes(words_of(t), size)) for _, t in rows]
-        self.classes = [max(0, int(np.ceil(np.log2(max(1, len(s)) / SMALLEST)))) for s in self.sets]
-        self.levels = max([c for c, s in zip(self.classes, self.sets, strict=True) if len(s)], default=-1)
-        seeds = permutation_seeds(permutations)
-        self.minima: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for level in set(self.classes):
-            of = [i for i, c in enumerate(self.classes) if c == level and len(self.sets[i])]
-            for p, seed in enumerate(seeds):
-                v = np.array([_permuted(*_halves(self.sets[i]), seed).min() for i in of], np.uint32)
+        hashes = [np.unique(shingle_hashes(words_of(t), size)) for _, t in rows]
+        level_of = [max(0, int(np.ceil(np.log2(max(1, len(s)) / SMALLEST)))) for s in hashes]
+        self.levels = max([c for c, s in zip(level_of, hashes, strict=True) if len(s)], default=-1) + 1
+        self.seeds = permutation_seeds(permutations)
+        self.minima: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for level in range(self.levels):
+            of = [i for i, c in enumerate(level_of) if c == level and len(hashes[i])]
+            for p, seed in enumerate(self.seeds if of else ()):
+                v = np.array([_permuted(*_halves(hashes[i]), seed).min() for i in of], np.uint32)
                 order = np.argsort(v, kind="stable")
-                self.minima[level, p] = v[order], np.array(of, np.int64)[order]
+                maybe = np.zeros(1 << _FILTER_BITS, bool)
+                maybe[(v * _SPREAD) >> np.uint32(32 - _FILTER_BITS)] = True
+                self.minima[level, p] = v[order], np.array(of, np.int64)[order], np.packbits(maybe, bitorder="little")
+
+    def candidates(self, h: np.ndarray, void: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): items that share a minimum with the window of shingles from..to.
 
-    def candidates(self, h: np.ndarray, seeds: np.ndarray) -> set[int]:
-        """Items that share a minimum with a window of the document."""
-        found: set[int] = set()
-        starts = np.arange(0, len(h), SMALLEST)
+        h holds the shingles of many documents one after another; void marks those that span two.
+        """
         low, high = _halves(h)
-        for p, seed in enumerate(seeds):
-            block = np.minimum.reduceat(_permuted(low, high, seed), starts)
-            for level in range(self.levels + 1):
-                values, of = self.minima.get((level, p), ((), ()))
-                if len(values):
+        for p, seed in enumerate(self.seeds):
+            block = _permuted(low, high, seed)
+            block[void] = 0xFFFFFFFF
+            width = 1
+            while width < SMALLEST:
+                block, width = _pairwise(block), 2 * width
+            for level in range(self.levels):
+                if (level, p) in self.minima:
+                    values, of, maybe = self.minima[level, p]
                     window = np.minimum(block[:-1], block[1:]) if len(block) > 1 else block
-                    left = np.searchsorted(values, window, "left")
-                    for k in np.flatnonzero(values[np.minimum(left, len(values) - 1)] == window):
-                        right = np.searchsorted(values, window[k], "right")
-                        found.update(of[left[k] : right].tolist())
-                if len(block) % 2:
-                    block = np.append(block, block[-1])
-                block = np.minimum(block[::2], block[1::2])
-        return found
+                    bit = (window * _SPREAD) >> np.uint32(32 - _FILTER_BITS)
+                    for k in np.flatnonzero(maybe[bit >> np.uint32(3)] >> (bit & np.uint32(7)).astype(np.uint8) & 1):
+                        left, right = np.searchsorted(values, window[k], "left"), np.searchsorted(values, window[k], "right")
+                        for x in of[left:right].tolist():
+                            yield x, int(k) * width, (int(k) + 2) * width
+                block, width = _pairwise(block), 2 * width
+
+
+def search(texts: list[str | None], block: Items, size: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(text's place, item's place, item's shingles, shared shingles) of pairs over the threshold."""
+    words = [words_of(t) for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    h = shingle_hashes([x for w in words for x in w], size)
+    if not len(h) or not block.levels:
+        return []
+    void = np.concatenate([np.arange(e - size + 1, e) for e in ends])
+    void = void[(void >= 0) & (void < len(h))]
+    near: set[tuple[int, int]] = set()
+    for x, start, stop in block.candidates(h, void):
+        first, last = np.searchsorted(ends, [start, min(stop, len(h)) - 1], "right")
+        near.update((i, x) for i in range(int(first), min(int(last), len(words) - 1) + 1))
+    found, have, of = [], set(), -1
+    for i, x in sorted(near):
+        if i != of:
+            have, of = shingles(words[i], size), i
+        want = block.shingles[x]
+        shared = len(want & have)
+        if want and shared >= threshold * len(want):
+            found.append((i, x, len(want), shared))
+    return found
 
 
 def contaminated(
@@ -137,7 +176,6 @@ def contaminated(
     prepare(spark)
     items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).where("item IS NOT NULL")
     blocks = max(1, -(-items.count() // block_items))
-    seeds = permutation_seeds(permutations)
     kind = dict(items.dtypes)["item"]
     id_type = dict(docs.dtypes)[id_col]
     schema = f"id {id_type}, item {kind}, item_shingles long, shared_shingles long"
@@ -147,24 +185,16 @@ def contaminated(
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
         sent = spark.sparkContext.broadcast(Items(rows, shingle, permutations))
 
-        def search(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             block = sent.value
             for pdf in parts:
-                found = []
-                for i, t in zip(pdf.id, pdf.t, strict=True):
-                    words = words_of(t)
-                    h = shingle_hashes(words, shingle)
-                    near = block.candidates(h, seeds) if len(h) else ()
-                    if near:
-                        have = shingles(words, shingle)
-                        for x in sorted(near):
-                            want = block.shingles[x]
-                            shared = len(want & have)
-                            if shared >= threshold * len(want):
-                                found.append((i, block.ids[x], len(want), shared))
-                yield pd.DataFrame(found, columns=["id", "item", "item_shingles", "shared_shingles"]).astype({"item_shingles": "int64", "shared_shingles": "int64"})
-
-        part = source.mapInPandas(search, schema)
+                found = search(list(pdf.t), block, shingle, threshold)
+                yield pd.DataFrame({
+                    "id": pdf.id.iloc[[f[0] for f in found]].array, "item": [block.ids[f[1]] for f in found],
+                    "item_shingles": np.array([f[2] for f in found], np.int64), "shared_shingles": np.array([f[3] for f in found], np.int64),
+                })
+
+        part = source.mapInPandas(run, schema)
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
