@@ -86,7 +86,7 @@ def features_of(text: str | None, slots: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
 
 
-def fit(rows: DataFrame, alpha: float = 1.0, features: int = FEATURES, ridge: float = 0.01) -> Model:
+def fit(rows: DataFrame, alpha: float = 1.0, features: int = FEATURES, ridge: float = 0.001) -> Model:
     """A model from rows (t, label)."""
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or toxic in (0.0, float(n)):

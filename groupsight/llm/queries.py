@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from groupsight.llm.op1_simhash import op1_simhash
+from groupsight.llm.op10_attention_lm import op10_attention_lm
 from groupsight.llm.op2_rule_ensemble import op2_rule_ensemble
 from groupsight.llm.op3_packing import op3_packing
 from groupsight.llm.op4_toxicity import op4_toxicity
@@ -10,8 +11,9 @@ from groupsight.llm.op5_warc import op5_warc
 from groupsight.llm.op6_host_rules import op6_host_rules
 from groupsight.llm.op7_decontaminate import op7_decontaminate
 from groupsight.llm.op8_pii import op8_pii
+from groupsight.llm.op9_license import op9_license
 
-QUERIES = (op1_simhash, op2_rule_ensemble, op3_packing, op4_toxicity, op5_warc, op6_host_rules, op7_decontaminate, op8_pii)
+QUERIES = (op1_simhash, op2_rule_ensemble, op3_packing, op4_toxicity, op5_warc, op6_host_rules, op7_decontaminate, op8_pii, op9_license, op10_attention_lm)
 
 
 def queries() -> dict:
