@@ -38,7 +38,7 @@ END = 1
 DIMS, BITS = 3, 12
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-_CACHE_CHUNKS = 150_000
+_CACHE_CHUNKS = 400_000
 _OPEN_SPACE = re.compile(r" (?=\s|$)")
 
 
@@ -103,43 +103,38 @@ def directions(dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((4096, dims)).astype(np.float32)
 
 
-def hilbert(axes: list[int], bits: int) -> int:
-    """Place on the Hilbert curve of a point with coordinates of `bits` bits (Skilling's transposed form)."""
-    x = list(axes)
+def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
+    """Places on the Hilbert curve of points (rows) with coordinates of `bits` bits, by Gray-coded octants from the top bit down."""
+    x = points.astype(np.int64).T.copy()
     n = len(x)
-    q = 1 << (bits - 1)
-    while q > 1:
-        p = q - 1
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
+            turned = (x[i] >> b & 1).astype(bool)
+            swap = np.where(turned, 0, (x[0] ^ x[i]) & low)
+            x[0] ^= np.where(turned, low, swap)
+            x[i] ^= swap
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
-    while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
-        q >>= 1
-    key = 0
+    flip = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):
+        flip ^= np.where(x[n - 1] >> b & 1, (1 << b) - 1, 0)
+    key = np.zeros_like(flip)
     for b in range(bits - 1, -1, -1):
-        for v in x:
-            key = key << 1 | ((v ^ t) >> b & 1)
+        for i in range(n):
+            key = key << 1 | ((x[i] ^ flip) >> b & 1)
     return key
 
 
-def curve_key(ids: np.ndarray, table: np.ndarray) -> int:
-    """Hilbert key of a document's token ids."""
-    if not len(ids):
-        return 0
-    counts = np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20), minlength=len(table)).astype(np.float32)
-    v = counts @ table / max(float(np.sqrt(counts @ counts)), 1e-9)
-    unit = 1 / (1 + np.exp(-1.6 * v))
-    return hilbert([int(u) for u in np.minimum(unit * (1 << BITS), (1 << BITS) - 1)], BITS)
+def curve_keys(documents: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents' token ids; documents without tokens are at 0."""
+    points = np.zeros((len(documents), table.shape[1]), np.int64)
+    for i, ids in enumerate(documents):
+        if len(ids):
+            counts = np.bincount((ids * np.uint32(2654435761)) >> np.uint32(20), minlength=len(table)).astype(np.float32)
+            unit = 1 / (1 + np.exp(-1.6 * (counts @ table) / np.sqrt(counts @ counts)))
+            points[i] = np.minimum(unit * (1 << BITS), (1 << BITS) - 1)
+    return hilbert(points, BITS)
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, vocabulary_path: str) -> DataFrame:
@@ -152,8 +147,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, voca
         table, known = directions(), chunks_of(ranks_path, vocabulary_path)
         for pdf in parts:
             ids = [encode(t, known) + end for t in pdf.t]
-            keys = [curve_key(np.frombuffer(x, "<u2")[:-1], table) for x in ids]
-            yield pd.DataFrame({"id": pdf.id, "row": pdf.row, "key": np.array(keys, np.int64), "n": np.array([len(x) // 2 for x in ids], np.int64), "ids": ids})
+            keys = curve_keys([np.frombuffer(x, "<u2")[:-1].astype(np.uint32) for x in ids], table)
+            yield pd.DataFrame({"id": pdf.id, "row": pdf.row, "key": keys, "n": np.array([len(x) // 2 for x in ids], np.int64), "ids": ids})
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
     return rows.mapInPandas(run, f"id {kind}, row long, key long, n long, ids binary")
