@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupsight.session import ship_package
+from groupsight.sources.store import cut, drop_table
 
 #: ASCII white space, as in the word pattern [^\x20\x09-\x0D]+; bytes.split() without arguments splits on exactly these.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -24,38 +22,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="groupsight-shared-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/groupsight/{uuid.uuid4().hex}/{name}"
-
-
-def cut(df: DataFrame, name: str, with_path: bool = False):
-    """Write df as a table in the shared folder and read it again, so that later work starts from files."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return (out, path) if with_path else out
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table written by cut()."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def training_row(col: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is not 0."""
     return F.crc32(col.cast("string").cast("binary")) % 5 != 0

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import components, cut, prepare
+from groupsight.llm.common import components, prepare
+from groupsight.sources.store import cut
 
 SEED = 42
 HOT_KEY = 64

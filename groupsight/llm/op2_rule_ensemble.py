@@ -27,7 +27,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import SPACE, bounded_labels, cut, prepare, training_row
+from groupsight.llm.common import SPACE, bounded_labels, prepare, training_row
+from groupsight.sources.store import cut
 
 MAX_TRAIN_ROWS = 20_000
 FEATURES = (

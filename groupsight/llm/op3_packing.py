@@ -31,7 +31,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import cut, prepare
+from groupsight.llm.common import prepare
+from groupsight.sources.store import cut
 
 LENGTH = 2048
 END = 1

@@ -26,7 +26,8 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import bounded_labels, cut, prepare, training_row
+from groupsight.llm.common import bounded_labels, prepare, training_row
+from groupsight.sources.store import cut
 
 MAX_TRAIN_ROWS = 20_000
 HASH_BITS = 20

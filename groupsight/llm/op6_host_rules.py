@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import SPACE, cut, prepare
+from groupsight.llm.common import SPACE, prepare
+from groupsight.sources.store import cut
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_shout_words long"

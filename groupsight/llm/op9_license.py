@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import cut
+from groupsight.sources.store import cut
+
 
 # The notices by which licenses are commonly declared.
 TEMPLATES = [
