@@ -7,8 +7,8 @@ alternately A += f(B) mod |A| and B += f(A) mod |B|. That is a permutation of th
 format, so a pseudonym is again a valid value of the kind, differs for different values, and is
 the same for equal values in any document. Punctuation stays as it was written.
 
-  card    13 to 19 digits in any grouping that pass the Luhn sum; all digits but the last are
-          permuted and the last is made to fit
+  card    13 to 19 digits, or groups of 4-4-4-4 or 4-6-5 digits, that pass the Luhn sum; all digits
+          but the last are permuted and the last is made to fit
   phone   North American numbers with or without +1; area and exchange keep a first digit of 2 to 9
   ip      IPv4; the four octets
   date    yyyy-mm-dd, a real day of 1800 to 2199; day numbers of the 400-year cycle (146097 = 773 x 189)
@@ -28,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupsight.llm.common import fresh
+
 ROUNDS = 8
 _SECRET = r"(?:token|password|secret|passwd|api_key)\s?[=:]\s?\"?[0-9a-f]{8,64}\b|\bAKIA[0-9A-Z]{16}\b"
 #: In the order in which a match is read; one pattern finds all.
@@ -37,7 +39,7 @@ KINDS = {
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "phone": r"(?<![\d+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d)",
+    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d]|-\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap necessary condition: without one of these a text has no value.
@@ -218,7 +220,7 @@ def kind_of(v: Column) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None, undo: bool = False) -> DataFrame:
     """docs with the values in text_col replaced; counts_col, if named, gets a map of the numbers replaced by kind."""
-    text, result = F.col(text_col), "_pii_result"
+    text, result = F.col(text_col), fresh(docs, "_result")
 
     def replaced(v: Column) -> Column:
         def by_kind(kind: Column) -> Column:
