@@ -22,6 +22,19 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose id is (left_semi) or is not (left_anti) in the one column of ids; null equals null."""
+    name = fresh(docs, "_id")
+    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), how)
+
+
 def training_row(col: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is not 0."""
     return F.crc32(col.cast("string").cast("binary")) % 5 != 0

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import SPACE, prepare
+from groupsight.llm.common import SPACE, keep_rows, prepare
 from groupsight.sources.store import cut
 
 SYMBOLS = b"#*$%&|<>"
@@ -124,13 +124,12 @@ def host_verdicts(
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that host_verdicts() keeps, with docs' own columns."""
-    kept = host_verdicts(docs, id_col, **options).where("kept").select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return keep_rows(docs, id_col, host_verdicts(docs, id_col, **options).where("kept").select("id"), "left_semi")
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:
     found = host_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "rule_failed", "host_docs", "host_failed", F.round("host_rate", 9).alias("host_rate"),
+        "rule_failed", "host_docs", "host_failed", F.round("host_rate", 6).alias("host_rate"),
     )

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import prepare
+from groupsight.llm.common import keep_rows, prepare
 
 _WORD = re.compile(r"[^\W_]+")
 _KNOWN_WORDS = 100_000
@@ -201,8 +201,7 @@ def contaminated(
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that hold no test item, with docs' own columns."""
-    found = contaminated(docs, items, id_col, **options).select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return keep_rows(docs, id_col, contaminated(docs, items, id_col, **options).select("id"), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

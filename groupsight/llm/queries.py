@@ -20,5 +20,34 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+HOST_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wi AS (SELECT rid, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+tw AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM wi) WHERE n > 1),
+rp AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, i + unnest([0, 1, 2]) AS p FROM tw) GROUP BY 1),
+ln AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+st AS (SELECT d.rid, doc_id, host, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(ln.n, 0) AS n_lines,
+  coalesce(rp.n, 0) AS n_repeat_words, CAST((length(t) - length(replace(t, '!!', ''))) / 2 AS BIGINT) AS shout
+  FROM d LEFT JOIN rp ON d.rid = rp.rid LEFT JOIN ln ON d.rid = ln.rid),
+ru AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.2 * n_words OR n_dup_lines > 0.5 * n_lines OR shout > 0.3 * n_words AS rule_failed FROM st),
+ho AS (SELECT host, count(*) AS host_docs, count(*) FILTER (rule_failed) AS host_failed FROM ru GROUP BY 1),
+pr AS (SELECT sum(host_failed) / sum(host_docs)::DOUBLE AS m, sum(host_docs)::DOUBLE AS docs, count(*) AS n, coalesce(var_samp(host_failed / host_docs::DOUBLE), 0) AS spread, avg(1 / host_docs::DOUBLE) AS inv FROM ho),
+ps AS (SELECT m, CASE WHEN spread - m * (1 - m) * inv > 0 AND m > 0 AND m < 1 THEN greatest(1, m * (1 - m) / (spread - m * (1 - m) * inv) - 1) WHEN n > 1 THEN docs / n ELSE 1 END AS s FROM pr),
+hv AS (SELECT *, (host_failed + m * s) / (host_docs + s) AS rate FROM ho, ps)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT rule_failed AND NOT (host_docs >= 20 AND rate > 0.6) AS kept, rule_failed, host_docs, host_failed,
+  round(rate, 6) AS host_rate FROM ru JOIN hv ON ru.host IS NOT DISTINCT FROM hv.host"""
+
+DECONTAMINATE = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS item_shingles, shared AS shared_shingles, shared / n AS containment FROM m JOIN bn USING (item_id) WHERE shared >= 0.8 * n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_host_rules": HOST_RULES, "op7_decontaminate": DECONTAMINATE}
