@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from groupsight.plans import catalog
@@ -20,7 +21,7 @@ def duck(tiny):
 
 
 def cell(x) -> str:
-    if x is None or x != x:
+    if x is None or pd.isna(x) is True:
         return "~"
     if isinstance(x, bool) or type(x).__name__ == "bool":
         return str(bool(x))
