@@ -492,6 +492,14 @@ def test_pipeline_stages_take_effect(spark, tiny):
     assert sizes == {r.doc_id: len(whole_ids(r.text)) for r in df.collect()}
 
 
+def test_near_duplicate_stage_on_odd_rows(spark, docs):
+    extra = docs.limit(0).union(docs.where("doc_id IS NULL")).withColumn("text", F.lit(prose(90)))
+    out = corpus_pipeline.near_duplicates(spark, docs.union(extra).union(docs), "").collect()
+    got = sorted((r.doc_id is not None, r.doc_id or 0, len(r.text or "")) for r in out)
+    ids = [i for known, i, _ in got if known]
+    assert ids == [1, 3, 4, 7, 8, 10, 10, 11] and sum(not known for known, *_ in got) == 2
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
