@@ -2,7 +2,8 @@
 
 Writing: equal payloads are found by digest; of each group the capture with the largest id is a
 response record, the others are revisit records that refer to it. Spark's text writer makes the files
-(a record's closing two line ends are the line separator), so they go to any store Spark writes to.
+(a record's closing two line ends are the line separator, files are gzipped), so they go to any store
+Spark writes to.
 
 Reading: each archive is parsed by the records' own lengths, response payloads are digested
 anew and compared with their headers, and the archive's captures are sorted by URL key and time:
@@ -19,6 +20,7 @@ tie in URL and time go by id; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,7 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import cut, prepare, shared_path
+from groupsight.llm.common import prepare
+from groupsight.sources.store import cut, shared_path
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EOL = "\r\n"
@@ -81,7 +84,7 @@ def write_archives(
     mean, most = pages.agg(F.avg(size), F.max(size)).first()
     per_file = max(1, min(int(file_bytes / (mean or 1)), int(1.5e9 / (most or 1))))
     out = records(pages, id_col, url_col, payload_col, ts_col)
-    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", per_file).text(path)
+    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -143,10 +146,10 @@ def read_runs(spark, path: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for p, content in zip(pdf.path, pdf.content, strict=True):
-                out = pd.DataFrame(local_run(p.rsplit("/", 1)[-1], content), columns=names)
+                out = pd.DataFrame(local_run(p.rsplit("/", 1)[-1], gzip.decompress(content)), columns=names)
                 yield out.astype({"id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
     return files.mapInPandas(run, RUN)
 
 
