@@ -52,22 +52,31 @@ def event_entropy(counts: list[Column], n: Column) -> Column:
 
 
 def session_features(events: DataFrame, label: str | None = "label") -> DataFrame:
-    """(grp, sess, label, 36 features): one row per session. Everything but other_ratio ignores unknown event types."""
+    """(grp, sess, label, 36 features): one row per session. Everything but other_ratio ignores unknown event types.
+
+    All windows and the one aggregate share the partitioning by session: a single shuffle, and none if events come so.
+    """
     keep = ["grp", "sess"] + ([label] if label else [])
-    people = events.where("actor IS NOT NULL").groupBy("sess", "actor").agg(F.max("stack").alias("stack"))
-    people = people.groupBy("sess").agg(F.count("*").alias("np"), F.avg("stack").alias("stack_mean"), F.stddev_pop("stack").alias("stack_std"))
-    whole = events.groupBy(*keep).agg(F.count("*").alias("n_all"), F.count_if(F.col("type") == "other").alias("n_other"), F.max("stage").alias("streets"))
-    rows = numbered(events)
-    size = F.when(F.col("amount") > 0, F.col("amount"))
-    per = rows.groupBy("sess").agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in EVENT_TYPES],
-        F.avg("amount").alias("mean_norm_bb"), F.stddev_pop("amount").alias("std_norm_bb"), F.max("amount").alias("max_norm_bb"),
-        F.avg("total").alias("mean_pot_after"), F.stddev_pop("total").alias("std_pot_after"), F.avg(size).alias("bet_size_mean"),
-        F.stddev_pop(size).alias("bet_size_std"), F.max(size).alias("bet_size_max"), F.min_by("total", "ord").alias("first"), F.max_by("total", "ord").alias("last"),
-        F.count_distinct("actor").alias("actors"), F.avg(F.when(F.col("type") == "fold", F.col("pos"))).alias("fold_pos"), F.count_if(F.col("stage") == 0).alias("early"),
+    known = F.col("type").isin(*EVENT_TYPES)
+    session, person = Window.partitionBy("sess"), Window.partitionBy("sess", "actor")
+    rows = events.withColumn("_pos", F.sum(known.cast("int")).over(session.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = rows.withColumn("_island", F.col("_pos") - F.row_number().over(Window.partitionBy("sess", "type").orderBy("ord")))
+    rows = rows.withColumn("_run", F.count("*").over(Window.partitionBy("sess", "type", "_island")))
+    # one row stands for each person, one of known type if there is any
+    rows = rows.withColumn("_one", (F.row_number().over(person.orderBy(known.desc(), "ord")) == 1) & F.col("actor").isNotNull())
+    rows = rows.withColumn("_stack", F.when(F.col("_one"), F.max("stack").over(person)))
+    of = lambda c: F.when(known, F.col(c))
+    size = F.when(known & (F.col("amount") > 0), F.col("amount"))
+    j = rows.groupBy(*keep).agg(
+        F.count("*").alias("n_all"), F.count_if(F.col("type") == "other").alias("n_other"), F.max("stage").alias("streets"),
+        F.count_if("_one").alias("np"), F.avg("_stack").alias("stack_mean"), F.stddev_pop("_stack").alias("stack_std"),
+        F.count_if(known).alias("n"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in EVENT_TYPES],
+        F.avg(of("amount")).alias("mean_norm_bb"), F.stddev_pop(of("amount")).alias("std_norm_bb"), F.max(of("amount")).alias("max_norm_bb"),
+        F.avg(of("total")).alias("mean_pot_after"), F.stddev_pop(of("total")).alias("std_pot_after"), F.avg(size).alias("bet_size_mean"),
+        F.stddev_pop(size).alias("bet_size_std"), F.max(size).alias("bet_size_max"), F.min_by("total", of("ord")).alias("first"), F.max_by("total", of("ord")).alias("last"),
+        F.count_if(F.col("_one") & known).alias("actors"), F.avg(F.when(F.col("type") == "fold", F.col("_pos"))).alias("fold_pos"),
+        F.count_if(known & (F.col("stage") == 0)).alias("early"), F.max(of("_run")).alias("run"),
     )
-    runs = rows.groupBy("sess", "type", "island").agg(F.count("*").alias("run")).groupBy("sess").agg(F.max("run").alias("run"))
-    j = whole.join(per, "sess", "left").join(people, "sess", "left").join(runs, "sess", "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     n, players, streets = F.greatest(zero("n"), F.lit(1.0)), zero("np"), zero("streets")
     counts = {t: zero(f"n_{t}") for t in EVENT_TYPES}

@@ -11,6 +11,7 @@ from groupsight.operators import transform as T
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES as DF
 from groupsight.sources.bindings import DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, vector_features, vector_sql
+from groupsight.sources.store import cut
 
 FS = [f"f{i}" for i in range(8)]
 B5, B4 = f"WITH {vector_sql()}", f"WITH {DOCUMENT_FEATURES}"
@@ -74,7 +75,7 @@ def _pipe_sql() -> str:
 
 @query("t_pipeline", _pipe_sql())
 def t_pipeline(spark, d):
-    x = document_features(spark, d)
+    x = cut(document_features(spark, d), "document_features")  # fitted on in several passes
     return T.pipeline_apply(x, T.pipeline_fit(x.where("id % 5 <> 0"), DF)).select("id", *r(*DF, digits=5))
 
 
