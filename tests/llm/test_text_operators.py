@@ -500,6 +500,31 @@ def test_near_duplicate_stage_on_odd_rows(spark, docs):
     assert ids == [1, 3, 4, 7, 8, 10, 10, 11] and sum(not known for known, *_ in got) == 2
 
 
+def test_near_duplicate_stage_links_at_jaccard_of_four_fifths(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+
+    def edited(n):
+        out = list(base)
+        for k in range(n):
+            out[10 + 13 * k] = f"x{r.randrange(10**6)}"
+        return " ".join(out)
+
+    texts = {1: edited(0), 2: edited(1), 3: edited(2), 4: edited(6), 5: "a b", 6: "a c", 7: None, 8: " "}
+    words = {i: (t or "").split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert jaccard(1, 3) >= 0.8 > jaccard(1, 4)
+    many = {100 + k: " ".join(base[:110] + [f"y{k}"] + base[110:]) + " z" for k in range(9)}
+    df = spark.createDataFrame(list((texts | many).items()), "doc_id long, text string")
+    kept = lambda: sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept() == [1, 4, 5, 6, 7]
+    # the same through cells of hot keys
+    monkeypatch.setattr(corpus_pipeline.near_copies, "HOT_KEY", 1)
+    monkeypatch.setattr(corpus_pipeline.near_copies, "CELL", 4)
+    assert kept() == [1, 4, 5, 6, 7]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
