@@ -9,11 +9,15 @@ the same for equal values in any document. Punctuation stays as it was written.
 
   card    13 to 19 digits, or groups of 4-4-4-4 or 4-6-5 digits, that pass the Luhn sum; all digits
           but the last are permuted and the last is made to fit
-  phone   North American numbers with or without +1; area and exchange keep a first digit of 2 to 9
+  phone   North American numbers with or without +1; area and exchange keep a first digit of 2 to 9;
+          after +1 also numbers outside that plan, which stay outside: all ten digits are permuted within
+          area below 200, or exchange alone below 200
   ip      IPv4; the four octets
   date    yyyy-mm-dd, a real day of 1800 to 2199; day numbers of the 400-year cycle (146097 = 773 x 189)
   email   letters and digits before the @, each within its class (a-z, A-Z, 0-9)
-  secret  hexadecimal digits of token, password, secret or key assignments, and the body of AKIA keys
+  secret  hexadecimal digits of token, password, secret or key assignments in either case, and the body
+          of AKIA keys; upper-case digits after an upper-case word and lower-case ones after any other
+          are moved among all sixteen, bodies of other case within 0-9, a-f and A-F
 
 Edge cases: null text stays null, empty text empty; texts without a value are returned as they are;
 values that fail validation stay; a repeated value in one text is replaced each time alike; rows,
@@ -31,19 +35,19 @@ from pyspark.sql import functions as F
 from groupsight.llm.common import fresh
 
 ROUNDS = 8
-_SECRET = r"(?:token|password|secret|passwd|api_key)\s?[=:]\s?\"?[0-9a-f]{8,64}\b|\bAKIA[0-9A-Z]{16}\b"
+_SECRET = r"(?i:token|password|secret|passwd|api_key)\s?[=:]\s?\"?[0-9a-fA-F]{8,64}\b|\bAKIA[0-9A-Z]{16}\b"
 #: In the order in which a match is read; one pattern finds all.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": _SECRET,
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
-    "phone": r"(?<![\d+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}|(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2})[ .-]\d{4}(?!\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d]|-\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap necessary condition: without one of these a text has no value.
-HINT = r"@[A-Za-z0-9-]|\d{3}|\d\.\d|(?:\d[ -]){3}|[=:]\s?\"?[0-9a-f]{8}"
+HINT = r"@[A-Za-z0-9-]|\d{3}|\d\.\d|(?:\d[ -]){3}|[=:]\s?\"?[0-9a-fA-F]{8}|AKIA[0-9A-Z]{16}"
 
 
 def _number(digits: Column) -> Column:
@@ -127,11 +131,18 @@ def _phone(v: Column, key: str, undo: bool) -> Column:
     prefix = F.regexp_extract(v, r"^\+1[ .-]?", 0)
     rest = v.substr(F.length(prefix) + 1, F.length(v))
     digits = F.regexp_replace(rest, "[^0-9]", "")
-    area = _number(digits.substr(F.lit(1), F.lit(3))) - 200
-    line = _number(digits.substr(F.lit(4), F.lit(7))) - 2_000_000
-    two = feistel(key, "phone", area, F.lit(800).cast("long"), line, F.lit(8_000_000).cast("long"), undo)
-    moved = let(two, lambda x: F.concat((x["a"] + 200).cast("string"), (x["b"] + 2_000_000).cast("string")))
-    return F.concat(prefix, _fill(rest, moved))
+    area, line = _number(digits.substr(F.lit(1), F.lit(3))), _number(digits.substr(F.lit(4), F.lit(7)))
+
+    def permuted(given: Column) -> Column:
+        low_area, low_line = given["a"] < 200, given["b"] < 2_000_000
+        # first and number of the areas and lines that are like the given ones
+        a0, a_n = F.when(low_area, 0).otherwise(200), F.when(low_area, 200).otherwise(800).cast("long")
+        b0 = F.when(low_area | low_line, 0).otherwise(2_000_000)
+        b_n = F.when(low_area, 10_000_000).when(low_line, 2_000_000).otherwise(8_000_000).cast("long")
+        two = feistel(key, "phone", given["a"] - a0, a_n, given["b"] - b0, b_n, undo)
+        return let(two, lambda x: F.concat(F.lpad((x["a"] + a0).cast("string"), 3, "0"), F.lpad((x["b"] + b0).cast("string"), 7, "0")))
+
+    return F.concat(prefix, _fill(rest, let(F.struct(area.alias("a"), line.alias("b")), permuted)))
 
 
 def _ip(v: Column, key: str, undo: bool) -> Column:
@@ -200,10 +211,19 @@ def _email(v: Column, key: str, undo: bool) -> Column:
 
 
 def _secret(v: Column, key: str, undo: bool) -> Column:
-    body = F.regexp_extract(v, r"(?:[0-9a-f]{8,64}|[0-9A-Z]{16})$", 0)
-    head = v.substr(F.lit(1), F.length(v) - F.length(body))
-    aws = _by_class(body, "aws", key, undo, [_UPPER, _DIGITS])
-    return F.concat(head, F.when(v.startswith("AKIA"), aws).otherwise(_by_class(body, "secret", key, undo, ["0123456789abcdef"])))
+    is_aws = v.startswith("AKIA")
+    head = F.when(is_aws, F.lit("AKIA")).otherwise(F.regexp_replace(v, "[0-9a-fA-F]{8,64}$", ""))
+    body = v.substr(F.length(head) + 1, F.length(v))
+    moved = lambda kind, alphabets: _by_class(body, kind, key, undo, alphabets)
+    upper = ~head.rlike("[a-z]")
+    # head and, in the last branch, the places of letters stay, so undo takes the same branch
+    value = (
+        F.when(is_aws, moved("aws", [_UPPER, _DIGITS]))
+        .when(upper & ~body.rlike("[a-f]"), moved("secret", ["0123456789ABCDEF"]))
+        .when(~upper & ~body.rlike("[A-F]"), moved("secret", ["0123456789abcdef"]))
+        .otherwise(moved("secret", [_DIGITS, "abcdef", "ABCDEF"]))
+    )
+    return F.concat(head, value)
 
 
 _PERMUTE = {"email": _email, "secret": _secret, "date": _date, "ip": _ip, "phone": _phone, "card": _card}
@@ -213,7 +233,7 @@ def kind_of(v: Column) -> Column:
     """The kind whose pattern a whole match fits, in the order of KINDS."""
     tests = {
         "email": v.contains("@"), "secret": v.rlike("[=:]|^AKIA"), "date": v.rlike(r"^\d{4}-\d{2}-\d{2}$"),
-        "ip": v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "phone": v.rlike(r"^(\+1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]\d{4}$"),
+        "ip": v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "phone": v.rlike(r"^(\+1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}$"),
     }
     return reduce(lambda rest, k: F.when(tests[k], F.lit(k)).otherwise(rest), reversed(list(tests)), F.lit("card"))
 
