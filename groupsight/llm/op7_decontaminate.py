@@ -6,9 +6,10 @@ items of up to s shingles, a document is seen as windows of 2s shingles that sta
 item that stands in the document lies within one window and has at least a fixed similarity to it,
 whatever the document's length. Windows and items get MinHash signatures of `permutations` values;
 minima of s shingles are taken once from the smallest size upwards and merged pairwise. A window
-that shares one minimum with an item is a candidate (bands of one row: at containment 0.8 and
-48 permutations a miss has a chance of 4e-5 at most), and the candidate pair is verified by exact
-shingle containment in the whole document.
+that shares one minimum with an item is a candidate (bands of one row: items of 5 shingles or more
+are above half their partition's size, so at containment 0.8 and 48 permutations a miss has a chance
+of 4e-5 at most), and the candidate pair is verified by exact shingle containment in the whole
+document. Items of up to 4 shingles are looked up by the hashes of their shingles, so none is missed.
 
 The items are a stated query set: they are taken in blocks of at most `block_items`, so what each
 task holds is bounded, and documents are never shuffled.
@@ -38,6 +39,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint32(0x9E3779B1)
 _FILTER_BITS = 20
 SMALLEST = 8
+#: Items of up to this many shingles are looked up exactly; all others are above half of their partition's size.
+EXACT = SMALLEST // 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -100,18 +103,23 @@ def _pairwise(x: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """One block of test items: exact shingles, and signatures by size partition and permutation."""
+    """One block of test items: exact shingles, hashes of short items, and signatures of the others by size partition and permutation."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int, permutations: int):
         self.ids = [i for i, _ in rows]
         self.shingles = [shingles(words_of(t), size) for _, t in rows]
         hashes = [np.unique(shingle_hashes(words_of(t), size)) for _, t in rows]
         level_of = [max(0, int(np.ceil(np.log2(max(1, len(s)) / SMALLEST)))) for s in hashes]
-        self.levels = max([c for c, s in zip(level_of, hashes, strict=True) if len(s)], default=-1) + 1
+        self.levels = max([c for c, s in zip(level_of, hashes, strict=True) if len(s) > EXACT], default=-1) + 1
+        short = [i for i, s in enumerate(hashes) if 0 < len(s) <= EXACT]
+        owner = np.repeat(np.array(short, np.int64), [len(hashes[i]) for i in short])
+        self.short = np.concatenate([np.empty(0, np.uint64), *[hashes[i] for i in short]])
+        order = np.argsort(self.short, kind="stable")
+        self.short, self.short_of = self.short[order], owner[order]
         self.seeds = permutation_seeds(permutations)
         self.minima: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for level in range(self.levels):
-            of = [i for i, c in enumerate(level_of) if c == level and len(hashes[i])]
+            of = [i for i, c in enumerate(level_of) if c == level and len(hashes[i]) > EXACT]
             for p, seed in enumerate(self.seeds if of else ()):
                 v = np.array([_permuted(*_halves(hashes[i]), seed).min() for i in of], np.uint32)
                 order = np.argsort(v, kind="stable")
@@ -120,10 +128,17 @@ class Items:
                 self.minima[level, p] = v[order], np.array(of, np.int64)[order], np.packbits(maybe, bitorder="little")
 
     def candidates(self, h: np.ndarray, void: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, from, to): items that share a minimum with the window of shingles from..to.
+        """(item, from, to): items that share a minimum, or short items that share a shingle, with the window of shingles from..to.
 
         h holds the shingles of many documents one after another; void marks those that span two.
         """
+        if len(self.short):
+            left, right = np.searchsorted(self.short, h, "left"), np.searchsorted(self.short, h, "right")
+            for k in np.flatnonzero(right > left):
+                for x in self.short_of[left[k] : right[k]].tolist():
+                    yield x, int(k), int(k) + 1
+        if not self.levels:
+            return
         low, high = _halves(h)
         for p, seed in enumerate(self.seeds):
             block = _permuted(low, high, seed)
@@ -148,7 +163,7 @@ def search(texts: list[str | None], block: Items, size: int, threshold: float) -
     words = [words_of(t) for t in texts]
     ends = np.cumsum([len(w) for w in words])
     h = shingle_hashes([x for w in words for x in w], size)
-    if not len(h) or not block.levels:
+    if not len(h):
         return []
     void = np.concatenate([np.arange(e - size + 1, e) for e in ends])
     void = void[(void >= 0) & (void < len(h))]

@@ -325,6 +325,17 @@ def test_contaminated_documents_by_brute_force(spark, docs, empty, tiny):
     assert op7.contaminated(docs, bench).count() == 0
 
 
+def test_items_of_few_shingles_are_never_missed():
+    r = random.Random(5)
+    some = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    items = [(k, some(5 + k % 5)) for k in range(1000)]
+    texts = [some(40) + " " + t + " " + some(40) for _, t in items]
+    found = op7.search(texts, op7.Items(items, 5, 48), 5, 0.8)
+    assert [(i, x) for i, x, *_ in found] == [(k, k) for k in range(1000)]
+    # short items alone, at the start and the end of the batch
+    assert [f[:2] for f in op7.search([items[0][1], None, items[5][1]], op7.Items(items[:1] + items[5:6], 5, 48), 5, 0.8)] == [(0, 0), (2, 1)]
+
+
 # --- 8
 
 
