@@ -29,10 +29,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose id is (left_semi) or is not (left_anti) in the one column of ids; null equals null."""
-    name = fresh(docs, "_id")
-    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), how)
+#: A side of up to this many rows is broadcast; a larger one is joined by shuffle, where adaptive execution splits hot keys.
+BROADCAST_ROWS = 300_000
+
+
+def sized(side: DataFrame, name: str) -> DataFrame:
+    """side as a table in the shared folder, to be broadcast if it has BROADCAST_ROWS rows at most.
+
+    A join of two tables has plain exchanges on both sides, so adaptive execution can split its hot keys.
+    """
+    side = cut(side, name)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table in the shared folder with a key of each row, and the key's name; ids may be null or repeated, the key is not."""
+    row = fresh(docs, "_row")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
 
 
 def training_row(col: Column) -> Column:
@@ -50,9 +63,10 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) links: (node, root), root the smallest node reachable.
 
-    Alternates large-star and small-star rounds: each round is an aggregate and a join on the
-    node, so no component is ever gathered in one task. Every round ends in a table in the
-    shared folder, and the loop stops when a round changes no link.
+    Alternates large-star and small-star rounds. Each half is an aggregate and a join with its result,
+    which is broadcast under a checked size and else a table of its own, so that a star's centre,
+    which has a row per link, is split and no component is gathered in one task. Every
+    round ends in a table in the shared folder, and the loop stops when a round changes no link.
     """
     spark = edges.sparkSession
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
@@ -66,14 +80,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = sized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, large_path = cut(large, "large_stars", with_path=True)
+        least = sized(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after_df, after_path = cut(small.where("u <> v").distinct(), "links", with_path=True)
         after = sign(after_df)
         drop_table(spark, path)
+        drop_table(spark, large_path)
         now, path = after_df, after_path
         if after == before:
             break

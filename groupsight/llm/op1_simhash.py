@@ -6,9 +6,9 @@ of that ball in each segment's table, fetches what stands there and compares who
 Identical fingerprints are one entry, so exact copies never meet in pairs.
 
 A key whose table holds more than `HOT_KEY` different fingerprints (one template with thousands of
-edits) would give all pairs of its entries. Such keys are dealt into square cells of bounded size
-instead; each cell is compared in blocks and gives only a spanning forest of its links, so the
-components stay exact while the links stay linear.
+edits) would give all pairs of its entries. Such keys are dealt into cells of a bounded number of
+entries and probes instead; each cell is compared in blocks and gives only a spanning forest of its
+links, so the components stay exact while the links stay linear.
 
 Edge cases: null or empty text has no shingle and fingerprint zero, and links with other zeros like
 any fingerprint; fewer than `shingle` words make one shingle; repeated rows are kept, one result
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import components, prepare
+from groupsight.llm.common import components, prepare, sized
 from groupsight.sources.store import cut
 
 SEED = 42
@@ -122,20 +122,22 @@ def _link_cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) between different fingerprints that have the components of all pairs within `radius` bits."""
     table, probes = _table_and_probes(fps, radius)
-    hot = cut(table.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY), "hot_keys")
+    hot = sized(table.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY), "hot_keys")
     cold = table.join(hot, ["seg", "key"], "left_anti").withColumnRenamed("fp", "b")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius
+    # hot keys number at most entries / HOT_KEY; their probes go to the cells only
     pairs = (
-        probes.join(cold, ["seg", "key"])
+        probes.join(hot, ["seg", "key"], "left_anti")
+        .join(cold, ["seg", "key"])
         .where(close & (F.col("flip") | (F.col("fp") < F.col("b"))))
         .select(F.col("fp").alias("a"), "b")
     )
-    side = F.ceil(F.col("n") / CELL).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), side).cast("int")
-    others = F.explode(F.sequence(F.lit(0), side - 1)).alias("other")
-    row = lambda df, probe: df.join(hot, ["seg", "key"]).select("seg", "key", "fp", F.lit(probe).alias("probe"), mine.alias("mine"), others)
-    cells = row(probes, True).selectExpr("seg", "key", "fp", "probe", "mine AS pb", "other AS tb").union(
-        row(table, False).selectExpr("seg", "key", "fp", "probe", "other AS pb", "mine AS tb")
+    met = sized(probes.join(hot, ["seg", "key"]).groupBy("seg", "key").agg(F.count("*").alias("m"), F.first("n").alias("n")), "hot_sizes")
+    dealt = lambda df, probe: df.join(met, ["seg", "key"]).select("seg", "key", "fp", F.lit(probe).alias("probe"), *[F.ceil(F.col(c) / CELL).cast("int").alias(c) for c in "mn"])
+    mine = lambda side: F.pmod(F.xxhash64("fp"), F.col(side)).cast("int")
+    others = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    cells = dealt(probes, True).select("seg", "key", "fp", "probe", mine("m").alias("pb"), others("n").alias("tb")).union(
+        dealt(table, False).select("seg", "key", "fp", "probe", others("m").alias("pb"), mine("n").alias("tb"))
     )
     spanning = cells.groupBy("seg", "key", "pb", "tb").applyInPandas(lambda pdf: _link_cell(pdf, radius), "a long, b long")
     return pairs.union(spanning)
@@ -148,8 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(distinct.select("fp"), radius))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named, "rooted")
-    per_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = named.join(per_root, "root").select("fp", "component_id")
+    per_root = sized(named.groupBy("root").agg(F.min("least").alias("component_id")), "component_ids")
+    per_fp = sized(named.join(per_root, "root").select("fp", "component_id"), "fingerprint_components")
     return one.join(per_fp, "fp").select("id", "fp", "component_id")
 
 

@@ -10,8 +10,8 @@ it has `min_docs` documents or more and its shrunken failure rate is over `max_h
 Edge cases: null or empty text has no words and fails; a null host is a host of its own; a table
 with one host, or hosts without spread, gets the prior of strength one at the overall rate;
 repeated rows count and come back each; an empty table gives an empty result; columns of the input
-that clash with result columns are not carried by host_verdicts(), and keep_documents() returns
-only the input's own columns.
+that clash with result columns are not carried by host_verdicts(); keep_documents() returns
+the input's own columns and judges each row by itself, whatever its id.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import SPACE, keep_rows, prepare
+from groupsight.llm.common import SPACE, fresh, prepare, sized
 from groupsight.sources.store import cut
 
 SYMBOLS = b"#*$%&|<>"
@@ -93,22 +93,20 @@ def fitted_prior(docs: int | None, failed: int | None, n: int, spread: float | N
     return mean, docs / n if n > 1 else 1.0
 
 
-def host_verdicts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_words: int = 50, max_repeat: int = 50, max_symbols: float = 0.2, max_dup_lines: float = 0.5, max_shout: float = 0.3,
-    max_host_rate: float = 0.6, min_docs: int = 20,
-) -> DataFrame:
-    """(id, host, counts, base_failed, rule_failed, host_docs, host_failed, host_rate, host_blocked, kept), a row per document."""
-    one = with_stats(docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")))
-    one = one.select("id", "host", "_stats.*")
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+def _judged(docs: DataFrame, host: str, min_words: int, max_repeat: int, max_symbols: float, max_dup_lines: float, max_shout: float) -> DataFrame:
+    """docs with host, the counts, base_failed and rule_failed as one more column, _judged; docs has been through with_stats()."""
+    n = lambda c: F.col("_stats")[c]
+    base = (n("n_words") < min_words) | (100 * n("n_repeat_words") > max_repeat * n("n_words"))
     more = (
-        (F.col("n_symbols") > max_symbols * F.col("n_words"))
-        | (F.col("n_dup_lines") > max_dup_lines * F.col("n_lines"))
-        | (F.col("n_shout_words") > max_shout * F.col("n_words"))
-    )
-    one = cut(one.withColumn("base_failed", base).withColumn("rule_failed", base | more), "rule_stats")
-    hosts = one.groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("rule_failed").alias("host_failed"))
+        (n("n_symbols") > max_symbols * n("n_words")) | (n("n_dup_lines") > max_dup_lines * n("n_lines")) | (n("n_shout_words") > max_shout * n("n_words"))
+    )
+    return docs.withColumn("_judged", F.struct(F.col(host).cast("string").alias("host"), "_stats.*", base.alias("base_failed"), (base | more).alias("rule_failed"))).drop("_stats")
+
+
+def host_rates(judged: DataFrame, max_host_rate: float = 0.6, min_docs: int = 20) -> DataFrame:
+    """(h, host_docs, host_failed, host_rate, host_blocked), a row per host, from rows with host and rule_failed."""
+    hosts = judged.groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("rule_failed").alias("host_failed"))
+    hosts = cut(hosts, "hosts")
     prior = hosts.agg(
         F.sum("host_docs").alias("docs"), F.sum("host_failed").alias("failed"), F.count("*").alias("n"),
         F.var_samp(F.col("host_failed") / F.col("host_docs")).alias("spread"), F.avg(1 / F.col("host_docs")).alias("inverse"),
@@ -117,14 +115,36 @@ def host_verdicts(
     rate = (F.col("host_failed") + mean * strength) / (F.col("host_docs") + strength)
     hosts = hosts.withColumn("host_rate", rate)
     hosts = hosts.withColumn("host_blocked", (F.col("host_docs") >= min_docs) & (F.col("host_rate") > max_host_rate))
-    hosts = hosts.select(F.col("host").alias("h"), "host_docs", "host_failed", "host_rate", "host_blocked")
+    return hosts.select(F.col("host").alias("h"), "host_docs", "host_failed", "host_rate", "host_blocked")
+
+
+#: Limits of the rules: words at least, repeated words in a hundred, symbols a word, repeated lines, shouts a word.
+RULES = {"min_words": 50, "max_repeat": 50, "max_symbols": 0.2, "max_dup_lines": 0.5, "max_shout": 0.3}
+
+
+def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: dict | None = None, **host_options) -> DataFrame:
+    """(id, host, counts, base_failed, rule_failed, host_docs, host_failed, host_rate, host_blocked, kept), a row per document."""
+    one = with_stats(docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")))
+    one = cut(_judged(one, "host", **RULES | (rules or {})).select("id", "_judged.*"), "rule_stats")
+    hosts = sized(host_rates(one, **host_options), "host_verdicts")
     out = one.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     return out.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_blocked"))
 
 
-def keep_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that host_verdicts() keeps, with docs' own columns."""
-    return keep_rows(docs, id_col, host_verdicts(docs, id_col, **options).where("kept").select("id"), "left_semi")
+def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: dict | None = None, **host_options) -> DataFrame:
+    """The rows of docs that host_verdicts() keeps, with docs' own columns.
+
+    Each row is judged by its own text and host, so null or repeated ids do not matter. Rows are
+    written once with their verdicts (the text of failed ones left out), and blocked hosts' rows go by a join on the host.
+    """
+    text, host = fresh(docs, "_text"), fresh(docs, "_host")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias(text), F.col(host_col).alias(host))
+    judged = _judged(with_stats(own, text), host, **RULES | (rules or {}))
+    failed = F.col("_judged.rule_failed")
+    judged = cut(judged.select(F.when(~failed, F.col("_row")).alias("_row"), F.col("_judged.host").alias("host"), failed.alias("rule_failed")), "judged")
+    blocked = sized(host_rates(judged, **host_options).where("host_blocked").select("h"), "blocked_hosts")
+    kept = judged.where("NOT rule_failed").join(blocked, F.col("host").eqNullSafe(F.col("h")), "left_anti")
+    return kept.select("_row.*").select(docs.columns)
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:

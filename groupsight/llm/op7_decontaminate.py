@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupsight.llm.common import keep_rows, prepare
+from groupsight.llm.common import prepare
 
 _WORD = re.compile(r"[^\W_]+")
 _KNOWN_WORDS = 100_000
@@ -182,23 +183,27 @@ def search(texts: list[str | None], block: Items, size: int, threshold: float) -
     return found
 
 
+def item_blocks(items: DataFrame, item_col: str, item_text: str, shingle: int, permutations: int, block_items: int) -> list[Broadcast]:
+    """Broadcast blocks of about block_items items each."""
+    spark = items.sparkSession
+    items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).where("item IS NOT NULL")
+    blocks = max(1, -(-items.count() // block_items))
+    # a block holds block_items on average; hashing keeps it within a few deviations of that
+    rows = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
+    return [spark.sparkContext.broadcast(Items(rows(k), shingle, permutations)) for k in range(blocks)]
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     threshold: float = 0.8, shingle: int = 5, permutations: int = 48, block_items: int = 20_000,
 ) -> DataFrame:
     """(id, item, item_shingles, shared_shingles, containment): pairs with at least `threshold` of the item's shingles in the document."""
-    spark = docs.sparkSession
-    prepare(spark)
-    items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).where("item IS NOT NULL")
-    blocks = max(1, -(-items.count() // block_items))
-    kind = dict(items.dtypes)["item"]
-    id_type = dict(docs.dtypes)[id_col]
-    schema = f"id {id_type}, item {kind}, item_shingles long, shared_shingles long"
-    source, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), None
-    for k in range(blocks):
-        # a block holds block_items on average; hashing keeps it within a few deviations of that
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-        sent = spark.sparkContext.broadcast(Items(rows, shingle, permutations))
+    prepare(docs.sparkSession)
+    kind, id_type = dict(items.dtypes)[item_col], dict(docs.dtypes)[id_col]
+    schema = f"id string, item {kind}, item_shingles long, shared_shingles long"
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    source, out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")), None
+    for sent in item_blocks(items, item_col, item_text, shingle, permutations, block_items):
 
         def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             block = sent.value
@@ -211,12 +216,29 @@ def contaminated(
 
         part = source.mapInPandas(run, schema)
         out = part if out is None else out.union(part)
-    return out.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
+    return out.withColumn("id", F.col("id").cast(id_type)).withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no test item, with docs' own columns."""
-    return keep_rows(docs, id_col, contaminated(docs, items, id_col, **options).select("id"), "left_anti")
+def clean_documents(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    threshold: float = 0.8, shingle: int = 5, permutations: int = 48, block_items: int = 20_000,
+) -> DataFrame:
+    """The rows of docs that hold no test item, with docs' own columns; each row is judged by its own text where it stands, whatever its id."""
+    prepare(docs.sparkSession)
+
+    def holder(sent: Broadcast):
+        @F.pandas_udf("boolean")
+        def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in parts:
+                out = np.zeros(len(s), bool)
+                out[[f[0] for f in search(list(s), sent.value, shingle, threshold)]] = True
+                yield pd.Series(out)
+
+        return holds
+
+    for sent in item_blocks(items, item_col, item_text, shingle, permutations, block_items):
+        docs = docs.where(~holder(sent)(text_col))
+    return docs
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
