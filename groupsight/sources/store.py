@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +27,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/groupsight/{uuid.uuid4().hex}/{name}"
 
 
+#: Paths of the tables written since each open scratch() began.
+_SCRATCH: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str, with_path: bool = False):
     """Write df as a table in the shared folder and read it again, so that later work starts from files."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    for paths in _SCRATCH[-1:]:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that cut() writes inside are deleted at the end, but for those whose path is taken off the list."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        for path in _SCRATCH.pop():
+            drop_table(spark, path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table written by cut()."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
