@@ -6,22 +6,29 @@ place by a broadcast table; every other word goes, once per document, through on
 64-bit hash that counts it and returns its share to its documents. Which words are frequent
 changes the work only, never a count.
 
-Model. Words become subword ids. A subword's class is itself for the `SINGLES` most frequent, else one of
-`CLUSTERS` groups with like left neighbours; log P(id) = log P(class | context) + log P(id | class, class before). The
-class logits are those of a bigram table counted over all training documents plus the output of one
-causal self-attention layer (numpy), trained by rounds of local Adam on the partitions of a hashed
-share of the training documents, whose weights are averaged after each round. Scoring cuts the ids
-into blocks; a window is a block and the one before it, causally masked, and scores only its own
-block, so each token is scored once, with 16 to 31 tokens of context.
+Model. Words become subword ids. A subword's symbol is itself for the most frequent ones, else one of
+`GROUPS` groups of like frequency; log P(id) = log P(symbol | context) + log P(id | symbol). The symbol before is
+the query; the keys are the `REACH` symbols before the token, and a key's value is a distribution over the next
+symbol: that which follows the two symbols at the nearest place (the `PAIRS` most frequent pairs, else the one
+symbol), that which follows the key at its distance at the others. Attention weights are a masked softmax of a
+query-key matrix and a bias by distance, and the output is the values' weighted mean, so it is a distribution.
+
+Values are counted over every token of all training documents. The query-key matrix and the bias are
+trained on all of them too, each in one of `rounds` rounds: numpy tasks sum what the attention gave each
+query and key and what it ought to have given (the posterior, with the token itself left out of
+the values' counts), and a round moves the logits by the log ratio of both. Only sums leave the tasks, so
+scores do not depend on how rows are partitioned. Windows of `BLOCK` tokens overlap by `REACH` tokens of context: each
+token is scored once, and a whole batch of windows at a time.
 
 Edge cases: null text is empty; an empty document is its end token alone; a null id counts as held
-out; without training documents counts are zero and the model is uniform within classes; repeated
+out; without training documents counts are zero and the model is uniform; repeated
 rows are counted and scored each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,214 +46,167 @@ from groupsight.sources.store import cut
 VOCABULARY = 50_257
 END = 50_256
 HEAVY = 65_000
-SINGLES, CLUSTERS = 96, 32
-CLASSES = SINGLES + CLUSTERS
-EMBEDDED = 2_000
-BLOCK, DIM = 16, 8
-KNOWN_WORDS = 250_000
+SYMBOLS, GROUPS = 1024, 64
+PAD = SYMBOLS
+WIDTH = SYMBOLS + 1
+PAIRS = 12_000
+QUERIES = 128
+REACH, BLOCK = 6, 250
+#: Distances whose values are counted apart; longer ones share the last table.
+FAR = 3
+KNOWN_WORDS = 400_000
 SAMPLE_SHARE = 64
-TRAIN_SHARE = 16
-
-
-class Shape:
-    """Class of each subword, and its row in the embedding tables."""
-
-    def __init__(self, pairs: dict[tuple[int, int], int]):
-        """pairs: counts of (previous id, id) in a sample."""
-        seen = Counter()
-        for (_, b), n in pairs.items():
-            seen[b] += n
-        ranked = [i for i, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
-        self.cls = np.full(VOCABULARY, CLASSES - 1, np.int64)
-        self.cls[ranked[:SINGLES]] = np.arange(len(ranked[:SINGLES]))
-        rest = ranked[SINGLES:]
-        if rest:
-            self.cls[rest] = SINGLES + self._clusters(rest, pairs)
-        self.row = EMBEDDED + self.cls - SINGLES
-        self.row[ranked[:EMBEDDED]] = np.arange(len(ranked[:EMBEDDED]))
-        self.row[self.cls < SINGLES] = self.cls[self.cls < SINGLES]
-        self.rows = EMBEDDED + CLUSTERS
-        self.row_cls = np.concatenate([np.full(EMBEDDED, CLASSES - 1), SINGLES + np.arange(CLUSTERS)])
-        self.row_cls[self.row] = self.cls
-
-    def _clusters(self, rest: list[int], pairs: dict[tuple[int, int], int], rounds: int = 8) -> np.ndarray:
-        """k-means of subwords on the square roots of their left neighbours' shares."""
-        at = {t: k for k, t in enumerate(rest)}
-        x = np.zeros((len(rest), SINGLES + 1), np.float32)
-        for (a, b), n in pairs.items():
-            if b in at:
-                x[at[b], min(self.cls[a], SINGLES)] += n
-        weight = x.sum(axis=1)
-        x = np.sqrt(x / np.maximum(weight[:, None], 1))
-        centres = x[np.arange(CLUSTERS) % len(rest)]
-        for _ in range(rounds):
-            near = np.argmax(x @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
-            for k in range(CLUSTERS):
-                if (near == k).any():
-                    centres[k] = np.average(x[near == k], axis=0, weights=weight[near == k] + 1e-3)
-        return near
-
-
-class Weights(dict):
-    """Tables of queries, keys and values by embedding row, relative bias, output matrix."""
-
-    @classmethod
-    def start(cls, rows: int) -> Weights:
-        g = np.random.default_rng(3)
-        table = lambda s: g.normal(0, s, (rows, DIM)).astype(np.float32)
-        return cls(q=table(0.3), k=table(0.3), v=table(0.3), bias=np.zeros((BLOCK, 2 * BLOCK), np.float32), out=g.normal(0, 0.05, (DIM, CLASSES)).astype(np.float32))
-
-
-_I, _J = np.arange(BLOCK)[:, None], np.arange(2 * BLOCK)[None, :]
-_MASK = np.where(_J <= _I + BLOCK, 0, -1e4).astype(np.float32)
-
-
-def blocks_of(docs: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding rows of the inputs, target ids (-1: padding), first-block marks, and document of each block."""
-    counts = [-(-(len(x) + 1) // BLOCK) for x in docs]
-    total = sum(counts) * BLOCK
-    inputs, targets, at = np.full(total, END, np.int64), np.full(total, -1, np.int64), 0
-    first = np.zeros(sum(counts), bool)
-    for x, c in zip(docs, counts, strict=True):
-        inputs[at + 1 : at + 1 + len(x)] = x
-        targets[at : at + len(x)] = x
-        targets[at + len(x)] = END
-        first[at // BLOCK] = True
-        at += c * BLOCK
-    return shape.row[inputs].reshape(-1, BLOCK), targets.reshape(-1, BLOCK), first, np.repeat(np.arange(len(docs)), counts)
-
-
-def _with_previous(x: np.ndarray) -> np.ndarray:
-    """Each block's rows behind those of the block before it."""
-    out = np.empty((len(x), 2 * BLOCK, x.shape[2]), x.dtype)
-    out[:, BLOCK:] = x
-    out[1:, :BLOCK] = x[:-1]
-    out[0, :BLOCK] = 0
+#: Windows that are scored at a time.
+STEP = 800
+
+
+class Symbols:
+    """Symbol of each subword and log10 P(subword | symbol), from the subwords' counts."""
+
+    def __init__(self, ids: np.ndarray):
+        ranked = np.argsort(-ids, kind="stable")
+        ranked = np.concatenate([[END], ranked[ranked != END]])
+        singles = SYMBOLS - GROUPS
+        self.of = np.empty(VOCABULARY, np.int64)
+        self.of[ranked[:singles]] = np.arange(singles)
+        share = np.cumsum(ids[ranked[singles:]] + 1)
+        self.of[ranked[singles:]] = singles + np.minimum(GROUPS - 1, share * GROUPS // (share[-1] + 1))
+        self.log_within = np.log10((ids + 1) / np.bincount(self.of, ids + 1, SYMBOLS)[self.of])
+
+
+def windows_of(docs: list[np.ndarray], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of REACH + BLOCK symbols that overlap by REACH, and where each document starts in the targets' line.
+
+    A document is padding, END, its symbols and END; padding is masked, so nothing reaches across documents.
+    """
+    sizes = np.array([len(x) + REACH + 2 for x in docs], np.int64)
+    ends = np.cumsum(sizes)
+    total = -(-int(ends[-1]) // BLOCK) * BLOCK
+    line = np.full(REACH + total, PAD, np.int64)
+    for x, stop in zip(docs, ends.tolist(), strict=True):
+        line[stop - len(x) - 2 + REACH] = line[stop - 1 + REACH] = symbols.of[END]
+        line[stop - len(x) - 1 + REACH : stop - 1 + REACH] = symbols.of[x]
+    return np.lib.stride_tricks.sliding_window_view(line, REACH + BLOCK)[::BLOCK], ends - sizes
+
+
+class Values:
+    """Distributions over the next symbol: after the two symbols before (near), and after one symbol at each distance (far).
+
+    less 1: what the counts say of a token that is not counted itself, for training.
+    """
+
+    def __init__(self, place: np.ndarray, near: np.ndarray, far: np.ndarray, less: int = 0):
+        """place: row of near for each pair of symbols; near and far: counts."""
+        self.place = place
+        share = ((far[0].sum(axis=0) + 1) / (far[0].sum() + SYMBOLS)).astype(np.float32)
+        own = lambda counts, prior, strength: smoothed(counts, prior, strength, less)
+        last = np.zeros(len(near), np.int64)
+        last[place] = np.arange(WIDTH * WIDTH) % WIDTH
+        self.near = own(near, own(far[0], share, 5.0)[last], 20.0).ravel()
+        self.far = [own(x, share, 80.0).ravel() for x in far]
+
+
+def smoothed(counts: np.ndarray, prior: np.ndarray, strength: float, less: int) -> np.ndarray:
+    """Shares of counts (each less `less`, 0 at least), drawn to the prior as by `strength` more tokens."""
+    total = np.maximum(counts.sum(axis=1, keepdims=True) - less, 0) + strength
+    out = np.maximum(counts - less, 0).astype(np.float32)
+    out += prior * np.float32(strength)
+    out /= total.astype(np.float32)
     return out
 
 
-def attend(w: dict, rows: np.ndarray, first: np.ndarray) -> tuple:
-    """Attention weights and outputs of all blocks, with what the backward pass needs."""
-    q = w["q"][rows]
-    k, v = _with_previous(w["k"][rows]), _with_previous(w["v"][rows])
-    p = q @ k.transpose(0, 2, 1)
-    p *= DIM**-0.5
-    p += w["bias"] + _MASK
-    np.exp(p, out=p)
-    p[first, :, :BLOCK] = 0
-    p /= p.sum(axis=2, keepdims=True)
-    return q, k, v, p, p @ v
-
-
-class Scorer:
-    """Natural log P(class) of wanted classes, for up to `step` blocks at a time, in buffers that are used again."""
-
-    def __init__(self, w: dict, table: np.ndarray, step: int = 64):
-        self.w, self.table, self.step, n = w, table, step, step + 1
-        self.q = np.empty((n, BLOCK, DIM), np.float32)
-        self.k, self.v = (np.zeros((n, 2 * BLOCK, DIM), np.float32) for _ in range(2))
-        self.p, self.o = np.empty((n, BLOCK, 2 * BLOCK), np.float32), np.empty((n, BLOCK, DIM), np.float32)
-        self.logits, self.base = (np.empty((n * BLOCK, CLASSES), np.float32) for _ in range(2))
-        self.scale, self.ones = w["q"] * np.float32(DIM**-0.5), np.ones(CLASSES, np.float32)
-        self.mask = w["bias"] + _MASK
-
-    def __call__(self, rows: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        n = len(rows)
-        q, k, v, p, o = self.q[:n], self.k[:n], self.v[:n], self.p[:n], self.o[:n]
-        np.take(self.scale, rows, axis=0, out=q, mode="clip")
-        for x, name in ((k, "k"), (v, "v")):
-            x[:, BLOCK:] = self.w[name][rows]
-            x[1:, :BLOCK] = x[:-1, BLOCK:]
-        np.matmul(q, k.transpose(0, 2, 1), out=p)
-        p += self.mask
-        np.exp(p, out=p)
-        p[first, :, :BLOCK] = 0
-        np.matmul(p, v, out=o)
-        o /= p.sum(axis=2, keepdims=True)
-        logits, base = self.logits[: n * BLOCK], self.base[: n * BLOCK]
-        np.matmul(o.reshape(-1, DIM), self.w["out"], out=logits)
-        np.take(self.table, rows.ravel(), axis=0, out=base, mode="clip")
-        logits += base
-        chosen = logits[np.arange(len(logits)), wanted.ravel()]
-        np.exp(logits, out=logits)
-        return (chosen - np.log(logits @ self.ones)).reshape(wanted.shape)
-
-
-def gradients(w: dict, table: np.ndarray, rows: np.ndarray, first: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> dict:
-    q, k, v, p, o = attend(w, rows, first)
-    flat = o.reshape(-1, DIM)
-    d = flat @ w["out"] + table[rows.ravel()]
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(d)), wanted.ravel()] -= 1
-    d *= (real.ravel() / max(1, real.sum()))[:, None].astype(np.float32)
-    g = {"out": flat.T @ d}
-    do = (d @ w["out"].T).reshape(o.shape)
-    dv = p.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= (ds * p).sum(axis=2, keepdims=True)
-    ds *= p
-    g["bias"] = ds.sum(axis=0)
-    ds *= DIM**-0.5
-    dk = ds.transpose(0, 2, 1) @ q
-    for name, x in (("q", ds @ k), ("k", _own(dk)), ("v", _own(dv))):
-        columns = x.reshape(-1, DIM).T
-        g[name] = np.stack([np.bincount(rows.ravel(), c, len(w[name])) for c in columns], axis=1).astype(np.float32)
-    return g
-
-
-def _own(d: np.ndarray) -> np.ndarray:
-    """Gradients of each block's rows, as own and as previous block."""
-    out = d[:, BLOCK:].copy()
-    out[:-1] += d[1:, :BLOCK]
-    return out
+class Attention:
+    """Logits of the query-key matrix and of distances; rows of queries are the most frequent symbols, others in buckets."""
+
+    def __init__(self):
+        self.logits = np.zeros((QUERIES, WIDTH))
+        self.bias = -0.7 * np.log(np.arange(1, REACH + 1)) - (np.arange(REACH) > 0)
+        self.bias[0] = 1.0
+
+    def move(self, wanted: np.ndarray, given: np.ndarray, strength: float = 10.0) -> None:
+        """One step: wanted and given are the attention's sums by query and key, then by distance."""
+        cells = QUERIES * WIDTH
+        step = np.log((wanted[:cells] + strength) / (given[:cells] + strength)).reshape(QUERIES, WIDTH)
+        self.logits += np.clip(step, -2, 2)
+        self.bias += np.log((wanted[cells:] + strength) / (given[cells:] + strength))
+
+
+def query_rows() -> np.ndarray:
+    own = QUERIES - 16
+    at = np.arange(WIDTH)
+    return np.where(at < own, at, own + at % 16) * WIDTH
+
+
+class Reader:
+    """Attends over batches of windows."""
+
+    def __init__(self, attention: Attention, values: Values):
+        e = np.exp(attention.logits)
+        e[:, PAD] = 0
+        self.e, self.distance = e.astype(np.float32).ravel(), np.exp(attention.bias).astype(np.float32)
+        self.values, self.query_row = values, query_rows()
+
+    def __call__(self, windows: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(symbol) of each target, 0 at padding; sums (wanted, given) are added to."""
+        target, query = windows[:, REACH:], windows[:, REACH - 1 : -1]
+        void = (target == PAD) | (query == PAD)
+        y, row, v = np.where(void, 0, target), self.query_row[query], self.values
+        key = lambda j: windows[:, REACH - j : windows.shape[1] - j]
+        cells, weights, parts = [], [], []
+        for j in range(1, REACH + 1):
+            at = row + key(j)
+            w = self.e[at]
+            w *= self.distance[j - 1]
+            if j == 1:
+                p = v.near[v.place[key(2) * WIDTH + key(1)] * np.int64(SYMBOLS) + y]
+            else:
+                p = v.far[min(j, FAR) - 1][key(j) * SYMBOLS + y]
+            p *= w
+            cells.append(at)
+            weights.append(w)
+            parts.append(p)
+        total, met = sum(weights), sum(parts)
+        total[void] = met[void] = 1
+        if sums is not None:
+            real = (~void).astype(np.float32)
+            by_total, by_met = real / total, real / met
+            at, n = np.concatenate([c.ravel() for c in cells]), QUERIES * WIDTH
+            for out, xs, scale in ((sums[0], parts, by_met), (sums[1], weights, by_total)):
+                shares = [(x * scale).ravel() for x in xs]
+                out[:n] += np.bincount(at, np.concatenate(shares), n)
+                out[n:] += [x.sum(dtype=np.float64) for x in shares]
+        return np.log10(met / total)
+
+
+def read_all(reader: Reader, windows: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """The reader's results for any number of windows, as one line."""
+    out = [reader(windows[at : at + STEP], sums).ravel() for at in range(0, len(windows), STEP)]
+    return np.concatenate(out) if out else np.empty(0, np.float32)
+
+
+def score_documents(docs: list[np.ndarray], reader: Reader, symbols: Symbols) -> list[float]:
+    """log10 probability of each document's subwords and end."""
+    if not docs:
+        return []
+    windows, starts = windows_of(docs, symbols)
+    by_symbol = np.add.reduceat(read_all(reader, windows).astype(np.float64), starts)
+    within = [float(symbols.log_within[x].sum()) for x in docs]
+    return (by_symbol + within + symbols.log_within[END]).tolist()
 
 
-def train_locally(w: dict, table: np.ndarray, shape: Shape, docs: list[np.ndarray], rate: float = 0.01, batch: int = 128) -> dict:
-    """Weights after one pass of Adam over docs."""
-    rows, targets, first, _ = blocks_of(docs, shape)
-    w = {n: x.copy() for n, x in w.items()}
-    m, s = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
-    for step, at in enumerate(range(0, len(rows), batch), 1):
-        cut_ = slice(at, at + batch)
-        real = targets[cut_] >= 0
-        starts = first[cut_].copy()
-        starts[0] = True
-        g = gradients(w, table, rows[cut_], starts, shape.cls[targets[cut_]], real)
-        for n in w:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            s[n] = 0.98 * s[n] + 0.02 * g[n] ** 2
-            w[n] -= (rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s[n] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
-    return w
-
-
-def _pairs_and_words(texts: list, known) -> tuple[Counter, Counter]:
-    pairs, words = Counter(), Counter()
-    for t in texts:
-        mine = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        words.update(mine)
-        ids = [END, *np.frombuffer(b"".join(known[" " + x.decode("utf-8", "surrogatepass")] for x in mine), "<u2").tolist(), END]
-        pairs.update(zip(ids[:-1], ids[1:], strict=True))
-    return pairs, words
-
-
-def _sampled(docs: DataFrame, files: tuple[str, str]) -> tuple[list[bytes], Shape]:
-    """Frequent words and the subwords' shape, from the documents whose id hashes to 0 mod SAMPLE_SHARE."""
+def _frequent_words(docs: DataFrame) -> list[bytes]:
+    """Frequent words, from the training documents whose id hashes to 0 mod SAMPLE_SHARE; they only save work."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = chunks_of(*files)
-        pairs, words = Counter(), Counter()
+        words = Counter()
         for pdf in parts:
-            p, w = _pairs_and_words(list(pdf.t), known)
-            pairs.update(p)
-            words.update(w)
-        yield pd.DataFrame({"word": list(words) + [None] * len(pairs), "pair": [-1] * len(words) + [a << 16 | b for a, b in pairs], "n": [*words.values(), *pairs.values()]})
+            for t in pdf.t:
+                words.update((t or "").encode("utf-8", "surrogatepass").lower().split())
+        yield pd.DataFrame({"word": list(words), "n": list(words.values())})
 
-    rows = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0).mapInPandas(run, "word binary, pair long, n long")
-    counts = cut(rows.groupBy("word", "pair").agg(F.sum("n").alias("n")), "sample_counts")
-    words = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(HEAVY).select("word").collect()  # HEAVY at most
-    pairs = counts.where("word IS NULL").orderBy(F.desc("n"), "pair").limit(200_000).collect()
-    return [bytes(r.word) for r in words], Shape({(r.pair >> 16, r.pair & 0xFFFF): r.n for r in pairs})
+    rows = docs.where("NOT held").where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0).select("t").mapInPandas(run, "word binary, n long")
+    words = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAVY)
+    return [bytes(r.word) for r in words.collect()]  # HEAVY at most
 
 
 class Words(dict):
@@ -255,22 +215,26 @@ class Words(dict):
     def __init__(self, encode, place: dict[bytes, int]):
         super().__init__()
         self.encode, self.frequent = encode, place
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.ids: list[bytes] = []
         self.place = np.empty(KNOWN_WORDS + 50_000, np.int32)
         self.hash = np.empty(KNOWN_WORDS + 50_000, np.uint64)
 
+    def trim(self) -> None:
+        """Forget all but the frequent words."""
+        kept = [(w, self.ids[k]) for w, k in self.items() if self.place[k] >= 0]
+        self.clear()
+        self.ids = [x for _, x in kept]
+        for slot, (w, _) in enumerate(kept):
+            self[w], self.place[slot], self.hash[slot] = slot, self.frequent[w], 0
+
     def __missing__(self, word: bytes) -> int:
         slot = len(self.ids)
         ids = self.encode(" " + word.decode("utf-8", "surrogatepass"))
         if slot == len(self.place):
             self.place, self.hash = np.resize(self.place, 2 * slot), np.resize(self.hash, 2 * slot)
         self.ids.append(struct.pack(f"<{len(ids)}H", *ids))
-        self.place[slot] = self.frequent.get(word, -1)
-        self.hash[slot] = xxhash.xxh64_intdigest(word) if self.place[slot] < 0 else 0
+        self.place[slot] = place = self.frequent.get(word, -1)
+        self.hash[slot] = xxhash.xxh64_intdigest(word) if place < 0 else 0
         self[word] = slot
         return slot
 
@@ -278,7 +242,7 @@ class Words(dict):
         """Words, subword ids, frequent words' places and other words' hashes of a text."""
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if len(self) > KNOWN_WORDS:
-            self.reset()
+            self.trim()
         at = list(map(self.__getitem__, words))
         slots = np.array(at, np.int64)
         place = self.place[slots]
@@ -286,89 +250,128 @@ class Words(dict):
         return len(words), b"".join(map(self.ids.__getitem__, at)), place[~tail].astype("<u2").tobytes(), self.hash[slots[tail]].tobytes()
 
 
+#: A worker's words, by the encoding they belong to.
+_WORDS: dict[str, Words] = {}
+
+
+def _words(name: str, heavy, files: tuple[str, str]) -> Words:
+    """The worker's table of words, kept from task to task of one encoding."""
+    if name not in _WORDS:
+        _WORDS.clear()
+        _WORDS[name] = Words(chunks_of(*files).encode, heavy.value)
+    return _WORDS[name]
+
+
 def _encoded(docs: DataFrame, heavy, files: tuple[str, str]) -> DataFrame:
     """(row, id, held, n, ids, heavy, tail): subword ids, frequent words' places and other words' hashes of each document."""
-    kind = dict(docs.dtypes)["id"]
+    name = uuid.uuid4().hex
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(chunks_of(*files).encode, heavy.value)
-        for pdf in parts:
-            n, ids, place, tail = zip(*map(words.encoded, pdf.t), strict=True) if len(pdf) else ((), (), (), ())
-            yield pd.DataFrame({"row": pdf.row, "id": pdf.id, "held": pdf.held, "n": np.array(n, np.int64) + 1, "ids": ids, "heavy": place, "tail": tail})
+    @F.pandas_udf("n long, ids binary, heavy binary, tail binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = _words(name, heavy, files)
+        for s in parts:
+            n, ids, place, tail = zip(*map(words.encoded, s), strict=True) if len(s) else ((), (), (), ())
+            yield pd.DataFrame({"n": np.array(n, np.int64) + 1, "ids": ids, "heavy": place, "tail": tail})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "held", "t")
-    return rows.mapInPandas(run, f"row long, id {kind}, held boolean, n long, ids binary, heavy binary, tail binary")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "id", "held", run("t").alias("x")).select("row", "id", "held", "x.*")
 
 
-def _corpus_counts(encoded: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Over training documents: frequent words, subwords, classes by the row before, rows by the class before, tokens, documents."""
-    size = shape.rows * CLASSES
-    parts_of = np.cumsum([HEAVY, VOCABULARY, size, size, 2])
+def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long") -> np.ndarray:
+    """Sums over all rows of what add(table, batch) puts into a (columns, size) table; tasks send their non-zero cells only."""
+    names = [f"n{c}" for c in range(columns)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = np.zeros(parts_of[-1], np.int64)
-        words, ids, after, pairs, total = np.split(every, parts_of[:-1])
-        mark = np.array([END], "<u2").tobytes()
+        _WORDS.clear()
+        table = np.zeros((columns, size), np.int64 if kind == "long" else np.float64)
         for pdf in parts:
-            words += np.bincount(np.frombuffer(b"".join(pdf.heavy), "<u2"), minlength=HEAVY)
-            line = np.frombuffer(mark + b"".join(x + mark for x in pdf.ids), "<u2").astype(np.int64)
-            ids += np.bincount(line[1:], minlength=VOCABULARY)
-            after += np.bincount(shape.row[line[:-1]] * CLASSES + shape.cls[line[1:]], minlength=size)
-            pairs += np.bincount(shape.cls[line[:-1]] * shape.rows + shape.row[line[1:]], minlength=size)
-            total += int(pdf.n.sum()), len(pdf)
-        at = np.flatnonzero(every)
-        yield pd.DataFrame({"k": at, "n": every[at]})
-
-    rows = encoded.where("NOT held").select("n", "ids", "heavy").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    every = np.zeros(parts_of[-1], np.int64)
-    for r in rows:  # as many as the tables have cells, at most
-        every[r.k] = r.n
-    words, ids, after, pairs, total = np.split(every, parts_of[:-1])
-    return words, ids, after.reshape(shape.rows, CLASSES), pairs.reshape(CLASSES, shape.rows), int(total[0]), int(total[1])
-
-
-def bigram_table(after: np.ndarray, shape: Shape, strength: float = 20.0) -> np.ndarray:
-    """Log P(class) after each embedding row, smoothed towards the classes' shares."""
-    share = (after.sum(axis=0) + 1) / (after.sum() + CLASSES)
-    return np.log((after + strength * share) / (after.sum(axis=1, keepdims=True) + strength)).astype(np.float32)
-
-
-def within_class(ids: np.ndarray, pairs: np.ndarray, shape: Shape, strength: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log P(row | class, class before), smoothed towards P(row | class), and log P(id | row)."""
-    of_row = np.bincount(shape.row, ids + 1, shape.rows)
-    share = of_row / np.maximum(np.bincount(shape.row_cls, of_row, CLASSES)[shape.row_cls], 1)
-    sums = np.stack([np.bincount(shape.row_cls, x, CLASSES) for x in pairs])[:, shape.row_cls]
-    with np.errstate(divide="ignore"):
-        by_row = np.log((pairs + strength * share) / (sums + strength))
-    return by_row, np.log((ids + 1) / of_row[shape.row])
-
-
-def _trained(encoded: DataFrame, shape: Shape, table: np.ndarray, rounds: int, share: int = TRAIN_SHARE) -> dict:
-    spark = encoded.sparkSession
-    weights: dict = Weights.start(shape.rows)
-    pick = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(share * rounds))
-    schema = "tokens long, " + ", ".join(f"{n} binary" for n in weights)
+            add(table, pdf)
+        at = np.flatnonzero(table.any(axis=0))
+        yield pd.DataFrame({"k": at} | {name: table[c, at] for c, name in enumerate(names)})
+
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    cells = rows.coalesce(tasks).mapInPandas(run, "k long, " + ", ".join(f"{n} {kind}" for n in names))
+    found = cells.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # as many rows as the table has cells, at most
+    out = np.zeros((columns, size), np.int64 if kind == "long" else np.float64)
+    for c, name in enumerate(names):
+        out[c, found["k"].to_numpy()] = found[name].to_numpy()
+    return out
+
+
+def _lists(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column]
+
+
+def _corpus_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of frequent words, of subwords; tokens and documents."""
+    ends = np.cumsum([HEAVY, VOCABULARY])
+
+    def add(table: np.ndarray, pdf: pd.DataFrame) -> None:
+        words, ids, total = np.split(table[0], ends)
+        words += np.bincount(np.frombuffer(b"".join(pdf.heavy), "<u2"), minlength=HEAVY)
+        ids += np.bincount(np.frombuffer(b"".join(pdf.ids), "<u2"), minlength=VOCABULARY)
+        total += int(pdf.n.sum()), len(pdf)
+
+    words, ids, total = np.split(_summed(train.select("n", "ids", "heavy"), ends[-1] + 2, add)[0], ends)
+    ids[END] += total[1]
+    return words, ids, int(total[0]), int(total[1])
+
+
+def _values_counted(train: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of pairs of symbols, counts of the symbol after each row, and after a symbol at each distance."""
+    cells = WIDTH * SYMBOLS
+    sent = train.sparkSession.sparkContext.broadcast(symbols)
+
+    def targets(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Places of targets in the line of windows, and that line."""
+        windows, _ = windows_of(_lists(pdf.ids), sent.value)
+        line = np.concatenate([windows[0, :REACH], windows[:, REACH:].ravel()])
+        return np.flatnonzero((line[1:] != PAD) & (line[:-1] != PAD)) + 1, line
+
+    def add_far(table: np.ndarray, pdf: pd.DataFrame) -> None:
+        if len(pdf):
+            at, line = targets(pdf)
+            for j in range(1, REACH + 1):
+                first = (min(j, FAR) - 1) * cells
+                table[0, first : first + cells] += np.bincount(line[at - j] * SYMBOLS + line[at], minlength=cells)
+
+    ids = train.select("ids")
+    far = _summed(ids, FAR * cells, add_far)[0].reshape(FAR, WIDTH, SYMBOLS)
+    before = far[0].ravel()
+    top = np.argsort(-before, kind="stable")[:PAIRS]
+    top = top[before[top] > 0]
+    # pair (a, b) stands at a * WIDTH + b; others fall back to the row of b
+    place = np.tile(np.arange(WIDTH, dtype=np.int32), WIDTH)
+    place[top // SYMBOLS * WIDTH + top % SYMBOLS] = WIDTH + np.arange(len(top))
+    rows = WIDTH + len(top)
+    sent_place = train.sparkSession.sparkContext.broadcast(place)
+
+    def add_near(table: np.ndarray, pdf: pd.DataFrame) -> None:
+        if len(pdf):
+            at, line = targets(pdf)
+            row = sent_place.value[line[at - 2] * WIDTH + line[at - 1]].astype(np.int64)
+            np.add.at(table[0], row * SYMBOLS + line[at], 1)
+
+    near = _summed(ids, rows * SYMBOLS, add_near)[0].reshape(rows, SYMBOLS)
+    far[:, PAD] = 0
+    return place, near.astype(np.int32), far
+
+
+def _trained(train: DataFrame, symbols: Symbols, values: Values, rounds: int) -> Attention:
+    """Attention after one step per round; each training document is in one round."""
+    sc, attention = train.sparkSession.sparkContext, Attention()
+    known = sc.broadcast((symbols, values))
+    pick = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds))
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((dict(weights), table, shape))
-
-        def run(parts: Iterator[pd.DataFrame], sent=sent, k=k) -> Iterator[pd.DataFrame]:
-            w, table, shape = sent.value
-            before, n = w, 0
-            for pdf in parts:
-                docs = [np.frombuffer(x, "<u2").astype(np.int64) for x in pdf.ids]
-                if docs:
-                    w = train_locally(w, table, shape, docs, rate=0.01 / (1 + k))
-                    n += sum(map(len, docs))
-            if w is not before:
-                yield pd.DataFrame([{"tokens": n} | {name: x.tobytes() for name, x in w.items()}])
-
-        mine = encoded.where("NOT held").where((pick >= k * share) & (pick < k * share + rounds)).select("ids")
-        parts = max(1, spark.sparkContext.defaultParallelism)
-        found = mine.coalesce(parts).mapInPandas(run, schema).collect()  # one row of weights per task
-        total = sum(r.tokens for r in found)
-        if total:
-            weights = {n: sum(np.frombuffer(r[n], np.float32) * (r.tokens / total) for r in found).astype(np.float32).reshape(x.shape) for n, x in weights.items()}
-    return weights
+        sent = sc.broadcast(attention)
+
+        def add(table: np.ndarray, pdf: pd.DataFrame, sent=sent) -> None:
+            if len(pdf):
+                symbols, values = known.value
+                read_all(Reader(sent.value, values), windows_of(_lists(pdf.ids), symbols)[0], table)
+
+        attention.move(*_summed(train.where(pick == k).select("ids"), QUERIES * WIDTH + REACH, add, 2, "double"))
+    known.unpersist()
+    return attention
 
 
 def _tail_shares(encoded: DataFrame) -> DataFrame:
@@ -397,62 +400,44 @@ def _tail_shares(encoded: DataFrame) -> DataFrame:
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, rounds: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, rounds: int = 8) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document; held_out: a Column on id_col."""
     spark = docs.sparkSession
     prepare(spark)
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2 if held_out is None else held_out
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(True)).alias("held"), F.col(text_col).alias("t"))
     files = public_tokenizers.path(RANKS), public_tokenizers.path(TOKENIZER)
-    frequent, shape = _sampled(rows, files)
-    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(_frequent_words(rows))})
     encoded = cut(_encoded(rows, place, files), "encoded")
-    words, ids, after, pairs, tokens, ends = _corpus_counts(encoded, shape)
-    table = bigram_table(after, shape)
-    weights = _trained(encoded, shape, table, rounds)
+    train = encoded.where("NOT held")
+    words, ids, tokens, ends = _corpus_counts(train)
+    symbols = Symbols(ids)
+    counts = _values_counted(train, symbols)
+    attention = _trained(train, symbols, Values(*counts, less=1), rounds)
     tail = cut(_tail_shares(encoded), "tail_shares")
     distinct = int(np.count_nonzero(words)) + (tail.agg(F.sum("new")).first()[0] or 0) + (ends > 0)
-    sent = spark.sparkContext.broadcast((np.log10(words + 1), words > 0, weights, table, shape, within_class(ids, pairs, shape)))
-    kind = dict(rows.dtypes)["id"]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log_count, known, w, table, shape, inner = sent.value
-        scorer = Scorer(w, table)
-        for pdf in parts:
-            at = [np.frombuffer(x, "<u2") for x in pdf.heavy]
+    sent = spark.sparkContext.broadcast((np.log10(words + 1), words > 0, attention, symbols, Values(*counts)))
+
+    @F.pandas_udf("heavy_log double, heavy_known long, score double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        log_count, known, attention, symbols, values = sent.value
+        reader = Reader(attention, values)
+        for heavy, ids in parts:
+            at = _lists(heavy)
             yield pd.DataFrame({
-                "row": pdf.row, "id": pdf.id, "held_out": pdf.held, "n_tokens": pdf.n, "heavy_log": [float(log_count[x].sum()) for x in at],
-                "heavy_known": [int(known[x].sum()) for x in at], "score": score_documents([np.frombuffer(x, "<u2") for x in pdf.ids], scorer, shape, inner),
+                "heavy_log": [float(log_count[x].sum()) for x in at], "heavy_known": [int(known[x].sum()) for x in at],
+                "score": score_documents(_lists(ids), reader, symbols),
             })
 
-    scored = encoded.drop("tail").mapInPandas(run, f"row long, id {kind}, held_out boolean, n_tokens long, heavy_log double, heavy_known long, score double")
-    out = scored.join(tail, "row", "left")
+    out = encoded.select("row", "id", "held", "n", run("heavy", "ids").alias("x")).select("row", "id", "held", "n", "x.*").join(tail, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    base = F.col("heavy_log") + zero("tail_log") + F.log10(F.lit(ends + 1.0)) - F.col("n_tokens") * F.log10(F.lit(float(tokens + distinct + 1)))
+    base = F.col("heavy_log") + zero("tail_log") + F.log10(F.lit(ends + 1.0)) - F.col("n") * F.log10(F.lit(float(tokens + distinct + 1)))
     return out.select(
-        "id", "held_out", "n_tokens", (F.col("heavy_known") + zero("tail_known") + int(ends > 0)).cast("long").alias("n_known"),
+        "id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),
+        (F.col("heavy_known") + zero("tail_known") + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
     )
 
 
-def score_documents(docs: list[np.ndarray], score: Scorer, shape: Shape, inner: tuple) -> list[float]:
-    """log10 probability of each document's subwords and end."""
-    if not docs:
-        return []
-    rows, targets, first, of = blocks_of(docs, shape)
-    (by_row, by_id), sums = inner, np.zeros(len(rows))
-    for at in range(0, len(rows), score.step):
-        # one block more on the left, for the first block's context
-        left = max(0, at - 1)
-        part = slice(left, at + score.step)
-        starts = first[part].copy()
-        starts[0] = True
-        logs = score(rows[part], starts, shape.cls[targets[part]])
-        logs += by_row[shape.row_cls[rows[part]], shape.row[targets[part]]] + by_id[targets[part]]
-        logs[targets[part] < 0] = 0
-        sums[at : at + score.step] = logs.sum(axis=1)[at - left :]
-    return (np.bincount(of, sums, len(docs)) / np.log(10)).tolist()
-
-
 def op10_attention_lm(spark, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")

@@ -440,68 +440,112 @@ def test_base_scores_by_hand(docs, empty, monkeypatch):
     assert op10.lm_scores(empty).count() == 0
 
 
-def test_each_token_is_scored_once_with_its_context():
-    shape = op10.Shape({(5, 6): 3, (6, 7): 2, (7, 5): 4})
+@pytest.fixture(scope="module")
+def language_model():
+    """Symbols, values and attention from random counts, and documents of subword ids."""
     g = np.random.default_rng(1)
-    w = op10.Weights.start(shape.rows)
-    table = g.normal(0, 1, (shape.rows, op10.CLASSES)).astype(np.float32)
-    inner = op10.within_class(np.ones(op10.VOCABULARY, np.int64), np.zeros((op10.CLASSES, shape.rows), np.int64), shape)
-    docs = [g.integers(0, 60, n) for n in (0, 1, 15, 16, 17, 100, 2000)]
-    whole = op10.score_documents(docs, op10.Scorer(w, table, 64), shape, inner)
-    alone = [op10.score_documents([x], op10.Scorer(w, table, 7), shape, inner)[0] for x in docs]
-    assert whole == pytest.approx(alone, rel=1e-4)
-    # by hand: the class of place i from the inputs of its window up to i
-    x = docs[5]
-    u, y, total = [op10.END, *x], [*x, op10.END], 0.0
-    for i in range(len(y)):
-        start = max(0, (i // op10.BLOCK - 1) * op10.BLOCK)
-        rows = shape.row[u[start : i + 1]]
-        bias = w["bias"][i % op10.BLOCK, [j - (i // op10.BLOCK - 1) * op10.BLOCK for j in range(start, i + 1)]]
-        s = np.exp(w["k"][rows] @ w["q"][rows[-1]] * op10.DIM**-0.5 + bias)
-        logits = (s / s.sum()) @ w["v"][rows] @ w["out"] + table[rows[-1]]
-        logits = logits - np.log(np.exp(logits).sum())
-        total += logits[shape.cls[y[i]]] + inner[0][shape.row_cls[rows[-1]], shape.row[y[i]]] + inner[1][y[i]]
-    assert whole[5] == pytest.approx(total / np.log(10), rel=1e-4)
-
-
-def test_probabilities_of_ids_sum_to_one():
-    shape = op10.Shape({(5, 6): 3, (6, 7): 2, (7, 5): 4})
-    g = np.random.default_rng(2)
-    pairs = g.integers(0, 9, (op10.CLASSES, shape.rows))
-    pairs[:, np.setdiff1d(np.arange(shape.rows), shape.row)] = 0  # rows that no id has
-    by_row, by_id = op10.within_class(g.integers(0, 50, op10.VOCABULARY), pairs, shape)
-    p = np.exp(by_row[3, shape.row] + by_id)
-    sums = np.bincount(shape.cls, p, op10.CLASSES)
-    assert sums[np.unique(shape.cls)] == pytest.approx(1.0)
-
-
-def test_gradients_by_differences():
-    shape = op10.Shape({(5, 6): 3, (6, 7): 2, (7, 5): 4})
-    g = np.random.default_rng(4)
-    w = {n: x.astype(np.float64) for n, x in op10.Weights.start(shape.rows).items()}
-    table = g.normal(0, 1, (shape.rows, op10.CLASSES))
-    rows, targets, first, _ = op10.blocks_of([g.integers(0, 60, 50)], shape)
-    wanted, real = shape.cls[targets], targets >= 0
-
-    def loss():
-        out = op10.attend(w, rows, first)[4].reshape(-1, op10.DIM) @ w["out"] + table[rows.ravel()]
-        logs = out[np.arange(len(out)), wanted.ravel()] - np.log(np.exp(out).sum(axis=1))
-        return -(logs * real.ravel()).sum() / real.sum()
-
-    grad = op10.gradients(w, table, rows, first, wanted, real)
-    for name, at in (("q", (rows[1, 3], 2)), ("k", (rows[1, 3], 1)), ("v", (rows[0, 5], 0)), ("bias", (4, 18)), ("out", (1, 5))):
-        keep = w[name][at]
-        w[name][at] = keep + 1e-4
-        up = loss()
-        w[name][at] = keep - 1e-4
-        down = loss()
-        w[name][at] = keep
-        assert grad[name][at] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-6)
+    ids = np.zeros(op10.VOCABULARY, np.int64)
+    ids[:1200] = g.integers(1, 90, 1200)
+    symbols = op10.Symbols(ids)
+    place = np.tile(np.arange(op10.WIDTH, dtype=np.int32), op10.WIDTH)
+    place[g.choice(op10.WIDTH**2, 50, replace=False)] = op10.WIDTH + np.arange(50)
+    near = g.poisson(0.05, (op10.WIDTH + 50, op10.SYMBOLS)).astype(np.int32)
+    far = g.poisson(0.05, (op10.FAR, op10.WIDTH, op10.SYMBOLS))
+    attention = op10.Attention()
+    attention.logits = g.normal(0, 1, attention.logits.shape)
+    docs = [g.integers(0, 1300, n) for n in (0, 1, 5, 6, 7, op10.BLOCK - 1, op10.BLOCK, op10.BLOCK + 1, 2000)]
+    return symbols, op10.Values(place, near, far), attention, docs
+
+
+def attended(at, y, line, values, attention):
+    """Weighted values of symbol y at a place of a line, and weights, by hand."""
+    weights, shares = [], []
+    for j in range(1, op10.REACH + 1):
+        z = line[at - j]
+        if z == op10.PAD:
+            continue
+        weights.append(np.exp(attention.logits[op10.query_rows()[line[at - 1]] // op10.WIDTH, z] + attention.bias[j - 1]))
+        table = values.near.reshape(-1, op10.SYMBOLS) if j == 1 else values.far[min(j, op10.FAR) - 1].reshape(-1, op10.SYMBOLS)
+        shares.append(table[values.place[line[at - 2] * op10.WIDTH + line[at - 1]] if j == 1 else z, y])
+    return np.array(weights), np.array(shares)
+
+
+def test_each_token_is_scored_once_with_its_context(language_model):
+    symbols, values, attention, docs = language_model
+    reader = op10.Reader(attention, values)
+    whole = op10.score_documents(docs, reader, symbols)
+    assert whole == pytest.approx([op10.score_documents([x], reader, symbols)[0] for x in docs], rel=1e-5)
+    for x, got in zip(docs, whole, strict=True):
+        line = [op10.PAD] * op10.REACH + symbols.of[[op10.END, *x, op10.END]].tolist()
+        total = 0.0
+        for at in range(op10.REACH + 1, len(line)):
+            w, p = attended(at, line[at], line, values, attention)
+            total += np.log10((w * p).sum() / w.sum())
+        total += symbols.log_within[[*x, op10.END]].sum()
+        assert got == pytest.approx(total, rel=1e-4)
+
+
+def test_probabilities_of_ids_sum_to_one(language_model):
+    symbols, values, attention, _ = language_model
+    line = [op10.PAD] * op10.REACH + [0, 7, 500, 1023]
+    p = np.zeros(op10.SYMBOLS)
+    for y in range(op10.SYMBOLS):
+        w, q = attended(len(line), y, [*line, y], values, attention)
+        p[y] = (w * q).sum() / w.sum()
+    assert p.sum() == pytest.approx(1.0, rel=1e-4)
+    assert (p[symbols.of] * 10**symbols.log_within).sum() == pytest.approx(1.0, rel=1e-4)
+
+
+def test_training_sums_are_the_gradient_and_a_step_helps(language_model):
+    symbols, values, attention, docs = language_model
+    windows, _ = op10.windows_of(docs, symbols)
+    sums = np.zeros((2, op10.QUERIES * op10.WIDTH + op10.REACH))
+    before = float(op10.read_all(op10.Reader(attention, values), windows, sums).sum(dtype=np.float64)) * np.log(10)
+    slope = sums[0] - sums[1]
+    for cell in (int(np.argmax(slope[: op10.QUERIES * op10.WIDTH])), op10.QUERIES * op10.WIDTH + 2):
+        moved = op10.Attention()
+        moved.logits, moved.bias = attention.logits.copy(), attention.bias.copy()
+        if cell < op10.QUERIES * op10.WIDTH:
+            moved.logits.ravel()[cell] += 0.02
+        else:
+            moved.bias[2] += 0.02
+        after = float(op10.read_all(op10.Reader(moved, values), windows).sum(dtype=np.float64)) * np.log(10)
+        assert (after - before) / 0.02 == pytest.approx(slope[cell], rel=0.1, abs=0.1)
+    moved = op10.Attention()
+    moved.logits, moved.bias = attention.logits.copy(), attention.bias.copy()
+    moved.move(*sums)
+    assert op10.read_all(op10.Reader(moved, values), windows).sum(dtype=np.float64) * np.log(10) > before
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_no_attention(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(1, 6))) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(words[:30] if i % 2 else words[30:], k=80))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = lambda n, rounds: {x.id: x.score for x in op10.lm_scores(df.repartition(n), rounds=rounds).collect()}
+    one, nine = scored(1, 4), scored(9, 4)
+    assert one == pytest.approx(nine, rel=1e-5)
+    assert sum(one.values()) > sum(scored(2, 0).values())
 
 
 # --- pipeline and registration
 
 
+def first_of_each_class(texts):
+    """Smallest id of each class of texts that chains of five-word Jaccard similarities of 0.8 or more join."""
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {}
+    for i in sorted(sets):
+        near = {root[j] for j in root if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        least = min(near | {i})
+        root = {j: least if x in near else x for j, x in root.items()} | {i: least}
+    return set(root.values())
+
+
 def test_pipeline_stages_take_effect(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     seen, df = {}, docs
@@ -512,12 +556,7 @@ def test_pipeline_stages_take_effect(spark, tiny):
     verdicts = {r.id: r.kept for r in op6.host_verdicts(docs).collect()}
     assert seen["quality_rules"] == {i for i, k in verdicts.items() if k}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    fps = {i: op1.simhash(texts[i].encode()) for i in seen["quality_rules"]}
-    root = classes_by_hand(set(fps.values()), 4)
-    first = {}
-    for i in sorted(fps):
-        first.setdefault(root[fps[i]], i)
-    assert seen["near_duplicates"] == set(first.values())
+    assert seen["near_duplicates"] == first_of_each_class({i: texts[i] for i in seen["quality_rules"]})
     items = [op7.shingles(op7.words_of(r.text), 5) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     leak = lambda t: any(w and len(w & op7.shingles(op7.words_of(t), 5)) >= 0.8 * len(w) for w in items)
     assert seen["decontaminate"] == {i for i in seen["near_duplicates"] if not leak(texts[i])} == seen["private_data"]
@@ -526,12 +565,38 @@ def test_pipeline_stages_take_effect(spark, tiny):
     assert sizes == {r.doc_id: len(whole_ids(r.text)) for r in df.collect()}
 
 
-def test_near_duplicate_stage_on_odd_rows(spark, docs):
+def test_near_duplicate_stage_on_odd_rows(spark, docs, empty):
     extra = docs.limit(0).union(docs.where("doc_id IS NULL")).withColumn("text", F.lit(prose(90)))
-    out = corpus_pipeline.near_duplicates(spark, docs.union(extra).union(docs), "").collect()
-    got = sorted((r.doc_id is not None, r.doc_id or 0, len(r.text or "")) for r in out)
-    ids = [i for known, i, _ in got if known]
-    assert ids == [1, 3, 4, 7, 8, 10, 10, 11] and sum(not known for known, *_ in got) == 2
+    copy = docs.limit(0).union(docs.where("doc_id IS NULL")).withColumn("text", F.lit("one"))
+    out = corpus_pipeline.near_duplicates(spark, docs.union(extra).union(copy).union(docs), "")
+    assert out.columns == docs.columns
+    # 2 and 3 are near copies of 1; 5 and 6 are, as 4, without words; 9 is 8 again; each row of id 10 has a text of its own;
+    # a row without an id stays if no other row is like it, so the copy of 7's text goes
+    got = sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect())
+    assert [i for known, i in got if known] == [1, 4, 7, 8, 10, 10, 11] and sum(not known for known, _ in got) == 2
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_filtering_stages_judge_each_row_by_itself(spark, tmp_path, empty):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [
+        (1, prose(80), "a"), (1, "short", "a"), (None, prose(80), "a"), (None, "short", None), (None, None, "a"), (2, prose(70) + " " + item, "b"), (2, prose(70), "b"),
+        (None, prose(60) + " " + item, None), (3, "", "c"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in CLASH})
+    texts = lambda out: sorted(str(r.text) for r in out.collect())
+    kept = corpus_pipeline.quality_rules(spark, df, "")
+    assert kept.columns == df.columns and texts(kept) == sorted(t for _, t, _ in rows if t and len(t.split()) >= 50)
+    clean = corpus_pipeline.decontaminate(spark, df, str(tmp_path))
+    assert clean.columns == df.columns and texts(clean) == sorted(str(t) for _, t, _ in rows if item not in (t or ""))
+    hidden = corpus_pipeline.private_data(spark, df.withColumn("n_chars", F.length("text").cast("long")), "")
+    assert texts(hidden) == sorted(str(t) for _, t, _ in rows)
+    packed = corpus_pipeline.packing(spark, df, "")
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(whole_ids(t)) for _, t, _ in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        none = empty.withColumns({c: F.lit("x") for c in CLASH}).withColumn("n_chars", F.lit(0).cast("long"))
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
 
 
 def test_near_duplicate_stage_links_at_jaccard_of_four_fifths(spark, monkeypatch):
@@ -554,9 +619,12 @@ def test_near_duplicate_stage_links_at_jaccard_of_four_fifths(spark, monkeypatch
     kept = lambda: sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert kept() == [1, 4, 5, 6, 7]
     # the same through cells of hot keys
-    monkeypatch.setattr(corpus_pipeline.near_copies, "HOT_KEY", 1)
+    monkeypatch.setattr(corpus_pipeline.near_copies, "HOT_PAIRS", 1)
     monkeypatch.setattr(corpus_pipeline.near_copies, "CELL", 4)
     assert kept() == [1, 4, 5, 6, 7]
+    # and dealt anew
+    monkeypatch.setattr(corpus_pipeline.near_copies, "BUNDLE_PAIRS", 1)
+    assert kept() == [1, 4, 5, 6, 7]
 
 
 def test_every_operator_is_registered():
