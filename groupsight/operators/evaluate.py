@@ -114,14 +114,13 @@ def bimodal_gap(df: DataFrame, by: list[str], score: str = "score", min_scores:
 
 def gap_of(scores: np.ndarray, min_scores: int = 10, gap_ratio: float = 3.0, min_gap: float = 0.02, min_share: float = 0.05) -> float | None:
     """bimodal_gap() of one array."""
-    if len(scores) < min_scores:
+    x = pd.Series(scores, dtype=float).sort_values(ignore_index=True)
+    if len(x) < max(2, min_scores):
         return None
-    s = np.sort(scores)
-    gaps = np.diff(s)
-    k = int(gaps.argmax())
-    least = max(1, int(len(s) * min_share))
-    clear = gaps[k] > gap_ratio * max(float(np.median(gaps)), 1e-6) and gaps[k] > min_gap
-    return float((s[k] + s[k + 1]) / 2) if clear and k + 1 >= least and len(s) - k - 1 >= least else None
+    gaps = pd.Series(x.diff()[1:].to_numpy(), index=x.rolling(2).mean()[1:])
+    middle = gaps.idxmax()
+    splits = min((x < middle).sum(), (x > middle).sum()) >= max(1, int(len(x) * min_share))
+    return float(middle) if splits and gaps.max() > max(min_gap, gap_ratio * max(gaps.median(), 1e-6)) else None
 
 
 def dynamic_threshold(df: DataFrame, stream: str, batch: str, score: str = "score", keep: int = 500, static: float | None = None, fixed: float = 0.5, low: float = 0.1, high: float = 0.45) -> DataFrame:
@@ -170,13 +169,15 @@ def normalized_weights(df: DataFrame, weight: str = "weight", top: int = 65535)
     return df.join(F.broadcast(total), F.lit(True)).withColumn("share", share).withColumn("units", F.bround(F.col("share") * top, 0).cast("long")).drop("_total")
 
 
-def ema_scores(rewards: DataFrame, scorer: str, cycle: str, cycles: tuple[int, int], alpha: float = 0.1) -> DataFrame:
-    """(scorer, ema): alpha * reward + (1 - alpha) * before, over every cycle of the range; an absent reward is 0.
+def ema_scores(rewards: DataFrame, scorer: str, cycle: str, cycles: tuple[int, int] | None = None, alpha: float = 0.1) -> DataFrame:
+    """(scorer, ema): alpha * reward + (1 - alpha) * before, over every cycle of the range (default: all there are); an absent reward is 0.
 
     A reward of cycle c weighs alpha * (1 - alpha) ** (last - c), so no grid of cycles and scorers is made.
     """
-    rows = rewards.where(F.col(cycle).between(*cycles))
-    return rows.groupBy(scorer).agg(F.sum(F.col("reward") * alpha * F.pow(F.lit(1 - alpha), F.lit(cycles[1]) - F.col(cycle))).alias("ema"))
+    rows = rewards.where(F.col(cycle).between(*cycles)) if cycles else rewards
+    end = F.broadcast(rows.agg((F.lit(cycles[1]) if cycles else F.max(cycle)).alias("_last")))  # one row
+    weight = alpha * F.pow(F.lit(1 - alpha), F.col("_last") - F.col(cycle))
+    return rows.join(end, F.lit(True)).groupBy(scorer).agg(F.sum(F.col("reward") * weight).alias("ema"))
 
 
 def threshold_methods(df: DataFrame, by: list[str], score: str = "score", fixed: float = 0.5) -> DataFrame:

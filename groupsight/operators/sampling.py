@@ -1,6 +1,6 @@
 """Unions, dedup, sampling and splits. Random order is a hash of seed and key, so results do not depend on partitioning.
 
-Top-k and cut-off selections that need one global order rank within hash buckets first, where the number of rows wanted allows it.
+Selections that need one order of a table or a class rank within hash buckets first, then add the buckets' offsets.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import hash_order, hash_unit
+from groupsight.sources.store import cut
 
 
 def union_common(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -27,8 +28,7 @@ def pooled(frames: list[DataFrame], columns: list[str]) -> DataFrame:
 
 def dedup_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key; rows without a key stay."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.where(F.col(key).isNotNull()).withColumn("_rank", rank).where("_rank = 1").drop("_rank").unionByName(df.where(F.col(key).isNull()))
+    return upsert(df.where(F.col(key).isNotNull()), key, F.lit(0), order).unionByName(df.where(F.col(key).isNull()))
 
 
 def dedup_aggregate(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -37,8 +37,9 @@ def dedup_aggregate(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def upsert(rows: DataFrame, key: str, priority: Column, order: list[str]) -> DataFrame:
-    """One row per key: lowest priority number first, then order."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(priority, *order))).where("_rank = 1").drop("_rank")
+    """One row per key: lowest priority number first, then order. An aggregate, so a key's rows are never sorted in one task."""
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(priority.alias("_priority"), *order)).alias("_best"))
+    return best.select("_best.*")
 
 
 def duplicate_clusters(df: DataFrame, features: list[str], label: str, digits: int = 4) -> DataFrame:
@@ -55,18 +56,33 @@ def reservoir(df: DataFrame, key: str, n: int, seed: str = "s") -> DataFrame:
 
 
 def hash_rank(df: DataFrame, key: str, seed: str, by: list[str] | None = None) -> DataFrame:
-    """df with rank: the row's place in hash order, from 1, over all rows or within by.
+    """df with rank: the row's place in hash order, from 1, over all rows or within by (null is a group).
 
-    Over all rows, places are counted in hash buckets of bounded size, offset by the buckets before (a row per bucket).
+    Places are counted in 4096 hash buckets, per group of by, and offset by the sizes of the buckets before, so no task
+    sorts a whole table or group.
     """
-    h = hash_order(seed, F.col(key))
-    if by:
-        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(h, key)).cast("long"))
-    rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")  # 4096 rows at most
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return rows.join(F.broadcast(offsets), "_b").withColumn("rank", (place + F.col("_before")).cast("long")).drop("_h", "_b", "_before")
+    by = by or []
+    rows = df.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")  # 4096 rows at most per group
+    offsets = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_bucket"), before.alias("_before"))
+    met = F.col("_b") == F.col("_bucket")
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    return rows.withColumn("_place", place).join(offsets, met).withColumn("rank", (F.col("_place") + F.col("_before")).cast("long")).select(*df.columns, "rank")
+
+
+def sorted_places(df: DataFrame, *order: Column) -> DataFrame:
+    """df with place: the row's place, from 1, in the given order, which must be total.
+
+    Ranges of the order are written once, so that places within a range and the ranges' sizes speak of the same rows.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_part").withColumn("place", (F.col("_place") + F.col("_before")).cast("long")).select(*df.columns, "place")
 
 
 def rotating_window(df: DataFrame, key: str, window_id: int, size: int, seed: str = "s") -> DataFrame:

@@ -194,10 +194,10 @@ def e_settle(spark, d):
     return given.select("scorer", rounded(0.9 * F.col("share")).alias("weight")).union(kept)
 
 
-@query("e_ema", f"{SC}, rd AS (SELECT scorer, cycle, avg(score * label) AS reward FROM sc GROUP BY 1, 2) SELECT scorer, round(sum(reward * 0.1::DOUBLE * pow(0.9::DOUBLE, 9 - cycle)), 6) AS ema FROM rd WHERE cycle BETWEEN 0 AND 9 GROUP BY 1")
+@query("e_ema", f"{SC}, rd AS (SELECT scorer, cycle, avg(score * label) AS reward FROM sc GROUP BY 1, 2) SELECT scorer, round(sum(reward * 0.1::DOUBLE * pow(0.9::DOUBLE, (SELECT max(cycle) FROM rd) - cycle)), 6) AS ema FROM rd GROUP BY 1")
 def e_ema(spark, d):
     rd = sc(spark, d).groupBy("scorer", "cycle").agg(F.avg(F.col("score") * F.col("label")).alias("reward"))
-    return E.ema_scores(rd, "scorer", "cycle", (0, 9)).select("scorer", *r("ema"))
+    return E.ema_scores(rd, "scorer", "cycle").select("scorer", *r("ema"))
 
 
 @query("e_leader", f"{SC}, {_RWD} SELECT scorer, round(reward, 6) AS reward, n_name AS name FROM rd LEFT JOIN nation ON scorer = n_nationkey AND n_regionkey < 3")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groupsight.functions.scalars import rounded
 from groupsight.operators import stats as S
 from groupsight.operators import transform as T
+from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES as DF
 from groupsight.sources.bindings import DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, vector_features, vector_sql
@@ -114,7 +115,7 @@ def s_report(spark, d):
     return S.feature_report(docs(spark, d), DF).select("feature", "n_missing", "n_finite", "n_unique", *r("std", digits=4), *r("min", "max"), "constant", "near_constant")
 
 
-@query("s_dupcols", "SELECT 'f1b' AS feature, 'f1' AS same_as")
+@query("s_dupcols", f"{B5} " + " UNION ALL ".join(f"SELECT '{b}' AS feature, '{a}' AS same_as FROM b5 HAVING bool_and({a} IS NOT DISTINCT FROM {'f1' if b == 'f1b' else b})" for i, a in enumerate(FS) for b in [*FS[i + 1 :], "f1b"]))
 def s_dupcols(spark, d):
     return S.duplicate_columns(v(spark, d).withColumn("f1b", F.col("f1")), "id", [*FS, "f1b"])
 
@@ -408,22 +409,14 @@ def w_topk(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
 
 
-@query("w_sort", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer ORDER BY b ASC NULLS LAST, c_custkey LIMIT 1200")
+@query("w_sort", "SELECT c_custkey, b, row_number() OVER (ORDER BY b ASC NULLS LAST, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer)")
 def w_sort(spark, d):
     b = F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("b")
-    return table(spark, d, "customer").select("c_custkey", b).orderBy(F.asc_nulls_last("b"), "c_custkey").limit(1200)
+    return sorted_places(table(spark, d, "customer").select("c_custkey", b), F.asc_nulls_last("b"), F.col("c_custkey"))
 
 
 @query("w_round_robin", "WITH e AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rk, count(*) OVER () AS n FROM customer WHERE c_mktsegment = 'BUILDING') SELECT c_custkey FROM e WHERE (rk - (4 * 50) % n + n) % n < 50")
 def w_round_robin(spark, d):
-    e = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    n = e.count()
-    # places by range: rows per range, then within each
-    ranged = e.repartitionByRange("c_custkey").withColumn("p", F.spark_partition_id())
-    place = F.row_number().over(Window.partitionBy("p").orderBy("c_custkey")) - 1
-    sizes, at, first = {x.p: x["count"] for x in ranged.groupBy("p").count().collect()}, 0, []  # a row per range
-    for p in sorted(sizes):
-        first.append((p, at))
-        at += sizes[p]
-    starts = F.broadcast(spark.createDataFrame(first or [(0, 0)], "p int, first long"))
-    return ranged.withColumn("place", place).join(starts, "p").where(F.pmod(F.col("first") + F.col("place") - 200 % max(n, 1), F.lit(max(n, 1))) < 50).select("c_custkey")
+    e = sorted_places(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"), F.col("c_custkey"))
+    n = max(e.count(), 1)
+    return e.where(F.pmod(F.col("place") - 1 - 200 % n, F.lit(n)) < 50).select("c_custkey")

@@ -70,7 +70,7 @@ def z_threshold(spark, d):
 
 @query("z_monitor")
 def z_monitor(spark, d):
-    return Z.drained(Z.threshold_stream(_score_stream(spark, d), "scorer", "cycle", "score", every=2), "alerts").select("scorer", "cycle", "mode", "alert")
+    return Z.drained(Z.threshold_stream(_score_stream(spark, d), "scorer", "cycle", "score", every=5, peaks=Z.MONITOR), "alerts").select("scorer", "cycle", "mode", "alert")
 
 
 @query("z_log", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")

@@ -93,33 +93,44 @@ def served(requests: DataFrame, key: str, cycle: str, keep: int = 64) -> DataFra
     )
 
 
-def threshold_stream(scores: DataFrame, stream: str, sequence: str, score: str, keep: int = 500, every: int = 5, fixed: float = 0.5, low: float = 0.1, high: float = 0.45, move: float = 0.15) -> DataFrame:
+# What the monitor of a score stream takes for two peaks.
+MONITOR = {"min_scores": 20, "gap_ratio": 5.0, "min_gap": 0.01}
+
+
+def threshold_stream(
+    scores: DataFrame, stream: str, sequence: str, score: str, keep: int = 500, every: int = 5, fixed: float = 0.5, low: float = 0.1, high: float = 0.45,
+    move: float = 0.15, peaks: dict | None = None,
+) -> DataFrame:
     """(stream, sequence, threshold, mode, alert): after every `every` requests of a stream, the threshold of its last `keep` scores.
 
-    alert: the upper peak moved by more than `move`, or the two peaks vanished.
+    alert: two peaks appeared or vanished since the last word, or the upper one moved by more than `move`. peaks: options of
+    gap_of(). A request whose scores come in several batches counts once.
     """
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, seen, peak = state.get if state.exists else ([], 0, None)
+        recent, seen, peak, told, last = state.get if state.exists else ([], 0, None, False, None)
         rows = pd.concat(list(parts)).sort_values([sequence, score])
         out = []
         for s, part in rows.groupby(sequence, sort=True):
             recent = (list(recent) + part[score].tolist())[-keep:]
-            seen += 1
+            if s == last:
+                continue
+            seen, last = seen + 1, int(s)
             if seen % every == 0:
                 x = np.asarray(recent)
-                found = gap_of(x)
+                found = gap_of(x, **(peaks or {}))
                 top = float(np.median(x[x >= found])) if found is not None else None
-                alert = peak is not None and (top is None or abs(top - peak) > move)
+                alert = told and ((peak is None) != (top is None) or (top is not None and abs(top - peak) > move))
                 out.append((k[0], s, min(max(found if found is not None else fixed, low), high), "gap" if found is not None else "fixed", alert))
-                peak = top
-        state.update((recent, seen, peak))
+                peak, told = top, True
+        state.update((recent, seen, peak, told, last))
         yield pd.DataFrame(out, columns=[stream, sequence, "threshold", "mode", "alert"])
 
     kinds = dict(scores.dtypes)
     return scores.select(stream, sequence, score).groupBy(stream).applyInPandasWithState(
-        update, f"{stream} {kinds[stream]}, {sequence} {kinds[sequence]}, threshold double, mode string, alert boolean", "recent array<double>, seen long, peak double", "append", GroupStateTimeout.NoTimeout
-    )
+        update, f"{stream} {kinds[stream]}, {sequence} {kinds[sequence]}, threshold double, mode string, alert boolean",
+        "recent array<double>, seen long, peak double, told boolean, last long", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def deduplicated_log(events: DataFrame, ts: str, key: str, delay: str = "1 hour") -> DataFrame:
