@@ -54,8 +54,8 @@ def training_row(col: Column) -> Column:
 
 
 def bounded_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
-    """At most max_rows rows (id, label) of the training part, those with the smallest hash of their id."""
-    rows = labels.where(training_row(F.col(id_col)) & F.col(label_col).isNotNull())
+    """At most max_rows rows (id, label) of the training part, those with the smallest hash of their id; labels other than 0 and 1 are not learnt from."""
+    rows = labels.where(training_row(F.col(id_col)) & F.col(label_col).isin(0, 1))
     rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     return rows.orderBy(F.xxhash64("id"), "id").limit(max_rows)
 

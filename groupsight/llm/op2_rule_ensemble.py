@@ -8,8 +8,8 @@ is compiled into one Spark column expression over the statistics, which scores a
 At most `max_train_rows` labelled rows are fitted, those with the smallest hash of their id.
 
 Edge cases: null and empty texts have statistics of zero and get a score; without labelled rows, or
-with one label only, the score is the labels' mean (0.5 without any); null labels are not learnt
-from; repeated documents are scored each; a document labelled twice is learnt from twice; an
+with one label only, the score is the labels' mean (0.5 without any); labels other than 0 and 1 are not
+learnt from; repeated documents are scored each; a document labelled twice is learnt from twice; an
 empty table gives an empty result; only id and text columns are read, so others cannot clash.
 """
 
@@ -31,6 +31,7 @@ from groupsight.llm.common import SPACE, bounded_labels, prepare, training_row
 from groupsight.sources.store import cut
 
 MAX_TRAIN_ROWS = 20_000
+FIT_PARTS = 8
 FEATURES = (
     "n_words", "word_length", "symbol_share", "bang_share", "pipe_share", "upper_share", "digit_share", "stop_share", "comma_share",
     "dup_line_share", "repeat_share", "distinct_share", "line_words", "sentence_words", "longest_word", "capital_share", "ascii_share",
@@ -118,8 +119,19 @@ class RuleEnsemble:
 
 
 def fit(train: DataFrame, trees: int = 24, depth: int = 4, lasso: float = 0.001, seed: int = 5) -> RuleEnsemble:
-    """An ensemble from rows (features, label)."""
+    """An ensemble from rows (id, features, label).
+
+    Rows are dealt by the hash of their id and sorted, so that the forest's bags do not depend on how the input is partitioned.
+    """
+    train = train.repartition(FIT_PARTS, "id").sortWithinPartitions("id", "label", *FEATURES)
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(train).persist()
+    try:
+        return _fitted(train, trees, depth, lasso, seed)
+    finally:
+        train.unpersist()
+
+
+def _fitted(train: DataFrame, trees: int, depth: int, lasso: float, seed: int) -> RuleEnsemble:
     rows, mean = train.agg(F.count("*"), F.avg("label")).first()
     if not rows or mean in (0.0, 1.0):
         p = min(max(0.5 if mean is None else mean, 1e-6), 1 - 1e-6)
@@ -134,7 +146,6 @@ def fit(train: DataFrame, trees: int = 24, depth: int = 4, lasso: float = 0.001,
     lr = LogisticRegression(featuresCol="r", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=60, tol=1e-5)
     model = lr.fit(holds)
     holds.unpersist()
-    train.unpersist()
     return RuleEnsemble(float(model.intercept), [(r, float(w)) for r, w in zip(rules, model.coefficients, strict=True) if abs(w) > 1e-9])
 
 

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased (A-Z), runs of white space become one space, and n-grams of 4 to 6 bytes are
+Texts are lower-cased (A-Z), runs of white space become one space, and n-grams of 4 to 6 characters are
 hashed. For the labelled rows, document counts of each n-gram in toxic and other texts give the ratio
 r = log((p + a) / (|p| + 2a)) - log((q + a) / (|q| + 2a)). The n-grams whose ratios tell most stay as
 features, with value r where the text has the n-gram; a logistic regression weighs them. Scoring
@@ -9,8 +9,8 @@ needs one pass over each text and a table of bounded size.
 At most `max_train_rows` labelled rows are fitted, those with the smallest hash of their id.
 
 Edge cases: null, empty and very short texts have no n-gram and get the model's constant; without
-labelled rows, or with one label only, the score is the labels' mean (0.5 without any); null labels
-are not learnt from; repeated documents are scored each; an empty table gives an empty result; only
+labelled rows, or with one label only, the score is the labels' mean (0.5 without any); labels other
+than 0 and 1 are not learnt from; repeated documents are scored each; an empty table gives an empty result; only
 id and text columns are read, so others cannot clash.
 """
 
@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ from groupsight.llm.common import bounded_labels, prepare, training_row
 from groupsight.sources.store import cut
 
 MAX_TRAIN_ROWS = 20_000
-HASH_BITS = 20
+HASH_BITS = 22
 SIZES = (4, 5, 6)
-FEATURES = 4096
+FEATURES = 8192
 _STEP = np.uint32(0x01000193)
 
 
@@ -41,7 +42,10 @@ def ngram_hashes(text: str | None) -> list[np.ndarray]:
     if not text:
         return []
     line = b" " + b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) + b" "
-    a = np.frombuffer(line, np.uint8).astype(np.uint32)
+    if line.isascii():
+        a = np.frombuffer(line, np.uint8).astype(np.uint32)
+    else:
+        a = np.frombuffer(line.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     h, out = a, []
     for n in range(2, max(SIZES) + 1):
         if len(h) < 2:
@@ -98,19 +102,17 @@ def fit(rows: DataFrame, alpha: float = 1.0, features: int = FEATURES, ridge: fl
     told = F.abs("r") * F.sqrt(F.col("p") / toxic + F.col("q") / (n - toxic))
     best = document_counts(rows).withColumn("r", ratio).withColumn("told", told).orderBy(F.desc("told"), "h").limit(features).collect()
     model = Model(np.array([b.h for b in best], np.int64), np.array([b.r for b in best], float))
-    spark, scale = rows.sparkSession, model.ratio.copy()
-    sent, size = spark.sparkContext.broadcast(model.slots()), len(best)
+    sent = rows.sparkSession.sparkContext.broadcast(model.slots())
 
     @F.pandas_udf("array<int>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([features_of(t, sent.value) for t in s])
 
-    @F.udf(VectorUDT())
-    def scaled(at: list[int]):
-        return Vectors.sparse(size, [x - 1 for x in at], [float(scale[x - 1]) for x in at])
-
-    train = rows.select("label", scaled(found("t")).alias("x")).persist()
+    # the vocabulary is the slots' numbers, so a term's place is its slot less 1
+    terms = CountVectorizerModel.from_vocabulary([str(k + 1) for k in range(len(best))], inputCol="found", outputCol="has")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(model.ratio), inputCol="has", outputCol="x")
+    train = scale.transform(terms.transform(rows.select("label", found("t").cast("array<string>").alias("found")))).select("label", "x").persist()
     lr = LogisticRegression(featuresCol="x", labelCol="label", regParam=ridge, elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-5)
     fitted = lr.fit(train)
     train.unpersist()

@@ -173,6 +173,13 @@ def test_rules_are_columns_that_match_the_trees(labelled):
     assert score == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_rule_ensemble_does_not_depend_on_partitions(labelled):
+    data, labels = labelled
+    odd = labels.withColumn("quality", F.when(F.col("doc_id") == 1, 2).otherwise(F.col("quality")))  # a label that is neither 0 nor 1
+    scores = [{r.id: r.score for r in op2.classify(data.repartition(n), odd, max_train_rows=300).collect()} for n in (1, 2, 9)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6) and scores[0] == pytest.approx(scores[2], abs=1e-6)
+
+
 def test_toxicity_learns_and_is_held_out(labelled, docs, empty):
     data, labels = labelled
     assert held_out_accuracy(op4.classify(data, labels), labels, "toxic") >= 0.95
@@ -182,6 +189,39 @@ def test_toxicity_learns_and_is_held_out(labelled, docs, empty):
     assert op4.classify(empty, labels).count() == 0
 
 
+def test_ngrams_are_of_characters():
+    def by_hand(text):
+        line, out = " " + " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), text).split()) + " ", set()
+        for n in op4.SIZES:
+            for k in range(len(line) - n + 1):
+                h = 0
+                for c in line[k : k + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                out.add(((h ^ n) * 0x9E3779B1 % 2**32) >> (32 - op4.HASH_BITS))
+        return out
+
+    for text in ("Plain Text here", "Größe ÄRGER naïve \U0001f600 x", "abc"):
+        assert set(np.concatenate([*op4.ngram_hashes(text), np.empty(0, np.uint32)]).tolist()) == by_hand(text)
+
+
+def test_toxicity_scores_by_hand(labelled, spark):
+    data, labels = labelled
+    train = data.join(labels, "doc_id").select(F.col("text").alias("t"), F.col("toxic").cast("double").alias("label")).limit(200)
+    model = op4.fit(op4.cut(train, "labelled"))
+    ids = dict(zip(model.kept.tolist(), model.weight.tolist(), strict=True))
+    scored = {r.id: r.score for r in op4.classify(data, labels).collect()}
+    assert len(scored) == 600
+    # the model's own score of a text is the sum of its n-grams' weights
+    text, slots = data.first().text, model.slots()
+    weight = np.concatenate(([0.0], model.weight))
+    assert weight[op4.features_of(text, slots)].sum() == pytest.approx(sum(ids.get(h, 0.0) for h in set(np.concatenate(op4.ngram_hashes(text)).tolist())))
+    counts = {r.h: (r.p, r.q) for r in op4.document_counts(train).collect()}
+    n, toxic = train.count(), train.agg(F.sum("label")).first()[0]
+    for h, r in zip(model.kept[:50].tolist(), model.ratio[:50].tolist(), strict=True):
+        p, q = counts[h]
+        assert r == pytest.approx(np.log((p + 1) / (toxic + 2)) - np.log((q + 1) / (n - toxic + 2)))
+
+
 def test_document_counts_by_hand(spark):
     rows = spark.createDataFrame([("abcd", 1.0), ("abcd abcd", 0.0), (None, 1.0), ("", 0.0)], "t string, label double")
     total = {r.h: (r.p, r.q) for r in op4.document_counts(rows).collect()}
