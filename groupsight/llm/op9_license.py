@@ -1,9 +1,11 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along directories. Spark expressions only.
 
-A passage is a line that has a word of licensing (CUES). Passages and templates become sparse vectors
-over the templates' terms, weighted by term count times log((1 + N) / (1 + df)) + 1, where df counts all
-documents that have the term. A passage takes the template of largest cosine if that is `min_cosine`
-or more, and a document the license of its best passage.
+A passage is a line, a paragraph (lines up to an empty one, so wrapped headers are whole) or a whole text of
+at most `whole_words` words that has a word of licensing (CUES). Templates are notices, titles, SPDX tags and
+licence texts. Passages and templates become sparse vectors over the templates' terms, weighted by term
+count times log((1 + N) / (1 + df)) + 1, where df counts all documents that have the term. A passage takes the
+template of largest cosine if that is `min_cosine` or more, and a document the license of its best
+passage. A passage of one SPDX tag takes only the license that the tag names.
 
 A document is a licence file of its directory if its name says so (LICENSE, COPYING, ...) or its
 passages make up `file_share` or more of its words. Documents without a license of their own take
@@ -46,7 +48,56 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "Copyright. All rights reserved"),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of "
+        "the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License "
+        "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+        "details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions "
+        "of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither "
+        "the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission.",
+    ),
 ]
+_SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]+)"
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"})]
 CUES = r"(?i)licen[cs]|copyright|spdx|redistribut|permission is hereby|public domain|creative commons|free software"
 _FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice)(\.[a-z]+)?$"
 
@@ -56,10 +107,15 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."), lambda t: t != "")
 
 
-def _passages(docs: DataFrame) -> DataFrame:
-    """(row, line, terms) of lines with a cue."""
-    lines = F.when(F.col("t").rlike(CUES), F.filter(F.split("t", "\n"), lambda x: x.rlike(CUES)))
-    return docs.select("row", F.posexplode(lines).alias("line", "passage")).select("row", "line", terms(F.col("passage")).alias("terms"))
+def _passages(docs: DataFrame, whole_words: int) -> DataFrame:
+    """(row, line, kind, tag, terms) of lines (kind 0), paragraphs (1) and small whole texts (2) with a cue; tag: the license of an SPDX tag."""
+    with_cue = lambda kind, parts: F.transform(F.filter(parts, lambda x: x.rlike(CUES)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    whole = F.when(F.col("n_words") <= whole_words, F.array("t")).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(with_cue(0, F.split("t", "\n")), with_cue(1, F.split("t", r"\n[ \t\r]*\n")), with_cue(2, whole))
+    rows = docs.select("row", F.posexplode(F.when(F.col("t").rlike(CUES), parts)).alias("line", "x"))
+    tags = F.regexp_extract_all("x.text", F.lit(_SPDX), 1)
+    tag = F.when(F.size(tags) == 1, F.lower(F.regexp_replace(tags[0], "(?i)-only$|-or-later$|[+]$", "")))
+    return rows.select("row", "line", "x.kind", tag.alias("tag"), terms(F.col("x.text")).alias("terms"))
 
 
 def _weighted(rows: DataFrame, keys: list[str], idf: DataFrame) -> DataFrame:
@@ -72,7 +128,7 @@ def _weighted(rows: DataFrame, keys: list[str], idf: DataFrame) -> DataFrame:
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
-    min_cosine: float = 0.8, file_share: float = 0.05,
+    min_cosine: float = 0.8, file_share: float = 0.05, whole_words: int = 400,
 ) -> DataFrame:
     """(id, path, own_license, cosine, license_file, license, inherited_from): a row per document."""
     spark = docs.sparkSession
@@ -92,15 +148,17 @@ def scan(
     idf = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(df, "term", "left")
     idf = cut(idf.select("term", (F.log((1 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
 
-    passages = _passages(light)
+    passages = cut(_passages(light, whole_words), "passages")
     mine = _weighted(passages, ["row", "line"], idf)
     theirs = _weighted(known, ["template", "name"], idf).withColumnRenamed("w", "v")
     cosines = mine.join(F.broadcast(theirs), "term").groupBy("row", "line", "template", "name").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
-    cosines = cosines.withColumn("cosine", F.round("cosine", 9)).where(F.col("cosine") >= min_cosine)
+    cosines = cosines.withColumn("cosine", F.round("cosine", 9)).where(F.col("cosine") >= min_cosine).join(passages.select("row", "line", "tag"), ["row", "line"])
+    cosines = cosines.where(F.col("tag").isNull() | (F.col("tag") == F.lower("name")))
     best = cosines.groupBy("row", "line").agg(F.min_by("name", F.struct(-F.col("cosine"), "name")).alias("name"), F.max("cosine").alias("cosine"))
-    sizes = passages.select("row", "line", F.size("terms").alias("size"))
+    sizes = passages.select("row", "line", "kind", F.size("terms").alias("size"))
+    of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0))
     own = best.join(sizes, ["row", "line"]).groupBy("row").agg(
-        F.min_by("name", F.struct(-F.col("cosine"), "name")).alias("own_license"), F.max("cosine").alias("cosine"), F.sum("size").alias("license_words")
+        F.min_by("name", F.struct(-F.col("cosine"), "name")).alias("own_license"), F.max("cosine").alias("cosine"), F.greatest(of_kind(0), of_kind(1), of_kind(2)).alias("license_words")
     )
     dir_of = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     is_file = F.col("own_license").isNotNull() & (F.coalesce(F.col("path").rlike(_FILE_NAME), F.lit(False)) | (F.col("license_words") >= file_share * F.col("n_words")))

@@ -460,6 +460,45 @@ def test_licences_are_found_and_inherited(spark, empty):
     assert op9.scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_headers_files_and_tags(spark):
+    mit = next(t for n, t in op9.TEMPLATES if n == "MIT" and "sublicense" in t)
+    gpl = next(t for n, t in op9.TEMPLATES if n == "GPL-3.0" and "redistribute it" in t and "usefulness" not in t and "useful" in t)
+    words = gpl.split()
+    wrapped = "\n".join("# " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    rows = [
+        (1, "a/x.py", "// SPDX-License-Identifier: Apache-2.0\n" + prose(100)), (2, "b/x.py", "SPDX-License-Identifier: GPL-3.0-or-later\ncode"), (3, "c/x.py", "SPDX-License-Identifier: Zlib\ncode"),
+        (4, "d/LICENSE", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit), (5, "e/x.py", wrapped + "\n\n" + prose(200)), (6, "d/e/f.py", prose(60)), (7, "f/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ]
+    out = {r.id: r for r in op9.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: r.license for i, r in out.items()} == {1: "Apache-2.0", 2: "GPL-3.0", 3: None, 4: "MIT", 5: "GPL-3.0", 6: "MIT", 7: "GPL-3.0"}
+    assert out[4].license_file and out[6].inherited_from == "d"
+
+
+def test_cosines_by_brute_force(spark):
+    from collections import Counter
+
+    rows = [(1, "x", "Licensed under the MIT License, by me"), (2, "x", "the licence of mit"), (3, "x", prose(30)), (4, "x", "Apache Licence, version 2.0\nand more\n\nMozilla Public License"), (5, "x", None)]
+    split = lambda t: [x for x in re.split(r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\.", (t or "").lower()) if x]
+    vocabulary = {x for _, t in op9.TEMPLATES for x in split(t)}
+    df = Counter(x for _, _, t in rows for x in set(split(t)) & vocabulary)
+    idf = {x: np.log((1 + len(rows)) / (1 + df[x])) + 1 for x in vocabulary}
+
+    def unit(t):
+        v = {x: n * idf[x] for x, n in Counter(split(t)).items() if x in idf}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {x: n / norm for x, n in v.items()}
+
+    def best(t):
+        parts = [x for x in (t or "").split("\n") + re.split(r"\n[ \t\r]*\n", t or "") + [t or ""] if re.search(op9.CUES, x)]
+        found = [(round(sum(w * unit(y).get(x, 0) for x, w in unit(p).items()), 9), n) for p in parts for n, y in op9.TEMPLATES]
+        top = max((c for c, _ in found), default=0)
+        return (top, min(n for c, n in found if c == top)) if top >= 0.3 else (None, None)
+
+    got = {r.id: (r.cosine, r.own_license) for r in op9.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), min_cosine=0.3).collect()}
+    for i, _, t in rows:
+        assert got[i] == (pytest.approx(best(t)[0]), best(t)[1])
+
+
 # --- 10
 
 
