@@ -14,7 +14,11 @@ the same for equal values in any document. Punctuation stays as it was written.
           area below 200, or exchange alone below 200
   ip      IPv4; the four octets
   date    yyyy-mm-dd, a real day of 1800 to 2199; day numbers of the 400-year cycle (146097 = 773 x 189)
-  email   letters and digits before the @, each within its class (a-z, A-Z, 0-9)
+  intl    + and a country code of two digits (kept) with 8 to 13 digits; those after the code
+  ssn     ddd-dd-dddd of the assigned ranges (area 001 to 899 but 666, group and serial not 0), within them
+  iban    that pass the sum mod 97; letters and digits after the check digits, which are made to fit
+  email   letters and digits before the @ and of all the host's labels but the last, each within its
+          class (a-z, A-Z, 0-9)
   secret  hexadecimal digits of token, password, secret or key assignments in either case, and the body
           of AKIA keys; upper-case digits after an upper-case word and lower-case ones after any other
           are moved among all sixteen, bodies of other case within 0-9, a-f and A-F
@@ -26,15 +30,17 @@ order of columns and all other columns are kept; an empty table gives an empty r
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupsight.llm.common import fresh
 
 ROUNDS = 8
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SECRET = r"(?i:token|password|secret|passwd|api_key)\s?[=:]\s?\"?[0-9a-fA-F]{8,64}\b|\bAKIA[0-9A-Z]{16}\b"
 #: In the order in which a match is read; one pattern finds all.
 KINDS = {
@@ -43,11 +49,14 @@ KINDS = {
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "phone": r"(?<![\d+])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}|(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2})[ .-]\d{4}(?!\d)",
+    "intl": r"(?<![\d+])\+[2-9]\d(?:[ .-]?\d){8,13}(?!\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d]|-\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap necessary condition: without one of these a text has no value.
-HINT = r"@[A-Za-z0-9-]|\d{3}|\d\.\d|(?:\d[ -]){3}|[=:]\s?\"?[0-9a-fA-F]{8}|AKIA[0-9A-Z]{16}"
+HINT = r"@[A-Za-z0-9-]|\d{3}|\d\.\d|(?:\d[ -]){3}|[=:]\s?\"?[0-9a-fA-F]{8}|AKIA[0-9A-Z]{16}|\+[2-9]\d|[A-Z]{2}\d{2}"
 
 
 def _number(digits: Column) -> Column:
@@ -116,11 +125,7 @@ def _fill(shape: Column, digits: Column) -> Column:
 
 def _card(v: Column, key: str, undo: bool) -> Column:
     def permuted(digits: Column) -> Column:
-        n = F.length(digits) - 1
-        left = F.floor(n / 2).cast("int")
-        right = n - left
-        two = feistel(key, "card", _number(digits.substr(F.lit(1), left)), _power(10, left), _number(digits.substr(left + 1, right)), _power(10, right), undo)
-        body = let(two, lambda x: F.concat(F.lpad(x["a"].cast("string"), left, "0"), F.lpad(x["b"].cast("string"), right, "0")))
+        body = _digits(digits.substr(F.lit(1), F.length(digits) - 1), "card", key, undo)
         return let(body, lambda x: F.concat(x, F.pmod(10 - luhn_sum(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
     digits = F.regexp_replace(v, "[^0-9]", "")
@@ -145,6 +150,52 @@ def _phone(v: Column, key: str, undo: bool) -> Column:
     return F.concat(prefix, _fill(rest, let(F.struct(area.alias("a"), line.alias("b")), permuted)))
 
 
+def _digits(digits: Column, kind: str, key: str, undo: bool) -> Column:
+    """A string of 2 to 36 digits permuted among those of its length."""
+    left = F.floor(F.length(digits) / 2).cast("int")
+    right = F.length(digits) - left
+    two = feistel(key, kind, _number(digits.substr(F.lit(1), left)), _power(10, left), _number(digits.substr(left + 1, right)), _power(10, right), undo)
+    return let(two, lambda x: F.concat(F.lpad(x["a"].cast("string"), left, "0"), F.lpad(x["b"].cast("string"), right, "0")))
+
+
+def _intl(v: Column, key: str, undo: bool) -> Column:
+    rest = v.substr(F.lit(4), F.length(v))
+    return F.concat(v.substr(F.lit(1), F.lit(3)), _fill(rest, _digits(F.regexp_replace(rest, "[^0-9]", ""), "intl", key, undo)))
+
+
+def _ssn(v: Column, key: str, undo: bool) -> Column:
+    area, group, serial = (_number(v.substr(F.lit(a), F.lit(n))) for a, n in ((1, 3), (5, 2), (8, 4)))
+    # 898 areas: 1 to 899 without 666
+    a, b = area - 1 - (area > 666).cast("long"), (group - 1) * 9999 + serial - 1
+
+    def written(x: Column) -> Column:
+        new = x["a"] + 1
+        parts = ((new + (new >= 666).cast("long"), 3), (F.floor(x["b"] / 9999).cast("long") + 1, 2), (x["b"] % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(c.cast("string"), n, "0") for c, n in parts])
+
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(valid, let(feistel(key, "ssn", a, F.lit(898).cast("long"), b, F.lit(99 * 9999).cast("long"), undo), written))
+
+
+def mod97(text: Column) -> Column:
+    """The number that letters (A is 10) and digits spell, mod 97."""
+
+    def add(acc: Column, c: Column) -> Column:
+        n = F.instr(F.lit(_DIGITS + _UPPER), c).cast("long") - 1
+        return F.pmod(acc * F.when(n > 9, 100).otherwise(10) + n, F.lit(97).cast("long"))
+
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), add)
+
+
+def _iban(v: Column, key: str, undo: bool) -> Column:
+    country, rest = v.substr(F.lit(1), F.lit(2)), v.substr(F.lit(5), F.length(v))
+    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    fits = mod97(F.concat(compact(rest), country, v.substr(F.lit(3), F.lit(2)))) == 1
+    moved = _by_class(rest, "iban", key, undo, [_UPPER, _DIGITS])
+    check = lambda x: F.lpad((98 - mod97(F.concat(compact(x), country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(fits, let(moved, lambda x: F.concat(country, check(x), x)))
+
+
 def _ip(v: Column, key: str, undo: bool) -> Column:
     full = F.lit(65536).cast("long")
 
@@ -202,12 +253,12 @@ def _by_class(part: Column, kind: str, key: str, undo: bool, alphabets: list[str
     return let(F.aggregate(steps, start, step), lambda two: F.concat(two["a"], two["b"]))
 
 
-_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def _email(v: Column, key: str, undo: bool) -> Column:
-    name = F.substring_index(v, "@", 1)
-    return F.concat(_by_class(name, "email", key, undo, [_LOWER, _UPPER, _DIGITS]), F.lit("@"), F.substring_index(v, "@", -1))
+    name, host, alphabets = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1), [_LOWER, _UPPER, _DIGITS]
+    last = F.substring_index(host, ".", -1)
+    labels = host.substr(F.lit(1), F.length(host) - F.length(last) - 1)
+    return F.concat(_by_class(name, "email", key, undo, alphabets), F.lit("@"), _by_class(labels, "host", key, undo, alphabets), F.lit("."), last)
 
 
 def _secret(v: Column, key: str, undo: bool) -> Column:
@@ -226,7 +277,7 @@ def _secret(v: Column, key: str, undo: bool) -> Column:
     return F.concat(head, value)
 
 
-_PERMUTE = {"email": _email, "secret": _secret, "date": _date, "ip": _ip, "phone": _phone, "card": _card}
+_PERMUTE = {"email": _email, "secret": _secret, "date": _date, "ip": _ip, "phone": _phone, "intl": _intl, "ssn": _ssn, "iban": _iban, "card": _card}
 
 
 def kind_of(v: Column) -> Column:
@@ -234,6 +285,7 @@ def kind_of(v: Column) -> Column:
     tests = {
         "email": v.contains("@"), "secret": v.rlike("[=:]|^AKIA"), "date": v.rlike(r"^\d{4}-\d{2}-\d{2}$"),
         "ip": v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "phone": v.rlike(r"^(\+1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}$"),
+        "intl": v.startswith("+"), "ssn": v.rlike(r"^\d{3}-\d{2}-\d{4}$"), "iban": v.rlike("^[A-Z]{2}"),
     }
     return reduce(lambda rest, k: F.when(tests[k], F.lit(k)).otherwise(rest), reversed(list(tests)), F.lit("card"))
 
@@ -272,11 +324,19 @@ def _count_kind(changed: Column, kind: str) -> Column:
     return F.when(n > 0, n).otherwise(0).cast("long")
 
 
-#: The query's key; production jobs pass their own.
-QUERY_KEY = "groupsight"
+#: The setting that holds the key; whoever has it can undo the pseudonyms.
+KEY_SETTING = "spark.groupsight.pii.key"
+_OWN_KEYS: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's setting; where it is unset, a random one of this application, so values are linked within it only and cannot be had back."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key
+    return _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymize(docs, QUERY_KEY, counts_col="counts")
+    out = pseudonymize(docs, key_of(spark), counts_col="counts")
     return out.select("doc_id", "text", *[F.col("counts")[k].alias(f"n_{k}") for k in KINDS])
