@@ -294,6 +294,26 @@ def test_loser_tree_merges():
         assert list(op5.loser_tree_merge(runs)) == sorted(x for r in runs for x in r)
 
 
+def test_each_record_is_a_member_that_can_be_sought(spark, tmp_path):
+    import gzip
+    import zlib
+
+    rows = [(i, f"http://h{(i or 0) % 3}.org/{(i or 0) % 7}", prose(40) if (i or 0) % 4 else None) for i in [*range(40), -5, None, 2**60 + 1]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    op5.write_archives(pages, f"{tmp_path}/w", file_bytes=5_000)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz")}
+    assert len(files) > 2 and sum(gzip.decompress(c).count(b"WARC-Record-ID") for c in files.values()) == len(rows)
+    out = op5.merge_runs(op5.read_runs(spark, f"{tmp_path}/w")).collect()
+    assert {r.id for r in out} == {i for i, *_ in rows}
+    for r in out:
+        record = zlib.decompressobj(31).decompress(files[r.run][r.offset :])
+        assert f"<urn:capture:{'null' if r.id is None else r.id}>".encode() in record.split(b"WARC-Refers-To")[0]
+    order = [(r.url_key, r.ts, r.id is not None, r.id or 0) for r in sorted(out, key=lambda r: r.position)]
+    assert order == sorted(order)
+    for raw in (b"x", b"", bytes(1 << 24), b"ab" * (1 << 23)):
+        assert op5.member(raw)[-1] == 0 and gzip.decompress(op5.member(raw)) == raw
+
+
 def test_archives_round_trip(spark, empty):
     rows = [(1, "http://www.b.org/x", "same"), (2, "https://a.org:443/y#z", "same"), (3, "http://a.org/y", "same"), (4, None, None), (5, "u\r\nv", ""), (6, "http://a.org/y", "é\r\n\r\nWARC/1.1\r\n\r\nx"), (7, "http://é.org", "y" * 300_000), (8, "q", "same!")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("sha", F.lit("x"))
