@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -106,6 +107,35 @@ class Values:
         self.far = [own(x, share, 80.0).ravel() for x in far]
 
 
+class Counts:
+    """What values are made of. It travels as its non-zero cells; a worker makes the tables of each kind once."""
+
+    def __init__(self, pairs: np.ndarray, near: np.ndarray, far: np.ndarray):
+        """pairs: the pairs (a, b) with rows of their own in near, as a * WIDTH + b."""
+        self.pairs, self.near, self.far, self.made = pairs, near, far, {}
+
+    def __getstate__(self) -> dict:
+        packed = {}
+        for name, x in (("near", self.near), ("far", self.far)):
+            at = np.flatnonzero(x)
+            packed[name] = x.shape, zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(x.ravel()[at].astype("<u4").tobytes(), 1)
+        return {"pairs": self.pairs, "packed": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        self.pairs, self.made = state["pairs"], {}
+        for name, (shape, gaps, cells) in state["packed"].items():
+            x = np.zeros(int(np.prod(shape)), np.int32)
+            x[np.cumsum(np.frombuffer(zlib.decompress(gaps), "<u4").astype(np.int64))] = np.frombuffer(zlib.decompress(cells), "<u4")
+            setattr(self, name, x.reshape(shape))
+
+    def values(self, less: int = 0) -> Values:
+        if less not in self.made:
+            place = np.tile(np.arange(WIDTH, dtype=np.int32), WIDTH)
+            place[self.pairs] = WIDTH + np.arange(len(self.pairs))
+            self.made = {less: Values(place, self.near, self.far, less)}
+        return self.made[less]
+
+
 def smoothed(counts: np.ndarray, prior: np.ndarray, strength: float, less: int) -> np.ndarray:
     """Shares of counts (each less `less`, 0 at least), drawn to the prior as by `strength` more tokens."""
     total = np.maximum(counts.sum(axis=1, keepdims=True) - less, 0) + strength
@@ -316,8 +346,8 @@ def _corpus_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return words, ids, int(total[0]), int(total[1])
 
 
-def _values_counted(train: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of pairs of symbols, counts of the symbol after each row, and after a symbol at each distance."""
+def _values_counted(train: DataFrame, symbols: Symbols) -> Counts:
+    """Counts of the symbol after each pair of symbols or symbol, and after a symbol at each distance."""
     cells = WIDTH * SYMBOLS
     sent = train.sparkSession.sparkContext.broadcast(symbols)
 
@@ -353,24 +383,22 @@ def _values_counted(train: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.
 
     near = _summed(ids, rows * SYMBOLS, add_near)[0].reshape(rows, SYMBOLS)
     far[:, PAD] = 0
-    return place, near.astype(np.int32), far
+    return Counts(top // SYMBOLS * WIDTH + top % SYMBOLS, near.astype(np.int32), far.astype(np.int32))
 
 
-def _trained(train: DataFrame, symbols: Symbols, values: Values, rounds: int) -> Attention:
+def _trained(train: DataFrame, known, rounds: int) -> Attention:
     """Attention after one step per round; each training document is in one round."""
     sc, attention = train.sparkSession.sparkContext, Attention()
-    known = sc.broadcast((symbols, values))
     pick = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds))
     for k in range(rounds):
         sent = sc.broadcast(attention)
 
         def add(table: np.ndarray, pdf: pd.DataFrame, sent=sent) -> None:
             if len(pdf):
-                symbols, values = known.value
-                read_all(Reader(sent.value, values), windows_of(_lists(pdf.ids), symbols)[0], table)
+                symbols, counts = known.value
+                read_all(Reader(sent.value, counts.values(less=1)), windows_of(_lists(pdf.ids), symbols)[0], table)
 
         attention.move(*_summed(train.where(pick == k).select("ids"), QUERIES * WIDTH + REACH, add, 2, "double"))
-    known.unpersist()
     return attention
 
 
@@ -412,16 +440,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     train = encoded.where("NOT held")
     words, ids, tokens, ends = _corpus_counts(train)
     symbols = Symbols(ids)
-    counts = _values_counted(train, symbols)
-    attention = _trained(train, symbols, Values(*counts, less=1), rounds)
+    model = spark.sparkContext.broadcast((symbols, _values_counted(train, symbols)))
+    attention = _trained(train, model, rounds)
     tail = cut(_tail_shares(encoded), "tail_shares")
     distinct = int(np.count_nonzero(words)) + (tail.agg(F.sum("new")).first()[0] or 0) + (ends > 0)
-    sent = spark.sparkContext.broadcast((np.log10(words + 1), words > 0, attention, symbols, Values(*counts)))
+    sent = spark.sparkContext.broadcast((np.log10(words + 1), words > 0, attention))
 
     @F.pandas_udf("heavy_log double, heavy_known long, score double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        log_count, known, attention, symbols, values = sent.value
-        reader = Reader(attention, values)
+        log_count, known, attention = sent.value
+        symbols, counts = model.value
+        reader = Reader(attention, counts.values())
         for heavy, ids in parts:
             at = _lists(heavy)
             yield pd.DataFrame({

@@ -623,6 +623,18 @@ def test_probabilities_of_ids_sum_to_one(language_model):
     assert (p[symbols.of] * 10**symbols.log_within).sum() == pytest.approx(1.0, rel=1e-4)
 
 
+def test_counts_travel_whole():
+    import pickle
+
+    g = np.random.default_rng(2)
+    pairs = np.array([5, 7 * op10.WIDTH + 3])
+    near, far = g.poisson(0.01, (op10.WIDTH + 2, op10.SYMBOLS)), g.poisson(0.01, (op10.FAR, op10.WIDTH, op10.SYMBOLS))
+    there = pickle.loads(pickle.dumps(op10.Counts(pairs, near, far)))
+    assert (there.near == near).all() and (there.far == far).all() and (there.pairs == pairs).all()
+    place = there.values().place
+    assert place[5] == op10.WIDTH and place[7 * op10.WIDTH + 3] == op10.WIDTH + 1 and place[6] == 6
+
+
 def test_training_sums_are_the_gradient_and_a_step_helps(language_model):
     symbols, values, attention, docs = language_model
     windows, _ = op10.windows_of(docs, symbols)
