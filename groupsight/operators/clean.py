@@ -17,6 +17,8 @@ def conform(value: Column, have: T.DataType, want: T.DataType) -> Column:
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
         return F.transform(value, lambda x: conform(x, have.elementType, want.elementType))
+    if isinstance(want, T.MapType) and isinstance(have, T.MapType):
+        return F.transform_values(value, lambda _, x: conform(x, have.valueType, want.valueType))
     return value.cast(want)
 
 
@@ -30,18 +32,35 @@ def without_keys(kind: T.DataType, keys: set[str]) -> T.DataType:
         return T.StructType([T.StructField(f.name, without_keys(f.dataType, keys), f.nullable) for f in kind if f.name not in keys])
     if isinstance(kind, T.ArrayType):
         return T.ArrayType(without_keys(kind.elementType, keys), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, without_keys(kind.valueType, keys), kind.valueContainsNull)
     return kind
 
 
+def without_map_keys(value: Column, kind: T.DataType, keys: set[str]) -> Column:
+    """value without the named keys of its maps, at any depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[without_map_keys(value[f.name], f.dataType, keys).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_map_keys(x, kind.elementType, keys))
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(value, lambda k, _: ~k.isin(*keys)) if isinstance(kind.keyType, T.StringType) and keys else value
+        return F.transform_values(kept, lambda _, x: without_map_keys(x, kind.valueType, keys))
+    return value
+
+
 def strip_private(df: DataFrame, keys: set[str]) -> DataFrame:
-    """df without the named keys, at any depth."""
-    return enforce_schema(df, without_keys(df.schema, keys))
+    """df without the named keys, of structs and of maps, at any depth."""
+    out = enforce_schema(df, without_keys(df.schema, keys))
+    return out.select(*[without_map_keys(F.col(f.name), f.dataType, keys).alias(f.name) if "map<" in f.dataType.simpleString() else f.name for f in out.schema])
 
 
 def keys_of(kind: T.DataType) -> set[str]:
     """All keys at any depth."""
     if isinstance(kind, T.StructType):
         return {f.name for f in kind} | {k for f in kind for k in keys_of(f.dataType)}
+    if isinstance(kind, T.MapType):
+        return keys_of(kind.valueType)
     return keys_of(kind.elementType) if isinstance(kind, T.ArrayType) else set()
 
 
@@ -110,11 +129,13 @@ def consistency_errors(checks: dict[str, Column]) -> Column:
 def validate_features(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """(issue, n): what is wrong with a labelled table, counted; no rows if nothing is."""
     odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    names = [c.lower() for c in df.columns]
+    repeated = len(names) - len(set(names))
     counts = df.agg(
-        F.count("*").alias("rows"), F.count_if(~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).alias("bad_label"), F.count_distinct(label).alias("classes"),
+        F.count("*").alias("rows"), F.lit(repeated).alias("repeated"), F.count_if(~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).alias("bad_label"), F.count_distinct(label).alias("classes"),
         *[F.count_if(odd(c)).alias(f"missing_{c}") for c in features],
     )
-    tests = [("empty", F.when(F.col("rows") == 0, 1)), ("bad_label", F.nullif(F.col("bad_label"), F.lit(0))), ("one_class", F.when(F.col("classes") < 2, 1))]
+    tests = [("empty", F.when(F.col("rows") == 0, 1)), ("bad_label", F.nullif(F.col("bad_label"), F.lit(0))), ("one_class", F.when(F.col("classes") < 2, 1)), ("repeated_column", F.nullif(F.col("repeated"), F.lit(0)))]
     tests += [(f"missing_{c}", F.nullif(F.col(f"missing_{c}"), F.lit(0))) for c in features]
     rows = F.array(*[F.struct(F.lit(k).alias("issue"), v.cast("long").alias("n")) for k, v in tests])
     return counts.select(F.explode(rows).alias("x")).select("x.*").where("n IS NOT NULL")
@@ -183,15 +204,19 @@ def dataset_hash(df: DataFrame, hashes: str) -> DataFrame:
 
 
 def flatten_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, path, value): every number of nested structs, with its dotted path."""
+    """(keys, path, value): every number of nested structs and maps, with its dotted path."""
 
-    def leaves(kind: T.DataType, path: str) -> list[str]:
+    def leaves(value: Column, kind: T.DataType, path: Column) -> list[Column]:
+        """Arrays of (path, value)."""
         if isinstance(kind, T.StructType):
-            return [x for f in kind for x in leaves(f.dataType, f"{path}.{f.name}" if path else f.name)]
-        return [path] if isinstance(kind, T.NumericType) else []
-
-    paths = [p for p in leaves(df.schema, "") if p.split(".")[0] not in keys]
-    cells = F.array(*[F.struct(F.lit(p).alias("path"), F.col(p).cast("double").alias("value")) for p in paths])
+            return [x for f in kind for x in leaves(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")))]
+        if isinstance(kind, T.MapType):
+            inner = lambda e: F.concat(*leaves(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))) or [none])
+            return [F.coalesce(F.flatten(F.transform(F.map_entries(value), inner)), none)]
+        return [F.array(F.struct(path.alias("path"), value.cast("double").alias("value")))] if isinstance(kind, T.NumericType) else []
+
+    none = F.array().cast("array<struct<path:string,value:double>>")
+    cells = F.concat(none, *[x for f in df.schema if f.name not in keys for x in leaves(F.col(f.name), f.dataType, F.lit(f.name))])
     return df.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
 
 

@@ -111,6 +111,23 @@ def group_features(sessions: DataFrame, keys: tuple[str, ...] = ("grp",), names:
     return out.select(*cols)
 
 
+#: Aggregates that a feature of a spec may ask for.
+STATS = {
+    "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count,
+    **{f"p{p}": (lambda c, p=p: F.percentile(c, F.lit(p / 100))) for p in (10, 50, 90)},
+}
+
+
+def spec_features(df: DataFrame, keys: tuple[str, ...], spec: list[tuple[str, Column, tuple[str, ...]]]) -> DataFrame:
+    """(keys, name_stat ...): one aggregate over all features (name, column, stats) of a spec; stats are names of STATS."""
+    return df.groupBy(*keys).agg(*[STATS[s](c).alias(f"{name}_{s}") for name, c, stats in spec for s in stats])
+
+
+def stage_counts(events: DataFrame, stages: list[int], by: str = "grp") -> DataFrame:
+    """(by, s<stage> ...): events of each stage."""
+    return events.groupBy(by).agg(*[F.count_if(F.col("stage") == k).alias(f"s{k}") for k in stages])
+
+
 def contrast_features(groups: DataFrame) -> DataFrame:
     """groups with eight differences and ratios of its columns."""
     c = F.col

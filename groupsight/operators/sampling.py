@@ -109,6 +109,43 @@ def stratified_quota(df: DataFrame, key: str, stratum: str, target: int, seed: s
     return hash_rank(df, key, seed, [stratum]).join(F.broadcast(wanted), stratum).where(F.col("rank") <= F.col("quota")).drop("rank", "quota")
 
 
+def topped_up(df: DataFrame, key: str, stratum: str, target: int, floor: dict, seed: str = "s") -> DataFrame:
+    """A sample of target rows: strata named in floor give that many if they have them, and what is then short comes from all other rows, in hash order."""
+    wanted = reduce(lambda o, kv: o.when(F.col(stratum) == kv[0], kv[1]), list(floor.items())[1:], F.when(F.col(stratum) == next(iter(floor)), next(iter(floor.values())))).otherwise(0)
+    ranked = hash_rank(df, key, seed, [stratum]).withColumn("_first", F.col("rank") <= wanted).drop("rank")
+    first = ranked.where("_first").drop("_first")
+    rest = hash_rank(ranked.where("NOT _first").drop("_first"), key, seed).where(F.col("rank") <= F.lit(max(0, target - first.count()))).drop("rank")
+    return first.unionByName(rest)
+
+
+def with_replacement(df: DataFrame, key: str, draws: int, seed: str = "s") -> DataFrame:
+    """draws rows, each drawn at random from all, with draw, its number: draws meet the rows' places by a join."""
+    rows = hash_rank(df, key, seed)
+    n = rows.count()
+    picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.floor(hash_unit(seed + "/draw", F.col("id")) * n) + 1).cast("long").alias("rank"))
+    return picks.join(rows, "rank").drop("rank")
+
+
+def lockbox(df: DataFrame, key: str, held: Column, seed: str = "s") -> DataFrame:
+    """df with split: rows that are held are half lockbox, half test (a hash of the key), all others train."""
+    return df.withColumn("split", F.when(F.coalesce(held, F.lit(False)), F.when(hash_unit(seed, F.col(key)) < 0.5, "lockbox").otherwise("test")).otherwise("train"))
+
+
+def packed_ranges(df: DataFrame, key: str, least: int, most: int, seed: str = "s") -> DataFrame:
+    """df with pack: groups in hash order whose sizes, least to most, come from a hash of a bucket's number.
+
+    Rows are dealt into buckets of `most` times 64; a bucket is packed by itself, and what is left over goes to its last pack if that stays
+    within most, else to a pack of its own, which may be smaller than least.
+    """
+    rows = hash_rank(df, key, seed).withColumn("_bucket", F.floor((F.col("rank") - 1) / (64 * most)).cast("long"))
+    size = lambda i: least + F.floor(hash_unit(seed + "/size", F.col("_bucket"), i) * (most - least + 1)).cast("int")
+    # ends of the packs of a bucket, cumulated
+    ends = F.aggregate(F.sequence(F.lit(0), F.lit(64 * most // least)), F.array().cast("array<int>"), lambda a, i: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + size(i))))
+    bounds = rows.select("_bucket").distinct().withColumn("_ends", ends)
+    at = F.pmod(F.col("rank") - 1, F.lit(64 * most))
+    return rows.join(bounds, "_bucket").withColumn("pack", F.concat_ws("/", F.col("_bucket").cast("string"), F.size(F.filter("_ends", lambda e: e <= at)).cast("string"))).drop("_bucket", "_ends", "rank")
+
+
 def ratio_sample(df: DataFrame, key: str, ratio: float, seed: str = "s") -> DataFrame:
     """ratio * rows on average: whole copies for its whole part, a hashed share for the rest."""
     copies = F.lit(int(ratio)) + (hash_unit(seed, F.col(key)) < ratio - int(ratio)).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from groupsight.functions import scalars as S
 from groupsight.functions.scalars import rounded
 from groupsight.operators import clean as C
+from groupsight.operators import records as R
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES, DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, user_events, vector_features, vector_sql
 
@@ -242,3 +243,73 @@ def p_compliance(spark, d):
     missing = C.compliance({"name": F.col("c_name"), "repo": F.when(F.col("c_custkey") % 3 != 0, F.lit("r")), "version": F.when(F.col("c_custkey") % 2 == 0, F.lit(" ")).otherwise(F.lit("1"))})
     c = c.withColumn("m", missing)
     return c.select("c_custkey", F.concat_ws("", F.transform("m", lambda x: F.concat(x, F.lit(" ")))).alias("missing"), F.when(F.size("m") > 0, "opaque").otherwise("transparent").alias("status"))
+
+
+_RECORD_SQL = """WITH l AS (SELECT l_orderkey, round(sum(l_extendedprice), 4) AS paid, count(*) AS n FROM lineitem GROUP BY 1),
+  r AS (SELECT o_orderkey, n, CASE WHEN o_orderkey % 3 = 0 THEN paid + 1.25 WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS total, paid,
+  CASE WHEN o_orderkey % 4 = 0 THEN 4 WHEN o_orderkey % 4 = 1 THEN 0 ELSE 3 END AS board, CASE WHEN o_orderkey % 2 = 0 THEN 'turn' ELSE 'preflop' END AS ended FROM orders JOIN l ON o_orderkey = l_orderkey)
+  SELECT o_orderkey, CASE WHEN board = 3 THEN 'board ' ELSE '' END || CASE WHEN ended <> CASE board WHEN 4 THEN 'turn' WHEN 0 THEN 'preflop' ELSE 'flop' END THEN 'end ' ELSE '' END
+  || CASE WHEN n > 4 THEN 'private ' ELSE '' END || CASE WHEN total IS NOT NULL AND abs(total - paid - 1.25) > 0.004 THEN 'total ' ELSE '' END AS errors FROM r"""
+
+
+@query("p_records", _RECORD_SQL)
+def p_records(spark, d):
+    """Orders as sessions: line prices are payouts, the board has three cards on the turn where it ought to have four."""
+    by_place = F.transform(F.collect_list("l_extendedprice"), lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("v")))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.map_from_entries(by_place).alias("payouts"), F.round(F.sum("l_extendedprice"), 4).alias("paid"), F.count("*").alias("n"))
+    o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    key = F.col("o_orderkey") % 4
+    cards = F.sequence(F.lit(1), F.when(key == 0, 4).otherwise(3))
+    stages = F.when(key == 1, F.array().cast("array<struct<stage:string,board:array<int>>>")).otherwise(F.array(F.struct(F.lit("turn").alias("stage"), cards.alias("board"))))
+    total = F.when(F.col("o_orderkey") % 3 == 0, F.col("paid") + 1.25).when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.col("o_totalprice"))
+    private = F.array(F.sequence(F.lit(1), F.when(F.col("n") > 4, 3).otherwise(2)), F.lit(None).cast("array<int>"))
+    errors = R.session_errors(F.col("payouts"), F.lit(1.25), total, private, stages, F.when(F.col("o_orderkey") % 2 == 0, "turn").otherwise("preflop"))
+    return o.select("o_orderkey", F.concat_ws("", F.transform(errors, lambda x: F.concat(x, F.lit(" ")))).alias("errors"))
+
+
+@query("p_manifest", """WITH m AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS open, CASE WHEN c_custkey % 5 = 0 THEN 'https://host/own' ELSE 'https://host/' || c_custkey END AS url, CASE WHEN c_custkey % 7 = 0 THEN '<sha>' ELSE substr(md5(c_name), 1, 12) END AS sha FROM customer)
+  SELECT k, CASE WHEN open THEN '' ELSE 'open_source ' END || CASE WHEN k % 3 = 0 THEN 'implementation_files ' ELSE '' END AS missing, CASE WHEN k % 7 = 0 THEN 'repo_commit_invalid ' ELSE '' END || CASE WHEN k % 5 = 0 AND k % 10 <> 0 THEN 'repo_url_must_point_to_model_repo ' ELSE '' END AS violations,
+  CASE WHEN open THEN '' ELSE 'manifest_not_open_source ' END AS suspicion, CASE WHEN open AND k % 3 <> 0 AND k % 7 <> 0 AND (k % 5 <> 0 OR k % 10 = 0) THEN 'transparent' ELSE 'opaque' END AS status FROM m""")
+def p_manifest(spark, d):
+    k, text = F.col("c_custkey"), F.lit("said")
+    fields = {"open_source": k % 2 == 0, "repo_url": F.when(k % 5 == 0, "https://HOST/own/").otherwise(F.concat(F.lit("https://host/"), k.cast("string"))),
+              "repo_commit": F.when(k % 7 == 0, "<sha>").otherwise(F.substring(F.md5("c_name"), 1, 12)), "model_name": F.when(k % 10 == 0, "reference").otherwise("mine"),
+              "model_version": text, "training_data_statement": text, "private_data_attestation": text}
+    files = F.when(k % 3 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("a.py")))
+    words = lambda c: F.concat_ws("", F.transform(F.col(f"m.{c}"), lambda x: F.concat(x, F.lit(" ")))).alias(c)
+    m = table(spark, d, "customer").select(k.alias("k"), R.manifest_report(fields, files, F.lit("abc"), "https://host/own", ("reference",)).alias("m"))
+    return m.select("k", words("missing"), words("violations"), words("suspicion"), "m.status")
+
+
+@query("p_anon_nested", """SELECT l_orderkey, string_agg('p_' || sha256('salt' || l_suppkey), ' ' ORDER BY sha256('salt' || l_suppkey)) AS people, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n_keys FROM lineitem GROUP BY 1""")
+def p_anon_nested(spark, d):
+    """Suppliers as players in an array of structs, parts as keys of a map."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct("l_suppkey", "l_quantity")).alias("players"), F.map_from_arrays(F.collect_set(F.col("l_partkey").cast("string")), F.collect_set(F.col("l_partkey").cast("string"))).alias("payouts"))
+    out = R.with_pseudonyms(rows, ["players.l_suppkey", "payouts"], "salt")
+    known = F.filter(F.map_entries("payouts"), lambda e: e["key"] == F.concat(F.lit("p_"), F.sha2(F.concat(F.lit("salt"), e["value"]), 256)))
+    return out.select("l_orderkey", F.array_join(F.sort_array("players.l_suppkey"), " ").alias("people"), F.size(known).cast("long").alias("n_keys"))
+
+
+@query("p_flatten_map", "SELECT c_custkey, 'a.m.' || c_mktsegment AS path, c_acctbal AS value FROM customer UNION ALL SELECT c_custkey, 'a.n', c_nationkey FROM customer")
+def p_flatten_map(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.struct(F.create_map("c_mktsegment", "c_acctbal").alias("m"), F.col("c_nationkey").alias("n")).alias("a"))
+    return C.flatten_metrics(c, ["c_custkey"])
+
+
+@query("p_strip_map", "SELECT c_custkey, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS BIGINT) AS n FROM customer")
+def p_strip_map(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.array(F.create_map(F.col("c_mktsegment"), F.lit(1), F.lit("seat"), F.lit(2))).alias("a"))
+    return C.strip_private(c, {"BUILDING"}).select("c_custkey", F.size(F.col("a")[0]).cast("long").alias("n"))
+
+
+@query("p_group_issues", "SELECT 'empty_group' AS issue, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) HAVING count(*) > 0 UNION ALL SELECT 'leakage_o_orderstatus', count(*) FROM customer")
+def p_group_issues(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("sessions"))
+    g = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "sessions")
+    return R.group_issues(g, "sessions", {"o_orderstatus", "is_bot"})
+
+
+@query("p_protected", f"WITH {vector_sql()} SELECT id, label, f1 FROM b5")
+def p_protected(spark, d):
+    return R.select_columns(vector_features(spark, d), drop=["domain", "label", "nowhere"], keep=["id", "f1", "domain"])

@@ -243,3 +243,14 @@ _SMOOTH_SQL = "round(CASE WHEN s <= 0.3 OR s >= 0.7 THEN s ELSE 0.3 + 0.4 * pow(
 def flagship(spark, d):
     """Heuristic score per group, smoothed: events to score in one plan."""
     return _slice(spark, d)
+
+
+@query("g_spec", f"WITH {ORDER_EVENTS} SELECT grp, round(avg(amount), 6) AS size_mean, round(quantile_cont(amount, 0.9), 6) AS size_p90, max(stage) AS depth_max, count(*) AS depth_count FROM b1 GROUP BY 1")
+def g_spec(spark, d):
+    out = G.spec_features(order_events(spark, d), ("grp",), [("size", F.col("amount"), ("mean", "p90")), ("depth", F.col("stage"), ("max", "count"))])
+    return out.select("grp", rounded("size_mean").alias("size_mean"), rounded("size_p90").alias("size_p90"), "depth_max", "depth_count")
+
+
+@query("g_stages", f"WITH {ORDER_EVENTS} SELECT grp, " + ", ".join(f"count(*) FILTER (stage = {k}) AS s{k}" for k in range(4)) + " FROM b1 GROUP BY 1")
+def g_stages(spark, d):
+    return G.stage_counts(order_events(spark, d), [0, 1, 2, 3])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import rounded
+from groupsight.operators import records as R
 from groupsight.operators import sampling as U
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import VECTOR_SCORES, table, vector_features, vector_scores, vector_sql
@@ -233,3 +234,37 @@ def u_pack(spark, d):
 @query("u_scores", f"WITH {VECTOR_SCORES} SELECT scorer, cycle, count(*) AS n, round(avg(score), 6) AS mean FROM sc GROUP BY 1, 2")
 def u_scores(spark, d):
     return vector_scores(spark, d).groupBy("scorer", "cycle").agg(F.count("*").alias("n"), rounded(F.avg("score")).alias("mean"))
+
+
+@query("j_profiles", f"""WITH {vector_sql()}, t AS (SELECT id AS target, f0 AS a, f1 AS b FROM b5 WHERE id % 50 = 0)
+  SELECT target, arg_min(id, (dist, id)) AS id, round(min(dist), 6) + 0.0 AS distance FROM (SELECT target, id, round(abs(f0 - a) + 0.5 * abs(f1 - b), 9) AS dist FROM b5, t WHERE id % 50 <> 0) GROUP BY 1""")
+def j_profiles(spark, d):
+    """The queries are all rows whose id is divisible by 50, against all others."""
+    v = vector_features(spark, d)
+    near = R.nearest_profiles(v.where("id % 50 <> 0"), v.where("id % 50 = 0").withColumnRenamed("id", "target"), "id", "target", {"f0": 1.0, "f1": 0.5})
+    return near.select("target", "id", rounded("distance").alias("distance"))
+
+
+@query("u_top_up", f"""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_h('c_custkey')}, c_custkey) AS rk FROM customer),
+  f AS (SELECT c_custkey FROM r WHERE rk <= CASE c_mktsegment WHEN 'BUILDING' THEN 5 WHEN 'MACHINERY' THEN 100000 ELSE 0 END), n AS (SELECT greatest(0, 90 - count(*)) AS k FROM f),
+  o AS (SELECT c_custkey, row_number() OVER (ORDER BY {_h('c_custkey')}, c_custkey) AS rk FROM r WHERE c_custkey NOT IN (SELECT c_custkey FROM f))
+  SELECT c_custkey FROM f UNION ALL SELECT c_custkey FROM o, n WHERE rk <= k""")
+def u_top_up(spark, d):
+    return U.topped_up(cust(spark, d).select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 90, {"BUILDING": 5, "MACHINERY": 100_000}).select("c_custkey")
+
+
+@query("u_lockbox", f"SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN CASE WHEN {_unit('o_orderkey')} < 0.5 THEN 'lockbox' ELSE 'test' END ELSE 'train' END AS split FROM orders")
+def u_lockbox(spark, d):
+    return U.lockbox(orders(spark, d), "o_orderkey", F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")).select("o_orderkey", "split")
+
+
+@query("u_replace")
+def u_replace(spark, d):
+    """As many draws with replacement as there are customers."""
+    c = cust(spark, d).select("c_custkey")
+    return U.with_replacement(c, "c_custkey", c.count())
+
+
+@query("u_pack_ranges")
+def u_pack_ranges(spark, d):
+    return U.packed_ranges(cust(spark, d).select("c_custkey"), "c_custkey", 20, 40)

@@ -157,3 +157,70 @@ def test_schema_tools(spark):
     assert clean.enforce_schema(df, want).first().r.asDict() == {"z": None, "a": 1}
     with pytest.raises(ValueError):
         clean.align_columns(df, ["q"])
+
+
+def test_manifests_are_transparent_or_opaque(spark):
+    from groupsight.operators import records as R
+
+    good = {
+        "open_source": "true", "repo_url": "https://host/own", "repo_commit": "69df8454943e965e08d3b7923182e0a69981584c", "model_name": "reference", "model_version": "1",
+        "training_data_statement": "none", "private_data_attestation": "none",
+    }
+    report = lambda changes, files=("a.py",), digest="abc": spark.range(1).select(R.manifest_report(
+        {k: F.lit(v) for k, v in (good | changes).items()}, F.array(*[F.lit(x) for x in files]).cast("array<string>"), F.lit(digest), "https://host/own", ("reference",)).alias("m")).first().m
+    assert (report({}).status, report({}).missing, report({}).violations, report({}).suspicion) == ("transparent", [], [], [])
+    own = report({"model_name": "mine"})
+    assert own.status == "opaque" and own.violations == ["repo_url_must_point_to_model_repo"]
+    assert report({"repo_url": "https://host/mine", "model_name": "mine", "repo_commit": "<full_git_commit_sha>"}).violations == ["repo_commit_invalid"]
+    bare = report({"open_source": "false", "training_data_statement": " "}, (), "")
+    assert bare.missing == ["open_source", "training_data_statement", "implementation_files", "implementation_sha256"]
+    assert bare.suspicion == ["manifest_not_open_source", "manifest_missing_training_data_statement"]
+    assert report({k: "" for k in good}).suspicion == ["missing_model_manifest"]
+
+
+def test_session_errors_of_literal_sessions(spark):
+    from groupsight.operators import records as R
+
+    kind = "payouts map<string,double>, rake double, total double, private array<array<string>>, stages array<struct<stage:string,board:array<string>>>, ended string"
+    flop, turn = ("flop", ["a", "b", "c"]), ("turn", ["a", "b", "c", "d"])
+    rows = [
+        ({"x": 0.91}, 0.06, 0.97, [["a", "b"], None], [], "preflop"), ({"x": 0.91}, 0.06, 0.98, [["a"]], [("flop", ["a", "b"])], "flop"),
+        ({}, None, None, None, [flop, turn], "turn"), (None, 1.0, 1.0, [], [turn, flop], "turn"), ({"x": 0.9}, 0.1, 1.0, [], None, None),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    found = df.select(R.session_errors(*[F.col(c) for c in df.columns]).alias("e")).collect()
+    assert [r.e for r in found] == [[], ["board", "end", "private", "total"], [], ["end"], ["end"]]
+
+
+def test_keys_leakage_and_pairs(spark):
+    from groupsight.operators import records as R
+
+    a = spark.createDataFrame([], "id long, x struct<p:int,q:array<struct<r:int>>>")
+    b = spark.createDataFrame([], "x struct<p:int,q:array<struct<s:int>>>, id int")
+    assert R.key_differences(a.schema, b.schema) == ["+x.q[].r", "-x.q[].s"]
+    assert R.pair_issues(a, b, {"id"}) == ["leakage_id", "order", "type_id", "type_x"]
+    assert R.table_issues(a.select("id", a.id.alias("ID"))) == ["id"]
+
+
+def test_draws_and_packs_of_ranged_size(spark):
+    from collections import Counter
+
+    from groupsight.operators import sampling as U
+
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    draws = [r.k for r in U.with_replacement(df, "k", 5000).collect()]
+    assert len(draws) == 5000 and len(set(draws)) > 980 and max(Counter(draws).values()) < 20
+    packs = Counter(r.pack for r in U.packed_ranges(df, "k", 5, 9).collect())
+    assert sum(packs.values()) == 1000 and max(packs.values()) <= 9 and sum(5 <= n for n in packs.values()) >= len(packs) - 2
+    assert {r.k: r.pack for r in U.packed_ranges(df, "k", 5, 9).collect()} == {r.k: r.pack for r in U.packed_ranges(df.repartition(7), "k", 5, 9).collect()}
+
+
+def test_alerts_of_a_score_stream(spark, tmp_path):
+    from groupsight.streaming import jobs as Z
+
+    two = [0.05] * 20 + [0.06] * 20 + [0.9] * 20
+    rows = [(1, c, s) for c in range(1, 6) for s in two] + [(1, c, 0.5) for c in range(6, 11) for _ in range(200)]
+    spark.createDataFrame(rows, "scorer long, cycle long, score double").coalesce(1).write.parquet(f"{tmp_path}/s")
+    stream = spark.readStream.schema("scorer long, cycle long, score double").parquet(f"{tmp_path}/s")
+    out = {r.cycle: r for r in Z.drained(Z.threshold_stream(stream, "scorer", "cycle", "score", every=5, peaks=Z.MONITOR), "alerts").collect()}
+    assert sorted(out) == [5, 10] and (out[5].mode, out[5].alert) == ("gap", False) and (out[10].mode, out[10].alert) == ("fixed", True)
