@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import EPS, EVENT_TYPES, clamp, total
+from groupsight.operators.transform import percentiles
 
 # The contract's feature names, in order.
 SESSION_FEATURES = (
@@ -179,9 +180,9 @@ def derived_features(groups: DataFrame) -> DataFrame:
     })
 
 
-def derived_fit(train: DataFrame) -> dict[str, tuple[float, float, float]]:
+def derived_fit(train: DataFrame, accuracy: int | None = None) -> dict[str, tuple[float, float, float]]:
     """1 % and 99 % quantiles and population std of each index over the training groups."""
-    aggs = [x for k in DERIVED for x in (F.percentile(k, F.array(F.lit(0.01), F.lit(0.99))), F.stddev_pop(k))]
+    aggs = [x for k in DERIVED for x in (percentiles(F.col(k), [0.01, 0.99], accuracy), F.stddev_pop(k))]
     row = derived_features(train).agg(*aggs).first()
     return {k: (row[2 * i][0], row[2 * i][1], row[2 * i + 1]) for i, k in enumerate(DERIVED) if row[2 * i]}
 

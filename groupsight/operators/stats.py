@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupsight.functions.scalars import EPS, finite
+from groupsight.operators.transform import percentiles
 
 UP = Window.unboundedPreceding
 
@@ -30,21 +31,21 @@ def from_wide(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame
     return row.select(F.explode(cells).alias("x")).select("x.*")
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, count, missing, mean, std, min, q25, q50, q75, max), exact."""
+def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """(feature, count, missing, mean, std, min, q25, q50, q75, max), exact unless accuracy is given (see transform.percentiles)."""
     aggs = []
     for c in columns:
         v = finite(F.col(c))
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = percentiles(v, [0.25, 0.5, 0.75], accuracy)
         one = {"count": F.count(v), "missing": 1 - F.count(v) / F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(v)}
         aggs += [x.alias(f"{c}__{n}") for n, x in one.items()]
     return from_wide(df.agg(*aggs), columns, ["count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
+def profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    q = percentiles(F.col("value"), [0.1, 0.5, 0.9], accuracy)
     return long_form(df, columns, []).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", F.lit(0.1)).alias("p10"),
-        F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.9)).alias("p90"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q[0].alias("p10"), q[1].alias("p50"), q[2].alias("p90"),
     )
 
 
