@@ -151,8 +151,9 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, voca
             keys = curve_keys([np.frombuffer(x, "<u2")[:-1].astype(np.uint32) for x in ids], table)
             yield pd.DataFrame({"id": pdf.id, "row": pdf.row, "key": keys, "n": np.array([len(x) // 2 for x in ids], np.int64), "ids": ids})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, f"id {kind}, row long, key long, n long, ids binary")
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
+    return rows.mapInPandas(run, "id string, row long, key long, n long, ids binary").withColumn("id", F.col("id").cast(kind))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, vocabulary_path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -187,10 +188,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_
                     start += size
             yield pd.DataFrame(out, columns=names)
 
-    joined = tokens.join(placed, "row").select("id", "key", "n", "ids", "at")
-    return joined.mapInPandas(
-        pieces, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
-    )
+    joined = tokens.join(placed, "row").select(F.col("id").cast("string").alias("id"), "key", "n", "ids", "at")
+    out = joined.mapInPandas(pieces, f"`{id_col}` string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
+    return out.withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

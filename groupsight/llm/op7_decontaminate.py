@@ -11,8 +11,8 @@ are above half their partition's size, so at containment 0.8 and 48 permutations
 of 4e-5 at most), and the candidate pair is verified by exact shingle containment in the whole
 document. Items of up to 4 shingles are looked up by the hashes of their shingles, so none is missed.
 
-The items are a stated query set: they are taken in blocks of at most `block_items`, so what each
-task holds is bounded, and documents are never shuffled.
+The items are a stated query set: they are taken in blocks of about `block_items`, so what the driver and each
+task hold is bounded (about 1 KB an item), and documents are never shuffled; a block is a pass over the documents.
 
 Words are runs of letters and digits, lower-cased. Edge cases: null or empty documents, and items
 of fewer words than a shingle, have no shingle and match nothing; repeated items and documents
@@ -103,30 +103,51 @@ def _pairwise(x: np.ndarray) -> np.ndarray:
     return np.minimum(x[::2], x[1::2])
 
 
+class Shingles(dict):
+    """Exact shingles of items, made when an item first becomes a candidate."""
+
+    def __init__(self, texts: list[str | None], size: int):
+        super().__init__()
+        self.texts, self.size = texts, size
+
+    def __missing__(self, item: int) -> set[str]:
+        out = self[item] = shingles(words_of(self.texts[item]), self.size)
+        return out
+
+
 class Items:
-    """One block of test items: exact shingles, hashes of short items, and signatures of the others by size partition and permutation."""
+    """One block of test items: texts, hashes of short items, and signatures of the others by size partition and permutation."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int, permutations: int):
         self.ids = [i for i, _ in rows]
-        self.shingles = [shingles(words_of(t), size) for _, t in rows]
+        self.shingles = Shingles([t for _, t in rows], size)
         hashes = [np.unique(shingle_hashes(words_of(t), size)) for _, t in rows]
-        level_of = [max(0, int(np.ceil(np.log2(max(1, len(s)) / SMALLEST)))) for s in hashes]
-        self.levels = max([c for c, s in zip(level_of, hashes, strict=True) if len(s) > EXACT], default=-1) + 1
-        short = [i for i, s in enumerate(hashes) if 0 < len(s) <= EXACT]
-        owner = np.repeat(np.array(short, np.int64), [len(hashes[i]) for i in short])
-        self.short = np.concatenate([np.empty(0, np.uint64), *[hashes[i] for i in short]])
-        order = np.argsort(self.short, kind="stable")
-        self.short, self.short_of = self.short[order], owner[order]
+        sizes = np.array([len(s) for s in hashes], np.int64)
+        level_of = np.maximum(0, np.ceil(np.log2(np.maximum(1, sizes) / SMALLEST))).astype(np.int64)
+        self.levels = int(level_of[sizes > EXACT].max(initial=-1)) + 1
+        self.short, self.short_of = self._sorted(np.flatnonzero((sizes > 0) & (sizes <= EXACT)), hashes)
         self.seeds = permutation_seeds(permutations)
         self.minima: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for level in range(self.levels):
-            of = [i for i, c in enumerate(level_of) if c == level and len(hashes[i]) > EXACT]
-            for p, seed in enumerate(self.seeds if of else ()):
-                v = np.array([_permuted(*_halves(hashes[i]), seed).min() for i in of], np.uint32)
+            of = np.flatnonzero((level_of == level) & (sizes > EXACT))
+            if not len(of):
+                continue
+            low, high = _halves(np.concatenate([hashes[i] for i in of]))
+            starts = np.cumsum(sizes[of]) - sizes[of]
+            for p, seed in enumerate(self.seeds):
+                v = np.minimum.reduceat(_permuted(low, high, seed), starts)
                 order = np.argsort(v, kind="stable")
                 maybe = np.zeros(1 << _FILTER_BITS, bool)
                 maybe[(v * _SPREAD) >> np.uint32(32 - _FILTER_BITS)] = True
-                self.minima[level, p] = v[order], np.array(of, np.int64)[order], np.packbits(maybe, bitorder="little")
+                self.minima[level, p] = v[order], of[order].astype(np.int32), np.packbits(maybe, bitorder="little")
+
+    @staticmethod
+    def _sorted(of: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All hashes of the items `of` in order, and the item of each."""
+        values = np.concatenate([np.empty(0, np.uint64), *[hashes[i] for i in of]])
+        owner = np.repeat(of, [len(hashes[i]) for i in of])
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order]
 
     def candidates(self, h: np.ndarray, void: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, from, to): items that share a minimum, or short items that share a shingle, with the window of shingles from..to.
@@ -195,7 +216,7 @@ def item_blocks(items: DataFrame, item_col: str, item_text: str, shingle: int, p
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    threshold: float = 0.8, shingle: int = 5, permutations: int = 48, block_items: int = 20_000,
+    threshold: float = 0.8, shingle: int = 5, permutations: int = 48, block_items: int = 100_000,
 ) -> DataFrame:
     """(id, item, item_shingles, shared_shingles, containment): pairs with at least `threshold` of the item's shingles in the document."""
     prepare(docs.sparkSession)
@@ -221,7 +242,7 @@ def contaminated(
 
 def clean_documents(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    threshold: float = 0.8, shingle: int = 5, permutations: int = 48, block_items: int = 20_000,
+    threshold: float = 0.8, shingle: int = 5, permutations: int = 48, block_items: int = 100_000,
 ) -> DataFrame:
     """The rows of docs that hold no test item, with docs' own columns; each row is judged by its own text where it stands, whatever its id."""
     prepare(docs.sparkSession)

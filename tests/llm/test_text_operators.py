@@ -392,6 +392,9 @@ def test_items_of_few_shingles_are_never_missed():
     texts = [some(40) + " " + t + " " + some(40) for _, t in items]
     found = op7.search(texts, op7.Items(items, 5, 48), 5, 0.8)
     assert [(i, x) for i, x, *_ in found] == [(k, k) for k in range(1000)]
+    larger = [(k, some(10 + 7 * (k % 12))) for k in range(1000)]
+    found = op7.search([some(40) + " " + t + " " + some(40) for _, t in larger], op7.Items(larger, 5, 48), 5, 0.8)
+    assert len({(i, x) for i, x, *_ in found if i == x}) >= 999
     # short items alone, at the start and the end of the batch
     assert [f[:2] for f in op7.search([items[0][1], None, items[5][1]], op7.Items(items[:1] + items[5:6], 5, 48), 5, 0.8)] == [(0, 0), (2, 1)]
 
@@ -670,6 +673,31 @@ def test_scores_do_not_depend_on_partitions_and_beat_no_attention(spark, monkeyp
 # --- pipeline and registration
 
 
+@pytest.mark.parametrize("name", ["op6_host_rules", "op7_decontaminate"])
+def test_queries_give_the_rows_of_their_sql(name, spark, tiny):
+    import duckdb
+
+    from groupsight.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tiny}/{t}.parquet')")
+    want, got = con.sql(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, tiny).toPandas()
+    key = [c for c in ("doc_id", "item_id") if c in want]
+    want, got = (x.sort_values(key).reset_index(drop=True)[sorted(want.columns)] for x in (want, got))
+    assert len(want) and sorted(got.columns) == sorted(want.columns)
+    for c in want:
+        assert got[c].tolist() == (pytest.approx(want[c].tolist()) if want[c].dtype.kind == "f" else want[c].tolist()), c
+
+
+def test_ids_stay_exact_beside_null_ones(spark):
+    rows = [(2**60 + 1, "one two three four five six", "a"), (None, "one two three four five six seven", "a")]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    bench = spark.createDataFrame([(2**60 + 3, "one two three four five")], "item_id long, text string")
+    ids = {r.doc_id for r in op3.pack(df).collect()}
+    assert ids == {2**60 + 1, None} == {r.id for r in op7.contaminated(df, bench).collect()} == {r.id for r in op10.lm_scores(df).collect()}
+
+
 def first_of_each_class(texts):
     """Smallest id of each class of texts that chains of five-word Jaccard similarities of 0.8 or more join."""
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
