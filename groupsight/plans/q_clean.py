@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,7 +142,7 @@ def p_validate_groups(spark, d):
     return out.select("o_orderkey", F.coalesce("count", F.lit(0)).cast("long").alias("n_lines")).where("n_lines = 0")
 
 
-@query("p_align")
+@query("p_align", f"WITH {vector_sql()} SELECT id, label, f1, f0 FROM b5")
 def p_align(spark, d):
     return C.align_columns(vector_features(spark, d), ["id", "label", "f1", "f0"], "strip")
 
@@ -186,7 +188,11 @@ def p_anon(spark, d):
     return table(spark, d, "events").select("event_id", C.pseudonym(F.col("user_id"), "salt").alias("who"))
 
 
-@query("p_hash_cols")
+def _hashed(name: str) -> str:
+    return "h_" + hashlib.sha256(f"salt{name}".encode()).hexdigest()[:16]
+
+
+@query("p_hash_cols", f"WITH {vector_sql()} SELECT id, label, " + ", ".join(f"{c} AS {_hashed(c)}" for c in ("domain", *[f"f{i}" for i in range(8)])) + " FROM b5")
 def p_hash_cols(spark, d):
     return C.hashed_column_names(vector_features(spark, d), "salt", ("id", "label"))
 
