@@ -27,11 +27,12 @@ rows are counted and scored each; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-import struct
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -55,10 +56,10 @@ QUERIES = 128
 REACH, BLOCK = 6, 250
 #: Distances whose values are counted apart; longer ones share the last table.
 FAR = 3
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 SAMPLE_SHARE = 64
 #: Windows that are scored at a time.
-STEP = 800
+STEP = 400
 
 
 class Symbols:
@@ -90,58 +91,74 @@ def windows_of(docs: list[np.ndarray], symbols: Symbols) -> tuple[np.ndarray, np
     return np.lib.stride_tricks.sliding_window_view(line, REACH + BLOCK)[::BLOCK], ends - sizes
 
 
+class Cells(NamedTuple):
+    """The non-zero cells of a table of counts."""
+
+    shape: tuple[int, ...]
+    at: np.ndarray
+    n: np.ndarray
+
+
+def cells_of(table: np.ndarray) -> Cells:
+    at = np.flatnonzero(table)
+    return Cells(table.shape, at, table.ravel()[at])
+
+
 class Values:
     """Distributions over the next symbol: after the two symbols before (near), and after one symbol at each distance (far).
 
     less 1: what the counts say of a token that is not counted itself, for training.
     """
 
-    def __init__(self, place: np.ndarray, near: np.ndarray, far: np.ndarray, less: int = 0):
+    def __init__(self, place: np.ndarray, near: Cells, far: Cells, less: int = 0):
         """place: row of near for each pair of symbols; near and far: counts."""
         self.place = place
-        share = ((far[0].sum(axis=0) + 1) / (far[0].sum() + SYMBOLS)).astype(np.float32)
-        own = lambda counts, prior, strength: smoothed(counts, prior, strength, less)
-        last = np.zeros(len(near), np.int64)
+        size = WIDTH * SYMBOLS
+        tables = [Cells((WIDTH, SYMBOLS), far.at[k] - j * size, far.n[k]) for j in range(FAR) for k in [far.at // size == j]]
+        share = np.bincount(tables[0].at % SYMBOLS, tables[0].n, SYMBOLS) + 1
+        share = (share / share.sum()).astype(np.float32)[None, :]
+        none, last = np.zeros(WIDTH, np.int64), np.zeros(near.shape[0], np.int64)
         last[place] = np.arange(WIDTH * WIDTH) % WIDTH
-        self.near = own(near, own(far[0], share, 5.0)[last], 20.0).ravel()
-        self.far = [own(x, share, 80.0).ravel() for x in far]
+        self.near = smoothed(near, smoothed(tables[0], share, none, 5.0, less), last, 20.0, less).ravel()
+        self.far = [smoothed(x, share, none, 80.0, less).ravel() for x in tables]
 
 
 class Counts:
-    """What values are made of. It travels as its non-zero cells; a worker makes the tables of each kind once."""
+    """What values are made of. It travels as its non-zero cells; a worker makes the tables of one kind at a time."""
 
-    def __init__(self, pairs: np.ndarray, near: np.ndarray, far: np.ndarray):
+    def __init__(self, pairs: np.ndarray, near: Cells, far: Cells):
         """pairs: the pairs (a, b) with rows of their own in near, as a * WIDTH + b."""
         self.pairs, self.near, self.far, self.made = pairs, near, far, {}
 
     def __getstate__(self) -> dict:
-        packed = {}
-        for name, x in (("near", self.near), ("far", self.far)):
-            at = np.flatnonzero(x)
-            packed[name] = x.shape, zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(x.ravel()[at].astype("<u4").tobytes(), 1)
-        return {"pairs": self.pairs, "packed": packed}
+        pack = lambda x: (x.shape, zlib.compress(np.diff(x.at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(x.n.astype("<u4").tobytes(), 1))
+        return {"pairs": self.pairs, "near": pack(self.near), "far": pack(self.far)}
 
     def __setstate__(self, state: dict) -> None:
-        self.pairs, self.made = state["pairs"], {}
-        for name, (shape, gaps, cells) in state["packed"].items():
-            x = np.zeros(int(np.prod(shape)), np.int32)
-            x[np.cumsum(np.frombuffer(zlib.decompress(gaps), "<u4").astype(np.int64))] = np.frombuffer(zlib.decompress(cells), "<u4")
-            setattr(self, name, x.reshape(shape))
+        number = lambda x: np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
+        open_ = lambda x: Cells(x[0], np.cumsum(number(x[1])), number(x[2]))
+        self.__init__(state["pairs"], open_(state["near"]), open_(state["far"]))
 
     def values(self, less: int = 0) -> Values:
         if less not in self.made:
+            self.made.clear()
             place = np.tile(np.arange(WIDTH, dtype=np.int32), WIDTH)
             place[self.pairs] = WIDTH + np.arange(len(self.pairs))
-            self.made = {less: Values(place, self.near, self.far, less)}
+            self.made[less] = Values(place, self.near, self.far, less)
         return self.made[less]
 
 
-def smoothed(counts: np.ndarray, prior: np.ndarray, strength: float, less: int) -> np.ndarray:
-    """Shares of counts (each less `less`, 0 at least), drawn to the prior as by `strength` more tokens."""
-    total = np.maximum(counts.sum(axis=1, keepdims=True) - less, 0) + strength
-    out = np.maximum(counts - less, 0).astype(np.float32)
-    out += prior * np.float32(strength)
-    out /= total.astype(np.float32)
+def smoothed(counts: Cells, prior: np.ndarray, prior_row: np.ndarray, strength: float, less: int) -> np.ndarray:
+    """Shares of counts (each less `less`, 0 at least), drawn to a row of the prior as by `strength` more tokens."""
+    rows, width = counts.shape
+    total = np.maximum(np.bincount(counts.at // width, counts.n, rows) - less, 0) + strength
+    out = np.zeros(rows * width, np.float32)
+    out[counts.at] = np.maximum(counts.n - less, 0)
+    out = out.reshape(rows, width)
+    for k in range(0, rows, 512):
+        part = slice(k, k + 512)
+        out[part] += prior[prior_row[part]] * np.float32(strength)
+        out[part] /= total[part, None].astype(np.float32)
     return out
 
 
@@ -245,39 +262,46 @@ class Words(dict):
     def __init__(self, encode, place: dict[bytes, int]):
         super().__init__()
         self.encode, self.frequent = encode, place
-        self.ids: list[bytes] = []
-        self.place = np.empty(KNOWN_WORDS + 50_000, np.int32)
-        self.hash = np.empty(KNOWN_WORDS + 50_000, np.uint64)
+        # the ids of slot k are ids[start[k]:start[k + 1]]
+        self.ids, self.start, self.place, self.hash = array("H"), array("q", [0]), array("i"), array("Q")
+
+    def _add(self, word: bytes, ids: list[int]) -> int:
+        slot = self[word] = len(self.place)
+        place = self.frequent.get(word, -1)
+        self.ids.extend(ids)
+        self.start.append(len(self.ids))
+        self.place.append(place)
+        self.hash.append(xxhash.xxh64_intdigest(word) if place < 0 else 0)
+        return slot
+
+    def __missing__(self, word: bytes) -> int:
+        return self._add(word, self.encode(" " + word.decode("utf-8", "surrogatepass")))
 
     def trim(self) -> None:
         """Forget all but the frequent words."""
-        kept = [(w, self.ids[k]) for w, k in self.items() if self.place[k] >= 0]
+        kept = [(w, self.ids[self.start[k] : self.start[k + 1]]) for w, k in self.items() if self.place[k] >= 0]
         self.clear()
-        self.ids = [x for _, x in kept]
-        for slot, (w, _) in enumerate(kept):
-            self[w], self.place[slot], self.hash[slot] = slot, self.frequent[w], 0
-
-    def __missing__(self, word: bytes) -> int:
-        slot = len(self.ids)
-        ids = self.encode(" " + word.decode("utf-8", "surrogatepass"))
-        if slot == len(self.place):
-            self.place, self.hash = np.resize(self.place, 2 * slot), np.resize(self.hash, 2 * slot)
-        self.ids.append(struct.pack(f"<{len(ids)}H", *ids))
-        self.place[slot] = place = self.frequent.get(word, -1)
-        self.hash[slot] = xxhash.xxh64_intdigest(word) if place < 0 else 0
-        self[word] = slot
-        return slot
+        self.ids, self.start, self.place, self.hash = array("H"), array("q", [0]), array("i"), array("Q")
+        for word, ids in kept:
+            self._add(word, ids)
 
     def encoded(self, text: str | None) -> tuple[int, bytes, bytes, bytes]:
         """Words, subword ids, frequent words' places and other words' hashes of a text."""
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        if not words:
+            return 0, b"", b"", b""
         if len(self) > KNOWN_WORDS:
             self.trim()
-        at = list(map(self.__getitem__, words))
-        slots = np.array(at, np.int64)
-        place = self.place[slots]
+        slots = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        view = lambda x, kind: np.frombuffer(x, kind)  # noqa: E731  of arrays that do not grow meanwhile
+        start = view(self.start, np.int64)
+        first = start[slots]
+        n = start[slots + 1] - first
+        before = np.cumsum(n) - n
+        ids = view(self.ids, np.uint16)[np.repeat(first - before, n) + np.arange(int(n.sum()))]
+        place = view(self.place, np.int32)[slots]
         tail = place < 0
-        return len(words), b"".join(map(self.ids.__getitem__, at)), place[~tail].astype("<u2").tobytes(), self.hash[slots[tail]].tobytes()
+        return len(words), ids.astype("<u2").tobytes(), place[~tail].astype("<u2").tobytes(), view(self.hash, np.uint64)[slots[tail]].tobytes()
 
 
 #: A worker's words, by the encoding they belong to.
@@ -306,27 +330,39 @@ def _encoded(docs: DataFrame, heavy, files: tuple[str, str]) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "id", "held", run("t").alias("x")).select("row", "id", "held", "x.*")
 
 
-def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long") -> np.ndarray:
-    """Sums over all rows of what add(table, batch) puts into a (columns, size) table; tasks send their non-zero cells only."""
+def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long"):
+    """Sums over all rows of what add(table, batch) puts into a (columns, size) table; tasks send their non-zero cells only.
+
+    The result holds a row per cell at most, whatever the input.
+    """
     names = [f"n{c}" for c in range(columns)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _WORDS.clear()
-        table = np.zeros((columns, size), np.int64 if kind == "long" else np.float64)
+        table = np.zeros((columns, size), np.int32 if kind == "long" else np.float64)  # a task has fewer than 2**31 tokens
         for pdf in parts:
             add(table, pdf)
         at = np.flatnonzero(table.any(axis=0))
-        yield pd.DataFrame({"k": at} | {name: table[c, at] for c, name in enumerate(names)})
+        yield pd.DataFrame({"k": at} | {name: table[c, at].astype(np.int64 if kind == "long" else float) for c, name in enumerate(names)})
 
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
     cells = rows.coalesce(tasks).mapInPandas(run, "k long, " + ", ".join(f"{n} {kind}" for n in names))
-    found = cells.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # as many rows as the table has cells, at most
-    out = np.zeros((columns, size), np.int64 if kind == "long" else np.float64)
-    for c, name in enumerate(names):
-        out[c, found["k"].to_numpy()] = found[name].to_numpy()
+    return cells.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+
+
+def _table(found, size: int, columns: int = 1) -> np.ndarray:
+    """The cells of _summed() as a (columns, size) table."""
+    out = np.zeros((columns, size), found["n0"].to_numpy().dtype)
+    for c in range(columns):
+        out[c, found["k"].to_numpy()] = found[f"n{c}"].to_numpy()
     return out
 
 
+def _as_cells(found, shape: tuple[int, ...]) -> Cells:
+    order = np.argsort(found["k"].to_numpy())
+    return Cells(shape, found["k"].to_numpy()[order], found["n0"].to_numpy()[order])
+
+
 def _lists(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in column]
 
@@ -341,7 +377,8 @@ def _corpus_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         ids += np.bincount(np.frombuffer(b"".join(pdf.ids), "<u2"), minlength=VOCABULARY)
         total += int(pdf.n.sum()), len(pdf)
 
-    words, ids, total = np.split(_summed(train.select("n", "ids", "heavy"), ends[-1] + 2, add)[0], ends)
+    size = int(ends[-1]) + 2
+    words, ids, total = np.split(_table(_summed(train.select("n", "ids", "heavy"), size, add), size)[0], ends)
     ids[END] += total[1]
     return words, ids, int(total[0]), int(total[1])
 
@@ -365,10 +402,11 @@ def _values_counted(train: DataFrame, symbols: Symbols) -> Counts:
                 table[0, first : first + cells] += np.bincount(line[at - j] * SYMBOLS + line[at], minlength=cells)
 
     ids = train.select("ids")
-    far = _summed(ids, FAR * cells, add_far)[0].reshape(FAR, WIDTH, SYMBOLS)
-    before = far[0].ravel()
-    top = np.argsort(-before, kind="stable")[:PAIRS]
-    top = top[before[top] > 0]
+    far = _as_cells(_summed(ids, FAR * cells, add_far), (FAR, WIDTH, SYMBOLS))
+    real = far.at // SYMBOLS % WIDTH != PAD
+    far = Cells(far.shape, far.at[real], far.n[real])
+    before = far.at < cells
+    top = far.at[before][np.argsort(-far.n[before], kind="stable")[:PAIRS]]
     # pair (a, b) stands at a * WIDTH + b; others fall back to the row of b
     place = np.tile(np.arange(WIDTH, dtype=np.int32), WIDTH)
     place[top // SYMBOLS * WIDTH + top % SYMBOLS] = WIDTH + np.arange(len(top))
@@ -381,9 +419,8 @@ def _values_counted(train: DataFrame, symbols: Symbols) -> Counts:
             row = sent_place.value[line[at - 2] * WIDTH + line[at - 1]].astype(np.int64)
             np.add.at(table[0], row * SYMBOLS + line[at], 1)
 
-    near = _summed(ids, rows * SYMBOLS, add_near)[0].reshape(rows, SYMBOLS)
-    far[:, PAD] = 0
-    return Counts(top // SYMBOLS * WIDTH + top % SYMBOLS, near.astype(np.int32), far.astype(np.int32))
+    near = _as_cells(_summed(ids, rows * SYMBOLS, add_near), (rows, SYMBOLS))
+    return Counts(top // SYMBOLS * WIDTH + top % SYMBOLS, near, far)
 
 
 def _trained(train: DataFrame, known, rounds: int) -> Attention:
@@ -398,7 +435,8 @@ def _trained(train: DataFrame, known, rounds: int) -> Attention:
                 symbols, counts = known.value
                 read_all(Reader(sent.value, counts.values(less=1)), windows_of(_lists(pdf.ids), symbols)[0], table)
 
-        attention.move(*_summed(train.where(pick == k).select("ids"), QUERIES * WIDTH + REACH, add, 2, "double"))
+        size = QUERIES * WIDTH + REACH
+        attention.move(*_table(_summed(train.where(pick == k).select("ids"), size, add, 2, "double"), size, 2))
     return attention
 
 

@@ -579,8 +579,8 @@ def language_model():
     symbols = op10.Symbols(ids)
     place = np.tile(np.arange(op10.WIDTH, dtype=np.int32), op10.WIDTH)
     place[g.choice(op10.WIDTH**2, 50, replace=False)] = op10.WIDTH + np.arange(50)
-    near = g.poisson(0.05, (op10.WIDTH + 50, op10.SYMBOLS)).astype(np.int32)
-    far = g.poisson(0.05, (op10.FAR, op10.WIDTH, op10.SYMBOLS))
+    near = op10.cells_of(g.poisson(0.05, (op10.WIDTH + 50, op10.SYMBOLS)))
+    far = op10.cells_of(g.poisson(0.05, (op10.FAR, op10.WIDTH, op10.SYMBOLS)))
     attention = op10.Attention()
     attention.logits = g.normal(0, 1, attention.logits.shape)
     docs = [g.integers(0, 1300, n) for n in (0, 1, 5, 6, 7, op10.BLOCK - 1, op10.BLOCK, op10.BLOCK + 1, 2000)]
@@ -631,9 +631,11 @@ def test_counts_travel_whole():
 
     g = np.random.default_rng(2)
     pairs = np.array([5, 7 * op10.WIDTH + 3])
-    near, far = g.poisson(0.01, (op10.WIDTH + 2, op10.SYMBOLS)), g.poisson(0.01, (op10.FAR, op10.WIDTH, op10.SYMBOLS))
+    near, far = (op10.cells_of(g.poisson(0.01, shape)) for shape in ((op10.WIDTH + 2, op10.SYMBOLS), (op10.FAR, op10.WIDTH, op10.SYMBOLS)))
     there = pickle.loads(pickle.dumps(op10.Counts(pairs, near, far)))
-    assert (there.near == near).all() and (there.far == far).all() and (there.pairs == pairs).all()
+    for a, b in ((there.near, near), (there.far, far)):
+        assert a.shape == b.shape and (a.at == b.at).all() and (a.n == b.n).all()
+    assert (there.pairs == pairs).all()
     place = there.values().place
     assert place[5] == op10.WIDTH and place[7 * op10.WIDTH + 3] == op10.WIDTH + 1 and place[6] == 6
 
