@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from groupsight.functions.scalars import remap, rounded, smooth_uncertain
 from groupsight.operators import evaluate as E
 from groupsight.operators import features as G
+from groupsight.operators import screen as C
 from groupsight.plans.q_features import B1_GROUPS, HEURISTIC_SQL, b1_groups
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import VECTOR_SCORES, table, vector_scores
@@ -200,10 +201,11 @@ def e_ema(spark, d):
     return E.ema_scores(rd, "scorer", "cycle").select("scorer", *r("ema"))
 
 
-@query("e_leader", f"{SC}, {_RWD} SELECT scorer, round(reward, 6) AS reward, n_name AS name FROM rd LEFT JOIN nation ON scorer = n_nationkey AND n_regionkey < 3")
+@query("e_leader", f"{SC}, {_RWD} SELECT scorer, round(reward, 6) AS reward, n_name AS name, row_number() OVER (ORDER BY reward DESC, scorer) AS place, n FROM rd LEFT JOIN nation ON scorer = n_nationkey AND n_regionkey < 3 JOIN (SELECT scorer, count(*) AS n FROM sc GROUP BY 1) USING (scorer)")
 def e_leader(spark, d):
-    n = table(spark, d, "nation").where("n_regionkey < 3")
-    return _rewards(spark, d).join(n, F.col("scorer") == F.col("n_nationkey"), "left").select("scorer", *r("reward"), F.col("n_name").alias("name"))
+    names = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("scorer"), F.col("n_name").alias("name"))
+    out = C.leaderboard(_rewards(spark, d), names, "scorer", sc(spark, d).groupBy("scorer").agg(F.count("*").alias("n")))
+    return out.select("scorer", *r("reward"), "name", "place", "n")
 
 
 @query("e_gates", f"{SC}, c AS (SELECT domain, {_CM} FROM sc GROUP BY 1) SELECT domain, tp / (tp + fn) >= 0.5 AS recall_ok, fp / (fp + tn) <= 0.5 AS fpr_ok, (SELECT bool_and(tp / (tp + fn) >= 0.5 AND fp / (fp + tn) <= 0.5) FROM c) AS release FROM c")
@@ -218,17 +220,19 @@ _ENS = "round((score + least(1, score * 1.1)) / 2, 9)"
 
 @query("e_pseudo", f"{SC}, e AS (SELECT id, {_ENS} AS mean, abs(score - least(1, score * 1.1)) AS gap FROM sc) SELECT id, round(mean, 6) AS mean, CASE WHEN mean >= 0.8 AND gap < 0.1 THEN 1 WHEN mean <= 0.2 AND gap < 0.1 THEN 0 END AS label, round(CASE WHEN (mean >= 0.8 OR mean <= 0.2) AND gap < 0.1 THEN abs(mean - 0.5) * 2 ELSE 0 END, 6) + 0.0 AS weight FROM e")
 def e_pseudo(spark, d):
-    other = F.least(F.lit(1.0), F.col("score") * 1.1)
-    e = sc(spark, d).select("id", rounded((F.col("score") + other) / 2, 9).alias("mean"), F.abs(F.col("score") - other).alias("gap"))
-    sure = F.col("gap") < 0.1
-    label = F.when((F.col("mean") >= 0.8) & sure, 1).when((F.col("mean") <= 0.2) & sure, 0)
-    return e.select("id", *r("mean"), label.alias("label"), rounded(F.when(label.isNotNull(), F.abs(F.col("mean") - 0.5) * 2).otherwise(0.0)).alias("weight"))
+    out = C.pseudo_labels(sc(spark, d).drop("label"), [F.col("score"), F.least(F.lit(1.0), F.col("score") * 1.1)])
+    return out.select("id", *r("mean"), "label", *r("weight"))
 
 
-@query("e_cluster_pseudo", f"{SC} SELECT id, CASE WHEN scorer IN (0, 1, 2) THEN 1 ELSE 0 END AS label, round(0.15 * score, 6) AS sample_weight FROM sc WHERE score >= 0.55 AND scorer <> 6")
+@query("e_cluster_pseudo", f"{SC}, m AS (SELECT scorer, (avg(label) >= 0.5)::INT AS label FROM sc WHERE scorer <> 6 GROUP BY 1) SELECT id, m.label, round(0.15 * score, 6) AS sample_weight FROM sc JOIN m USING (scorer) WHERE score >= 0.55")
 def e_cluster_pseudo(spark, d):
-    cluster = F.when(F.col("scorer").isin(0, 1, 2), 1).otherwise(0)
-    return sc(spark, d).where("score >= 0.55 AND scorer <> 6").select("id", cluster.alias("label"), rounded(0.15 * F.col("score")).alias("sample_weight"))
+    return C.cluster_labels(sc(spark, d), "scorer", "score", "label", noise=6).select("id", "label", *r("sample_weight"))
+
+
+@query("e_cluster_quality", f"""{SC}, m AS (SELECT scorer, (avg(label) >= 0.5)::INT AS mj FROM sc WHERE scorer <> 6 GROUP BY 1), h AS (SELECT label, (mj = label)::INT AS hit FROM sc JOIN m USING (scorer))
+  SELECT round((SELECT avg((scorer <> 6)::INT) FROM sc), 6) AS coverage, round((SELECT avg((scorer = 6)::INT) FROM sc), 6) AS noise_share, round(avg(hit), 6) AS accuracy, round((avg(hit) FILTER (label = 0) + avg(hit) FILTER (label = 1)) / 2, 6) AS balanced_accuracy FROM h""")
+def e_cluster_quality(spark, d):
+    return C.cluster_majority(sc(spark, d), "scorer", "label", 6).select(*r("coverage", "noise_share", "accuracy", "balanced_accuracy"))
 
 
 @query("e_tail_labels", f"{SC} SELECT id, CASE WHEN score <= 0.25 THEN 0 WHEN score >= 0.75 THEN 1 END AS label FROM sc WHERE score <= 0.25 OR score >= 0.75")
@@ -262,9 +266,9 @@ def e_served(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("served"), F.min("event_id").alias("first_cycle"), F.max("event_id").alias("last_cycle"), (F.count("*") - 1).alias("repeats"))
 
 
-@query("e_violations", "SELECT user_id, event_type AS reason, count(*) AS n, max(event_id) AS latest FROM events WHERE value > 300 GROUP BY 1, 2")
+@query("e_violations", "SELECT user_id, event_type AS reason, count(*) AS n, max(event_id) AS latest, CASE WHEN count(*) > 3 THEN 'suspended' ELSE 'open' END AS status FROM events WHERE value > 300 GROUP BY 1, 2")
 def e_violations(spark, d):
-    return table(spark, d, "events").where("value > 300").groupBy("user_id", F.col("event_type").alias("reason")).agg(F.count("*").alias("n"), F.max("event_id").alias("latest"))
+    return C.violation_counts(table(spark, d, "events").where("value > 300").withColumnRenamed("event_type", "reason"), "user_id", "reason", "event_id")
 
 
 @query("e_diag", f"{SC} SELECT cycle, round(min(score), 6) AS low, round(max(score), 6) AS high, round(stddev_pop(score), 6) AS std, count(*) FILTER (score < 0.2) AS near_floor, count(*) FILTER (score > 0.8) AS near_ceiling, sha256(string_agg((score > 0.5)::INT::VARCHAR, '' ORDER BY id)) AS digest FROM sc GROUP BY 1")
@@ -276,7 +280,4 @@ def e_diag(spark, d):
 
 @query("e_load", "SELECT user_id, p95, CASE WHEN p95 > 450 THEN 'extreme' WHEN p95 > 400 THEN 'high' ELSE 'normal' END AS state FROM (SELECT user_id, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk <= 50 GROUP BY 1)")
 def e_load(spark, d):
-    by = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = table(spark, d, "events").withColumn("rk", F.row_number().over(by)).where("rk <= 50").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    p95 = F.element_at("v", (F.floor(0.95 * (F.size("v") - 1)) + 1).cast("int"))
-    return last.select("user_id", p95.alias("p95"), F.when(p95 > 450, "extreme").when(p95 > 400, "high").otherwise("normal").alias("state"))
+    return C.load_state(table(spark, d, "events"), "user_id", "value", [F.desc("ts"), F.desc("event_id")])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import rounded
+from groupsight.operators import screen as C
 from groupsight.operators import stats as S
 from groupsight.operators import transform as T
 from groupsight.operators.sampling import sorted_places
@@ -212,15 +213,13 @@ _SELECT = "CASE WHEN ks >= 0.2 THEN 'drop' WHEN auc BETWEEN 0.45 AND 0.55 THEN '
 @query("s_select", f"{B5}, {LONG}, {_AUC}, {_ks_sql('domain = 0')} SELECT feature, {_SELECT} AS verdict FROM au JOIN ksd USING (feature)")
 def s_select(spark, d):
     j = S.auc(v(spark, d), FS, "label").join(S.ks(v(spark, d), FS, F.col("domain") == 0), "feature")
-    return j.select("feature", F.when(F.col("ks") >= 0.2, "drop").when(F.col("auc").between(0.45, 0.55), "watch").otherwise("keep").alias("verdict"))
+    return C.select_features(j)
 
 
 @query("s_recommend", f"""{B5}, {LONG}, {_AUC}, {_ks_sql('domain = 0')}, j AS (SELECT feature, ks, abs(auc - 0.5) AS s FROM au JOIN ksd USING (feature)), q AS (SELECT quantile_cont(ks, 0.75) AS hk, median(s) AS hs FROM j)
   SELECT feature, CASE WHEN ks >= hk THEN 'high' ELSE 'low' END || '_shift_' || CASE WHEN s >= hs THEN 'strong' ELSE 'weak' END AS kind FROM j, q""")
 def s_recommend(spark, d):
-    j = S.auc(v(spark, d), FS, "label").join(S.ks(v(spark, d), FS, F.col("domain") == 0), "feature").select("feature", "ks", F.abs(F.col("auc") - 0.5).alias("s"))
-    high, strong = j.agg(F.percentile("ks", F.lit(0.75)), F.percentile("s", F.lit(0.5))).first()
-    return j.select("feature", F.concat(F.when(F.col("ks") >= high, "high").otherwise("low"), F.lit("_shift_"), F.when(F.col("s") >= strong, "strong").otherwise("weak")).alias("kind"))
+    return C.recommend(S.auc(v(spark, d), FS, "label").join(S.ks(v(spark, d), FS, F.col("domain") == 0), "feature"))
 
 
 @query("s_prefilter")
@@ -254,18 +253,15 @@ _HEALTH = "CASE WHEN id % 5 = 0 THEN NULL ELSE f0 END"
 
 @query("s_health", f"{B5} SELECT id, round((id % 5 = 0)::INT / 3, 6) AS null_share, 2 + (id % 5 <> 0)::INT AS active, round(sqrt(coalesce(pow({_HEALTH}, 2), 0) + f1 * f1 + f2 * f2), 6) AS l2 FROM b5")
 def s_health(spark, d):
-    x = v(spark, d).withColumn("f0", F.expr(_HEALTH)).withColumn("a", F.array("f0", "f1", "f2"))
-    known = F.filter("a", lambda e: e.isNotNull())
-    return x.select("id", rounded(1 - F.size(known) / 3).alias("null_share"), F.size(F.filter(known, lambda e: F.abs(e) > 1e-12)).alias("active"), rounded(F.sqrt(F.aggregate(known, F.lit(0.0), lambda s, e: s + e * e))).alias("l2"))
+    out = C.row_health(v(spark, d).withColumn("f0", F.expr(_HEALTH)), "id", ["f0", "f1", "f2"])
+    return out.select("id", *r("null_share"), "active", *r("l2"))
 
 
 _TIER = f"{B5}, q AS (SELECT quantile_cont(f0, 0.9) AS hi, quantile_cont(f0, 0.99) AS top FROM b5 WHERE label = 0), t AS (SELECT id, CASE WHEN f0 > top THEN 'hard' WHEN f0 > hi THEN 'soft' ELSE 'clean' END AS tier FROM b5, q)"
 
 
 def _tiers(spark, d):
-    x = v(spark, d)
-    hi, top = x.where("label = 0").agg(F.percentile("f0", F.lit(0.9)), F.percentile("f0", F.lit(0.99))).first()
-    return x.select("id", F.when(F.col("f0") > top, "hard").when(F.col("f0") > hi, "soft").otherwise("clean").alias("tier"))
+    return C.qc_tiers(v(spark, d), "id", ["f0"], F.col("label") == 0).select("id", "tier")
 
 
 @query("s_tier", f"{_TIER} SELECT * FROM t")
@@ -317,8 +313,25 @@ def s_contrast(spark, d):
 
 @query("s_hist", f"{B5} SELECT CAST(CASE WHEN f0 < -0.4 THEN 0 WHEN f0 >= 0.4 THEN 17 ELSE floor((f0 + 0.4) / 0.05) + 1 END AS BIGINT) AS bin, count(*) AS n FROM b5 GROUP BY 1")
 def s_hist(spark, d):
-    at = F.when(F.col("f0") < -0.4, 0).when(F.col("f0") >= 0.4, 17).otherwise(F.floor((F.col("f0") + 0.4) / 0.05) + 1)
-    return v(spark, d).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return C.histogram(v(spark, d), "f0", -0.4, 0.4, 16)
+
+
+@query("s_ecdf", f"{B5}, h AS (SELECT CAST(CASE WHEN f0 < -0.4 THEN 0 WHEN f0 >= 0.4 THEN 17 ELSE floor((f0 + 0.4) / 0.05) + 1 END AS BIGINT) AS bin, domain, count(*) AS n FROM b5 GROUP BY 1, 2) SELECT domain, bin, round(sum(n) OVER (PARTITION BY domain ORDER BY bin) / sum(n) OVER (PARTITION BY domain), 6) AS share FROM h")
+def s_ecdf(spark, d):
+    return C.ecdf(C.histogram(v(spark, d), "f0", -0.4, 0.4, 16, ["domain"]), ["domain"]).select("domain", "bin", *r("share"))
+
+
+_QQ = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query("s_qq", f"{B5}, {LONG}, p AS (SELECT unnest({_QQ})::DOUBLE AS p), q AS (SELECT feature, " + ", ".join(f"quantile_cont(value, {p}) FILTER (domain = 0) AS a{i}, quantile_cont(value, {p}) FILTER (domain <> 0) AS b{i}" for i, p in enumerate(_QQ)) + " FROM lf GROUP BY 1) " + " UNION ALL ".join(f"SELECT feature, {p}::DOUBLE AS p, round(a{i}, 6) + 0.0 AS a, round(b{i}, 6) + 0.0 AS b FROM q" for i, p in enumerate(_QQ)))
+def s_qq(spark, d):
+    return C.qq(v(spark, d), FS, F.col("domain") == 0, _QQ).select("feature", "p", *r("a", "b"))
+
+
+@query("s_agree", f"{B5} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS corr, round(avg(abs({a} - {b})), 6) AS mean_abs_difference FROM b5" for a, b in (("f0", "f1"), ("f0", "f2"), ("f1", "f2"))))
+def s_agree(spark, d):
+    return C.scorer_agreement(v(spark, d), ["f0", "f1", "f2"]).select("a", "b", *r("corr", "mean_abs_difference"))
 
 
 @query("s_rule", f"""{B5}, {LONG}, {_AUC}, rw AS (SELECT feature, value, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(p) OVER (PARTITION BY feature) AS tp, sum(q) OVER (PARTITION BY feature) AS tq FROM ac WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
@@ -327,9 +340,9 @@ def s_rule(spark, d):
     return S.best_rule(v(spark, d), FS, "label").select("feature", *r("accuracy"))
 
 
-@query("s_bands", f"{B5} SELECT label, round(avg(f0), 6) + 0.0 AS mean, round(median(f0), 6) + 0.0 AS median, round(avg((f0 > 0.1)::INT), 6) AS share_high, round(avg((f0 < -0.1)::INT), 6) AS share_low FROM b5 GROUP BY 1")
+@query("s_bands", f"{B5} SELECT label, round(avg(f0), 6) + 0.0 AS mean, round(median(f0), 6) + 0.0 AS median, round(avg((f0 > 0.1)::INT), 6) AS share_high, round(avg((f0 < -0.1)::INT), 6) AS share_low, round(quantile_cont(f0, 0.1), 6) + 0.0 AS p10, round(quantile_cont(f0, 0.9), 6) + 0.0 AS p90 FROM b5 GROUP BY 1")
 def s_bands(spark, d):
-    return v(spark, d).groupBy("label").agg(rounded(F.avg("f0")).alias("mean"), rounded(F.percentile("f0", F.lit(0.5))).alias("median"), rounded(F.avg((F.col("f0") > 0.1).cast("int"))).alias("share_high"), rounded(F.avg((F.col("f0") < -0.1).cast("int"))).alias("share_low"))
+    return C.score_bands(v(spark, d), ["label"], "f0", -0.1, 0.1).select("label", *r("mean", "median", "p10", "p90", "share_high", "share_low"))
 
 
 @query("s_by_hash", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(avg((value > 250)::INT), 6) AS high_share FROM events GROUP BY 1")
@@ -353,10 +366,7 @@ def s_ks_matrix(spark, d):
 @query("s_direction", f"""{B5}, {LONG}, e AS (SELECT feature, domain, (avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0)) / stddev_samp(value) AS e FROM lf WHERE domain < 2 GROUP BY 1, 2), j AS (SELECT feature, max(e) FILTER (domain = 0) AS a, max(e) FILTER (domain = 1) AS b FROM e GROUP BY 1)
   SELECT feature, CASE WHEN sign(a) <> sign(b) THEN 'rejected' WHEN least(abs(a), abs(b)) < 0.1 THEN 'weak' ELSE 'robust' END AS verdict FROM j""")
 def s_direction(spark, d):
-    mean = lambda k: F.avg(F.when(F.col("label") == k, F.col("value")))
-    e = S.long_form(v(spark, d).where("domain < 2"), FS, ["domain", "label"]).groupBy("feature").pivot("domain", [0, 1]).agg((mean(1) - mean(0)) / F.stddev_samp("value"))
-    a, b = F.col("0"), F.col("1")
-    return e.select("feature", F.when(F.sign(a) != F.sign(b), "rejected").when(F.least(F.abs(a), F.abs(b)) < 0.1, "weak").otherwise("robust").alias("verdict"))
+    return C.direction_check(v(spark, d), FS, "domain", "label", (0, 1)).select("feature", "verdict")
 
 
 @query("s_rollup", "SELECT domain, label, count(*) AS n FROM (SELECT label % 3 AS domain, (label >= 5)::INT AS label FROM embeddings) GROUP BY ROLLUP (domain, label)")
