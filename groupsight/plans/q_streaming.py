@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import rounded
+from groupsight.operators import features as G
+from groupsight.plans.q_features import CONTRAST_SQL, HEURISTIC_SQL, group_sql, session_sql
 from groupsight.plans.registry import query
-from groupsight.sources.bindings import table, vector_scores
+from groupsight.sources.bindings import USER_EVENTS, table, user_events, vector_scores
 from groupsight.sources.store import shared_path
 from groupsight.streaming import jobs as Z
 
@@ -83,3 +85,16 @@ def z_log(spark, d):
 def z_coverage(spark, d):
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     return table(spark, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", rounded(F.coalesce(F.col("n") / 20, F.lit(0.0))).alias("coverage"))
+
+
+@query("z_score_log", f"WITH {USER_EVENTS},{session_sql('b2')},{group_sql()},{CONTRAST_SQL} SELECT grp, CAST(chunk_n_hands AS BIGINT) AS sessions, round(raise_ratio_mean, 6) + 0.0 AS raise_ratio_mean, round({HEURISTIC_SQL}, 5) AS score FROM cf")
+def z_score_log(spark, d):
+    """Users' events arrive as a stream of files; features and score are logged once per user."""
+
+    def scored(events):
+        g = G.contrast_features(G.group_features(G.session_features(events)))
+        return g.select("grp", F.col("chunk_n_hands").cast("long").alias("sessions"), rounded("raise_ratio_mean").alias("raise_ratio_mean"), rounded(G.heuristic_score(g), 5).alias("score"))
+
+    path, events = shared_path(spark, "requests"), user_events(spark, d)
+    events.write.parquet(path)
+    return Z.score_log(spark.readStream.schema(events.schema).parquet(path), scored, "grp")

@@ -6,7 +6,7 @@ bounded by watermarks. State per key is small and bounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -136,3 +136,21 @@ def threshold_stream(
 def deduplicated_log(events: DataFrame, ts: str, key: str, delay: str = "1 hour") -> DataFrame:
     """Each record of a log once, within the watermark."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+
+
+def score_log(requests: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, name: str = "score_log") -> DataFrame:
+    """A log, with a row per key: each micro-batch's requests are scored as a table, and keys that the log holds are not logged again.
+
+    score: rows of requests to one row per key, such as features and a score. A batch that is run again after a failure adds nothing.
+    """
+    spark = requests.sparkSession
+    path, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    schema = score(spark.createDataFrame([], requests.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def put(batch: DataFrame, _: int) -> None:
+        before = batch.sparkSession.read.schema(schema).parquet(path).select(key)
+        score(batch).join(before, key, "left_anti").select(*schema.names).write.mode("append").parquet(path)
+
+    requests.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path)
