@@ -104,9 +104,9 @@ def canonical_view(events: DataFrame, unit: float = 1.0, forced: tuple[str, ...]
     (grp, sess, pos, stage, type, actor, amount, total)
     """
     rows = sample_events(collapse_noops(events.where(~F.col("type").isin(*forced))), seed)
-    first = rows.groupBy("sess", "actor").agg(F.min("pos").alias("first"))
-    alias = first.withColumn("alias", F.row_number().over(Window.partitionBy("sess").orderBy("first")))
-    rows = rows.join(alias.select("sess", "actor", "alias"), ["sess", "actor"], "left")
+    # an actor's first place is no other's, so their dense rank is the alias; all windows share the partitioning by session
+    rows = rows.withColumn("_first", F.min("pos").over(Window.partitionBy("sess", "actor")))
+    rows = rows.withColumn("alias", F.when(F.col("actor").isNotNull(), F.dense_rank().over(Window.partitionBy("sess").orderBy("_first"))))
     shown = lambda c: coarsen(F.col(c) / unit, F.col("sess").cast("string"), F.col("pos").cast("string"), F.lit(c)).alias(c)
     return rows.select("grp", "sess", "pos", "stage", "type", F.coalesce("alias", F.lit(0)).cast("long").alias("actor"), shown("amount"), shown("total"))
 
