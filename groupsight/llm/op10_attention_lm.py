@@ -51,11 +51,11 @@ HEAVY = 65_000
 SYMBOLS, GROUPS = 1024, 64
 PAD = SYMBOLS
 WIDTH = SYMBOLS + 1
-PAIRS = 12_000
+PAIRS = 6_000
 QUERIES = 128
 REACH, BLOCK = 6, 250
 #: Distances whose values are counted apart; longer ones share the last table.
-FAR = 3
+FAR = 2
 KNOWN_WORDS = 250_000
 SAMPLE_SHARE = 64
 #: Windows that are scored at a time.
@@ -128,23 +128,23 @@ class Counts:
 
     def __init__(self, pairs: np.ndarray, near: Cells, far: Cells):
         """pairs: the pairs (a, b) with rows of their own in near, as a * WIDTH + b."""
-        self.pairs, self.near, self.far, self.made = pairs, near, far, {}
+        pack = lambda x: (x.shape, zlib.compress(np.diff(x.at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(x.n.astype("<u4").tobytes(), 1))
+        self.pairs, self.packed, self.made = pairs, (pack(near), pack(far)), {}
 
     def __getstate__(self) -> dict:
-        pack = lambda x: (x.shape, zlib.compress(np.diff(x.at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(x.n.astype("<u4").tobytes(), 1))
-        return {"pairs": self.pairs, "near": pack(self.near), "far": pack(self.far)}
+        return self.__dict__ | {"made": {}}
 
-    def __setstate__(self, state: dict) -> None:
+    def cells(self) -> list[Cells]:
+        """near and far."""
         number = lambda x: np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
-        open_ = lambda x: Cells(x[0], np.cumsum(number(x[1])), number(x[2]))
-        self.__init__(state["pairs"], open_(state["near"]), open_(state["far"]))
+        return [Cells(shape, np.cumsum(number(gaps)), number(n)) for shape, gaps, n in self.packed]
 
     def values(self, less: int = 0) -> Values:
         if less not in self.made:
             self.made.clear()
             place = np.tile(np.arange(WIDTH, dtype=np.int32), WIDTH)
             place[self.pairs] = WIDTH + np.arange(len(self.pairs))
-            self.made[less] = Values(place, self.near, self.far, less)
+            self.made[less] = Values(place, *self.cells(), less)
         return self.made[less]
 
 
@@ -316,6 +316,12 @@ def _words(name: str, heavy, files: tuple[str, str]) -> Words:
     return _WORDS[name]
 
 
+def _forget_words() -> None:
+    """A worker that goes on to count or score gives the memory of its words back."""
+    _WORDS.clear()
+    chunks_of.cache_clear()
+
+
 def _encoded(docs: DataFrame, heavy, files: tuple[str, str]) -> DataFrame:
     """(row, id, held, n, ids, heavy, tail): subword ids, frequent words' places and other words' hashes of each document."""
     name = uuid.uuid4().hex
@@ -338,14 +344,14 @@ def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long
     names = [f"n{c}" for c in range(columns)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _WORDS.clear()
+        _forget_words()
         table = np.zeros((columns, size), np.int32 if kind == "long" else np.float64)  # a task has fewer than 2**31 tokens
         for pdf in parts:
             add(table, pdf)
         at = np.flatnonzero(table.any(axis=0))
         yield pd.DataFrame({"k": at} | {name: table[c, at].astype(np.int64 if kind == "long" else float) for c, name in enumerate(names)})
 
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    tasks = rows.sparkSession.sparkContext.defaultParallelism  # each sends up to the table's cells
     cells = rows.coalesce(tasks).mapInPandas(run, "k long, " + ", ".join(f"{n} {kind}" for n in names))
     return cells.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
 
@@ -417,7 +423,7 @@ def _values_counted(train: DataFrame, symbols: Symbols) -> Counts:
         if len(pdf):
             at, line = targets(pdf)
             row = sent_place.value[line[at - 2] * WIDTH + line[at - 1]].astype(np.int64)
-            np.add.at(table[0], row * SYMBOLS + line[at], 1)
+            table[0] += np.bincount(row * SYMBOLS + line[at], minlength=rows * SYMBOLS).astype(np.int32)
 
     near = _as_cells(_summed(ids, rows * SYMBOLS, add_near), (rows, SYMBOLS))
     return Counts(top // SYMBOLS * WIDTH + top % SYMBOLS, near, far)
@@ -466,7 +472,7 @@ def _tail_shares(encoded: DataFrame) -> DataFrame:
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, rounds: int = 8) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, rounds: int = 4) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document; held_out: a Column on id_col."""
     spark = docs.sparkSession
     prepare(spark)
@@ -475,6 +481,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     files = public_tokenizers.path(RANKS), public_tokenizers.path(TOKENIZER)
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(_frequent_words(rows))})
     encoded = cut(_encoded(rows, place, files), "encoded")
+    place.unpersist()
     train = encoded.where("NOT held")
     words, ids, tokens, ends = _corpus_counts(train)
     symbols = Symbols(ids)
@@ -486,6 +493,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     @F.pandas_udf("heavy_log double, heavy_known long, score double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        _forget_words()
         log_count, known, attention = sent.value
         symbols, counts = model.value
         reader = Reader(attention, counts.values())

@@ -633,7 +633,7 @@ def test_counts_travel_whole():
     pairs = np.array([5, 7 * op10.WIDTH + 3])
     near, far = (op10.cells_of(g.poisson(0.01, shape)) for shape in ((op10.WIDTH + 2, op10.SYMBOLS), (op10.FAR, op10.WIDTH, op10.SYMBOLS)))
     there = pickle.loads(pickle.dumps(op10.Counts(pairs, near, far)))
-    for a, b in ((there.near, near), (there.far, far)):
+    for a, b in zip(there.cells(), (near, far), strict=True):
         assert a.shape == b.shape and (a.at == b.at).all() and (a.n == b.n).all()
     assert (there.pairs == pairs).all()
     place = there.values().place
