@@ -6,14 +6,14 @@ is looked at in order has a row per score value, not per prediction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupsight.functions.scalars import clamp
+from groupsight.functions.scalars import clamp, finite
+from groupsight.operators.ordered import medians, running
+from groupsight.session import ship_package
 
 DOWN = Window.unboundedPreceding
 
@@ -37,8 +37,7 @@ def score_counts(df: DataFrame, by: list[str], score: str = "score", label: str
 
 def average_precision(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(by, ap): sum of precision times the step in recall, one step per distinct score; 0 without positives."""
-    along = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(DOWN, 0)
-    c = score_counts(df, by, score, label).withColumn("cp", F.sum("p").over(along)).withColumn("cq", F.sum("q").over(along))
+    c = running(score_counts(df, by, score, label), by, [F.desc(score)], {"cp": F.col("p"), "cq": F.col("q")})
     step = F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq"))
     return c.groupBy(*by).agg(F.coalesce(F.sum(step) / F.nullif(F.sum("p"), F.lit(0)), F.lit(0.0)).alias("ap"))
 
@@ -99,57 +98,114 @@ def recall_at_cap(curve: DataFrame, cap: float, by: list[str] | None = None) ->
     return pick(curve.withColumn("feasible", ok), by or [], F.desc("feasible"), F.when(ok, -F.col("recall")).otherwise(F.col("fpr")), F.when(ok, F.col("fpr")).otherwise(-F.col("recall")), near, "t")
 
 
-def bimodal_gap(df: DataFrame, by: list[str], score: str = "score", min_scores: int = 10, gap_ratio: float = 3.0, min_gap: float = 0.02, min_share: float = 0.05) -> DataFrame:
-    """(by, n, max_gap, median_gap, threshold): the middle of the largest gap between neighbouring scores, NULL unless it splits the group in two clear parts."""
-    order = Window.partitionBy(*by).orderBy(score)
-    gaps = df.withColumn("_prev", F.lag(score).over(order)).withColumn("_gap", F.col(score) - F.col("_prev")).withColumn("_below", F.row_number().over(order) - 1)
-    # of equal gaps the first
-    top = F.max_by(F.struct(F.col("_prev"), F.col(score).alias("s"), F.col("_below").alias("low")), F.struct(F.col("_gap"), -F.col("_below")))
-    g = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.max("_gap").alias("max_gap"), F.percentile("_gap", F.lit(0.5)).alias("median_gap"), top.alias("top"))
-    least = F.greatest(F.lit(1), F.floor(F.col("n") * min_share))
-    ok = (F.col("n") >= min_scores) & (F.col("max_gap") > gap_ratio * F.greatest(F.col("median_gap"), F.lit(1e-6))) & (F.col("max_gap") > min_gap)
-    ok = ok & (F.col("top.low") >= least) & (F.col("n") - F.col("top.low") >= least)
-    return g.select(*by, "n", "max_gap", "median_gap", F.when(ok, (F.col("top._prev") + F.col("top.s")) / 2).alias("threshold"))
+def two_parts(n, low, max_gap, median_gap, min_scores: int = 10, gap_ratio: float = 3.0, min_gap: float = 0.02, min_share: float = 0.05):
+    """Whether the largest gap of n scores, `low` of them below it, makes two clear parts. For columns and for numbers."""
+    wide = (max_gap > min_gap) & (max_gap > gap_ratio * median_gap) & (max_gap > gap_ratio * 1e-6)
+    # a part has a row at least, and the whole number of rows in its least share
+    return (n >= min_scores) & wide & (low >= 1) & (low > n * min_share - 1) & (n - low >= 1) & (n - low > n * min_share - 1)
+
 
+def bimodal_gap(df: DataFrame, by: list[str], score: str = "score", **peaks) -> DataFrame:
+    """(by, n, max_gap, median_gap, threshold): the middle of the largest gap between neighbouring scores (of equal ones the lowest), NULL unless two_parts().
 
-def gap_of(scores: np.ndarray, min_scores: int = 10, gap_ratio: float = 3.0, min_gap: float = 0.02, min_share: float = 0.05) -> float | None:
+    Missing scores do not count. Neighbours and the median come from running sums over ranges, so a large group is shared by tasks.
+    """
+    near = running(df.where(finite(F.col(score)).isNotNull()).select(*by, score), by, [F.col(score)], {"_k": F.lit(1)}, previous=score)
+    gaps = near.withColumn("_gap", F.col(score) - F.col(f"previous_{score}"))
+    top = F.max_by(F.struct(F.col(f"previous_{score}").alias("a"), F.col(score).alias("b"), (F.col("_k") - 1).alias("low")), F.struct("_gap", -F.col("_k")))
+    g = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.max("_gap").alias("max_gap"), top.alias("_top"))
+    middle = medians(gaps, by, "_gap").select("median", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+    met = F.lit(True)
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    g = g.join(middle, met, "left").withColumnRenamed("median", "median_gap")
+    ok = two_parts(F.col("n"), F.col("_top.low"), F.col("max_gap"), F.col("median_gap"), **peaks)
+    return g.select(*by, "n", "max_gap", "median_gap", F.when(ok, (F.col("_top.a") + F.col("_top.b")) / 2).alias("threshold"))
+
+
+def gap_of(scores: np.ndarray, **peaks) -> float | None:
     """bimodal_gap() of one array."""
-    x = pd.Series(scores, dtype=float).sort_values(ignore_index=True)
-    if len(x) < max(2, min_scores):
+    x = np.sort(scores[np.isfinite(scores)])
+    if len(x) < 2:
         return None
-    gaps = pd.Series(x.diff()[1:].to_numpy(), index=x.rolling(2).mean()[1:])
-    middle = gaps.idxmax()
-    splits = min((x < middle).sum(), (x > middle).sum()) >= max(1, int(len(x) * min_share))
-    return float(middle) if splits and gaps.max() > max(min_gap, gap_ratio * max(gaps.median(), 1e-6)) else None
+    gaps = np.diff(x)
+    low = int(gaps.argmax()) + 1
+    return float(x[low - 1 : low + 1].mean()) if two_parts(len(x), low, gaps.max(), np.median(gaps), **peaks) else None
+
+
+def chosen_threshold(batch: float | None, before: np.ndarray, static: float | None, fixed: float, low: float, high: float, peaks: dict) -> tuple[float, str]:
+    """Threshold and mode: the gap of the batch, else that of the scores before it, else static, else fixed; clamped."""
+    found, mode = batch, "gap_batch"
+    if found is None:
+        found, mode = gap_of(before, **peaks), "gap_rolling"
+    if found is None:
+        found, mode = (fixed, "fixed") if static is None else (static, "static")
+    return min(max(found, low), high), mode
+
+
+def dynamic_threshold(
+    df: DataFrame, stream: str, batch: str, score: str = "score", keep: int = 500, static: float | None = None, fixed: float = 0.5, low: float = 0.1, high: float = 0.45,
+    size: int = 4096, peaks: dict | None = None,
+) -> DataFrame:
+    """(stream, batch, threshold, mode): gap in the batch, else in the last `keep` scores before it, else static, else fixed; clamped. peaks: options of two_parts().
+
+    A batch is cut down to its last scores, `keep` at most, in order of score. A stream's batches are worked on in chunks that begin every
+    `size` scores, each with the batches that the `keep` scores before it come from, so one long stream is shared by many tasks.
+    Rows without stream, batch or score do not count.
+    """
+    ship_package(df.sparkSession)
+    peaks, kinds = peaks or {}, dict(df.dtypes)
+    rows = df.where(F.col(stream).isNotNull() & F.col(batch).isNotNull() & finite(F.col(score)).isNotNull()).select(stream, batch, score)
+    placed = running(rows, [stream], [F.col(batch), F.col(score)], {"_k": F.lit(1)}).drop("_k_total")
+    per = placed.groupBy(stream, batch).agg((F.min("_k") - 1).alias("_before"), F.max("_k").alias("_end"))
+    tails = placed.join(per, [stream, batch]).where(F.col("_k") > F.col("_end") - keep).groupBy(stream, batch).agg(
+        F.first("_before").alias("_before"), F.first("_end").alias("_end"), F.sort_array(F.collect_list(score)).alias("_tail")
+    )
+    found = bimodal_gap(rows, [stream, batch], score, **peaks).select(stream, batch, F.col("threshold").alias("_found"))
+    chunk = lambda c: F.floor(c / size)
+    ahead = F.sequence(chunk(F.col("_end")), chunk(F.col("_end") + keep - 1))
+    met = tails.join(found, [stream, batch]).withColumn("_own", chunk(F.col("_before"))).withColumn("_chunk", F.explode(F.array_union(F.array("_own"), ahead)))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_before")
+        before, out = np.empty(0), []
+        for s, b, found, tail, held in zip(pdf[stream], pdf[batch], pdf["_found"], pdf["_tail"], pdf["_own"] == pdf["_chunk"], strict=True):
+            if held:
+                out.append((s, b, *chosen_threshold(None if pd.isna(found) else found, before, static, fixed, low, high, peaks)))
+            before = np.concatenate([before, tail])[-keep:]
+        return pd.DataFrame(out, columns=[stream, batch, "threshold", "mode"])
 
+    return met.groupBy(stream, "_chunk").applyInPandas(decide, f"{stream} {kinds[stream]}, {batch} {kinds[batch]}, threshold double, mode string")
 
-def dynamic_threshold(df: DataFrame, stream: str, batch: str, score: str = "score", keep: int = 500, static: float | None = None, fixed: float = 0.5, low: float = 0.1, high: float = 0.45) -> DataFrame:
-    """(stream, batch, threshold, mode): gap in the batch, else in the last `keep` scores before it, else static, else fixed; clamped.
 
-    The scores of a stream go to one task in order; what a task holds at a time is one stream's arrays.
+def answers(given: DataFrame, expected: DataFrame, scorers: DataFrame, scorer: str, cycle: str, position: str, wanted: str = "expected") -> tuple[DataFrame, DataFrame]:
+    """What scorers gave in cycles: (the rows of given within each cycle's expected number, (scorer, cycle, coverage)).
+
+    Positions count from 0; those beyond the expected number are cut off. Each scorer has a coverage for each cycle, 0 where nothing came or nothing was expected.
     """
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rolling, out = np.empty(0), []
-        for b, part in pdf.sort_values([batch, score]).groupby(batch, sort=True):
-            found, mode = gap_of(part[score].to_numpy()), "gap_batch"
-            if found is None:
-                found, mode = gap_of(rolling), "gap_rolling"
-            if found is None:
-                found, mode = (static, "static") if static is not None else (fixed, "fixed")
-            out.append((pdf[stream].iloc[0], b, min(max(found, low), high), mode))
-            rolling = np.concatenate([rolling, part[score].to_numpy()])[-keep:]
-        return pd.DataFrame(out, columns=[stream, batch, "threshold", "mode"])
+    kept = given.join(expected.select(cycle, wanted), cycle).where(F.col(position) < F.col(wanted)).drop(wanted)
+    came = kept.groupBy(scorer, cycle).agg(F.count("*").alias("_n"))
+    asked = scorers.select(scorer).distinct().join(expected.select(cycle, wanted), F.lit(True))  # the cycles' list of who was asked
+    coverage = F.coalesce(F.col("_n") / F.nullif(F.col(wanted), F.lit(0)), F.lit(0.0))
+    return kept, asked.join(came, [scorer, cycle], "left").select(scorer, cycle, coverage.alias("coverage"))
 
-    return df.select(stream, batch, score).groupBy(stream).applyInPandas(run, f"{stream} {kinds[stream]}, {batch} {kinds[batch]}, threshold double, mode string")
 
+def windowed_reward(df: DataFrame, scorer: str, order: list[str], n: int = 40, responses: DataFrame | None = None, cycle: str = "cycle") -> DataFrame:
+    """(scorer, fpr, recall, ap, penalty, base, reward, samples[, coverage, latency]) over each scorer's last n predictions; with fewer, fpr is 1 and all others 0.
 
-def windowed_reward(df: DataFrame, scorer: str, order: list[str], n: int = 40) -> DataFrame:
-    """(scorer, reward) over each scorer's last n predictions; 0 with fewer."""
-    last = df.withColumn("_place", F.row_number().over(Window.partitionBy(scorer).orderBy(*[F.desc(c) for c in order]))).where(F.col("_place") <= n)
-    sizes = last.groupBy(scorer).agg(F.count("*").alias("_n"))
-    return reward(last, [scorer]).join(sizes, scorer).select(scorer, F.when(F.col("_n") >= n, F.col("reward")).otherwise(0.0).alias("reward"))
+    responses: (scorer, cycle, coverage, latency), whose last n rows, and last n known latencies, are averaged; scorers that only they name have
+    no prediction. Only a scorer's last n rows of a task are shuffled.
+    """
+    last = lambda rows, keys: rows.withColumn("_place", F.row_number().over(Window.partitionBy(scorer).orderBy(*[F.desc(c) for c in keys]))).where(F.col("_place") <= n).drop("_place")
+    recent = last(df, order)
+    out = reward(recent, [scorer]).join(recent.groupBy(scorer).agg(F.count("*").alias("samples")), scorer)
+    if responses is not None:
+        met = last(responses, [cycle]).groupBy(scorer).agg(F.avg("coverage").alias("coverage"))
+        slow = last(responses.where(F.col("latency").isNotNull()), [cycle]).groupBy(scorer).agg(F.avg("latency").alias("latency"))
+        out = out.join(met.join(slow, scorer, "left"), scorer, "full").withColumns({"samples": F.coalesce("samples", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))})
+    full = F.col("samples") >= n
+    worst = {"fpr": 1.0, "recall": 0.0, "ap": 0.0, "penalty": 0.0, "base": 0.0, "reward": 0.0}
+    return out.select(scorer, *[F.when(full, F.col(k)).otherwise(w).alias(k) for k, w in worst.items()], "samples", *(["coverage", "latency"] if responses is not None else []))
 
 
 def podium(rewards: DataFrame, scorer: str, shares: tuple[float, ...] = (0.5, 0.3, 0.2), reserve: float = 0.97) -> DataFrame:
@@ -186,16 +242,19 @@ def threshold_methods(df: DataFrame, by: list[str], score: str = "score", fixed:
     return bimodal_gap(df, by, score).join(med, by).select(*by, "passive", F.coalesce("threshold", (F.col("passive") + fixed) / 2).alias("hybrid"))
 
 
-def mixture_threshold(scores: Iterator[float], rounds: int = 60) -> float:
-    """Where two normal components of one batch's scores cross; for a bounded batch."""
-    x = np.asarray(list(scores), float)
-    m, s, w = np.percentile(x, [25, 75]), np.full(2, x.std() + 1e-6), np.full(2, 0.5)
-    for _ in range(rounds):
-        d = w * np.exp(-((x[:, None] - m) ** 2) / (2 * s**2)) / s
-        d /= d.sum(axis=1, keepdims=True) + 1e-300
-        n = d.sum(axis=0) + 1e-12
-        m, w = (d * x[:, None]).sum(axis=0) / n, n / n.sum()
-        s = np.sqrt((d * (x[:, None] - m) ** 2).sum(axis=0) / n) + 1e-6
-    grid = np.linspace(m.min(), m.max(), 201)
-    d = w * np.exp(-((grid[:, None] - m) ** 2) / (2 * s**2)) / s
-    return float(grid[np.abs(d[:, 0] - d[:, 1]).argmin()])
+def mixture_threshold(df: DataFrame, score: str = "score", rounds: int = 100, seed: int = 7) -> float | None:
+    """Where the two normal components that fit a table's scores cross, between their means; None without two different scores."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = df.where(finite(F.col(score)).isNotNull()).select(F.col(score).cast("double").alias("x"))
+    if rows.agg(F.max("x") > F.min("x")).first()[0] is not True:
+        return None
+    fitted = GaussianMixture(k=2, maxIter=rounds, seed=seed, featuresCol="v").fit(VectorAssembler(inputCols=["x"], outputCol="v").transform(rows))
+    (w1, m1, v1), (w2, m2, v2) = sorted(((w, g.mean[0], g.cov[0, 0]) for w, g in zip(fitted.weights, fitted.gaussians, strict=True)), key=lambda t: t[1])
+    # log densities are parabolas: their difference vanishes where the components cross
+    a, b = 1 / v2 - 1 / v1, 2 * (m1 / v1 - m2 / v2)
+    c = m2**2 / v2 - m1**2 / v1 + np.log(v2 / v1) + 2 * np.log(w1 / w2)
+    roots = [x.real for x in np.roots([a, b, c]) if abs(x.imag) < 1e-9]
+    between = [x for x in roots if m1 <= x <= m2]
+    return float(between[0] if between else (m1 + m2) / 2)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import EPS, EVENT_TYPES, clamp, total
-from groupsight.operators.transform import percentiles
+from groupsight.operators.ordered import quantiles
+from groupsight.sources.store import cut, scratch
 
 # The contract's feature names, in order.
 SESSION_FEATURES = (
@@ -180,11 +181,12 @@ def derived_features(groups: DataFrame) -> DataFrame:
     })
 
 
-def derived_fit(train: DataFrame, accuracy: int | None = None) -> dict[str, tuple[float, float, float]]:
+def derived_fit(train: DataFrame) -> dict[str, tuple[float, float, float]]:
     """1 % and 99 % quantiles and population std of each index over the training groups."""
-    aggs = [x for k in DERIVED for x in (percentiles(F.col(k), [0.01, 0.99], accuracy), F.stddev_pop(k))]
-    row = derived_features(train).agg(*aggs).first()
-    return {k: (row[2 * i][0], row[2 * i][1], row[2 * i + 1]) for i, k in enumerate(DERIVED) if row[2 * i]}
+    with scratch(train.sparkSession):
+        rows = cut(derived_features(train).select(*DERIVED), "derived")  # read in several passes
+        found, row = quantiles(rows, list(DERIVED), [0.01, 0.99]), rows.agg(*[F.stddev_pop(k).alias(k) for k in DERIVED]).first()
+    return {k: (*found[k], row[k]) for k in DERIVED if found[k][0] is not None}
 
 
 def derived_apply(groups: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> DataFrame:

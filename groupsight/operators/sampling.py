@@ -176,9 +176,10 @@ def domain_mix(df: DataFrame, key: str, domain: str, caps: dict, repeats: dict,
 
 def stratified_split(df: DataFrame, key: str, label: str, val_share: float, seed: str = "s") -> DataFrame:
     """df with split: val_share of each class is 'val', at least one row of a class of two or more."""
-    rows = hash_rank(df, key, seed, [label]).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("_n"))  # a row per class
+    rows = hash_rank(df, key, seed, [label]).join(sizes, F.col(label).eqNullSafe(F.col("_class")))
     want = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.floor(F.col("_n") * val_share + 0.5))).otherwise(0)
-    return rows.withColumn("split", F.when(F.col("rank") <= want, "val").otherwise("train")).drop("rank", "_n")
+    return rows.withColumn("split", F.when(F.col("rank") <= want, "val").otherwise("train")).drop("rank", "_n", "_class")
 
 
 def bernoulli_split(df: DataFrame, key: str, ratio: float, seed: str = "s") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import clamp
 from groupsight.operators.stats import long_form
-from groupsight.operators.transform import percentiles
+from groupsight.operators.ordered import quantiles
 
 
 def select_features(scores: DataFrame, most_shift: float = 0.2, blind: tuple[float, float] = (0.45, 0.55)) -> DataFrame:
@@ -33,9 +33,9 @@ def row_health(df: DataFrame, key: str, columns: list[str], tiny: float = 1e-12)
     return df.select(key, (1 - F.size(known) / len(columns)).alias("null_share"), F.size(F.filter(known, lambda x: F.abs(x) > tiny)).alias("active"), length.alias("l2"))
 
 
-def qc_tiers(df: DataFrame, key: str, columns: list[str], reference: Column, soft: float = 0.9, hard: float = 0.99, accuracy: int | None = None) -> DataFrame:
+def qc_tiers(df: DataFrame, key: str, columns: list[str], reference: Column, soft: float = 0.9, hard: float = 0.99) -> DataFrame:
     """(key, tier, reasons): hard or soft by the features that lie over the reference rows' quantiles, which are the reasons; else clean."""
-    marks = df.where(reference).agg(*[percentiles(F.col(c), [soft, hard], accuracy).alias(c) for c in columns]).first()
+    marks = {c: q if q[0] is not None else [float("inf")] * 2 for c, q in quantiles(df.where(reference), columns, [soft, hard]).items()}
     over = lambda k: F.filter(F.array(*[F.when(F.col(c) > marks[c][k], c) for c in columns]), lambda x: x.isNotNull())
     tier = F.when(F.size(over(1)) > 0, "hard").when(F.size(over(0)) > 0, "soft").otherwise("clean")
     return df.select(key, tier.alias("tier"), F.when(F.size(over(1)) > 0, over(1)).otherwise(over(0)).alias("reasons"))
@@ -63,18 +63,16 @@ def ecdf(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return counts.select(*(by or []), "bin", (F.sum("n").over(over.orderBy("bin")) / F.sum("n").over(over)).alias("share"))
 
 
-def qq(df: DataFrame, columns: list[str], side: Column, points: list[float], accuracy: int | None = None) -> DataFrame:
-    """(feature, p, a, b): quantiles of the rows of one side and of the other."""
-    rows = long_form(df.withColumn("_side", side), columns, ["_side"]).groupBy("feature").agg(
-        *[percentiles(F.when(F.col("_side") == k, F.col("value")), points, accuracy).alias(n) for k, n in ((True, "a"), (False, "b"))]
-    )
-    ps = F.array(*[F.lit(p) for p in points])
-    return rows.select("feature", F.explode(F.arrays_zip(ps.alias("p"), "a", "b")).alias("x")).select("feature", "x.*")
+def qq(df: DataFrame, columns: list[str], side: Column, points: list[float]) -> DataFrame:
+    """(feature, p, a, b): exact quantiles of the rows of one side and of the other."""
+    a, b = (quantiles(df.where(F.coalesce(x, F.lit(False))), columns, points) for x in (side, ~side))
+    rows = [(c, p, *(None if x[c][k] is None else float(x[c][k]) for x in (a, b))) for c in columns for k, p in enumerate(points) if a[c][k] is not None or b[c][k] is not None]
+    return df.sparkSession.createDataFrame(rows, "feature string, p double, a double, b double")
 
 
 def score_bands(df: DataFrame, by: list[str], score: str, low: float, high: float) -> DataFrame:
     """(by, mean, median, p10, p90, share_high, share_low)."""
-    q = percentiles(F.col(score), [0.1, 0.5, 0.9])
+    q = F.percentile(score, F.array(*[F.lit(p) for p in (0.1, 0.5, 0.9)]))  # a bounded group's scores
     share = lambda c: F.avg(c.cast("int"))
     return df.groupBy(*by).agg(F.avg(score).alias("mean"), q[1].alias("median"), q[0].alias("p10"), q[2].alias("p90"), share(F.col(score) > high).alias("share_high"), share(F.col(score) < low).alias("share_low"))
 

@@ -1,8 +1,8 @@
 """Statistics, drift and quality of feature tables.
 
-Moments come from one wide aggregate. Rank statistics (KS, AUC, best rule, average precision) first
-reduce each feature to a row per distinct value, and only then look along the values, partitioned by
-feature. For features with very many values, bin them before (`width_bucket`).
+Moments come from one wide aggregate, quantiles from exact selection in several passes. Rank statistics (KS,
+AUC, best rule) first reduce each feature to a row per distinct value, and then look along the values
+by running sums over ranges of them, so no task holds a feature.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupsight.functions.scalars import EPS, finite
-from groupsight.operators.transform import percentiles
-
-UP = Window.unboundedPreceding
+from groupsight.operators.ordered import quantiles, running
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -31,22 +29,32 @@ def from_wide(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame
     return row.select(F.explode(cells).alias("x")).select("x.*")
 
 
-def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """(feature, count, missing, mean, std, min, q25, q50, q75, max), exact unless accuracy is given (see transform.percentiles)."""
+def _with_quantiles(df: DataFrame, found: dict[str, list], names: list[str]) -> DataFrame:
+    """df, a row per feature, with the features' quantiles under names."""
+    rows = df.sparkSession.createDataFrame([(c, *map(_number, q)) for c, q in found.items()], "feature string, " + ", ".join(f"{n} double" for n in names))
+    return df.join(F.broadcast(rows), "feature", "left")  # a row per feature
+
+
+def _number(x) -> float | None:
+    return None if x is None else float(x)
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, count, missing, mean, std, min, q25, q50, q75, max), exact."""
     aggs = []
     for c in columns:
         v = finite(F.col(c))
-        q = percentiles(v, [0.25, 0.5, 0.75], accuracy)
-        one = {"count": F.count(v), "missing": 1 - F.count(v) / F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(v)}
+        one = {"count": F.count(v), "missing": 1 - F.count(v) / F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
         aggs += [x.alias(f"{c}__{n}") for n, x in one.items()]
-    return from_wide(df.agg(*aggs), columns, ["count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    out = _with_quantiles(from_wide(df.agg(*aggs), columns, ["count", "missing", "mean", "std", "min", "max"]), quantiles(df, columns, [0.25, 0.5, 0.75]), ["q25", "q50", "q75"])
+    return out.select("feature", "count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    q = percentiles(F.col("value"), [0.1, 0.5, 0.9], accuracy)
-    return long_form(df, columns, []).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q[0].alias("p10"), q[1].alias("p50"), q[2].alias("p90"),
-    )
+def profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, mean, std, p10, p50, p90), exact, population std; features without a value are left out."""
+    v = {c: finite(F.col(c)) for c in columns}
+    moments = from_wide(df.agg(*[x.alias(f"{c}__{n}") for c in columns for n, x in (("mean", F.avg(v[c])), ("std", F.stddev_pop(v[c])))]), columns, ["mean", "std"])
+    return _with_quantiles(moments.where("mean IS NOT NULL"), quantiles(df, columns, [0.1, 0.5, 0.9]), ["p10", "p50", "p90"])
 
 
 def feature_report(df: DataFrame, columns: list[str], near: float = 1e-8) -> DataFrame:
@@ -92,14 +100,33 @@ def ks(df: DataFrame, columns: list[str], side: Column, by: list[str] | None = N
     by = by or []
     rows = long_form(df.withColumn("_side", side), columns, [*by, "_side"])
     counts = rows.groupBy(*by, "feature", "value").agg(F.count_if("_side").alias("a"), F.count_if(~F.col("_side")).alias("b"))
-    along = Window.partitionBy(*by, "feature").orderBy("value").rowsBetween(UP, 0)
-    whole = counts.groupBy(*by, "feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    steps = counts.withColumn("ca", F.sum("a").over(along)).withColumn("cb", F.sum("b").over(along)).join(whole, [*by, "feature"])
-    return steps.where("n_a > 0 AND n_b > 0").groupBy(*by, "feature").agg(
-        F.max(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b"))).alias("ks"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    steps = running(counts, [*by, "feature"], [F.col("value")], {"ca": F.col("a"), "cb": F.col("b")}).where("ca_total > 0 AND cb_total > 0")
+    return steps.groupBy(*by, "feature").agg(
+        F.max(F.abs(F.col("ca") / F.col("ca_total") - F.col("cb") / F.col("cb_total"))).alias("ks"), F.first("ca_total").alias("n_a"), F.first("cb_total").alias("n_b")
     )
 
 
+def ks_matrix(df: DataFrame, columns: list[str], domain: str, strong: float = 0.5, moderate: float = 0.3) -> DataFrame:
+    """(a, b, feature, ks, kind): Kolmogorov-Smirnov distance of each two domains, a before b, from one table of counts.
+
+    The table is read once: each distinct value holds its counts in all domains, whose running sums are the domains' step functions; all pairs' largest
+    differences come from the same rows. Domains are few (a column each); rows without one are left out.
+    """
+    names = sorted(r[0] for r in df.select(domain).where(F.col(domain).isNotNull()).distinct().collect())  # a row per domain
+    rows = long_form(df.where(F.col(domain).isNotNull()), columns, [domain])
+    counts = rows.groupBy("feature", "value").agg(*[F.count_if(F.col(domain) == d).alias(f"n{i}") for i, d in enumerate(names)])
+    steps = running(counts, ["feature"], [F.col("value")], {f"c{i}": F.col(f"n{i}") for i in range(len(names))})
+    share = [F.col(f"c{i}") / F.nullif(F.col(f"c{i}_total"), F.lit(0)) for i in range(len(names))]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    wide = steps.groupBy("feature").agg(F.lit(0).alias("_"), *[F.max(F.abs(share[i] - share[j])).alias(f"p{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"p{i}_{j}").alias("ks")) for i, j in pairs]
+    if not cells:
+        return wide.where("false").select(F.lit(None).cast(dict(df.dtypes)[domain]).alias("a"), F.lit(None).cast(dict(df.dtypes)[domain]).alias("b"), "feature", F.lit(0.0).alias("ks"), F.lit("").alias("kind"))
+    out = wide.select("feature", F.explode(F.array(*cells)).alias("x")).where("x.ks IS NOT NULL")
+    kind = F.when(F.col("x.ks") >= strong, "strong").when(F.col("x.ks") >= moderate, "moderate").otherwise("weak")
+    return out.select("x.a", "x.b", "feature", "x.ks", kind.alias("kind"))
+
+
 def ks_pvalue(d: Column, n_a: Column, n_b: Column, terms: int = 50) -> Column:
     """Asymptotic two-sided p-value, by the Kolmogorov series."""
     x = F.sqrt(n_a * n_b / (n_a + n_b)) * d
@@ -183,8 +210,7 @@ def auc(df: DataFrame, columns: list[str], label: str, by: list[str] | None = No
     """(by, feature, auc): chance that a positive's value exceeds a negative's, ties half."""
     by = by or []
     counts = long_form(df, columns, [*by, label]).groupBy(*by, "feature", "value").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*by, "feature").orderBy("value").rowsBetween(UP, 0)) - F.col("q")
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    wins = running(counts, [*by, "feature"], [F.col("value")], {"upto": F.col("q")}).withColumn("w", F.col("p") * (F.col("upto") - F.col("q") / 2))
     total = F.sum("p").cast("double") * F.sum("q")
     return wins.groupBy(*by, "feature").agg(F.when(total > 0, F.sum("w") / total).alias("auc"))
 
@@ -208,10 +234,8 @@ def stability(train: DataFrame, other: DataFrame, columns: list[str], limit: flo
 def best_rule(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(feature, threshold, above, accuracy): the best cut of each feature; ties to the lower threshold, then 'above'."""
     counts = long_form(df, columns, [label]).groupBy("feature", "value").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    along = Window.partitionBy("feature").orderBy("value").rowsBetween(UP, 0)
-    every = Window.partitionBy("feature")
-    c = counts.withColumn("cp", F.sum("p").over(along)).withColumn("cq", F.sum("q").over(along)).withColumn("tp", F.sum("p").over(every)).withColumn("tq", F.sum("q").over(every))
-    high = (F.col("cq") + F.col("tp") - F.col("cp")) / (F.col("tp") + F.col("tq"))
+    c = running(counts, ["feature"], [F.col("value")], {"cp": F.col("p"), "cq": F.col("q")})
+    high = (F.col("cq") + F.col("cp_total") - F.col("cp")) / (F.col("cp_total") + F.col("cq_total"))
     both = F.array(F.struct(high.alias("acc"), (-F.col("value")).alias("t"), F.lit(True).alias("above")), F.struct((1 - high).alias("acc"), (-F.col("value")).alias("t"), F.lit(False).alias("above")))
     best = c.select("feature", F.explode(both).alias("x")).groupBy("feature").agg(F.max("x").alias("x"))
     return best.select("feature", (-F.col("x.t")).alias("threshold"), F.col("x.above").alias("above"), F.col("x.acc").alias("accuracy"))

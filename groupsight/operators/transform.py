@@ -1,4 +1,7 @@
-"""Fit / apply transforms of feature tables. fit() returns a small dict of numbers; apply() is one projection."""
+"""Fit / apply transforms of feature tables. fit() returns a small dict of numbers; apply() is one projection.
+
+Quantiles are exact and found in several passes over the table (see ordered.quantiles), so a table that is dear to make is written first.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import finite
+from groupsight.operators.ordered import quantiles
 
 
-def percentiles(c: Column, at: list[float], accuracy: int | None = None) -> Column:
-    """Array of exact linear quantiles, which keep all distinct values in one task; with accuracy, of approximate ones within 1 / accuracy in rank, for very large tables."""
-    return F.percentile_approx(c, at, accuracy) if accuracy else F.percentile(c, F.array(*[F.lit(p) for p in at]))
-
-
-def quantiles(df: DataFrame, columns: list[str], at: list[float], accuracy: int | None = None) -> dict[str, list[float | None]]:
-    """percentiles() of each column in one pass."""
-    one = lambda c: percentiles(finite(F.col(c)), at, accuracy)
-    row = df.agg(*[one(c).alias(c) for c in columns]).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(at) for c in columns}
-
-
-def clip_fit(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> dict[str, tuple[float, float]]:
-    return {c: tuple(v) for c, v in quantiles(df, columns, [low, high], accuracy).items() if v[0] is not None}
+def clip_fit(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> dict[str, tuple[float, float]]:
+    return {c: tuple(v) for c, v in quantiles(df, columns, [low, high]).items() if v[0] is not None}
 
 
 def clip_apply(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -45,9 +37,9 @@ def log1p_apply(df: DataFrame, columns: list[str], mode: str = "signed") -> Data
     return df.withColumns({c: log1p_of(F.col(c), mode) for c in columns})
 
 
-def robust_fit(df: DataFrame, columns: list[str], accuracy: int | None = None) -> dict[str, tuple[float, float]]:
+def robust_fit(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range; a range of 0 counts as 1."""
-    q = quantiles(df, columns, [0.25, 0.5, 0.75], accuracy)
+    q = quantiles(df, columns, [0.25, 0.5, 0.75])
     return {c: (m, (b - a) or 1.0) for c, (a, m, b) in q.items() if m is not None}
 
 
@@ -59,23 +51,23 @@ def abs_clip(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
     return clip_apply(df, dict.fromkeys(columns, (-limit, limit)))
 
 
-def fill_fit(df: DataFrame, columns: list[str], accuracy: int | None = None) -> dict[str, float]:
-    return {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(df, columns, [0.5], accuracy).items()}
+def fill_fit(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    return {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(df, columns, [0.5]).items()}
 
 
 def fill_apply(df: DataFrame, fills: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(v)) for c, v in fills.items()})
 
 
-def pipeline_fit(train: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, pattern: str = ".*", mode: str = "signed", limit: float = 10.0, accuracy: int | None = None) -> dict:
+def pipeline_fit(train: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, pattern: str = ".*", mode: str = "signed", limit: float = 10.0) -> dict:
     """clip, log1p, robust scaling, absolute clip and fill, each fitted on what the one before gives on the training table."""
-    out = {"clip": clip_fit(train, columns, low, high, accuracy), "mode": mode, "limit": limit}
+    out = {"clip": clip_fit(train, columns, low, high), "mode": mode, "limit": limit}
     train = clip_apply(train, out["clip"])
     out["log1p"] = log1p_fit(train, columns, pattern)
     train = log1p_apply(train, out["log1p"], mode)
-    out["robust"] = robust_fit(train, columns, accuracy)
+    out["robust"] = robust_fit(train, columns)
     train = abs_clip(robust_apply(train, out["robust"]), columns, limit)
-    out["fill"] = fill_fit(train, columns, accuracy)
+    out["fill"] = fill_fit(train, columns)
     return out
 
 

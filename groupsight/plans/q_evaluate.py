@@ -150,8 +150,9 @@ def e_methods(spark, d):
 
 @query("e_mixture")
 def e_mixture(spark, d):
-    run = lambda pdf: pd.DataFrame({"cycle": [pdf.cycle.iloc[0]], "threshold": [E.mixture_threshold(pdf.score)]})
-    return sc(spark, d).select("cycle", "score").groupBy("cycle").applyInPandas(run, "cycle long, threshold double")
+    """One mixture for the whole table of scores."""
+    rows = sc(spark, d)
+    return spark.createDataFrame([(E.mixture_threshold(rows), rows.count())], "threshold double, n long")
 
 
 @query("e_pick", f"{SC}, c AS (SELECT scorer, {_CM} FROM sc GROUP BY 1), m AS (SELECT scorer, tp / (tp + fn) AS recall, fp / (fp + tn) AS fpr FROM c WHERE fp / (fp + tn) <= 0.5) SELECT scorer, row_number() OVER (ORDER BY recall DESC, fpr, scorer) AS place FROM m")

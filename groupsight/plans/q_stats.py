@@ -9,6 +9,7 @@ from groupsight.functions.scalars import rounded
 from groupsight.operators import screen as C
 from groupsight.operators import stats as S
 from groupsight.operators import transform as T
+from groupsight.operators.ordered import rolling_quantile
 from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES as DF
@@ -355,12 +356,14 @@ _PAIRS = [(0, 1), (0, 2), (1, 2)]
 
 @query("s_ks_matrix", f"{B5}, {LONG.replace('lf AS', 'l0 AS')}, lf AS (" + " UNION ALL ".join(f"SELECT '{a}-{b}' AS pair, feature, value, domain = {a} AS left_side FROM l0 WHERE domain IN ({a}, {b})" for a, b in _PAIRS) + f"), {_ks_sql('left_side', 'pair, feature')} SELECT pair, feature, round(ks, 6) AS ks, CASE WHEN ks >= 0.5 THEN 'strong' WHEN ks >= 0.3 THEN 'moderate' ELSE 'weak' END AS kind FROM ksd")
 def s_ks_matrix(spark, d):
-    x = v(spark, d)
-    out = None
-    for a, b in _PAIRS:  # domains are few; each pair reads its own rows
-        one = S.ks(x.where(F.col("domain").isin(a, b)), FS, F.col("domain") == a).withColumn("pair", F.lit(f"{a}-{b}"))
-        out = one if out is None else out.union(one)
-    return out.select("pair", "feature", *r("ks"), F.when(F.col("ks") >= 0.5, "strong").when(F.col("ks") >= 0.3, "moderate").otherwise("weak").alias("kind"))
+    return S.ks_matrix(v(spark, d), FS, "domain").select(F.concat_ws("-", "a", "b").alias("pair"), "feature", *r("ks"), "kind")
+
+
+@query("s_ks_kinds", f"{B5}, {LONG.replace('lf AS', 'l0 AS')}, lf AS (" + " UNION ALL ".join(f"SELECT {k} AS pair, feature, value, domain = {a} AS left_side FROM l0 WHERE domain IN ({a}, {b})" for k, (a, b) in enumerate(_PAIRS)) + f"), {_ks_sql('left_side', 'pair, feature')} SELECT feature, count(*) FILTER (ks >= 0.1) AS strong, count(*) FILTER (ks >= 0.05 AND ks < 0.1) AS moderate, count(*) FILTER (ks < 0.05) AS weak FROM ksd GROUP BY 1")
+def s_ks_kinds(spark, d):
+    """How many pairs of domains differ strongly, moderately or weakly in each feature."""
+    m = S.ks_matrix(v(spark, d), FS, "domain", strong=0.1, moderate=0.05)
+    return m.groupBy("feature").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("strong", "moderate", "weak")])
 
 
 @query("s_direction", f"""{B5}, {LONG}, e AS (SELECT feature, domain, (avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0)) / stddev_samp(value) AS e FROM lf WHERE domain < 2 GROUP BY 1, 2), j AS (SELECT feature, max(e) FILTER (domain = 0) AS a, max(e) FILTER (domain = 1) AS b FROM e GROUP BY 1)
@@ -408,6 +411,22 @@ def w_rolling(spark, d):
     return table(spark, d, "events").select("event_id", rounded(F.avg("value").over(by)).alias("mean"), rounded(F.max("value").over(by)).alias("top"))
 
 
+@query("w_rolling_p", "SELECT event_id, round(quantile_cont(value, 0.9) OVER w, 6) AS p90, round(median(value) OVER w, 6) AS p50 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)")
+def w_rolling_p(spark, d):
+    """Percentiles of each user's last 500 values."""
+    rows, order = table(spark, d, "events").select("user_id", "ts", "event_id", "value"), [F.col("ts"), F.col("event_id")]
+    top = rolling_quantile(rows, ["user_id"], order, "value", 0.9)
+    half = rolling_quantile(rows, ["user_id"], order, "value", 0.5)
+    return top.select("event_id", rounded("quantile").alias("p90")).join(half.select("event_id", rounded("quantile").alias("p50")), "event_id")
+
+
+@query("w_rolling_stream", "SELECT event_id, round(quantile_cont(value, 0.95) OVER (ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 6) AS p95 FROM events")
+def w_rolling_stream(spark, d):
+    """A percentile of the last 500 values of the one stream of all events."""
+    rows = rolling_quantile(table(spark, d, "events").select("ts", "event_id", "value"), [], [F.col("ts"), F.col("event_id")], "value", 0.95)
+    return rows.select("event_id", rounded("quantile").alias("p95"))
+
+
 @query("w_rank", "SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, round(cume_dist() OVER (PARTITION BY user_id ORDER BY event_type), 6) AS cd FROM events")
 def w_rank(spark, d):
     by = Window.partitionBy("user_id").orderBy("event_type")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groupsight.operators import evaluate as E
 from groupsight.operators import models as M
 from groupsight.plans import catalog
 from groupsight.sources.bindings import order_events, table, vector_features, vector_scores
@@ -137,10 +138,16 @@ def test_dynamic_thresholds_by_hand(spark, tiny, scores):
     assert not got
 
 
-def test_mixture_thresholds_lie_between_the_peaks(spark, tiny, scores):
-    out = run("e_mixture", spark, tiny).set_index("cycle").threshold
-    by = scores.groupby("cycle").score
-    assert set(out.index) == set(by.groups) and ((out >= by.min()) & (out <= by.max())).all()
+def test_mixture_threshold_is_where_the_components_cross(spark, tiny, scores):
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.normal(0.2, 0.05, 3000), g.normal(0.8, 0.1, 1500)])
+    got = E.mixture_threshold(spark.createDataFrame([(float(v),) for v in x], "score double"))
+    grid = np.linspace(0.2, 0.8, 6001)
+    a, b = 2 / 3 * np.exp(-(((grid - 0.2) / 0.05) ** 2) / 2) / 0.05, 1 / 3 * np.exp(-(((grid - 0.8) / 0.1) ** 2) / 2) / 0.1
+    assert got == pytest.approx(grid[np.abs(np.log(a) - np.log(b)).argmin()], abs=0.02)
+    assert E.mixture_threshold(spark.createDataFrame([(0.5,), (0.5,), (None,)], "score double")) is None
+    out = run("e_mixture", spark, tiny)
+    assert out.n[0] == len(scores) and scores.score.min() < out.threshold[0] < scores.score.max()
 
 
 def test_uncorrelated_choices_by_hand(spark, tiny, vec):
