@@ -128,9 +128,21 @@ def e_other(spark, d):
     return b1_groups(spark, d).select("grp", F.when(F.col("other_ratio_mean") > 0, 0.0).otherwise(1.0).alias("score"))
 
 
-_GAP = """gp AS (SELECT cycle, score, lag(score) OVER w AS prev, score - lag(score) OVER w AS gap, row_number() OVER w - 1 AS low FROM sc WINDOW w AS (PARTITION BY cycle ORDER BY score)), gt AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY gap DESC NULLS LAST, low) AS rk FROM gp),
-  ga AS (SELECT cycle, count(*) AS n, max(gap) AS max_gap, median(gap) AS median_gap, max((prev + score) / 2) FILTER (rk = 1) AS mid, max(low) FILTER (rk = 1) AS low FROM gt GROUP BY 1),
-  gg AS (SELECT cycle, n, max_gap, median_gap, CASE WHEN n >= 10 AND max_gap > 3 * greatest(median_gap, 1e-6) AND max_gap > 0.02 AND low >= greatest(1, floor(n * 0.05)) AND n - low >= greatest(1, floor(n * 0.05)) THEN mid END AS threshold FROM ga)"""
+def gap_sql(source: str, out: str, min_scores: int = 10, ratio: float = 3, least: float = 0.02, share: float = 0.05, keys: str = "scorer, cycle") -> str:
+    """Tables that end in out (keys, n, max_gap, median_gap, threshold): the largest gap of each group of source's scores."""
+    ok = f"n >= {min_scores} AND max_gap > {ratio} * greatest(median_gap, 1e-6) AND max_gap > {least} AND low >= greatest(1, floor(n * {share})) AND n - low >= greatest(1, floor(n * {share}))"
+    return f"""{out}_p AS (SELECT {keys}, score, lag(score) OVER w AS prev, score - lag(score) OVER w AS gap, row_number() OVER w - 1 AS low FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY score)),
+  {out}_t AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gap DESC NULLS LAST, low) AS rk FROM {out}_p),
+  {out}_a AS (SELECT {keys}, count(*) AS n, max(gap) AS max_gap, median(gap) AS median_gap, max((prev + score) / 2) FILTER (rk = 1) AS mid, max(low) FILTER (rk = 1) AS low FROM {out}_t GROUP BY ALL),
+  {out} AS (SELECT {keys}, n, max_gap, median_gap, CASE WHEN {ok} THEN mid END AS threshold FROM {out}_a)"""
+
+
+_GAP = gap_sql("sc", "gg", keys="cycle")
+
+#: Thresholds of a stream's requests: gap of the request, else of the 500 scores before it, else 0.5; clamped.
+THRESHOLD_SQL = f"""{SC}, bf AS (SELECT q.scorer, q.cycle, s.score FROM (SELECT DISTINCT scorer, cycle FROM sc) q JOIN sc s ON s.scorer = q.scorer AND s.cycle < q.cycle QUALIFY row_number() OVER (PARTITION BY q.scorer, q.cycle ORDER BY s.cycle DESC, s.score DESC) <= 500),
+  {gap_sql("sc", "gb")}, {gap_sql("bf", "gr")}
+  SELECT scorer, cycle, round(greatest(0.1, least(0.45, coalesce(gb.threshold, gr.threshold, 0.5))), 6) AS threshold, CASE WHEN gb.threshold IS NOT NULL THEN 'gap_batch' WHEN gr.threshold IS NOT NULL THEN 'gap_rolling' ELSE 'fixed' END AS mode FROM gb LEFT JOIN gr USING (scorer, cycle)"""
 
 
 @query("e_gap", f"{SC}, {_GAP} SELECT cycle, n, round(max_gap, 6) AS max_gap, round(median_gap, 6) AS median_gap, round(threshold, 6) AS threshold FROM gg")
@@ -138,9 +150,9 @@ def e_gap(spark, d):
     return E.bimodal_gap(sc(spark, d), ["cycle"]).select("cycle", "n", *r("max_gap", "median_gap", "threshold"))
 
 
-@query("e_dynamic")
+@query("e_dynamic", THRESHOLD_SQL)
 def e_dynamic(spark, d):
-    return E.dynamic_threshold(sc(spark, d), "scorer", "cycle")
+    return E.dynamic_threshold(sc(spark, d), "scorer", "cycle").select("scorer", "cycle", *r("threshold"), "mode")
 
 
 @query("e_methods", f"{SC}, {_GAP} SELECT cycle, round(passive, 6) AS passive, round(coalesce(threshold, (passive + 0.5) / 2), 6) AS hybrid FROM gg JOIN (SELECT cycle, median(score) AS passive FROM sc GROUP BY 1) USING (cycle)")

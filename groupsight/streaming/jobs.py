@@ -1,21 +1,17 @@
-"""Structured Streaming jobs over event and score streams.
+"""Structured Streaming jobs over event and score streams: windows, epochs, sessions, logs. Keyed state in event order is in `state`.
 
-Order within a key comes from a sequence column of the records, never from arrival. Late rows are
-bounded by watermarks. State per key is small and bounded.
+Late rows are bounded by watermarks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from groupsight.operators.evaluate import gap_of
 from groupsight.sources.store import shared_path
 
 
@@ -28,21 +24,22 @@ def event_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream gives for all that is there now, as a table."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, over the batches whose progress is kept (spark.sql.streaming.numRecentProgressUpdates)."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_through(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
+    """What the stream gives for all that is there now, as a table, and the ended query."""
     spark = stream.sparkSession
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    else:
-        # whole or updated results: each batch replaces or adds, the last word per batch number
-        def put(df: DataFrame, batch: int) -> None:
-            df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
-
-        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    fields = stream.schema.fields + ([] if mode == "append" else [T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(T.StructType(fields)).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out), query
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    return run_through(stream, name)[0]
 
 
 def tumbling(events: DataFrame, ts: str, length: str, delay: str = "1 hour", start: str = "0 seconds") -> DataFrame:
@@ -76,81 +73,31 @@ def epoch(df: DataFrame, ts: str, anchor: str = ANCHOR) -> DataFrame:
     return df.withColumns({"epoch_start": F.timestamp_seconds(begin), "epoch_end": F.timestamp_seconds(begin + length), "seconds_left": begin + length - at})
 
 
-def served(requests: DataFrame, key: str, cycle: str, keep: int = 64) -> DataFrame:
-    """(key, times, first_cycle, last_cycle, kept_cycles): updates of how often a fingerprint was served; the last `keep` cycles stay."""
-
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first, cycles = state.get if state.exists else (0, None, [])
-        new = sorted(int(c) for p in parts for c in p[cycle])
-        n, first = n + len(new), min([*([first] if first is not None else []), *new])
-        cycles = sorted({*cycles, *new})[-keep:]
-        state.update((n, first, cycles))
-        yield pd.DataFrame({key: [k[0]], "times": [n], "first_cycle": [first], "last_cycle": [cycles[-1]], "kept_cycles": [len(cycles)]})
-
-    kind = dict(requests.dtypes)[key]
-    return requests.select(key, cycle).groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, times long, first_cycle long, last_cycle long, kept_cycles int", "n long, first long, cycles array<long>", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-# What the monitor of a score stream takes for two peaks.
-MONITOR = {"min_scores": 20, "gap_ratio": 5.0, "min_gap": 0.01}
-
-
-def threshold_stream(
-    scores: DataFrame, stream: str, sequence: str, score: str, keep: int = 500, every: int = 5, fixed: float = 0.5, low: float = 0.1, high: float = 0.45,
-    move: float = 0.15, peaks: dict | None = None,
-) -> DataFrame:
-    """(stream, sequence, threshold, mode, alert): after every `every` requests of a stream, the threshold of its last `keep` scores.
-
-    alert: two peaks appeared or vanished since the last word, or the upper one moved by more than `move`. peaks: options of
-    gap_of(). A request whose scores come in several batches counts once.
-    """
-
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, seen, peak, told, last = state.get if state.exists else ([], 0, None, False, None)
-        rows = pd.concat(list(parts)).sort_values([sequence, score])
-        out = []
-        for s, part in rows.groupby(sequence, sort=True):
-            recent = (list(recent) + part[score].tolist())[-keep:]
-            if s == last:
-                continue
-            seen, last = seen + 1, int(s)
-            if seen % every == 0:
-                x = np.asarray(recent)
-                found = gap_of(x, **(peaks or {}))
-                top = float(np.median(x[x >= found])) if found is not None else None
-                alert = told and ((peak is None) != (top is None) or (top is not None and abs(top - peak) > move))
-                out.append((k[0], s, min(max(found if found is not None else fixed, low), high), "gap" if found is not None else "fixed", alert))
-                peak, told = top, True
-        state.update((recent, seen, peak, told, last))
-        yield pd.DataFrame(out, columns=[stream, sequence, "threshold", "mode", "alert"])
-
-    kinds = dict(scores.dtypes)
-    return scores.select(stream, sequence, score).groupBy(stream).applyInPandasWithState(
-        update, f"{stream} {kinds[stream]}, {sequence} {kinds[sequence]}, threshold double, mode string, alert boolean",
-        "recent array<double>, seen long, peak double, told boolean, last long", "append", GroupStateTimeout.NoTimeout,
-    )
-
-
 def deduplicated_log(events: DataFrame, ts: str, key: str, delay: str = "1 hour") -> DataFrame:
     """Each record of a log once, within the watermark."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def score_log(requests: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, name: str = "score_log") -> DataFrame:
-    """A log, with a row per key: each micro-batch's requests are scored as a table, and keys that the log holds are not logged again.
+def score_log(messages: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, at: str, delay: str = "1 day", name: str = "score_log") -> DataFrame:
+    """A log that only grows, with a row per key: each micro-batch's new messages are scored as a table and written under the batch's number.
 
-    score: rows of requests to one row per key, such as features and a score. A batch that is run again after a failure adds nothing.
+    A message holds a whole request; score turns messages into one row per key, such as features and a score. Which keys have been logged is state of the stream, kept for `delay`
+    after a message's time, so the work of a batch does not depend on the length of the log. A batch that is run again after a failure writes
+    its own folder anew and adds nothing. Messages without a key are left out.
     """
-    spark = requests.sparkSession
+    spark = messages.sparkSession
     path, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
-    schema = score(spark.createDataFrame([], requests.schema)).schema
-    spark.createDataFrame([], schema).write.parquet(path)
+    schema = score(spark.createDataFrame([], messages.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{path}/start")
+    new = messages.where(F.col(key).isNotNull()).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    new.writeStream.foreachBatch(lambda batch, number: put_batch(score(batch).select(*schema.names), path, number)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return read_log(spark, path, schema)
+
+
+def put_batch(rows: DataFrame, path: str, number: int) -> None:
+    """Write a batch's rows in its own folder, in place of what an earlier try left there."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch-{number:012d}")
 
-    def put(batch: DataFrame, _: int) -> None:
-        before = batch.sparkSession.read.schema(schema).parquet(path).select(key)
-        score(batch).join(before, key, "left_anti").select(*schema.names).write.mode("append").parquet(path)
 
-    requests.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)

@@ -213,14 +213,3 @@ def test_draws_and_packs_of_ranged_size(spark):
     packs = Counter(r.pack for r in U.packed_ranges(df, "k", 5, 9).collect())
     assert sum(packs.values()) == 1000 and max(packs.values()) <= 9 and sum(5 <= n for n in packs.values()) >= len(packs) - 2
     assert {r.k: r.pack for r in U.packed_ranges(df, "k", 5, 9).collect()} == {r.k: r.pack for r in U.packed_ranges(df.repartition(7), "k", 5, 9).collect()}
-
-
-def test_alerts_of_a_score_stream(spark, tmp_path):
-    from groupsight.streaming import jobs as Z
-
-    two = [0.05] * 20 + [0.06] * 20 + [0.9] * 20
-    rows = [(1, c, s) for c in range(1, 6) for s in two] + [(1, c, 0.5) for c in range(6, 11) for _ in range(200)]
-    spark.createDataFrame(rows, "scorer long, cycle long, score double").coalesce(1).write.parquet(f"{tmp_path}/s")
-    stream = spark.readStream.schema("scorer long, cycle long, score double").parquet(f"{tmp_path}/s")
-    out = {r.cycle: r for r in Z.drained(Z.threshold_stream(stream, "scorer", "cycle", "score", every=5, peaks=Z.MONITOR), "alerts").collect()}
-    assert sorted(out) == [5, 10] and (out[5].mode, out[5].alert) == ("gap", False) and (out[10].mode, out[10].alert) == ("fixed", True)
