@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groupsight.functions.scalars import finite
 from groupsight.operators import stats
+from groupsight.session import ship_package
+from groupsight.sources.store import cut, scratch
 
 SEED = 17
 
@@ -55,8 +60,151 @@ def domain_probe(df: DataFrame, columns: list[str], domain: str = "domain") -> D
     return df.sparkSession.createDataFrame([(c, float(v), float(np.mean(aucs))) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double, auc double")
 
 
+@dataclass(frozen=True)
+class Fit:
+    """A ridge logistic model of some features, fitted on all folds but one."""
+
+    features: tuple[str, ...]
+    out: object = None
+    ridge: float = 0.01
+
+
+class Fits:
+    """Many ridge logistic models of one table, classes balanced, by Newton steps that share their passes.
+
+    A pass over the table adds up each model's loss, gradient and Hessian in every task; only these sums are shuffled, and the steps are taken on the
+    driver. The number of passes is that of the slowest model (eight or so), however many models there are. Features are
+    scaled by their weighted standard deviation, as the ridge counts on scaled features; constant ones weigh nothing. Rows without a label of 0 or 1, without
+    a fold, or with a feature that is no number are left out.
+    """
+
+    def __init__(self, rows: DataFrame, columns: list[str], fold: str, label: str = "label"):
+        self.columns = columns
+        ship_package(rows.sparkSession)
+        good = F.col(label).isin(0, 1) & F.col(fold).isNotNull()
+        for c in columns:
+            good = good & finite(F.col(c)).isNotNull()
+        self.rows = rows.where(good).select(F.col(fold).alias("fold"), F.col(label).cast("int").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+        moments = [x for i in range(len(columns)) for x in (F.avg(F.col("x")[i]).alias(f"m{i}"), F.var_pop(F.col("x")[i]).alias(f"v{i}"))]
+        self.groups = self.rows.groupBy("fold", "y").agg(F.count("*").alias("n"), *moments).collect()  # a row per fold and class
+        self.folds = sorted({g.fold for g in self.groups})
+
+    def _scales(self, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of a row of class 0 and 1, and each feature's weighted standard deviation, over a model's training rows."""
+        groups = [g for g in self.groups if g.fold != fit.out]
+        n = np.array([sum(g.n for g in groups if g.y == k) for k in (0, 1)], float)
+        weight = n.sum() / (2 * np.maximum(n, 1))
+        w = np.array([g.n * weight[g.y] for g in groups])
+        at = [self.columns.index(c) for c in fit.features]
+        m, v = (np.array([[g[f"{k}{i}"] for i in at] for g in groups], float).reshape(len(groups), len(at)) for k in "mv")
+        mean = (w[:, None] * m).sum(axis=0) / max(w.sum(), 1)
+        var = (w[:, None] * (v + (m - mean) ** 2)).sum(axis=0) / max(w.sum() - 1, 1)
+        return weight, np.sqrt(var)
+
+    def fitted(self, fits: list[Fit], tol: float = 1e-9, most_passes: int = 30) -> list[np.ndarray]:
+        """Coefficients (features as they are, then the constant) of each model."""
+        plan = []
+        for f in fits:
+            weight, sd = self._scales(f)
+            plan.append((np.array([self.columns.index(c) for c in f.features], int), f.out, weight, np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)))
+        total = [sum(g.n * p[2][g.y] for g in self.groups if g.fold != f.out) or 1.0 for f, p in zip(fits, plan, strict=True)]
+        beta = [np.zeros(len(f.features) + 1) for f in fits]
+        step, loss, open_ = [np.zeros_like(b) for b in beta], [np.inf] * len(fits), set(range(len(fits)))
+        for _ in range(most_passes):
+            if not open_:
+                break
+            tried = {k: beta[k] + step[k] for k in open_}
+            sums = self._sums(plan, tried)
+            for k in sorted(open_):
+                d, ridge = len(tried[k]), np.append(np.full(len(tried[k]) - 1, fits[k].ridge), 0.0)
+                s = sums.get(k, np.zeros(1 + d + d * d)) / total[k]
+                now = s[0] + (ridge * tried[k] ** 2).sum() / 2
+                if now > loss[k] + 1e-12:
+                    step[k] = step[k] / 2
+                    if np.abs(step[k]).max() < tol:
+                        open_.discard(k)
+                    continue
+                beta[k], loss[k] = tried[k], now
+                gradient, hessian = s[1 : 1 + d] + ridge * beta[k], s[1 + d :].reshape(d, d) + np.diag(ridge + 1e-12)
+                step[k] = -np.linalg.solve(hessian, gradient)
+                if np.abs(step[k]).max() < tol:
+                    open_.discard(k)
+        return [np.append(b[:-1] * p[3], b[-1]) for b, p in zip(beta, plan, strict=True)]
+
+    def _sums(self, plan: list, beta: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Loss, gradient and Hessian of each model that is still open, added up over the table."""
+        sent = self.rows.sparkSession.sparkContext.broadcast((plan, beta))
+        starts = np.cumsum([0, *[1 + len(b) + len(b) ** 2 for b in beta.values()]])
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            plan, beta = sent.value
+            out = np.zeros(starts[-1])
+            for pdf in parts:
+                x, y, fold = np.stack(pdf.x), pdf.y.to_numpy(), pdf.fold.to_numpy()
+                inside = {}
+                for at, (k, b) in zip(starts, beta.items(), strict=False):
+                    columns, left_out, weight, scale = plan[k]
+                    if left_out not in inside:
+                        inside[left_out] = np.flatnonzero(fold != left_out) if left_out is not None else np.arange(len(y))
+                    mine = inside[left_out]
+                    z = np.column_stack([x[np.ix_(mine, columns)] * scale, np.ones(len(mine))])
+                    t = z @ b
+                    p, w = 1 / (1 + np.exp(-np.clip(t, -700, 700))), weight[y[mine]]
+                    out[at] += (w * (np.logaddexp(0, t) - y[mine] * t)).sum()
+                    out[at + 1 : at + 1 + len(b)] += z.T @ (w * (p - y[mine]))
+                    out[at + 1 + len(b) : at + 1 + len(b) + len(b) ** 2] += ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()
+            yield pd.DataFrame({"at": np.arange(len(out)), "v": out})
+
+        found = self.rows.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # the models' sums
+        sent.destroy()
+        whole = np.zeros(starts[-1])
+        whole[found["at"].to_numpy()] = found.v.to_numpy()
+        return {k: whole[a:b] for k, a, b in zip(beta, starts[:-1], starts[1:], strict=True)}
+
+    def held_out_auc(self, fits: list[Fit]) -> list[float | None]:
+        """AUC of each model on the fold it was not fitted on: one pass and one count of (model, score)."""
+        models = [(np.array([self.columns.index(c) for c in f.features], int), f.out, b) for f, b in zip(fits, self.fitted(fits), strict=True)]
+        sent = self.rows.sparkSession.sparkContext.broadcast(models)
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                x, y, fold = np.stack(pdf.x), pdf.y.to_numpy(), pdf.fold.to_numpy()
+                for k, (columns, out, b) in enumerate(sent.value):
+                    mine = np.flatnonzero(fold == out)
+                    if len(mine):
+                        yield pd.DataFrame({"model": np.int32(k), "value": x[np.ix_(mine, columns)] @ b[:-1] + b[-1], "y": y[mine]})
+
+        scores = self.rows.mapInPandas(run, "model int, value double, y int")
+        counts = scores.groupBy("model", "value").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+        found = {r.model: r.auc for r in stats.auc_of_counts(counts, ["model"]).collect()}  # a row per model
+        return [found.get(k) for k in range(len(fits))]
+
+    def left_out(self, sets: list[tuple[tuple[str, ...], float]]) -> list[dict]:
+        """For each (features, ridge), the held-out AUC of every fold."""
+        fits = [Fit(c, k, ridge) for c, ridge in sets for k in self.folds]
+        aucs = self.held_out_auc(fits)
+        n = len(self.folds)
+        return [dict(zip(self.folds, aucs[i * n : (i + 1) * n], strict=True)) for i in range(len(sets))]
+
+
+def _mean(aucs: dict) -> float | None:
+    known = [a for a in aucs.values() if a is not None]
+    return float(np.mean(known)) if known else None
+
+
+@contextmanager
+def _fits(df: DataFrame, columns: list[str], fold: str) -> Iterator[Fits]:
+    """Fits over df's columns, written once."""
+    with scratch(df.sparkSession):
+        yield Fits(cut(df.select(fold, "label", *columns), "fits"), columns, fold)
+
+
 def leave_one_out(df: DataFrame, columns: list[str], fold: str, kind: str = "logistic", **options) -> DataFrame:
-    """(fold, auc): each fold scored by a model of the others."""
+    """(fold, auc): each fold scored by a model of the others. Logistic models of all folds are fitted in the same passes."""
+    if kind == "logistic":
+        with _fits(df, columns, fold) as fits:
+            found = fits.left_out([(tuple(columns), options.get("ridge", 0.01))])[0]
+        return df.sparkSession.createDataFrame(list(found.items()), f"{fold} {dict(df.dtypes)[fold]}, auc double")
     out = None
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):  # folds are dates or domains
         one = fit_score(df.where(F.col(fold) != k), df.where(F.col(fold) == k), columns, kind, **options)
@@ -110,33 +258,42 @@ def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
     return out.withColumn("calibrated", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
-def grid(df: DataFrame, columns: list[str], fold: str, options: list[dict], kind: str = "forest") -> DataFrame:
-    """(trial, worst, mean) of leave_one_out() per parameter set, best first: worst fold, then mean."""
-    out = None
-    for i, o in enumerate(options):
-        one = leave_one_out(df, columns, fold, kind, **o).agg(F.min("auc").alias("worst"), F.avg("auc").alias("mean")).select(F.lit(i).alias("trial"), "worst", "mean")
-        out = one if out is None else out.union(one)
-    return out.orderBy(F.desc("worst"), F.desc("mean"), "trial")
+def grid(df: DataFrame, columns: list[str], fold: str, options: list[dict], kind: str = "logistic") -> DataFrame:
+    """(trial, worst, mean) of leave_one_out() per parameter set, best first: worst fold, then mean.
+
+    Logistic models of all trials and folds share their passes; trees are grown one trial after the other.
+    """
+    if kind == "logistic":
+        with _fits(df, columns, fold) as fits:
+            trials = fits.left_out([(tuple(columns), o.get("ridge", 0.01)) for o in options])
+    else:
+        trials = [{r[0]: r.auc for r in leave_one_out(df, columns, fold, kind, **o).collect()} for o in options]  # a row per fold
+    rows = [(i, min((a for a in t.values() if a is not None), default=None), _mean(t)) for i, t in enumerate(trials)]
+    rows.sort(key=lambda r: (-(r[1] if r[1] is not None else -1), -(r[2] if r[2] is not None else -1), r[0]))
+    return df.sparkSession.createDataFrame(rows, "trial int, worst double, mean double")
 
 
-def forward_selection(df: DataFrame, columns: list[str], fold: str, least_gain: float = 0.002, most: int = 4) -> list[tuple[str, float]]:
-    """Features one by one by mean leave-one-out AUC, until the gain is small."""
+def forward_selection(df: DataFrame, columns: list[str], fold: str, least_gain: float = 0.002, most: int = 4, worst: bool = False) -> list[tuple[str, float]]:
+    """Features one by one by mean (worst: least) leave-one-out AUC, until the gain is small; ties by name. A round fits all its candidates in the same passes."""
     chosen, best = [], 0.5
-    rows = df.persist()
-    while len(chosen) < most:
-        tried = {c: leave_one_out(rows, [*[x for x, _ in chosen], c], fold).agg(F.avg("auc")).first()[0] for c in columns if c not in dict(chosen)}
-        c = max(sorted(tried), key=lambda k: tried[k]) if tried else None
-        if c is None or tried[c] < best + least_gain:
-            break
-        best = tried[c]
-        chosen.append((c, best))
-    rows.unpersist()
+    with _fits(df, columns, fold) as fits:
+        while len(chosen) < most:
+            left = sorted(set(columns) - {c for c, _ in chosen})
+            tried = fits.left_out([((*[x for x, _ in chosen], c), 0.01) for c in left])
+            value = [(min((a for a in t.values() if a is not None), default=None) if worst else _mean(t)) for t in tried]
+            k = max((i for i, v in enumerate(value) if v is not None), key=lambda i: value[i], default=None)
+            if k is None or value[k] < best + least_gain:
+                break
+            best = value[k]
+            chosen.append((left[k], best))
     return chosen
 
 
-def pair_rescue(df: DataFrame, columns: list[str], fold: str) -> DataFrame:
-    """(a, b, pair_auc, gain): pairs of features against the better of the two alone."""
-    score = lambda cs: leave_one_out(df, cs, fold).agg(F.avg("auc")).first()[0]
-    single = {c: score([c]) for c in columns}
-    rows = [(a, b, p := score([a, b]), p - max(single[a], single[b])) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, pair_auc double, gain double")
+def pair_rescue(df: DataFrame, columns: list[str], fold: str, least_gain: float | None = None) -> DataFrame:
+    """(a, b, pair_auc, gain): pairs of features against the better of the two alone; with least_gain, the pairs that gain as much. All are fitted in the same passes."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    with _fits(df, columns, fold) as fits:
+        value = [_mean(t) for t in fits.left_out([(x, 0.01) for x in [*((c,) for c in columns), *pairs]])]
+    single = dict(zip(columns, value, strict=False))
+    rows = [(a, b, p, p - max(single[a], single[b])) for (a, b), p in zip(pairs, value[len(columns) :], strict=True) if None not in (p, single[a], single[b])]
+    return df.sparkSession.createDataFrame([r for r in rows if least_gain is None or r[3] >= least_gain], "a string, b string, pair_auc double, gain double")

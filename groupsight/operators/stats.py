@@ -209,10 +209,14 @@ def cohen_d(df: DataFrame, columns: list[str], domain: str) -> DataFrame:
 def auc(df: DataFrame, columns: list[str], label: str, by: list[str] | None = None) -> DataFrame:
     """(by, feature, auc): chance that a positive's value exceeds a negative's, ties half."""
     by = by or []
-    counts = long_form(df, columns, [*by, label]).groupBy(*by, "feature", "value").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    wins = running(counts, [*by, "feature"], [F.col("value")], {"upto": F.col("q")}).withColumn("w", F.col("p") * (F.col("upto") - F.col("q") / 2))
+    return auc_of_counts(long_form(df, columns, [*by, label]).groupBy(*by, "feature", "value").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")), [*by, "feature"])
+
+
+def auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc) from rows (by, value, p, q): positives and negatives at each distinct value."""
+    wins = running(counts, by, [F.col("value")], {"upto": F.col("q")}).withColumn("w", F.col("p") * (F.col("upto") - F.col("q") / 2))
     total = F.sum("p").cast("double") * F.sum("q")
-    return wins.groupBy(*by, "feature").agg(F.when(total > 0, F.sum("w") / total).alias("auc"))
+    return wins.groupBy(*by).agg(F.when(total > 0, F.sum("w") / total).alias("auc"))
 
 
 def feature_ranking(df: DataFrame, columns: list[str], label: str, side: Column) -> DataFrame:

@@ -52,7 +52,7 @@ def m_silhouette(spark, d):
 
 @query("m_gmm")
 def m_gmm(spark, d):
-    return M.soft_clusters(vector_features(spark, d), FS[:4], 3).select("id", "cluster", "cluster_probability")
+    return M.soft_clusters(vector_features(spark, d), FS, 3).select("id", "cluster", "cluster_probability")
 
 
 @query("m_embed")
@@ -67,19 +67,22 @@ def m_score(spark, d):
     return M.fit_score(train, vector_features(spark, d), FS, "logistic").groupBy("domain").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(0.9)).alias("p90"), F.count("*").alias("n"))
 
 
+ALL = [f"f{i}" for i in range(64)]
+
+
 @query("m_grid")
 def m_grid(spark, d):
-    return M.grid(vector_features(spark, d), FS, "domain", [{"ridge": 0.01}, {"ridge": 1.0}], "logistic")
+    return M.grid(vector_features(spark, d, 64), ALL, "domain", [{"ridge": r} for r in (0.001, 0.01, 0.1, 1.0)])
 
 
 @query("m_forward")
 def m_forward(spark, d):
-    return spark.createDataFrame(M.forward_selection(vector_features(spark, d), FS[:4], "domain", most=2), "feature string, auc double")
+    return spark.createDataFrame(M.forward_selection(vector_features(spark, d, 64), ALL, "domain"), "feature string, auc double")
 
 
 @query("m_pair")
 def m_pair(spark, d):
-    return M.pair_rescue(vector_features(spark, d), FS[:3], "domain")
+    return M.pair_rescue(vector_features(spark, d, 64), ALL, "domain")
 
 
 @query("t_calibrate")

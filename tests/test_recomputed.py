@@ -68,6 +68,50 @@ def test_leave_one_domain_out(spark, tiny, vec):
         assert r.auc == pytest.approx(auc(model(b[FS].to_numpy()), b.label), abs=0.02)
 
 
+def left_out_auc(vec, features, ridge=0.01):
+    out = []
+    for k in range(3):
+        a, b = vec[vec.domain != k], vec[vec.domain == k]
+        model = logistic(a[features].to_numpy(), a.label.to_numpy(), balanced(a.label.to_numpy()), ridge)
+        out.append(auc(model(b[features].to_numpy()), b.label))
+    return out
+
+
+def test_grid_forward_and_pairs_by_separate_fits(spark, tiny):
+    whole = vector_features(spark, tiny, 64).toPandas()
+    every = [f"f{i}" for i in range(64)]
+    trials = [left_out_auc(whole, every, r) for r in (0.001, 0.01, 0.1, 1.0)]
+    got = run("m_grid", spark, tiny)
+    for r in got.itertuples():
+        assert (r.worst, r.mean) == (pytest.approx(min(trials[r.trial]), abs=1e-6), pytest.approx(np.mean(trials[r.trial]), abs=1e-6))
+    assert got.trial.tolist() == sorted(range(4), key=lambda i: (-min(trials[i]), -np.mean(trials[i]), i))
+    chosen, best = [], 0.5
+    for name, value in run("m_forward", spark, tiny).itertuples(index=False):
+        tried = {c: np.mean(left_out_auc(whole, [*chosen, c])) for c in every if c not in chosen}
+        c = max(sorted(tried), key=tried.get)
+        assert (name, value) == (c, pytest.approx(tried[c], abs=1e-9)) and tried[c] >= best + 0.002
+        chosen.append(c)
+        best = tried[c]
+    pairs = run("m_pair", spark, tiny)
+    assert len(pairs) == 64 * 63 // 2
+    for r in pairs.sample(25, random_state=1).itertuples():
+        p = np.mean(left_out_auc(whole, [r.a, r.b]))
+        assert (r.pair_auc, r.gain) == (pytest.approx(p, abs=1e-6), pytest.approx(p - max(np.mean(left_out_auc(whole, [x])) for x in (r.a, r.b)), abs=1e-6))
+
+
+def test_passes_do_not_grow_with_models(spark, tiny, monkeypatch):
+    passes = []
+    sums = M.Fits._sums
+    monkeypatch.setattr(M.Fits, "_sums", lambda self, plan, beta: (passes.append(len(beta)), sums(self, plan, beta))[1])
+    rows = vector_features(spark, tiny)
+    M.leave_one_out(rows, FS[:1], "domain").count()
+    few = len(passes)
+    M.pair_rescue(rows, FS, "domain").count()
+    assert len(passes) - few <= few + 4 and max(passes) == 3 * (8 + 28)
+    odd = rows.select("domain", F.when(F.col("id") % 2 == 0, 1).alias("label"), F.lit(1.0).alias("f0"), F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("f1")).alias("f1"))
+    assert M.leave_one_out(odd, ["f0", "f1"], "domain").count() == 3 and M.leave_one_out(odd.limit(0), ["f0"], "domain").count() == 0
+
+
 def test_forests_and_boosting_give_probabilities_with_an_auc(spark, tiny):
     for name in ("m_rf", "m_gbt"):
         out = run(name, spark, tiny)
