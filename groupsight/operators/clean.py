@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groupsight.functions.scalars import coarsen, hash_order, label_of
+from groupsight.functions.scalars import canonical_json, coarsen, hash_order, label_of
 
 
 def conform(value: Column, have: T.DataType, want: T.DataType) -> Column:
@@ -190,9 +190,8 @@ def hashed_column_names(df: DataFrame, salt: str, keep: tuple[str, ...] = ("labe
 
 
 def record_hash(df: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of the row's values as text, in the columns' sorted order, NULL apart from ''."""
-    parts = [F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """SHA-256 of the columns as canonical JSON (scalars.canonical_json): the order of columns, fields and map entries does not matter."""
+    return F.sha2(canonical_json(F.struct(*columns), df.select(*columns).schema), 256)
 
 
 def dataset_hash(df: DataFrame, hashes: str) -> DataFrame:

@@ -197,7 +197,8 @@ def p_hash_cols(spark, d):
     return C.hashed_column_names(vector_features(spark, d), "salt", ("id", "label"))
 
 
-_RH = "sha256('c_custkey=' || c_custkey || '|c_mktsegment=' || coalesce(c_mktsegment, '\\N') || '|c_name=' || coalesce(c_name, '\\N'))"
+_TEXT = "CASE WHEN {0} IS NULL THEN 'null' ELSE '\"' || {0} || '\"' END"
+_RH = f"""sha256('{{"c_custkey":' || c_custkey || ',"c_mktsegment":' || {_TEXT.format('c_mktsegment')} || ',"c_name":' || {_TEXT.format('c_name')} || '}}')"""
 
 
 @query("p_record_hash", f"SELECT c_custkey, {_RH} AS h FROM customer")
@@ -206,6 +207,19 @@ def p_record_hash(spark, d):
     return c.select("c_custkey", C.record_hash(c, ["c_name", "c_custkey", "c_mktsegment"]).alias("h"))
 
 
+@query("p_nested_hash", """WITH o AS (SELECT o_custkey, string_agg('{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) AS os, count(*) AS n FROM orders GROUP BY 1)
+  SELECT c_custkey, sha256('{"counts":{"a":' || n || ',"b":null},"name":"' || c_name || '","orders":[' || os || '],"where":{"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"}}') AS h FROM customer JOIN o ON c_custkey = o_custkey""")
+def p_nested_hash(spark, d):
+    """Customers with their orders, a struct and a map, whose fields and entries come in another order than they are hashed in."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))).alias("orders"))
+    swapped = F.transform("orders", lambda x: F.struct(x["status"].alias("status"), x["key"].alias("key")))
+    c = table(spark, d, "customer").join(o, "c_custkey").select(
+        "c_custkey", F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("where"), swapped.alias("orders"), F.col("c_name").alias("name"),
+        F.create_map(F.lit("b"), F.lit(None).cast("int"), F.lit("a"), F.size("orders")).alias("counts"),
+    )
+    return c.select("c_custkey", C.record_hash(c, ["where", "orders", "name", "counts"]).alias("h"))
+
+
 @query("p_dataset_hash", f"""WITH h AS (SELECT {_RH} AS h FROM customer), a AS (SELECT substr(h, 1, 5) AS p5, sha256(string_agg(h, '|' ORDER BY h)) AS h FROM h GROUP BY 1),
   b AS (SELECT substr(p5, 1, 2) AS p2, sha256(string_agg(h, '|' ORDER BY h)) AS h FROM a GROUP BY 1) SELECT sha256(string_agg(h, '|' ORDER BY h)) AS dataset_hash, count(*) AS prefixes FROM b""")
 def p_dataset_hash(spark, d):

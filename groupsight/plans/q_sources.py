@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupsight.functions.scalars import rounded
+from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources import io
 from groupsight.sources.bindings import table, vector_features, vector_sql
-from groupsight.sources.store import shared_path
+from groupsight.sources.store import cut, shared_path
 
 _EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
 _ALL = "SELECT event_id, user_id, value FROM events"
@@ -41,6 +42,31 @@ def a_ndjson(spark, d):
     return rows.agg(F.count_if(F.col("event_id").isNotNull()).alias("good"), F.count_if(F.col(io.BAD).isNotNull()).alias("bad"))
 
 
+@query("a_lines", """WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, event_id, user_id FROM events), f AS (SELECT *, CAST(floor(i / 4000) AS BIGINT) AS file FROM e)
+  SELECT file, CAST(i - 4000 * file + floor(i / 7) - floor(4000 * file / 7) + 1 AS BIGINT) AS line, CASE i % 50 WHEN 0 THEN 'bad' WHEN 1 THEN 'other' ELSE 'good' END AS kind, CASE WHEN i % 50 > 1 THEN event_id END AS event_id FROM f""")
+def a_lines(spark, d):
+    """Files of 4000 records and blank lines between, read in several splits each: number and kind of every line."""
+    path = shared_path(spark, "numbered")
+    rows = sorted_places(table(spark, d, "events").select("event_id", "user_id"), F.col("event_id")).withColumn("i", F.col("place") - 1)
+    line = F.when(F.col("i") % 50 == 0, "not json {").when(F.col("i") % 50 == 1, "[1, 2]").otherwise(F.to_json(F.struct("event_id", "user_id")))
+    lines = F.when(F.col("i") % 7 == 6, F.array(line, F.lit("  "))).otherwise(F.array(line))
+    rows = rows.select(F.floor(F.col("i") / 4000).alias("file"), "i", F.posexplode(lines).alias("k", "value"))
+    rows.repartition("file").sortWithinPartitions("file", "i", "k").select("file", "value").write.partitionBy("file").text(path)
+    found = with_splits(spark, 65_536, lambda: cut(io.read_ndjson_lines(spark, path, _EVENT), "lines"))
+    return found.select(F.regexp_extract("source_file", "file=([0-9]+)", 1).cast("long").alias("file"), "line", "kind", "event_id")
+
+
+def with_splits(spark, size: int, run):
+    """run() while files are read in splits of at most size bytes."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        return run()
+    finally:
+        spark.conf.set(key, old)
+
+
 @query("a_dispatch", f"{_ALL} WHERE event_id % 50 <> 0")
 def a_dispatch(spark, d):
     path = shared_path(spark, "lines.jsonl")
@@ -95,12 +121,16 @@ def a_parts(spark, d):
     return _files(spark, path, "parquet").agg(F.sum("count").alias("n_rows"), (F.max("count") <= 400).alias("within"))
 
 
-@query("a_rotate", "SELECT count(*) AS n_rows, true AS within FROM events")
+@query("a_rotate", "SELECT count(*) AS n_rows, true AS within, true AS full FROM events")
 def a_rotate(spark, d):
-    path = shared_path(spark, "rotated")
-    rows = io.write_rotating(_events(spark, d), path, 100_000)
-    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("f")).count()
-    return lines.agg(F.sum("count").alias("n_rows"), (F.max("count") <= rows).alias("within"))
+    """Rows, whether every file's size keeps the bound, and whether files are as few as tasks allow."""
+    path, bound = shared_path(spark, "rotated"), 20_000
+    io.write_rotating(table(spark, d, "events"), path, bound)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    sizes = files.groupBy(F.regexp_extract("path", "file=([0-9]+)-", 1).alias("task")).agg(F.max("length").alias("most"), F.sum("length").alias("total"), F.count("*").alias("n"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).agg(F.count("*").alias("n_rows"))
+    # two neighbouring files of a task together hold more than the bound
+    return sizes.agg((F.max("most") <= bound).alias("within"), F.bool_and(F.col("n") <= 2 * F.col("total") / bound + 1).alias("full")).join(lines, F.lit(True)).select("n_rows", "within", "full")
 
 
 @query("a_resume", "SELECT event_id % 8 AS shard, count(*) AS n FROM events GROUP BY 1")
@@ -126,10 +156,29 @@ def a_matrix(spark, d):
     return m.select("id", rounded(F.col("features")[0] + 2 * F.col("features")[1]).alias("dot"), "label", "seat_bucket")
 
 
-@query("a_manifest", f"WITH {vector_sql()} SELECT count(*) AS n_rows, count(*) FILTER (label = 1) AS positives, round(avg(label), 6) AS positive_share, 11 AS n_columns, sha256('id:bigint|domain:int|label:int|f0:double|f1:double|f2:double|f3:double|f4:double|f5:double|f6:double|f7:double') AS schema_hash FROM b5")
+_CUSTOMER_HASH = """sha256('{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"label":' || (c_acctbal > 5000)::INT || '}')"""
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _manifest(spark, d):
+    """The manifest measured while customers were written, which must be that of the table that was."""
+    path = shared_path(spark, "with_manifest")
+    rows = table(spark, d, "customer").withColumn("label", (F.col("c_acctbal") > 5000).cast("int"))
+    found = io.write_with_manifest(rows, path, "label", "c_mktsegment", _SEGMENTS)
+    if found != io.manifest(spark.read.parquet(path), "label", "c_mktsegment", _SEGMENTS):
+        raise ValueError("the manifest is not that of the written table")
+    return spark.createDataFrame([found], io.MANIFEST)
+
+
+@query("a_manifest", f"""WITH h AS (SELECT *, {_CUSTOMER_HASH} AS h FROM customer), p AS (SELECT count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(h, {15 * k + 1}, 15) AS BIGINT)) AS s{k}" for k in range(4)) + """, count(*) FILTER (c_acctbal > 5000) AS positives FROM h)
+  SELECT n AS n_rows, positives, n - positives AS negatives, round(positives / n, 6) AS positive_share, 6 AS n_columns, sha256('c_custkey:bigint|c_name:string|c_nationkey:int|c_acctbal:double|c_mktsegment:string|label:int') AS schema_hash, sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS dataset_hash FROM p""")
 def a_manifest(spark, d):
-    m = io.manifest(vector_features(spark, d), "label")
-    return m.withColumn("positive_share", rounded("positive_share"))
+    return _manifest(spark, d).withColumn("positive_share", rounded("positive_share")).drop("inputs")
+
+
+@query("a_manifest_inputs", "SELECT s AS input, count(c_custkey) AS n_rows, count(*) FILTER (c_acctbal > 5000) AS positives FROM (VALUES " + ", ".join(f"('{s}')" for s in _SEGMENTS) + ") v(s) LEFT JOIN customer ON c_mktsegment = s GROUP BY 1")
+def a_manifest_inputs(spark, d):
+    return _manifest(spark, d).select(F.inline("inputs"))
 
 
 @query("a_count", "SELECT count(*) AS n FROM lineitem")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groupsight.functions.scalars import canonical_json
+
 BAD = "_bad_record"
 
 
@@ -21,6 +30,29 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return rows.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line, value): all lines of text files with their numbers from 1, however files are split or compressed.
+
+    A split's rows are read by one task in the file's order, so their running ids differ from the split's first by their place in it; what
+    comes before a split is the sum of the line counts of the file's earlier splits, a row each.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("source_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("source_file", "_start", (before - F.col("_first")).alias("_shift"))
+    return rows.join(offsets, ["source_file", "_start"]).select("source_file", (F.col("_id") + F.col("_shift") + 1).alias("line"), "value")
+
+
+def read_ndjson_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(source_file, line, kind, fields): blank lines are left out but counted; kind is 'good', 'bad' (no JSON) or 'other' (JSON, but no object), whose fields are NULL."""
+    whole = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    rows = read_lines(spark, path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    parsed = rows.withColumn("_r", F.from_json("value", whole, {"columnNameOfCorruptRecord": BAD, "mode": "PERMISSIVE"}))
+    good = F.col("_r").isNotNull() & F.col(f"_r.{BAD}").isNull() & F.ltrim("value").startswith("{")
+    kind = F.when(good, "good").when(F.try_parse_json("value").isNull() | F.ltrim("value").startswith("{"), "bad").otherwise("other")
+    return parsed.select("source_file", "line", kind.alias("kind"), *[F.when(good, F.col("_r")[f.name]).alias(f.name) for f in schema.fields])
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """By suffix: .jsonl and .ndjson by line, .json as an array, each also with .gz; .parquet."""
     name = path.removesuffix(".gz")
@@ -70,12 +102,29 @@ def write_parts(df: DataFrame, path: str, rows_per_file: int) -> None:
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def write_rotating(df: DataFrame, path: str, max_bytes: int) -> int:
-    """JSON lines in files of about max_bytes; returns the rows a file may hold."""
-    mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0] or 1
-    rows = max(1, int(max_bytes / mean))
-    df.write.option("maxRecordsPerFile", rows).json(path)
-    return rows
+def write_rotating(df: DataFrame, path: str, max_bytes: int) -> None:
+    """JSON lines in files of at most max_bytes, but for single longer rows, which have a file each.
+
+    Each task adds up the bytes of its lines and begins a new file where the next line would go over; files lie in a folder each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, file, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(0).cast(pa.large_binary())).to_numpy(zero_copy_only=False) + 1)
+            at, base, names = 0, 0, []
+            while at < len(ends):
+                fits = int(np.searchsorted(ends, base + max_bytes - held, "right"))
+                if fits <= at and held:
+                    file, held = file + 1, 0
+                    continue
+                fits = max(fits, at + 1)  # a row longer than a file is alone in its own
+                names += [f"{task:06d}-{file:06d}"] * (fits - at)
+                held, base, at = held + int(ends[fits - 1]) - base, int(ends[fits - 1]), fits
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0)], ["file", "value"])
+
+    lines = df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "file string, value string")
+    lines.write.partitionBy("file").text(path)
 
 
 def write_missing_shards(df: DataFrame, path: str, shard: str, present: DataFrame | None) -> None:
@@ -95,15 +144,43 @@ def export_matrix(df: DataFrame, key: str, features: list[str], label: str, seat
     return df.select(key, F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in features]).alias("features"), label, bucket.alias("seat_bucket"))
 
 
-def manifest(df: DataFrame, label: str) -> DataFrame:
-    """One row: rows, positives, share of positives, columns, hash of the schema."""
+def _measures(df: DataFrame, label: str, source: str | None, inputs: list) -> dict[str, Column]:
+    """What a manifest tells, as aggregates of one pass."""
+    row = F.sha2(canonical_json(F.struct(*df.columns), df.schema), 256)
+    part = lambda k: F.sum(F.conv(F.substring(row, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
+    out = {"n_rows": F.count(F.lit(1)), "positives": F.count_if(F.col(label) == 1), "negatives": F.count_if(F.col(label) == 0)}
+    out |= {f"h{k}": F.coalesce(part(k), F.lit(0).cast("decimal(38,0)")) for k in range(4)}
+    for i, x in enumerate(inputs):
+        out |= {f"i{i}": F.count_if(F.col(source) == x), f"p{i}": F.count_if((F.col(source) == x) & (F.col(label) == 1))}
+    return out
+
+
+def _told(df: DataFrame, inputs: list, m: dict) -> dict:
+    """A manifest from what was measured."""
     kinds = "|".join(f"{n}:{t}" for n, t in df.dtypes)
-    return df.agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col(label) == 1).alias("positives"), F.avg((F.col(label) == 1).cast("int")).alias("positive_share"),
-        F.lit(len(df.columns)).alias("n_columns"), F.sha2(F.lit(kinds), 256).alias("schema_hash"),
-    )
+    sums = "|".join(str(int(m[k])) for k in ("n_rows", "h0", "h1", "h2", "h3"))
+    return {
+        "n_rows": m["n_rows"], "positives": m["positives"], "negatives": m["negatives"], "positive_share": m["positives"] / m["n_rows"] if m["n_rows"] else None,
+        "n_columns": len(df.columns), "schema_hash": hashlib.sha256(kinds.encode()).hexdigest(), "dataset_hash": hashlib.sha256(sums.encode()).hexdigest(),
+        "inputs": [{"input": str(x), "n_rows": m[f"i{i}"], "positives": m[f"p{i}"]} for i, x in enumerate(inputs)],
+    }
+
+
+def write_with_manifest(df: DataFrame, path: str, label: str, source: str | None = None, inputs: list | None = None) -> dict:
+    """Write df as Parquet and return its manifest, which is measured in the same pass: rows, classes, columns, hashes, and rows and positives of each of the given inputs (values of the column source).
+
+    The dataset hash is over the sums of four parts of each row's record hash, so the rows' order does not matter but a row more or less does.
+    """
+    seen = Observation("manifest")
+    measures = _measures(df, label, source, inputs or [])
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
+    return _told(df, inputs or [], seen.get)
+
+
+def manifest(df: DataFrame, label: str, source: str | None = None, inputs: list | None = None) -> dict:
+    """The manifest of a table that is there."""
+    row = df.agg(*[c.alias(k) for k, c in _measures(df, label, source, inputs or []).items()]).first()
+    return _told(df, inputs or [], row.asDict())
 
 
-def in_file_order(df: DataFrame, key: str) -> DataFrame:
-    """df with line numbers by a key that follows the file, from 1 within each file."""
-    return df.withColumn("line", F.row_number().over(Window.partitionBy("source_file").orderBy(key)))
+MANIFEST = "n_rows long, positives long, negatives long, positive_share double, n_columns int, schema_hash string, dataset_hash string, inputs array<struct<input:string,n_rows:long,positives:long>>"
