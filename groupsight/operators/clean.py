@@ -159,8 +159,10 @@ def align_columns(df: DataFrame, want: list[str], mode: str = "strict") -> DataF
     return df.select(*want)
 
 
-def align_to_reference(df: DataFrame, like: DataFrame) -> DataFrame:
-    """df with the columns of `like`, in its order: missing ones NULL, extras gone."""
+def align_to_reference(df: DataFrame, like: DataFrame, intersect: bool = False) -> DataFrame:
+    """df with the columns of `like`, in its order: missing ones NULL (intersect: left out), extras gone."""
+    if intersect:
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema if f.name in df.columns])
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from groupsight.functions import scalars as S
 from groupsight.functions.scalars import rounded
 from groupsight.operators import clean as C
+from groupsight.operators import reports as P
 from groupsight.operators import records as R
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES, DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, user_events, vector_features, vector_sql
@@ -153,6 +154,12 @@ def p_align_ref(spark, d):
     return C.align_to_reference(v, v.select("id", "f1", F.lit(0.0).alias("extra"), "f0"))
 
 
+@query("p_align_common", f"WITH {vector_sql()} SELECT id, f1, f0 FROM b5")
+def p_align_common(spark, d):
+    v = vector_features(spark, d)
+    return C.align_to_reference(v, v.select("id", "f1", F.lit(0.0).alias("extra"), "f0"), intersect=True)
+
+
 @query("p_subset", f"WITH {vector_sql()} SELECT label, f0, f1 FROM b5")
 def p_subset(spark, d):
     return vector_features(spark, d).select("label", "f0", "f1")
@@ -229,9 +236,7 @@ def p_dataset_hash(spark, d):
 
 @query("p_shorthand", f"WITH {ORDER_EVENTS} SELECT sess, string_agg('s' || stage || ':' || upper(substr(type, 1, 1)) || ':' || actor, ' | ' ORDER BY ord) AS line FROM b1 GROUP BY 1")
 def p_shorthand(spark, d):
-    word = F.concat(F.lit("s"), F.col("stage").cast("string"), F.lit(":"), F.upper(F.substring("type", 1, 1)), F.lit(":"), F.col("actor").cast("string"))
-    e = order_events(spark, d).groupBy("sess").agg(F.sort_array(F.collect_list(F.struct("ord", word.alias("w")))).alias("e"))
-    return e.select("sess", F.array_join("e.w", " | ").alias("line"))
+    return P.compact_session(order_events(spark, d))
 
 
 _REPLY = "CASE event_id % 4 WHEN 0 THEN 'Sure: ```json {\"label\": 1}```' WHEN 1 THEN '{\"label\": 0, \"why\": \"x\"}' WHEN 2 THEN 'I say 1.' ELSE 'none' END"
@@ -248,13 +253,12 @@ def p_flatten(spark, d):
     return C.flatten_metrics(c, ["c_custkey"])
 
 
-@query("p_stratum", f"""WITH {ORDER_EVENTS} SELECT sess, CASE WHEN max(stack) < 20 THEN 'low' WHEN max(stack) < 40 THEN 'mid' ELSE 'high' END || '|' || least(count(DISTINCT actor), 6) || '|' ||
-  CASE WHEN count(*) < 3 THEN 'short' WHEN count(*) < 6 THEN 'medium' ELSE 'long' END AS stratum FROM b1 GROUP BY 1""")
+@query("p_stratum", f"""WITH {ORDER_EVENTS}, s AS (SELECT sess, max(stack) / 10 AS u, count(DISTINCT actor) AS a, max(stage) AS st, count(*) AS n FROM b1 GROUP BY 1)
+  SELECT sess, CASE WHEN u < 0.1 THEN 'micro' WHEN u < 1 THEN 'low' WHEN u < 5 THEN 'mid' ELSE 'high' END || '|' || CASE WHEN a <= 2 THEN 'hu' WHEN a <= 6 THEN 'sh' ELSE 'fr' END || '|' ||
+  CASE st WHEN 0 THEN 'pf' WHEN 1 THEN 'flop' ELSE 'deep' END || '|' || CASE WHEN n <= 6 THEN 'short' WHEN n <= 14 THEN 'mid' ELSE 'long' END AS stratum FROM s""")
 def p_stratum(spark, d):
-    e = order_events(spark, d).groupBy("sess").agg(F.max("stack").alias("s"), F.count_distinct("actor").alias("a"), F.count("*").alias("n"))
-    stake = F.when(F.col("s") < 20, "low").when(F.col("s") < 40, "mid").otherwise("high")
-    pace = F.when(F.col("n") < 3, "short").when(F.col("n") < 6, "medium").otherwise("long")
-    return e.select("sess", F.concat_ws("|", stake, F.least("a", F.lit(6)).cast("string"), pace).alias("stratum"))
+    e = order_events(spark, d).groupBy("sess").agg((F.max("stack") / 10).alias("u"), F.count_distinct("actor").alias("a"), F.max("stage").alias("st"), F.count("*").alias("n"))
+    return e.select("sess", P.stratum_key(F.col("u"), F.col("a"), F.col("st"), F.col("n")).alias("stratum"))
 
 
 @query("p_compliance", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'repo ' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN 'version ' ELSE '' END AS missing, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'opaque' ELSE 'transparent' END AS status FROM customer")

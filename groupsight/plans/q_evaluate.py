@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import remap, rounded, smooth_uncertain
 from groupsight.operators import evaluate as E
 from groupsight.operators import features as G
+from groupsight.operators import reports as R
 from groupsight.operators import screen as C
 from groupsight.plans.q_features import B1_GROUPS, HEURISTIC_SQL, b1_groups
 from groupsight.plans.registry import query
@@ -107,6 +107,14 @@ def e_segment(spark, d):
     return c.select("seg", rounded("t", 3).alias("t"), rounded((F.col("tp") + F.col("fp")) / (F.col("pos") + F.col("neg"))).alias("hit"))
 
 
+@query("e_segment_block", f"""{SC}, h AS (SELECT domain AS segment, label, score, [(score >= t)::INT FOR t IN [0.15, 0.25, 0.35]] AS hs FROM sc)
+  SELECT segment, label, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, CASE WHEN label = 0 THEN round(avg((score >= 0.5)::INT), 6) END AS fpr, CASE WHEN label = 1 THEN round(avg((score >= 0.5)::INT), 6) END AS recall,
+  """ + ", ".join(f"CASE WHEN label = 1 THEN round(avg(hs[{i + 1}]), 6) END AS recall_{t}" for i, t in enumerate((15, 25, 35))) + " FROM h GROUP BY 1, 2")
+def e_segment_block(spark, d):
+    out = R.segment_blocks(sc(spark, d), "domain")
+    return out.select(F.col("domain").alias("segment"), "label", "n", *r("mean", "median", "fpr", "recall"), *[rounded(F.col("recalls")[i]).alias(f"recall_{t}") for i, t in enumerate((15, 25, 35))])
+
+
 @query("e_smooth", f"{SC} SELECT id, round(CASE WHEN score <= 0.3 OR score >= 0.7 THEN score ELSE 0.3 + 0.4 * pow((score - 0.3) / 0.4, 1.4) END, 6) AS s FROM sc")
 def e_smooth(spark, d):
     return sc(spark, d).select("id", rounded(smooth_uncertain(F.col("score"), 0.3, 0.7, 1.4)).alias("s"))
@@ -177,11 +185,38 @@ _LAST = "ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scorer
 _WR = f"{SC}, {_LAST}, {AP.format(src='ls')}{RW.format(src='ls')}, wr AS (SELECT scorer, CASE WHEN (SELECT count(*) FROM ls l WHERE l.scorer = rw.scorer) >= 40 THEN base * penalty ELSE 0 END AS reward FROM rw)"
 
 
+#: Events as answers: a user answers in daily cycles, 3 answers are expected in each, a cycle's latency is its first value.
+ANSWERS_SQL = """an AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS cycle, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) - 1 AS position, value FROM events),
+  ex AS (SELECT DISTINCT cycle, CAST(2 + cycle % 3 AS INTEGER) AS expected FROM an), us AS (SELECT DISTINCT user_id FROM events), ke AS (SELECT an.* FROM an JOIN ex USING (cycle) WHERE position < expected),
+  cv AS (SELECT us.user_id, ex.cycle, coalesce(n / expected::DOUBLE, 0) AS coverage FROM us CROSS JOIN ex LEFT JOIN (SELECT user_id, cycle, count(*) AS n FROM ke GROUP BY 1, 2) c ON c.user_id = us.user_id AND c.cycle = ex.cycle)"""
+
+
+def answered(spark, d):
+    e = table(spark, d, "events").withColumn("cycle", F.floor(F.unix_timestamp(F.date_trunc("day", "ts")) / 86400))
+    e = e.withColumn("position", F.row_number().over(Window.partitionBy("user_id", "cycle").orderBy("ts", "event_id")) - 1).select("user_id", "cycle", "position", "value")
+    expected = e.select("cycle").distinct().withColumn("expected", (2 + F.col("cycle") % 3).cast("int"))
+    return E.answers(e, expected, e.select("user_id"), "user_id", "cycle", "position")
+
+
 @query("e_windowed", f"{_WR} SELECT scorer, round(reward, 6) + 0.0 AS reward FROM wr")
 def e_windowed(spark, d):
     return E.windowed_reward(sc(spark, d), "scorer", ["cycle", "id"]).select("scorer", *r("reward"))
 
 
+@query("e_windowed_full", f"""WITH {ANSWERS_SQL}, pr AS (SELECT user_id AS scorer, cycle, position, round(value / 500, 6) AS score, (value > 230)::INT AS label FROM ke), ls AS (SELECT *, row_number() OVER (PARTITION BY scorer ORDER BY cycle DESC, position DESC) AS rk FROM pr QUALIFY rk <= 40),
+  cr AS (SELECT user_id AS scorer, avg(coverage) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cycle DESC) AS rk FROM cv) WHERE rk <= 40 GROUP BY 1), lt AS (SELECT scorer, cycle, max(score) FILTER (position = 0) AS latency FROM pr GROUP BY 1, 2),
+  lr AS (SELECT scorer, avg(latency) AS latency FROM (SELECT *, row_number() OVER (PARTITION BY scorer ORDER BY cycle DESC) AS rk FROM lt WHERE latency > 0.1) WHERE rk <= 40 GROUP BY 1),
+  {AP.format(src='ls')}{RW.format(src='ls')}, sa AS (SELECT scorer, count(*) AS samples FROM ls GROUP BY 1)
+  SELECT scorer, coalesce(samples, 0) AS samples, CASE WHEN samples >= 40 THEN round(base * penalty, 6) + 0.0 ELSE 0 END AS reward, round(coverage, 6) AS coverage, round(latency, 6) AS latency FROM cr LEFT JOIN sa USING (scorer) LEFT JOIN rw USING (scorer) LEFT JOIN lr USING (scorer)""")
+def e_windowed_full(spark, d):
+    """Answers cut to what was expected, rewards of the last 40, mean coverage and latency of the last 40 cycles."""
+    kept, coverage = answered(spark, d)
+    p = kept.select(F.col("user_id").alias("scorer"), "cycle", "position", rounded(F.col("value") / 500).alias("score"), (F.col("value") > 230).cast("int").alias("label"))
+    latency = p.groupBy("scorer", "cycle").agg(F.max(F.when(F.col("position") == 0, F.col("score"))).alias("l")).withColumn("latency", F.when(F.col("l") > 0.1, F.col("l")))
+    responses = coverage.withColumnRenamed("user_id", "scorer").join(latency.drop("l"), ["scorer", "cycle"], "left")
+    return E.windowed_reward(p, "scorer", ["cycle", "position"], responses=responses).select("scorer", "samples", *r("reward", "coverage", "latency"))
+
+
 def _rewards(spark, d):
     return sc(spark, d).groupBy("scorer").agg(rounded(F.avg(F.col("score") * F.col("label")), 9).alias("reward"))
 
@@ -223,9 +258,8 @@ def e_leader(spark, d):
 
 @query("e_gates", f"{SC}, c AS (SELECT domain, {_CM} FROM sc GROUP BY 1) SELECT domain, tp / (tp + fn) >= 0.5 AS recall_ok, fp / (fp + tn) <= 0.5 AS fpr_ok, (SELECT bool_and(tp / (tp + fn) >= 0.5 AND fp / (fp + tn) <= 0.5) FROM c) AS release FROM c")
 def e_gates(spark, d):
-    c = E.confusion(sc(spark, d), ["domain"], F.col("score") >= 0.5).select("domain", (F.col("recall") >= 0.5).alias("recall_ok"), (F.col("fpr") <= 0.5).alias("fpr_ok"))
-    every = c.agg(F.bool_and(F.col("recall_ok") & F.col("fpr_ok")).alias("release"))  # one row
-    return c.join(F.broadcast(every), F.lit(True))
+    c = E.confusion(sc(spark, d), ["domain"], F.col("score") >= 0.5)
+    return R.release_gates(c, {"recall": ("min", 0.5), "fpr": ("max", 0.5)}).select("domain", "recall_ok", "fpr_ok", "release")
 
 
 _ENS = "round((score + least(1, score * 1.1)) / 2, 9)"
@@ -262,9 +296,26 @@ def e_majority(spark, d):
     return m.groupBy("class").agg(F.sum("n").alias("n")).join(F.broadcast(noise), F.lit(True))
 
 
-@query("e_grid", f"{SC}, c AS (SELECT scorer, {_CM} FROM sc GROUP BY 1) SELECT scorer, tp, fp FROM c WHERE tp + fn >= 20 ORDER BY tp DESC, fp, scorer LIMIT 3")
+@query("e_grid", f"""{SC}, g AS (SELECT DISTINCT cycle, scorer FROM sc), c AS (SELECT scorer, {_CM}, count(DISTINCT cycle) AS cycles FROM sc GROUP BY 1), m AS (SELECT scorer, fp / (fp + tn) AS noise, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced, tp + fp AS covered, cycles FROM c WHERE tp + fn >= 20)
+  SELECT scorer, row_number() OVER (ORDER BY round(noise, 9), round(balanced, 9) DESC, covered DESC, cycles, scorer) AS place FROM m""")
 def e_grid(spark, d):
-    return E.confusion(sc(spark, d), ["scorer"], F.col("score") >= 0.5).where("tp + fn >= 20").orderBy(F.desc("tp"), "fp", "scorer").limit(3).select("scorer", "tp", "fp")
+    """Scorers as grid points: least noise, then balanced accuracy, coverage, fewest cycles."""
+    c = E.confusion(sc(spark, d), ["scorer"], F.col("score") >= 0.5).join(sc(spark, d).groupBy("scorer").agg(F.count_distinct("cycle").alias("cycles")), "scorer")
+    balanced = F.round((F.col("recall") + 1 - F.col("fpr")) / 2, 9)
+    return R.grid_select(c, F.col("tp") + F.col("fn") >= 20, F.round("fpr", 9), F.desc(balanced), F.desc(F.col("tp") + F.col("fp")), "cycles", "scorer").select("scorer", "place")
+
+
+@query("e_strategies", f"""{SC}, c AS (SELECT scorer, {_CM}, count(*) FILTER (score >= 0.25 AND label = 1) AS low, count(*) FILTER (score >= 0.6 AND label = 0) AS other FROM sc GROUP BY 1),
+  m AS (SELECT scorer AS trial, 100 * tp / (tp + fn) AS recall, 100 * fp / (fp + tn) AS fpr, CASE WHEN scorer = 3 THEN 99 ELSE 100 * other / (fp + tn) END AS other_fpr, 100 * low / (tp + fn) AS low_recall FROM c),
+  s AS (SELECT trial, CASE WHEN trial = 5 THEN -1 ELSE round(recall + 0.1 * low_recall - 5 * greatest(0, fpr - 20) - 2 * greatest(0, other_fpr - 10), 6) END AS strategy_score FROM m) SELECT trial, strategy_score + 0.0 AS strategy_score, row_number() OVER (ORDER BY strategy_score DESC, trial) AS place FROM s""")
+def e_strategies(spark, d):
+    """Scorers as strategies, one without its other rate, one that failed."""
+    neg, pos = F.col("label") == 0, F.col("label") == 1
+    share = lambda t, side: 100 * F.count_if((F.col("score") >= t) & side) / F.count_if(side)
+    t = sc(spark, d).groupBy(F.col("scorer").alias("trial")).agg(share(0.5, pos).alias("recall"), share(0.5, neg).alias("fpr"), share(0.6, neg).alias("other_fpr"), share(0.25, pos).alias("low_recall"))
+    t = t.withColumns({"other_fpr": F.when(F.col("trial") != 3, F.col("other_fpr")), "error": F.when(F.col("trial") == 5, "failed")})
+    t = t.withColumns({c: rounded(c, 9) for c in ("recall", "fpr", "other_fpr", "low_recall")})
+    return R.strategy_scores(t, 20.0, 10.0).select("trial", *r("strategy_score"), "place")
 
 
 @query("e_total", f"{SC} SELECT id, label, 1.0 AS sample_weight FROM sc WHERE id % 2 = 0 UNION ALL SELECT id, (score > 0.5)::INT, round(abs(score - 0.5), 6) + 0.0 FROM sc WHERE id % 2 = 1")
@@ -276,19 +327,53 @@ def e_total(spark, d):
 
 @query("e_served", "SELECT user_id, count(*) AS served, min(event_id) AS first_cycle, max(event_id) AS last_cycle, count(*) - 1 AS repeats FROM events GROUP BY 1")
 def e_served(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("served"), F.min("event_id").alias("first_cycle"), F.max("event_id").alias("last_cycle"), (F.count("*") - 1).alias("repeats"))
+    return R.served_counts(table(spark, d, "events"), "user_id", "event_id")
+
+
+#: What a day of a user is suspected of.
+_REASONS = """sp AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(epoch(CAST(ts AS DATE)) / 86400 AS BIGINT) AS cycle, count(*) FILTER (value > 300) AS a, count(*) FILTER (event_type = 'error') AS b, count(*) FILTER (value < 20) AS c FROM events GROUP BY 1, 2, 3),
+  rs AS (SELECT user_id, cycle, list_filter([CASE WHEN a > 1 THEN 'many_high' END, CASE WHEN b > 0 THEN 'error' END, CASE WHEN c > 0 THEN 'low' END], lambda x: x IS NOT NULL) AS reasons FROM sp)"""
 
 
-@query("e_violations", "SELECT user_id, event_type AS reason, count(*) AS n, max(event_id) AS latest, CASE WHEN count(*) > 3 THEN 'suspended' ELSE 'open' END AS status FROM events WHERE value > 300 GROUP BY 1, 2")
+def _reasons(spark, d):
+    e = table(spark, d, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("cycle")).agg(
+        F.count_if(F.col("value") > 300).alias("a"), F.count_if(F.col("event_type") == "error").alias("b"), F.count_if(F.col("value") < 20).alias("c"))
+    return e.select("user_id", "cycle", F.filter(F.array(F.when(F.col("a") > 1, "many_high"), F.when(F.col("b") > 0, "error"), F.when(F.col("c") > 0, "low")), lambda x: x.isNotNull()).alias("reasons"))
+
+
+@query("e_violations", f"""WITH {_REASONS}, ev AS (SELECT * FROM rs WHERE len(reasons) > 0), ct AS (SELECT user_id, r, count(*) AS n FROM (SELECT user_id, unnest(reasons) AS r FROM ev) GROUP BY 1, 2), cs AS (SELECT user_id, string_agg(r || ':' || n, ' ' ORDER BY r) AS counts FROM ct GROUP BY 1)
+  SELECT user_id, least(count(*), 8) AS events, max(cycle) AS last_cycle, arg_max(array_to_string(list_sort(reasons), '|'), cycle) AS last_reasons, any_value(counts) AS counts FROM ev JOIN cs USING (user_id) GROUP BY 1""")
 def e_violations(spark, d):
-    return C.violation_counts(table(spark, d, "events").where("value > 300").withColumnRenamed("event_type", "reason"), "user_id", "reason", "event_id")
+    s = R.suspicion(_reasons(spark, d), "user_id", "cycle", "reasons", last=8)
+    shown = F.array_join(F.transform(F.map_entries("counts"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), " ")
+    return s.select("user_id", "events", "last_cycle", F.array_join("last_reasons", "|").alias("last_reasons"), shown.alias("counts"))
+
+
+@query("e_last_events", f"WITH {_REASONS} SELECT user_id, cycle FROM rs WHERE len(reasons) > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cycle DESC) <= 8")
+def e_last_events(spark, d):
+    return R.last_events(_reasons(spark, d), "user_id", "cycle", "reasons", last=8).select("user_id", "cycle")
+
+
+_STATUS = f"WITH {_REASONS}, st AS (SELECT user_id, cycle, CASE WHEN len(reasons) > 1 THEN 'opaque' ELSE 'transparent' END AS status FROM rs)"
+
+
+def _statuses(spark, d):
+    return _reasons(spark, d).select("user_id", "cycle", F.when(F.size("reasons") > 1, "opaque").otherwise("transparent").alias("status"))
+
+
+@query("e_status_changes", f"{_STATUS} SELECT user_id, cycle, status, lag(status) OVER w AS previous, status IS DISTINCT FROM lag(status) OVER w AS changed FROM st WINDOW w AS (PARTITION BY user_id ORDER BY cycle)")
+def e_status_changes(spark, d):
+    return R.status_changes(_statuses(spark, d), "user_id", "cycle", "status")
+
+
+@query("e_compliance", f"{_STATUS}, la AS (SELECT user_id, arg_max(status, cycle) AS s, max(cycle) AS c FROM st GROUP BY 1) SELECT count(*) AS tracked, count(*) FILTER (s = 'transparent') AS transparent, count(*) FILTER (s = 'opaque') AS opaque, max(c) AS last_cycle FROM la")
+def e_compliance(spark, d):
+    return R.compliance_summary(_statuses(spark, d), "user_id", "cycle", "status")
 
 
 @query("e_diag", f"{SC} SELECT cycle, round(min(score), 6) AS low, round(max(score), 6) AS high, round(stddev_pop(score), 6) AS std, count(*) FILTER (score < 0.2) AS near_floor, count(*) FILTER (score > 0.8) AS near_ceiling, sha256(string_agg((score > 0.5)::INT::VARCHAR, '' ORDER BY id)) AS digest FROM sc GROUP BY 1")
 def e_diag(spark, d):
-    bits = F.transform(F.sort_array(F.collect_list(F.struct("id", (F.col("score") > 0.5).cast("int").cast("string").alias("b")))), lambda x: x["b"])
-    return sc(spark, d).groupBy("cycle").agg(rounded(F.min("score")).alias("low"), rounded(F.max("score")).alias("high"), rounded(F.stddev_pop("score")).alias("std"), F.count_if(F.col("score") < 0.2).alias("near_floor"),
-                                            F.count_if(F.col("score") > 0.8).alias("near_ceiling"), F.sha2(F.array_join(bits, ""), 256).alias("digest"))
+    return R.score_diagnostics(sc(spark, d), "cycle", "id").select("cycle", *r("low", "high", "std"), "near_floor", "near_ceiling", "digest")
 
 
 @query("e_load", "SELECT user_id, p95, CASE WHEN p95 > 450 THEN 'extreme' WHEN p95 > 400 THEN 'high' ELSE 'normal' END AS state FROM (SELECT user_id, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk <= 50 GROUP BY 1)")

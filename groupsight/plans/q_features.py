@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import EVENT_TYPES, rounded, smooth_uncertain
 from groupsight.operators import features as G
+from groupsight.operators import reports as R
 from groupsight.plans.registry import query
-from groupsight.sources.bindings import ORDER_EVENTS, USER_EVENTS, order_events, user_events
+from groupsight.sources.bindings import ORDER_EVENTS, USER_EVENTS, order_events, table, user_events
 
 _IN = ", ".join(f"'{t}'" for t in EVENT_TYPES)
 
@@ -193,21 +194,24 @@ def g_structure(spark, d):
     return G.session_features(order_events(spark, d)).groupBy("label").agg(*[rounded(F.avg(k)).alias(f"{k}_share") for k in _STRUCT])
 
 
-@query("g_shortcut", f"""WITH {ORDER_EVENTS} SELECT label, round(avg(n), 6) AS mean_events, round(avg(people), 6) AS mean_people, round(avg(last), 4) AS mean_total, round(avg(big), 4) AS mean_largest,
-  round(avg(zero), 6) AS share_low FROM (SELECT label, sess, count(*) AS n, count(DISTINCT actor) AS people, arg_max(total, ord) AS last, max(amount) AS big, (min(amount) < 5)::INT AS zero FROM b1 GROUP BY 1, 2) GROUP BY 1""")
+_SHORT = ("avg_players", "avg_actions", "avg_streets", "avg_call", "avg_raise", "avg_check", "avg_fold", "avg_amount_sum", "avg_total_sum")
+
+
+@query("g_shortcut", f"""WITH {ORDER_EVENTS}, s AS (SELECT grp, sess, count(DISTINCT actor) AS avg_players, count(*) AS avg_actions, count(DISTINCT stage) AS avg_streets, {', '.join(f"count(*) FILTER (type = '{t}') AS avg_{t}" for t in ('call', 'raise', 'check', 'fold'))},
+  sum(amount) AS avg_amount_sum, sum(total) AS avg_total_sum FROM b1 GROUP BY 1, 2) SELECT grp, count(*) AS chunk_size, {', '.join(f'round(avg({k}), 4) + 0.0 AS {k}' for k in _SHORT)} FROM s GROUP BY 1""")
 def g_shortcut(spark, d):
-    s = order_events(spark, d).groupBy("label", "sess").agg(
-        F.count("*").alias("n"), F.count_distinct("actor").alias("people"), F.max_by("total", "ord").alias("last"), F.max("amount").alias("big"), (F.min("amount") < 5).cast("int").alias("zero"))
-    return s.groupBy("label").agg(rounded(F.avg("n"), 6).alias("mean_events"), rounded(F.avg("people"), 6).alias("mean_people"), rounded(F.avg("last"), 4).alias("mean_total"),
-                                  rounded(F.avg("big"), 4).alias("mean_largest"), rounded(F.avg("zero"), 6).alias("share_low"))
+    return R.shortcut_features(order_events(spark, d)).select("grp", "chunk_size", *r(_SHORT, 4))
+
 
+_RAW = ("stack_mean", "stack_std", "total_max", "total_last", "amount_sum", "amount_max", "amount_mean", "amount_std", "meta_o_totalprice")
 
-@query("g_raw_profile", f"""WITH {ORDER_EVENTS} SELECT sess, min(stack) AS stack_min, max(stack) AS stack_max, round(coalesce(stddev_samp(stack), 0), 6) AS stack_std,
-  round(sum(amount), 3) AS amount_sum, count(*) AS n FROM b1 GROUP BY 1""")
+
+@query("g_raw_profile", f"""WITH {ORDER_EVENTS}, a AS (SELECT sess, actor, arg_min(stack, ord) AS s FROM b1 GROUP BY 1, 2), p AS (SELECT sess, count(*) AS n_players, avg(s) AS stack_mean, min(s) AS stack_min, max(s) AS stack_max, coalesce(stddev_samp(s), 0) AS stack_std FROM a GROUP BY 1),
+  e AS (SELECT sess, count(*) AS n_actions, count(DISTINCT stage) AS n_streets, max(total) AS total_max, arg_max(total, ord) AS total_last, sum(amount) AS amount_sum, max(amount) AS amount_max, avg(amount) AS amount_mean, coalesce(stddev_samp(amount), 0) AS amount_std FROM b1 GROUP BY 1)
+  SELECT sess, n_players, stack_min, stack_max, n_actions, n_streets, meta_o_custkey, {', '.join(f'round({k}, 4) + 0.0 AS {k}' for k in _RAW)} FROM p JOIN e USING (sess) JOIN (SELECT o_orderkey AS sess, o_custkey::DOUBLE AS meta_o_custkey, o_totalprice AS meta_o_totalprice FROM orders) USING (sess)""")
 def g_raw_profile(spark, d):
-    return order_events(spark, d).groupBy("sess").agg(
-        F.min("stack").alias("stack_min"), F.max("stack").alias("stack_max"), rounded(F.coalesce(F.stddev_samp("stack"), F.lit(0.0)), 6).alias("stack_std"),
-        rounded(F.sum("amount"), 3).alias("amount_sum"), F.count("*").alias("n"))
+    out = R.raw_session_profile(order_events(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("sess"), "o_custkey", "o_totalprice"))
+    return out.select("sess", "n_players", "stack_min", "stack_max", "n_actions", "n_streets", "meta_o_custkey", *r(_RAW, 4))
 
 
 @query("g_counts", f"WITH {ORDER_EVENTS} SELECT grp, " + ", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in (*EVENT_TYPES, "other")) + " FROM b1 GROUP BY 1")

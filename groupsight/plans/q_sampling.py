@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import rounded
 from groupsight.operators import records as R
+from groupsight.operators import reports as P
 from groupsight.operators import sampling as U
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import VECTOR_SCORES, table, vector_features, vector_scores, vector_sql
@@ -50,14 +51,11 @@ def j_full(spark, d):
   SELECT coalesce(a.k, b.k) AS k, m AS metric, round(CASE m WHEN 'n' THEN b.n - a.n ELSE b.bal - a.bal END, 4) + 0.0 AS delta, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side
   FROM a FULL JOIN b ON a.k = b.k, (VALUES ('n'), ('bal')) v(m)""")
 def j_compare(spark, d):
-    def metrics(rest: int, without: str, x: str):
+    def metrics(rest: int, without: str):
         rows = cust(spark, d).where((F.col("c_custkey") % 2 == rest) & (F.col("c_mktsegment") != without))
-        return rows.groupBy(F.lower(F.trim("c_mktsegment")).alias("k")).agg(F.count("*").cast("double").alias(f"n_{x}"), F.avg("c_acctbal").alias(f"bal_{x}"), F.lit(1).alias(x))
+        return rows.groupBy(F.col("c_mktsegment").alias("k")).agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("bal"))
 
-    j = metrics(0, "BUILDING", "a").join(metrics(1, "MACHINERY", "b"), "k", "full")
-    side = F.when(F.col("a").isNull(), "right").when(F.col("b").isNull(), "left").otherwise("both")
-    j = j.select("k", side.alias("side"), (F.col("n_b") - F.col("n_a")).alias("n"), (F.col("bal_b") - F.col("bal_a")).alias("bal"))
-    return j.unpivot(["k", "side"], ["n", "bal"], "metric", "delta").withColumn("delta", rounded("delta", 4))
+    return P.compared(metrics(0, "BUILDING"), metrics(1, "MACHINERY"), "k", ["n", "bal"]).withColumn("delta", rounded("delta", 4))
 
 
 @query("j_rowkey", f"WITH {vector_sql()} SELECT a.id, a.f0, b.f1 FROM b5 a JOIN b5 b ON a.id = b.id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import rounded
+from groupsight.operators import reports as R
 from groupsight.operators import screen as C
 from groupsight.operators import stats as S
 from groupsight.operators import transform as T
@@ -13,7 +14,7 @@ from groupsight.operators.ordered import rolling_quantile
 from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES as DF
-from groupsight.sources.bindings import DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, vector_features, vector_sql
+from groupsight.sources.bindings import DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, vector_features, vector_scores, vector_sql
 from groupsight.sources.store import cut
 
 FS = [f"f{i}" for i in range(8)]
@@ -272,14 +273,13 @@ def s_tier(spark, d):
 
 @query("s_gate", f"{_TIER} SELECT round(avg((tier = 'hard')::INT), 6) AS hard_share, round(avg((tier = 'soft')::INT), 6) AS soft_share, avg((tier = 'hard')::INT) <= 0.02 AS pass FROM t")
 def s_gate(spark, d):
-    share = lambda k: F.avg((F.col("tier") == k).cast("int"))
-    return _tiers(spark, d).agg(rounded(share("hard")).alias("hard_share"), rounded(share("soft")).alias("soft_share"), (share("hard") <= 0.02).alias("pass"))
+    return R.qc_gate(_tiers(spark, d)).select(*r("hard_share", "soft_share"), "pass")
 
 
 @query("s_fingerprint", f"{B5}, {LONG} SELECT feature, round(0.7 * avg(value) FILTER (label = 1) + 0.3 * avg(value) FILTER (label = 0), 6) + 0.0 AS mean, round(stddev_samp(value) FILTER (label = 1), 6) AS std FROM lf GROUP BY 1")
 def s_fingerprint(spark, d):
     a, b = (S.fingerprint(v(spark, d).where(F.col("label") == k), FS) for k in (1, 0))
-    rows = spark.createDataFrame([(c, 0.7 * a[c][0] + 0.3 * b[c][0], a[c][1]) for c in FS], "feature string, mean double, std double")
+    rows = spark.createDataFrame([(c, *x) for c, x in R.blended(a, b).items()], "feature string, mean double, std double")
     return rows.select("feature", *r("mean", "std"))
 
 
@@ -290,26 +290,47 @@ def s_fp_dist(spark, d):
     return v(spark, d).withColumn("distance", dist).groupBy("domain").agg(rounded(F.avg("distance")).alias("distance"))
 
 
-@query("s_match", f"{B5}, {LONG}, {_ks_sql('label = 1')} SELECT round(median(ks), 6) AS median_ks, round(avg(ks), 6) AS mean_ks, median(ks) <= 0.3 AS pass FROM ksd")
+_W = {"f0": 0.05, "f1": 2.0, "f2": 1.3}
+_WSQL = "CASE feature " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in _W.items()) + " ELSE 1.0 END"
+
+
+@query("s_match", f"""{B5}, {LONG}, {_ks_sql('label = 1')}, w AS (SELECT ks, unnest(range(CAST(greatest(1, floor({_WSQL} * 10)) AS BIGINT))) FROM ksd)
+  SELECT count(*) AS n_features, round(median(ks), 6) AS median_ks, round(avg(ks), 6) AS mean_ks, round((SELECT median(ks) FROM w), 6) AS weighted_median_ks, median(ks) <= 0.3 AND (SELECT median(ks) FROM w) <= 0.05 AS reached FROM ksd""")
 def s_match(spark, d):
-    k = S.ks(v(spark, d), FS, F.col("label") == 1)
-    return k.agg(rounded(F.percentile("ks", F.lit(0.5))).alias("median_ks"), rounded(F.avg("ks")).alias("mean_ks"), (F.percentile("ks", F.lit(0.5)) <= 0.3).alias("pass"))
+    return R.profile_match(R.profile_distances(v(spark, d), FS, F.col("label") == 1, _W), most_weighted=0.05).select("n_features", *r("median_ks", "mean_ks", "weighted_median_ks"), "reached")
+
+
+@query("s_match_features", f"{B5}, {LONG}, {_ks_sql('label = 1')}, m AS (SELECT feature, avg(value) FILTER (label = 1) AS mean_a, avg(value) FILTER (label = 0) AS mean_b FROM lf GROUP BY 1) SELECT feature, {rs('ks', 'mean_a', 'mean_b')}, CAST({_WSQL} AS DOUBLE) AS weight FROM ksd JOIN m USING (feature)")
+def s_match_features(spark, d):
+    return R.profile_distances(v(spark, d), FS, F.col("label") == 1, _W).select("feature", *r("ks", "mean_a", "mean_b"), "weight")
 
 
 @query("s_adjust", f"""{B5}, {LONG}, {_ks_sql('label = 1')}, m AS (SELECT feature, avg(value) FILTER (label = 1) AS a, avg(value) FILTER (label = 0) AS b FROM lf GROUP BY 1)
   SELECT feature, round(CASE WHEN ks >= 0.1 THEN a + 0.5 * (b - a) ELSE a END, 6) + 0.0 AS mean, round(1 + ks, 6) AS weight FROM m JOIN ksd USING (feature)""")
 def s_adjust(spark, d):
-    means = S.long_form(v(spark, d), FS, ["label"]).groupBy("feature").agg(F.avg(F.when(F.col("label") == 1, F.col("value"))).alias("a"), F.avg(F.when(F.col("label") == 0, F.col("value"))).alias("b"))
-    j = means.join(S.ks(v(spark, d), FS, F.col("label") == 1), "feature")
-    pulled = F.when(F.col("ks") >= 0.1, F.col("a") + 0.5 * (F.col("b") - F.col("a"))).otherwise(F.col("a"))
-    return j.select("feature", rounded(pulled).alias("mean"), rounded(1 + F.col("ks")).alias("weight"))
+    return R.adjusted_fingerprint(R.profile_distances(v(spark, d), FS, F.col("label") == 1), least=0.1).select("feature", *r("mean", "weight"))
+
 
+_SCORED = f"sb AS (SELECT *, round(1 / (1 + exp(-3 * (round(f0, 5) + round(f1, 5)) - label * 0.9)), 4) AS score FROM b5)"
+_SLONG = "sl AS (" + " UNION ALL ".join(f"SELECT label, score, '{c}' AS feature, {c} AS value FROM sb" for c in FS) + ")"
 
-@query("s_contrast", f"""{B5}, {LONG}, c AS (SELECT feature, abs(avg(value) FILTER (domain = 0) - avg(value) FILTER (domain <> 0)) / stddev_samp(value) AS z FROM lf GROUP BY 1) SELECT feature, round(z, 6) AS z FROM c ORDER BY z DESC, feature LIMIT 3""")
+
+def _scored(spark, d):
+    return vector_scores(spark, d).select("id", "score").join(v(spark, d), "id")
+
+
+@query("s_contrast", f"""{B5}, {_SCORED}, {_SLONG}, c AS (SELECT feature, avg(value) FILTER (label = 1 AND score < 0.7) AS hard_mean, avg(value) FILTER (label = 1 AND score >= 0.7) AS easy_mean, avg(value) FILTER (label = 0) AS human_mean,
+  stddev_samp(value) FILTER (label = 1 AND score < 0.7) AS h, stddev_samp(value) FILTER (label = 0) AS n, corr(value, score) FILTER (label = 1) AS corr FROM sl GROUP BY 1)
+  SELECT feature, {rs('hard_mean', 'easy_mean', 'human_mean')}, round(abs(easy_mean - hard_mean) / h, 6) AS z_easy, round(abs(hard_mean - human_mean) / n, 6) AS z_human, round(corr, 6) + 0.0 AS corr FROM c""")
 def s_contrast(spark, d):
-    easy = lambda k: F.avg(F.when((F.col("domain") == 0) if k else (F.col("domain") != 0), F.col("value")))
-    z = S.long_form(v(spark, d), FS, ["domain"]).groupBy("feature").agg((F.abs(easy(True) - easy(False)) / F.stddev_samp("value")).alias("z"))
-    return z.orderBy(F.desc("z"), "feature").limit(3).select("feature", *r("z"))
+    return R.hard_easy_contrast(_scored(spark, d), FS, at=0.7).select("feature", *r("hard_mean", "easy_mean", "human_mean", "z_easy", "z_human", "corr"))
+
+
+@query("s_contrast_scores", f"""{B5}, {_SCORED}, g AS (SELECT score, CASE WHEN label = 0 THEN 'human' WHEN score < 0.7 THEN 'hard' ELSE 'easy' END AS segment FROM sb), q AS (SELECT segment, count(*) AS n, avg(score) AS mean, quantile_cont(score, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q FROM g GROUP BY 1)
+  SELECT segment, n, round(mean, 6) AS mean, {', '.join(f'round(q[{i + 1}], 6) AS p{p}' for i, p in enumerate((10, 25, 50, 75, 90, 95)))} FROM q""")
+def s_contrast_scores(spark, d):
+    rows = _scored(spark, d).withColumn("segment", F.when(F.col("label") == 0, "human").when(F.col("score") < 0.7, "hard").otherwise("easy"))
+    return R.score_summary(rows, "segment").select("segment", "n", *r("mean"), *[rounded(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90, 95))])
 
 
 @query("s_hist", f"{B5} SELECT CAST(CASE WHEN f0 < -0.4 THEN 0 WHEN f0 >= 0.4 THEN 17 ELSE floor((f0 + 0.4) / 0.05) + 1 END AS BIGINT) AS bin, count(*) AS n FROM b5 GROUP BY 1")

@@ -9,7 +9,7 @@ from groupsight.operators import features as G
 from groupsight.plans.q_features import CONTRAST_SQL, HEURISTIC_SQL, group_sql, session_sql
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import USER_EVENTS, table, user_events, vector_scores
-from groupsight.plans.q_evaluate import SC, THRESHOLD_SQL, gap_sql
+from groupsight.plans.q_evaluate import ANSWERS_SQL, SC, THRESHOLD_SQL, answered, gap_sql
 from groupsight.sources.store import cut, shared_path
 from groupsight.streaming import jobs as Z
 from groupsight.streaming import state as K
@@ -101,10 +101,10 @@ def z_log(spark, d):
     return once.groupBy("user_id").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"))
 
 
-@query("z_coverage", "SELECT c_custkey, coalesce(round(n / 20::DOUBLE, 6), 0) AS coverage FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("z_coverage", f"WITH {ANSWERS_SQL} SELECT user_id, cycle, round(coverage, 6) + 0.0 AS coverage FROM cv")
 def z_coverage(spark, d):
-    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return table(spark, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", rounded(F.coalesce(F.col("n") / 20, F.lit(0.0))).alias("coverage"))
+    """Each user's coverage of each daily cycle, 0 where no answer came."""
+    return answered(spark, d)[1].select("user_id", "cycle", rounded("coverage").alias("coverage"))
 
 
 @query("z_score_log", f"WITH {USER_EVENTS},{session_sql('b2')},{group_sql()},{CONTRAST_SQL} SELECT grp, CAST(chunk_n_hands AS BIGINT) AS sessions, round(raise_ratio_mean, 6) + 0.0 AS raise_ratio_mean, round({HEURISTIC_SQL}, 5) AS score FROM cf")
