@@ -58,6 +58,8 @@ REACH, BLOCK = 6, 250
 FAR = 2
 KNOWN_WORDS = 250_000
 SAMPLE_SHARE = 64
+#: Splits of the input that one counting task takes at most, where there are more than cores.
+SPLITS = 32
 #: Windows that are scored at a time.
 STEP = 400
 
@@ -128,7 +130,7 @@ class Counts:
 
     def __init__(self, pairs: np.ndarray, near: Cells, far: Cells):
         """pairs: the pairs (a, b) with rows of their own in near, as a * WIDTH + b."""
-        pack = lambda x: (x.shape, zlib.compress(np.diff(x.at, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(x.n.astype("<u4").tobytes(), 1))
+        pack = lambda x: (x.shape, *(zlib.compress(y.astype("<i8").tobytes(), 1) for y in (np.diff(x.at, prepend=0), x.n)))
         self.pairs, self.packed, self.made = pairs, (pack(near), pack(far)), {}
 
     def __getstate__(self) -> dict:
@@ -136,7 +138,7 @@ class Counts:
 
     def cells(self) -> list[Cells]:
         """near and far."""
-        number = lambda x: np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
+        number = lambda x: np.frombuffer(zlib.decompress(x), "<i8")
         return [Cells(shape, np.cumsum(number(gaps)), number(n)) for shape, gaps, n in self.packed]
 
     def values(self, less: int = 0) -> Values:
@@ -345,13 +347,14 @@ def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _forget_words()
-        table = np.zeros((columns, size), np.int32 if kind == "long" else np.float64)  # a task has fewer than 2**31 tokens
+        table = np.zeros((columns, size), np.int64 if kind == "long" else np.float64)
         for pdf in parts:
             add(table, pdf)
         at = np.flatnonzero(table.any(axis=0))
         yield pd.DataFrame({"k": at} | {name: table[c, at].astype(np.int64 if kind == "long" else float) for c, name in enumerate(names)})
 
-    tasks = rows.sparkSession.sparkContext.defaultParallelism  # each sends up to the table's cells
+    # a task sends up to the table's cells, so it takes several splits; it takes few enough to be run again at a small cost
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // SPLITS)
     cells = rows.coalesce(tasks).mapInPandas(run, "k long, " + ", ".join(f"{n} {kind}" for n in names))
     return cells.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
 
@@ -423,7 +426,7 @@ def _values_counted(train: DataFrame, symbols: Symbols) -> Counts:
         if len(pdf):
             at, line = targets(pdf)
             row = sent_place.value[line[at - 2] * WIDTH + line[at - 1]].astype(np.int64)
-            table[0] += np.bincount(row * SYMBOLS + line[at], minlength=rows * SYMBOLS).astype(np.int32)
+            table[0] += np.bincount(row * SYMBOLS + line[at], minlength=rows * SYMBOLS)
 
     near = _as_cells(_summed(ids, rows * SYMBOLS, add_near), (rows, SYMBOLS))
     return Counts(top // SYMBOLS * WIDTH + top % SYMBOLS, near, far)
@@ -472,7 +475,7 @@ def _tail_shares(encoded: DataFrame) -> DataFrame:
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, rounds: int = 4) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, rounds: int = 8) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document; held_out: a Column on id_col."""
     spark = docs.sparkSession
     prepare(spark)

@@ -19,7 +19,7 @@ table gives an empty result; other columns are not carried here, so their names
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -65,12 +65,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), run(F.col(text_col).cast("binary")).alias("fp"))
 
 
-def segments(radius: int) -> list[tuple[int, int, int]]:
-    """(offset, width, ball radius) of each segment: balls of radius 0 or 1 whose radii plus one sum to radius + 1."""
+#: Entries of a key on average, beyond which longer segments are taken.
+KEY_ENTRIES = 16
+
+
+def segments(radius: int, n: int = 0) -> list[tuple[int, int, int]]:
+    """(offset, width, ball radius) of each segment, for a table of n fingerprints: the balls' radii plus one sum to radius + 1.
+
+    As many segments as balls of radius 0 and 1 allow, while their keys hold KEY_ENTRIES fingerprints on average at most; else fewer, longer ones with larger balls.
+    """
     m = max(1, (radius + 2) // 2)
+    while m > 1 and n > KEY_ENTRIES << (64 // m):
+        m -= 1
     width = [64 // m + (i < 64 % m) for i in range(m)]
-    left = radius + 1 - m
-    return [(sum(width[:i]), w, int(i < left)) for i, w in enumerate(width)]
+    least, more = divmod(radius + 1, m)
+    return [(sum(width[:i]), w, least - 1 + int(i < more)) for i, w in enumerate(width)]
+
+
+def ball(width: int, radius: int) -> list[int]:
+    """The masks of up to `radius` bits below width."""
+    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
 
 
 def _entry(seg: int, key: Column, flip: bool) -> Column:
@@ -83,18 +97,27 @@ def _upward(seg: int, key: Column, width: int) -> Column:
     return F.transform(lacking, lambda b: _entry(seg, key.bitwiseOR(b), True))
 
 
-def _table_and_probes(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _around(seg: int, key: Column, width: int, radius: int) -> Column:
+    """All keys within radius bits of key."""
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius)])
+    return F.transform(masks, lambda m: _entry(seg, key.bitwiseXOR(m), False))
+
+
+def _table_and_probes(fps: DataFrame, radius: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Keys of each fingerprint's own segments; keys to probe, flip true where one bit is set that the fingerprint lacks.
 
-    Of two keys that differ in one bit, one lacks it, so upward flips find each pair from one side.
+    Of two keys that differ in one bit, one lacks it, so upward flips find each pair from one side. Larger balls are probed whole.
     """
     own, probe = [], []
-    for k, (off, width, r) in enumerate(segments(radius)):
+    for k, (off, width, r) in enumerate(segments(radius, n)):
         key = F.shiftrightunsigned("fp", off).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         own.append(_entry(k, key, False))
-        probe.append(F.array(_entry(k, key, False)))
-        if r:
+        if r < 2:
+            probe.append(F.array(_entry(k, key, False)))
+        if r == 1:
             probe.append(_upward(k, key, width))
+        if r > 1:
+            probe.append(_around(k, key, width, r))
     flat = lambda arr: fps.select("fp", F.explode(arr).alias("x")).select("fp", "x.*")
     return flat(F.array(*own)).drop("flip"), flat(F.concat(*probe))
 
@@ -121,7 +144,7 @@ def _link_cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) between different fingerprints that have the components of all pairs within `radius` bits."""
-    table, probes = _table_and_probes(fps, radius)
+    table, probes = _table_and_probes(fps, radius, fps.count())
     hot = sized(table.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY), "hot_keys")
     cold = table.join(hot, ["seg", "key"], "left_anti").withColumnRenamed("fp", "b")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius

@@ -109,8 +109,27 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, hot):
 
 def test_segments_keep_every_pair():
     for radius in range(0, 8):
-        parts = op1.segments(radius)
-        assert sum(w for _, w, _ in parts) == 64 and sum(r + 1 for *_, r in parts) == radius + 1
+        for n in (0, 10**6, 10**9, 10**13):
+            parts = op1.segments(radius, n)
+            assert sum(w for _, w, _ in parts) == 64 and sum(r + 1 for *_, r in parts) == radius + 1
+    assert op1.segments(4, 10**6) == [(0, 22, 1), (22, 21, 1), (43, 21, 0)] and op1.segments(4, 10**9) == [(0, 32, 2), (32, 32, 1)]
+    assert len(op1.ball(32, 2)) == 1 + 32 + 32 * 31 // 2 == len(set(op1.ball(32, 2)))
+
+
+def test_links_of_large_tables_have_the_same_components(spark, monkeypatch):
+    """Segments of 32 bits, as a table of 10**9 fingerprints has them."""
+    monkeypatch.setattr(op1, "segments", lambda radius, n, chosen=op1.segments: chosen(radius, 10**9))
+    g = np.random.default_rng(15)
+    fps = set()
+    for c in g.integers(-(2**62), 2**62, 60):
+        x = int(c)
+        fps.add(x)
+        for _ in range(3):
+            for b in g.choice(62, g.integers(1, 6), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    found = {r.node: r.root for r in op1.components(op1.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4)).collect()}
+    assert {f: found.get(f, f) for f in fps} == classes_by_hand(fps, 4)
 
 
 def test_near_duplicates_on_odd_rows(docs, empty):
