@@ -106,9 +106,9 @@ def members(content: bytes, step: int = 1 << 14) -> Iterator[tuple[int, bytes]]:
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts_col: str | None = None, file_bytes: int = FILE_BYTES,
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts_col: str | None = None, file_bytes: int = FILE_BYTES, suffix: bool = False,
 ) -> None:
-    """Archives (*.warc.gz) of about file_bytes each under path; see MOST_BYTES."""
+    """Archives of about file_bytes each under path; see MOST_BYTES. They keep the names that Spark's writer gives them; with suffix they are renamed to *.warc.gz by the driver, a call per file."""
     spark = pages.sparkSession
     prepare(spark)
     size = F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))) + 700
@@ -122,6 +122,8 @@ def write_archives(
 
     rows = records(pages, id_col, url_col, payload_col, ts_col).select(packed(F.col("value").cast("binary")).cast("string").alias("value"))
     rows.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    if not suffix:
+        return
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for f in store.listStatus(folder):
@@ -188,7 +190,7 @@ def read_runs(spark, path: str) -> DataFrame:
                 out = pd.DataFrame(local_run(p.rsplit("/", 1)[-1], content), columns=names, dtype=object)  # a null would make floats of whole numbers
                 yield out.astype({"id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc.gz,txt}").load(path).select("path", "content")
     return files.mapInPandas(run, RUN)
 
 

@@ -1,11 +1,12 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along directories. Spark expressions only.
 
-A passage is a line, a paragraph (lines up to an empty one, so wrapped headers are whole) or a whole text of
-at most `whole_words` words that has a word of licensing (CUES). Templates are notices, titles, SPDX tags and
+A passage is a line, a paragraph (lines up to an empty one, so wrapped headers are whole) or a whole text
+that has a word of licensing (CUES) and does not say that something is not licensed (DENIED). Templates are notices, titles, SPDX tags and
 licence texts. Passages and templates become sparse vectors over the templates' terms, weighted by term
 count times log((1 + N) / (1 + df)) + 1, where df counts all documents that have the term. A passage takes the
 template of largest cosine if that is `min_cosine` or more, and a document the license of its best
-passage. A passage of one SPDX tag takes only the license that the tag names.
+passage. A passage of one SPDX tag with one license takes only that; a tag with an expression (OR, AND, WITH) of licenses that are all
+known gives the expression, with cosine 1.
 
 A document is a licence file of its directory if its name says so (LICENSE, COPYING, ...) or its
 passages make up `file_share` or more of its words. Documents without a license of their own take
@@ -48,6 +49,13 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "Copyright. All rights reserved"),
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "ISC License"),
+    ("ISC", "Licensed under the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("MIT", "MIT License"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Apache License"),
@@ -87,6 +95,20 @@ TEMPLATES = [
         "Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
         "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions "
+        "of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions "
@@ -96,9 +118,10 @@ TEMPLATES = [
         "written permission.",
     ),
 ]
-_SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]+)"
+_SPDX = r"(?i)spdx-license-identifier:[ \t]*(\(?[a-z0-9.+-]+(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+|[ \t]+(?:or|and)[ \t]+\([a-z0-9.+ -]+\))*\)?)"
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"})]
-CUES = r"(?i)licen[cs]|copyright|spdx|redistribut|permission is hereby|public domain|creative commons|free software"
+CUES = r"(?i)licen[cs]|copyright|spdx|redistribut|permission (is hereby|to use)|public domain|creative commons|free software"
+DENIED = r"(?i)\b(not|never|no longer)\s+(be\s+)?(licen[cs]ed|released|distributed|available|covered)\b"
 _FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice)(\.[a-z]+)?$"
 
 
@@ -107,15 +130,24 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."), lambda t: t != "")
 
 
-def _passages(docs: DataFrame, whole_words: int) -> DataFrame:
-    """(row, line, kind, tag, terms) of lines (kind 0), paragraphs (1) and small whole texts (2) with a cue; tag: the license of an SPDX tag."""
-    with_cue = lambda kind, parts: F.transform(F.filter(parts, lambda x: x.rlike(CUES)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
-    whole = F.when(F.col("n_words") <= whole_words, F.array("t")).otherwise(F.array().cast("array<string>"))
-    parts = F.concat(with_cue(0, F.split("t", "\n")), with_cue(1, F.split("t", r"\n[ \t\r]*\n")), with_cue(2, whole))
+def _passages(docs: DataFrame, names: list[str]) -> DataFrame:
+    """(row, line, kind, tag, expression, terms) of lines (kind 0), paragraphs (1) and whole texts (2) with a cue; tag: the license of an SPDX tag; expression: that of a tag that names several, all known."""
+    fits = lambda x: x.rlike(CUES) & ~x.rlike(DENIED)
+    with_cue = lambda kind, parts: F.transform(F.filter(parts, fits), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    parts = F.concat(with_cue(0, F.split("t", "\n")), with_cue(1, F.split("t", r"\n[ \t\r]*\n")), with_cue(2, F.array("t")))
     rows = docs.select("row", F.posexplode(F.when(F.col("t").rlike(CUES), parts)).alias("line", "x"))
-    tags = F.regexp_extract_all("x.text", F.lit(_SPDX), 1)
-    tag = F.when(F.size(tags) == 1, F.lower(F.regexp_replace(tags[0], "(?i)-only$|-or-later$|[+]$", "")))
-    return rows.select("row", "line", "x.kind", tag.alias("tag"), terms(F.col("x.text")).alias("terms"))
+    rows = rows.withColumn("tags", F.regexp_extract_all("x.text", F.lit(_SPDX), 1))
+    said = F.when(F.size("tags") == 1, F.lower(F.regexp_replace(F.col("tags")[0], "[()]", "")))
+    plain = lambda c: F.regexp_replace(c, "-only$|-or-later$|[+]$", "")
+    words = F.filter(F.split(said, r"\s+"), lambda w: w != "")
+    proper = F.create_map(*[x for n in names for x in (F.lit(n.lower()), F.lit(n))])
+    # after WITH comes an exception, which is kept as it is
+    told = F.transform(words, lambda w, i: F.when(w.isin("or", "and", "with"), F.upper(w)).when((i > 0) & (F.try_element_at(words, i) == "with"), w).otherwise(proper[plain(w)]))
+    several = (F.size(words) > 1) & F.forall(told, lambda w: w.isNotNull())
+    return rows.select(
+        "row", "line", "x.kind", F.when(F.size(words) == 1, plain(words[0])).when(F.size(words) > 1, said).alias("tag"), F.when(several, F.array_join(told, " ")).alias("expression"),
+        terms(F.col("x.text")).alias("terms"),
+    )
 
 
 def _weighted(rows: DataFrame, keys: list[str], idf: DataFrame) -> DataFrame:
@@ -128,7 +160,7 @@ def _weighted(rows: DataFrame, keys: list[str], idf: DataFrame) -> DataFrame:
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
-    min_cosine: float = 0.8, file_share: float = 0.05, whole_words: int = 400,
+    min_cosine: float = 0.8, file_share: float = 0.05,
 ) -> DataFrame:
     """(id, path, own_license, cosine, license_file, license, inherited_from): a row per document."""
     spark = docs.sparkSession
@@ -148,12 +180,14 @@ def scan(
     idf = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(df, "term", "left")
     idf = cut(idf.select("term", (F.log((1 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
 
-    passages = cut(_passages(light, whole_words), "passages")
+    passages = cut(_passages(light, sorted({n for n, _ in templates or TEMPLATES})), "passages")
     mine = _weighted(passages, ["row", "line"], idf)
     theirs = _weighted(known, ["template", "name"], idf).withColumnRenamed("w", "v")
     cosines = mine.join(F.broadcast(theirs), "term").groupBy("row", "line", "template", "name").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
     cosines = cosines.withColumn("cosine", F.round("cosine", 9)).where(F.col("cosine") >= min_cosine).join(passages.select("row", "line", "tag"), ["row", "line"])
     cosines = cosines.where(F.col("tag").isNull() | (F.col("tag") == F.lower("name")))
+    told = passages.where("expression IS NOT NULL").select("row", "line", F.col("expression").alias("name"), F.lit(1.0).alias("cosine"))
+    cosines = cosines.select("row", "line", "name", "cosine").unionByName(told)
     best = cosines.groupBy("row", "line").agg(F.min_by("name", F.struct(-F.col("cosine"), "name")).alias("name"), F.max("cosine").alias("cosine"))
     sizes = passages.select("row", "line", "kind", F.size("terms").alias("size"))
     of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0))

@@ -319,7 +319,7 @@ def test_each_record_is_a_member_that_can_be_sought(spark, tmp_path):
 
     rows = [(i, f"http://h{(i or 0) % 3}.org/{(i or 0) % 7}", prose(40) if (i or 0) % 4 else None) for i in [*range(40), -5, None, 2**60 + 1]]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    op5.write_archives(pages, f"{tmp_path}/w", file_bytes=5_000)
+    op5.write_archives(pages, f"{tmp_path}/w", file_bytes=5_000, suffix=True)
     files = {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz")}
     assert len(files) > 2 and sum(gzip.decompress(c).count(b"WARC-Record-ID") for c in files.values()) == len(rows)
     out = op5.merge_runs(op5.read_runs(spark, f"{tmp_path}/w")).collect()
@@ -544,6 +544,19 @@ def test_headers_files_and_tags(spark):
     assert out[4].license_file and out[6].inherited_from == "d"
 
 
+def test_expressions_denials_and_whole_texts(spark):
+    text = lambda name, part: next(t for n, t in op9.TEMPLATES if n == name and part in t)
+    isc, two = text("ISC", "CONSEQUENTIAL"), text("BSD-2-Clause", "disclaimer")
+    split = lambda t, k: "\n\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    rows = [
+        (1, "// SPDX-License-Identifier: GPL-2.0-only OR MIT\ncode"), (2, "/* SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception */"), (3, "# SPDX-License-Identifier: Zlib OR MIT"),
+        (4, "# SPDX-License-Identifier: (MIT AND ISC)"), (5, "This work is not licensed under the MIT License."), (6, "# SPDX-License-Identifier: ISC"), (7, split(isc, 12)), (8, two + "\n\n" + prose(900)),
+        (9, split(two, 9)), (10, "Licensed under the ISC License"),
+    ]
+    got = {r.id: r.own_license for r in op9.scan(spark.createDataFrame([(i, "x", t) for i, t in rows], "doc_id long, path string, text string")).collect()}
+    assert got == {1: "GPL-2.0 OR MIT", 2: "Apache-2.0 WITH llvm-exception", 3: None, 4: "MIT AND ISC", 5: None, 6: "ISC", 7: "ISC", 8: "BSD-2-Clause", 9: "BSD-2-Clause", 10: "ISC"}
+
+
 def test_cosines_by_brute_force(spark):
     from collections import Counter
 
