@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import EPS, finite
 from groupsight.operators.ordered import quantiles
-from groupsight.operators.stats import from_wide, ks
+from groupsight.operators.stats import correlation, from_wide, ks
 
 
 def score_summary(df: DataFrame, segment: str, score: str = "score", points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
@@ -50,7 +50,7 @@ def hard_easy_contrast(df: DataFrame, columns: list[str], score: str = "score",
         v = finite(F.col(c))
         one = {"hard_mean": F.avg(F.when(hard, v)), "easy_mean": F.avg(F.when(easy, v)), "human_mean": F.avg(F.when(human, v)), "_h": F.stddev_samp(F.when(hard, v)), "_n": F.stddev_samp(F.when(human, v))}
         filled = F.when(hard | easy, F.coalesce(v, F.lit(0.0)))
-        one |= {"corr": F.when(F.stddev_pop(filled) >= 1e-9, F.corr(filled, F.when(hard | easy, F.col(score))))}
+        one |= {"corr": F.when(F.stddev_pop(filled) >= 1e-9, correlation(filled, F.when(hard | easy, F.col(score))))}
         aggs += [x.alias(f"{c}__{n}") for n, x in one.items()]
     rows = from_wide(df.agg(*aggs), columns, ["hard_mean", "easy_mean", "human_mean", "_h", "_n", "corr"])
     spread = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(EPS))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import clamp
-from groupsight.operators.stats import long_form
+from groupsight.operators.stats import correlation, long_form
 from groupsight.operators.ordered import quantiles
 
 
@@ -80,7 +80,7 @@ def score_bands(df: DataFrame, by: list[str], score: str, low: float, high: floa
 def scorer_agreement(df: DataFrame, scorers: list[str]) -> DataFrame:
     """(a, b, corr, mean_abs_difference) of each two score columns."""
     pairs = list(combinations(scorers, 2))
-    row = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (F.corr(a, b).alias(f"c{i}"), F.avg(F.abs(F.col(a) - F.col(b))).alias(f"d{i}"))])
+    row = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (correlation(F.col(a), F.col(b)).alias(f"c{i}"), F.avg(F.abs(F.col(a) - F.col(b))).alias(f"d{i}"))])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"), F.col(f"d{i}").alias("mean_abs_difference")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 

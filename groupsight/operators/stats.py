@@ -83,13 +83,20 @@ def duplicate_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, f) for c, f in pairs if equal[c]] or [], "feature string, same_as string")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over the rows that have both, as an aggregate; NULL where either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(df: DataFrame, columns: list[str], least_rows: int = 50) -> DataFrame:
     """(a, b, r, n) of all pairs of columns, over the rows where both are numbers; NULL below least_rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     aggs = []
     for a, b in pairs:
         both = finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull()
-        aggs += [F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"{a}|{b}__r"), F.count_if(both).alias(f"{a}|{b}__n")]
+        aggs += [correlation(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"{a}|{b}__r"), F.count_if(both).alias(f"{a}|{b}__n")]
     row = df.agg(*aggs)
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}__r`").alias("r"), F.col(f"`{a}|{b}__n`").alias("n")) for a, b in pairs])
     return row.select(F.explode(cells).alias("x")).select("x.*").withColumn("r", F.when(F.col("n") >= least_rows, F.col("r")))
@@ -222,7 +229,7 @@ def auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
 def feature_ranking(df: DataFrame, columns: list[str], label: str, side: Column) -> DataFrame:
     """(feature, auc_strength, ks, abs_corr, rank_score): what tells the label, less what moves between the sides."""
     strength = auc(df, columns, label).select("feature", (2 * F.abs(F.col("auc") - 0.5)).alias("auc_strength"))
-    r = from_wide(df.agg(*[F.corr(c, F.col(label).cast("double")).alias(f"{c}__r") for c in columns]), columns, ["r"])
+    r = from_wide(df.agg(*[correlation(F.col(c), F.col(label).cast("double")).alias(f"{c}__r") for c in columns]), columns, ["r"])
     j = strength.join(ks(df, columns, side).select("feature", "ks"), "feature", "left").join(r.select("feature", F.abs("r").alias("abs_corr")), "feature", "left")
     return j.withColumn("rank_score", 0.5 * F.col("auc_strength") + 0.3 * F.coalesce("abs_corr", F.lit(0.0)) - 0.2 * F.coalesce("ks", F.lit(0.0)))
 
