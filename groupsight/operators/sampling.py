@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import hash_order, hash_unit
-from groupsight.sources.store import cut
+from groupsight.sources.store import cut, sized
 
 
 def union_common(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def quotas(sizes: DataFrame, stratum: str, n: str, target: int) -> DataFrame:
 def stratified_quota(df: DataFrame, key: str, stratum: str, target: int, seed: str = "s") -> DataFrame:
     """A sample of target rows whose strata have their quotas."""
     wanted = quotas(df.groupBy(stratum).agg(F.count("*").alias("_n")), stratum, "_n", target).drop("_n")
-    return hash_rank(df, key, seed, [stratum]).join(F.broadcast(wanted), stratum).where(F.col("rank") <= F.col("quota")).drop("rank", "quota")
+    return hash_rank(df, key, seed, [stratum]).join(sized(wanted, "quotas"), stratum).where(F.col("rank") <= F.col("quota")).drop("rank", "quota")
 
 
 def topped_up(df: DataFrame, key: str, stratum: str, target: int, floor: dict, seed: str = "s") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import clamp
 from groupsight.operators.stats import correlation, long_form
+from groupsight.sources.store import sized
 from groupsight.operators.ordered import quantiles
 
 
@@ -100,7 +101,7 @@ def cluster_labels(df: DataFrame, cluster: str, probability: str, label: str, le
     rows = df if noise is None else df.where(F.col(cluster) != noise)
     major = rows.groupBy(cluster).agg((F.avg(label) >= 0.5).cast("int").alias("_major")).where("_major IS NOT NULL")  # a row per cluster
     sure = rows.where(F.col(probability) >= least).drop(label)
-    return sure.join(F.broadcast(major), cluster).withColumnRenamed("_major", label).withColumn("sample_weight", weight * F.col(probability))
+    return sure.join(sized(major, "clusters"), cluster).withColumnRenamed("_major", label).withColumn("sample_weight", weight * F.col(probability))
 
 
 def cluster_majority(df: DataFrame, cluster: str, label: str, noise: int) -> DataFrame:
@@ -109,7 +110,7 @@ def cluster_majority(df: DataFrame, cluster: str, label: str, noise: int) -> Dat
     major = rows.where("_in").groupBy(cluster).agg((F.avg(label) >= 0.5).cast("int").alias("_major"))  # a row per cluster
     hit = (F.col("_major") == F.col(label)).cast("int")
     each = [F.avg(F.when(F.col("_in") & (F.col(label) == k), hit)) for k in (0, 1)]
-    return rows.join(F.broadcast(major), cluster, "left").agg(
+    return rows.join(sized(major, "clusters"), cluster, "left").agg(
         F.avg(F.col("_in").cast("int")).alias("coverage"), F.avg((~F.col("_in")).cast("int")).alias("noise_share"),
         F.avg(F.when(F.col("_in"), hit)).alias("accuracy"), ((each[0] + each[1]) / 2).alias("balanced_accuracy"),
     )

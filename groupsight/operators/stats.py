@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupsight.functions.scalars import EPS, finite
 from groupsight.operators.ordered import quantiles, running
+from groupsight.session import ship_package
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -176,11 +177,16 @@ def _beta_tail(f: float, d1: float, d2: float) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def anova_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    """P(F > f); used on a row per feature."""
+def _beta_tails(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([_beta_tail(*x) for x in zip(f, d1, d2, strict=True)])
 
 
+def anova_pvalue(f: Column | str, d1: Column | str, d2: Column | str) -> Column:
+    """P(F > f); used on a row per feature."""
+    ship_package(SparkSession.getActiveSession())
+    return _beta_tails(f, d1, d2)
+
+
 def multiple_tests(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """df (a row per feature) with Benjamini-Hochberg p_fdr_bh and the flags for it, for Bonferroni and for p itself."""
     every = Window.partitionBy()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import finite
 from groupsight.operators.ordered import quantiles
+from groupsight.sources.store import sized
 
 
 def clip_fit(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> dict[str, tuple[float, float]]:
@@ -81,7 +82,7 @@ def group_zscore(df: DataFrame, train: DataFrame, bucket: Column, columns: list[
     stats = [x for c in columns for x in (F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"))]
     per = train.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.count("*").alias("_n"), *stats).where(F.col("_n") >= min_rows)
     whole = train.agg(*stats).first()
-    j = df.withColumn("_bucket", bucket).join(F.broadcast(per), "_bucket", "left")  # buckets are few: a rounded, clipped number
+    j = df.withColumn("_bucket", bucket).join(sized(per, "buckets"), "_bucket", "left")
     z = {}
     for c in columns:
         mean, std = F.coalesce(F.col(f"{c}_m"), F.lit(whole[f"{c}_m"])), F.coalesce(F.col(f"{c}_s"), F.lit(whole[f"{c}_s"]))

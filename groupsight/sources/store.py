@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -57,3 +58,13 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table written by cut()."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: A side of a join of up to this many rows is broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def sized(side: DataFrame, name: str) -> DataFrame:
+    """side as a table in the shared folder, to be broadcast if it has BROADCAST_ROWS rows at most, else joined by shuffle."""
+    side = cut(side, name)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
