@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,8 +29,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/groupsight/{uuid.uuid4().hex}/{name}"
 
 
-#: Paths of the tables written since each open scratch() began.
-_SCRATCH: list[list[str]] = []
+class _Open(threading.local):
+    """Paths of the tables written since each open scratch() of this thread began."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_SCRATCH = _Open()
 
 
 def cut(df: DataFrame, name: str, with_path: bool = False):
@@ -37,7 +44,7 @@ def cut(df: DataFrame, name: str, with_path: bool = False):
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    for paths in _SCRATCH[-1:]:
+    for paths in _SCRATCH.paths[-1:]:
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
@@ -46,11 +53,11 @@ def cut(df: DataFrame, name: str, with_path: bool = False):
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables that cut() writes inside are deleted at the end, but for those whose path is taken off the list."""
-    _SCRATCH.append([])
+    _SCRATCH.paths.append([])
     try:
-        yield _SCRATCH[-1]
+        yield _SCRATCH.paths[-1]
     finally:
-        for path in _SCRATCH.pop():
+        for path in _SCRATCH.paths.pop():
             drop_table(spark, path)
 
 

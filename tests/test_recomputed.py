@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groupsight.functions.scalars import SIZE_BUCKETS
+from groupsight.operators import clean as C
 from groupsight.operators import evaluate as E
 from groupsight.operators import models as M
 from groupsight.plans import catalog
@@ -177,7 +179,7 @@ def test_dynamic_thresholds_by_hand(spark, tiny, scores):
                 x, mode = gap(before), "gap_rolling"
             if x is None:
                 x, mode = 0.5, "fixed"
-            assert got.pop((scorer, cycle)) == (pytest.approx(min(max(x, 0.1), 0.45)), mode)
+            assert got.pop((scorer, cycle)) == (pytest.approx(min(max(x, 0.1), 0.45), abs=1e-6), mode)
             before = np.concatenate([before, np.sort(part.score.to_numpy())])[-500:]
     assert not got
 
@@ -248,3 +250,42 @@ def test_draws_and_shares(spark, tiny):
     assert packs.c_custkey.nunique() == people and packs.groupby("pack").size().max() <= 40
     assert catalog.queries()["j_shared_cols"](spark, tiny).columns == sorted({"id", "domain", "label", *FS} - {"f3"})
     assert catalog.queries()["p_align"](spark, tiny).agg(F.count("*")).first()[0] > 0
+
+
+def coarse(value, *seed):
+    """Nearest size bucket, moved by a noise from the seed's hash."""
+    v = max(0.0, value or 0.0)
+    i = min(range(len(SIZE_BUCKETS)), key=lambda k: (abs(SIZE_BUCKETS[k] - v), k))
+    b = SIZE_BUCKETS[i]
+    noise = int(hashlib.sha256("|".join(seed).encode()).hexdigest()[2:4], 16) / 255 * 2 - 1
+    spread = 0.08 if b <= 1.5 else 0.22 if b <= 8 else max(0.35, b * 0.05)
+    return 0.0 if v <= 0 else max(0.0, min(SIZE_BUCKETS[-1], b + noise * spread))
+
+
+def test_canonical_view_by_hand(spark, tiny):
+    events = order_events(spark, tiny)
+    seen = C.sample_events(C.collapse_noops(events.where(~F.col("type").isin("small_blind", "big_blind", "ante"))), "view").toPandas()
+    got = run("p_canonical", spark, tiny)
+    assert len(got) == len(seen) and set(got.columns) == {"grp", "sess", "pos", "stage", "type", "actor", "amount", "total"}
+    by = {(r.sess, r.pos): r for r in got.itertuples()}
+    for sess, part in seen.groupby("sess"):
+        alias = {}
+        for r in part.sort_values("pos").itertuples():
+            if not np.isnan(r.actor):
+                alias.setdefault(r.actor, len(alias) + 1)
+            g = by[sess, r.pos]
+            assert (g.stage, g.type, g.actor) == (r.stage, r.type, 0 if np.isnan(r.actor) else alias[r.actor])
+            for name in ("amount", "total"):
+                assert getattr(g, name) == pytest.approx(coarse(getattr(r, name) / 2, str(sess), str(r.pos), name), abs=0.0051)
+
+
+def test_domain_probe_by_its_own_forest(spark, tiny):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows = M.vectors(vector_features(spark, tiny).withColumn("label", F.col("domain").cast("double")), FS)
+    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=20, maxDepth=5, seed=M.SEED).fit(rows)
+    p = model.transform(rows).select("domain", "probability").toPandas()
+    want = np.mean([auc(np.array([v[k] for v in p.probability]), (p.domain == k).astype(int)) for k in range(3)])
+    got = run("m_domain", spark, tiny)
+    assert got.auc.to_numpy() == pytest.approx(np.full(8, want)) and got.importance.sum() == pytest.approx(1)
+    assert dict(zip(got.feature, got.importance, strict=True)) == pytest.approx(dict(zip(FS, model.featureImportances.toArray(), strict=True)))
