@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,14 +167,13 @@ def _told(df: DataFrame, inputs: list, m: dict) -> dict:
 
 
 def write_with_manifest(df: DataFrame, path: str, label: str, source: str | None = None, inputs: list | None = None) -> dict:
-    """Write df as Parquet and return its manifest, which is measured in the same pass: rows, classes, columns, hashes, and rows and positives of each of the given inputs (values of the column source).
+    """Write df as Parquet and return the manifest of the files: rows, classes, columns, hashes, and rows and positives of each of the given inputs (values of the column source).
 
-    The dataset hash is over the sums of four parts of each row's record hash, so the rows' order does not matter but a row more or less does.
+    The dataset hash is over the sums of four parts of each row's record hash, so the rows' order does not matter but a row more or less does. All is measured in one pass over
+    the written files, not by an Observation while writing: a session that has used one cannot serialise MLlib models with a training summary any more (Spark 4.1.2).
     """
-    seen = Observation("manifest")
-    measures = _measures(df, label, source, inputs or [])
-    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
-    return _told(df, inputs or [], seen.get)
+    df.write.parquet(path)
+    return manifest(df.sparkSession.read.schema(df.schema).parquet(path), label, source, inputs)
 
 
 def manifest(df: DataFrame, label: str, source: str | None = None, inputs: list | None = None) -> dict:
