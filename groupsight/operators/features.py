@@ -143,7 +143,7 @@ def contrast_features(groups: DataFrame) -> DataFrame:
     })
 
 
-#: name: (numerator, denominator); denominators are floored at 1e-8.
+# Name: (numerator, denominator); denominators are floored at 1e-8.
 INVARIANTS = {
     "pot_cv_inv": ("mean_pot_after_std", "mean_pot_after_mean"), "pot_spread_inv": ("mean_pot_after_p90 - mean_pot_after_p10", "mean_pot_after_mean"),
     "pot_median_position_inv": ("mean_pot_after_p50 - mean_pot_after_p10", "mean_pot_after_p90 - mean_pot_after_p10"),
@@ -162,6 +162,7 @@ def invariant_features(groups: DataFrame) -> DataFrame:
     return groups.withColumns({k: F.coalesce(F.expr(f"({a}) / greatest({b}, 1e-8D)"), F.lit(0.0)) for k, (a, b) in INVARIANTS.items()})
 
 
+# The derived indices, whose weights stand in derived_features().
 DERIVED = ("dbf_aggression_intensity", "dbf_aggr_minus_fold", "dbf_action_diversity_norm", "dbf_transition_complexity", "dbf_repetition_score", "dbf_early_pressure", "dbf_late_pressure", "dbf_street_pressure_shift")
 
 
@@ -197,7 +198,7 @@ def derived_apply(groups: DataFrame, fitted: dict[str, tuple[float, float, float
 
 
 def heuristic_score(groups: DataFrame) -> Column:
-    """A score in [0, 1] from a group row's means."""
+    """A score in [0, 1] from a group row's means. Its weights and scales are fixed values."""
     c = F.col
     players = F.when(c("n_players_mean") != 0, (6 - F.least(c("n_players_mean"), F.lit(6.0))) / 4).otherwise(0.0)
     s = (
