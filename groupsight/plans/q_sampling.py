@@ -89,14 +89,11 @@ def j_broadcast(spark, d):
 @query("j_nearest", f"""WITH {vector_sql()}, t AS (SELECT domain, avg(f0) AS a, avg(f1) AS b, avg(f2) AS c FROM b5 GROUP BY 1)
   SELECT domain, arg_min(id, (dist, id)) AS nearest FROM (SELECT t.domain, id, round(abs(f0 - a) + 0.5 * abs(f1 - b) + 0.25 * abs(f2 - c), 9) AS dist FROM b5, t) GROUP BY 1""")
 def j_nearest(spark, d):
+    """A profile per domain, its mean, and the row nearest to it."""
     v = vector_features(spark, d)
-    # a profile per domain: a stated set of targets, as many columns as there are of them
-    targets = {r.domain: r for r in v.groupBy("domain").agg(F.avg("f0").alias("a"), F.avg("f1").alias("b"), F.avg("f2").alias("c")).collect()}
-    near = []
-    for k, t in sorted(targets.items()):
-        dist = rounded(F.abs(F.col("f0") - t.a) + 0.5 * F.abs(F.col("f1") - t.b) + 0.25 * F.abs(F.col("f2") - t.c), 9)
-        near.append(F.struct(F.lit(k).alias("domain"), F.min_by("id", F.struct(dist, "id")).alias("nearest")))
-    return v.agg(F.array(*near).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    profiles = v.groupBy("domain").agg(*[F.avg(c).alias(c) for c in ("f0", "f1", "f2")])
+    near = R.nearest_profiles(v.drop("domain"), profiles, "id", "domain", {"f0": 1.0, "f1": 0.5, "f2": 0.25})
+    return near.select("domain", F.col("id").alias("nearest"))
 
 
 @query("j_apply_labels", f"WITH {vector_sql()} SELECT id, CASE WHEN id % 3 = 0 AND id < 200 THEN 1 ELSE label END AS label FROM b5")
