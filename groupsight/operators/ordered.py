@@ -96,16 +96,20 @@ def quantiles(df: DataFrame, columns: list[str], at: list[float], small: int = S
             if inside > small and lo != hi and shrunk:
                 left[key] = (row[f"g{j}"], 1)
         open_ = left
+    # quantiles with one bracket are read from it together
+    shared: dict[tuple, list[tuple[int, float]]] = {}
+    for key, (lo, hi, below, inside) in held.items():
+        shared.setdefault((key[0], lo, hi), []).append((key[1], (place[key] - below) / max(inside - 1, 1)))
     aggs = []
-    for j, (key, (lo, hi, below, inside)) in enumerate(held.items()):
-        x = v[key[0]]
-        within = (F.lit(True) if lo is None else x >= lo) & (F.lit(True) if hi is None else x <= hi)
-        aggs.append(F.percentile(F.when(within, x), F.lit((place[key] - below) / max(inside - 1, 1))).alias(f"q{j}"))
+    for j, ((c, lo, hi), wanted) in enumerate(shared.items()):
+        within = (F.lit(True) if lo is None else v[c] >= lo) & (F.lit(True) if hi is None else v[c] <= hi)
+        aggs.append(F.percentile(F.when(within, v[c]), F.array(*[F.lit(share) for _, share in wanted])).alias(f"q{j}"))
     out: dict[str, list[float | None]] = {c: [None] * len(at) for c in columns}
     if aggs:
         row = df.agg(*aggs).first()
-        for j, (c, k) in enumerate(held):
-            out[c][k] = row[f"q{j}"]
+        for j, ((c, _, _), wanted) in enumerate(shared.items()):
+            for (k, _), value in zip(wanted, row[f"q{j}"], strict=True):
+                out[c][k] = value
     return out
 
 

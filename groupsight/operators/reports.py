@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import EPS, finite
 from groupsight.operators.ordered import quantiles
-from groupsight.operators.stats import correlation, from_wide, ks
+from groupsight.operators.stats import correlation, every_feature, from_wide, ks, long_form
 
 
 def score_summary(df: DataFrame, segment: str, score: str = "score", points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
@@ -45,14 +45,13 @@ def hard_easy_contrast(df: DataFrame, columns: list[str], score: str = "score",
     in those of the negatives (sample std, of 0 or one row 1e-6); corr of the feature (missing as 0) with the score over all positives, NULL for a constant one.
     """
     hard, easy, human = (F.col(label) == 1) & (F.col(score) < at), (F.col(label) == 1) & (F.col(score) >= at), F.col(label) == 0
-    aggs = []
-    for c in columns:
-        v = finite(F.col(c))
-        one = {"hard_mean": F.avg(F.when(hard, v)), "easy_mean": F.avg(F.when(easy, v)), "human_mean": F.avg(F.when(human, v)), "_h": F.stddev_samp(F.when(hard, v)), "_n": F.stddev_samp(F.when(human, v))}
-        filled = F.when(hard | easy, F.coalesce(v, F.lit(0.0)))
-        one |= {"corr": F.when(F.stddev_pop(filled) >= 1e-9, correlation(filled, F.when(hard | easy, F.col(score))))}
-        aggs += [x.alias(f"{c}__{n}") for n, x in one.items()]
-    rows = from_wide(df.agg(*aggs), columns, ["hard_mean", "easy_mean", "human_mean", "_h", "_n", "corr"])
+    kind = F.when(hard, "hard").when(easy, "easy").when(human, "human")
+    cells = long_form(df.select(kind.alias("_kind"), F.col(score).alias("_score"), *columns), columns, ["_kind", "_score"], missing=True)
+    of = lambda k: F.when(F.col("_kind") == k, F.col("value"))
+    filled, at_score = (F.when(F.col("_kind").isin("hard", "easy"), x) for x in (F.coalesce("value", F.lit(0.0)), F.col("_score")))
+    one = {f"{k}_mean": F.avg(of(k)) for k in ("hard", "easy", "human")} | {"_h": F.stddev_samp(of("hard")), "_n": F.stddev_samp(of("human"))}
+    one |= {"corr": F.when(F.stddev_pop(filled) >= 1e-9, correlation(filled, at_score))}
+    rows = every_feature(cells.groupBy("feature").agg(*[x.alias(n) for n, x in one.items()]), columns)
     spread = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(EPS))
     z_easy = F.abs(F.coalesce("easy_mean", F.lit(0.0)) - F.col("hard_mean")) / spread("_h")
     return rows.select("feature", "hard_mean", "easy_mean", "human_mean", z_easy.alias("z_easy"), (F.abs(F.col("hard_mean") - F.col("human_mean")) / spread("_n")).alias("z_human"), "corr")

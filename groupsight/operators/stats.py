@@ -1,6 +1,6 @@
 """Statistics, drift and quality of feature tables.
 
-Moments come from one wide aggregate, quantiles from exact selection in several passes. Rank statistics (KS,
+Moments come from one aggregate with a group per feature, quantiles from exact selection in several passes. Rank statistics (KS,
 AUC, best rule) first reduce each feature to a row per distinct value, and then look along the values
 by running sums over ranges of them, so no task holds a feature.
 """
@@ -8,7 +8,9 @@ by running sums over ranges of them, so no task holds a feature.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +21,15 @@ from groupsight.operators.ordered import quantiles, running
 from groupsight.session import ship_package
 
 
-def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """(keep, feature, value) of all finite values."""
-    return df.select(*keep, *[finite(F.col(c)).alias(c) for c in columns]).unpivot(keep, columns, "feature", "value").where("value IS NOT NULL")
+def long_form(df: DataFrame, columns: list[str], keep: list[str], missing: bool = False) -> DataFrame:
+    """(keep, feature, value) of all finite values; with missing, of all cells, others being NULL."""
+    rows = df.select(*keep, *[finite(F.col(c)).alias(c) for c in columns]).unpivot(keep, columns, "feature", "value")
+    return rows if missing else rows.where("value IS NOT NULL")
+
+
+def every_feature(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows, at most one per feature, with a row of NULLs for each of the columns that has none."""
+    return rows.sparkSession.createDataFrame([(c,) for c in columns], "feature string").join(rows, "feature", "left")
 
 
 def from_wide(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
@@ -42,20 +50,17 @@ def _number(x) -> float | None:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, count, missing, mean, std, min, q25, q50, q75, max), exact."""
-    aggs = []
-    for c in columns:
-        v = finite(F.col(c))
-        one = {"count": F.count(v), "missing": 1 - F.count(v) / F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
-        aggs += [x.alias(f"{c}__{n}") for n, x in one.items()]
-    out = _with_quantiles(from_wide(df.agg(*aggs), columns, ["count", "missing", "mean", "std", "min", "max"]), quantiles(df, columns, [0.25, 0.5, 0.75]), ["q25", "q50", "q75"])
-    return out.select("feature", "count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max")
+    v = F.col("value").cast("double")
+    one = {"count": F.count(v).cast("double"), "missing": 1 - F.count(v) / F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    moments = long_form(df, columns, [], missing=True).groupBy("feature").agg(*[x.alias(n) for n, x in one.items()])
+    out = _with_quantiles(every_feature(moments, columns), quantiles(df, columns, [0.25, 0.5, 0.75]), ["q25", "q50", "q75"])
+    return out.select("feature", F.coalesce("count", F.lit(0.0)).alias("count"), "missing", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, mean, std, p10, p50, p90), exact, population std; features without a value are left out."""
-    v = {c: finite(F.col(c)) for c in columns}
-    moments = from_wide(df.agg(*[x.alias(f"{c}__{n}") for c in columns for n, x in (("mean", F.avg(v[c])), ("std", F.stddev_pop(v[c])))]), columns, ["mean", "std"])
-    return _with_quantiles(moments.where("mean IS NOT NULL"), quantiles(df, columns, [0.1, 0.5, 0.9]), ["p10", "p50", "p90"])
+    moments = long_form(df, columns, []).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return _with_quantiles(moments, quantiles(df, columns, [0.1, 0.5, 0.9]), ["p10", "p50", "p90"])
 
 
 def feature_report(df: DataFrame, columns: list[str], near: float = 1e-8) -> DataFrame:
@@ -63,9 +68,12 @@ def feature_report(df: DataFrame, columns: list[str], near: float = 1e-8) -> Dat
     aggs = []
     for c in columns:
         v = finite(F.col(c))
-        one = {"n_missing": F.count("*") - F.count(v), "n_finite": F.count(v), "n_unique": F.count_distinct(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
+        one = {"n_missing": F.count("*") - F.count(v), "n_finite": F.count(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
         aggs += [x.alias(f"{c}__{n}") for n, x in one.items()]
-    out = from_wide(df.agg(*aggs), columns, ["n_missing", "n_finite", "n_unique", "std", "min", "max"])
+    out = from_wide(df.agg(*aggs), columns, ["n_missing", "n_finite", "std", "min", "max"])
+    # distinct values are counted in long form: one aggregate over all features, not a copy of the rows for each
+    values = long_form(df, columns, []).groupBy("feature", "value").agg(F.lit(1).alias("_one")).groupBy("feature").agg(F.count("*").cast("double").alias("_u"))
+    out = out.join(values, "feature", "left").select("feature", "n_missing", "n_finite", F.coalesce("_u", F.lit(0.0)).alias("n_unique"), "std", "min", "max")
     return out.withColumn("constant", F.col("n_unique") <= 1).withColumn("near_constant", F.coalesce(F.col("std") < near, F.lit(True)))
 
 
@@ -92,15 +100,36 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, columns: list[str], least_rows: int = 50) -> DataFrame:
-    """(a, b, r, n) of all pairs of columns, over the rows where both are numbers; NULL below least_rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    aggs = []
-    for a, b in pairs:
-        both = finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull()
-        aggs += [correlation(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"{a}|{b}__r"), F.count_if(both).alias(f"{a}|{b}__n")]
-    row = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}__r`").alias("r"), F.col(f"`{a}|{b}__n`").alias("n")) for a, b in pairs])
-    return row.select(F.explode(cells).alias("x")).select("x.*").withColumn("r", F.when(F.col("n") >= least_rows, F.col("r")))
+    """(a, b, r, n) of all pairs of columns, over the rows where both are numbers; r is NULL below least_rows and where either is constant (to 1 in 1e13) over those rows.
+
+    The sums of all pairs come from one pass: a task multiplies its batches' matrices, less the columns' means, and sends a row per pair.
+    """
+    ship_package(df.sparkSession)
+    k = len(columns)
+    rows = df.select(*[finite(F.col(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    means = np.array([0.0 if m is None else m for m in rows.agg(*[F.avg(f"x{i}") for i in range(k)]).first()]) if k else np.empty(0)
+    i, j = np.triu_indices(k, 1)
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, one, two, both = (np.zeros((k, k)) for _ in range(4))
+        for pdf in parts:
+            x = pdf.to_numpy(float) - means
+            known = np.isfinite(x).astype(float)
+            x[known == 0] = 0
+            n += known.T @ known
+            one += x.T @ known
+            two += (x * x).T @ known
+            both += x.T @ x
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j].astype(np.int64), "sa": one[i, j], "sb": one[j, i], "saa": two[i, j], "sbb": two[j, i], "sab": both[i, j]})
+
+    names = ("n", "sa", "sb", "saa", "sbb", "sab")
+    found = rows.mapInPandas(sums, "i long, j long, n long, " + ", ".join(f"{x} double" for x in names[1:])).groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in names])
+    pairs = df.sparkSession.range(k * k).select(F.floor(F.col("id") / max(k, 1)).alias("i"), (F.col("id") % max(k, 1)).alias("j")).where("i < j")
+    t = pairs.join(found, ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    spread = lambda x: F.when(F.col(f"s{x}{x}") - F.pow(F.col(f"s{x}"), 2) / F.col("n") > 1e-13 * F.col(f"s{x}{x}"), F.col(f"s{x}{x}") - F.pow(F.col(f"s{x}"), 2) / F.col("n"))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(spread("a") * spread("b"))
+    name = lambda at: F.element_at(F.array(*[F.lit(c) for c in columns]), (F.col(at) + 1).cast("int"))
+    return t.select(name("i").alias("a"), name("j").alias("b"), F.when((F.col("n") >= least_rows) & (F.col("n") > 0), r).alias("r"), "n")
 
 
 def ks(df: DataFrame, columns: list[str], side: Column, by: list[str] | None = None) -> DataFrame:

@@ -168,10 +168,10 @@ def p_subset(spark, d):
 _HOLES = "CASE WHEN id % {0} = 0 THEN NULL ELSE f{1} END AS f{1}"
 
 
-@query("p_sparse", f"WITH {vector_sql()}, h AS (SELECT id, {', '.join(_HOLES.format(k + 2, k) for k in range(8))} FROM b5) SELECT id FROM h WHERE " + " + ".join(f"(f{k} IS NULL)::INT" for k in range(8)) + " <= 2")
+@query("p_sparse", f"WITH {vector_sql()}, h AS (SELECT id, {', '.join(_HOLES.format(k + 2, k) for k in range(64))} FROM b5) SELECT id FROM h WHERE " + " + ".join(f"(f{k} IS NULL)::INT" for k in range(64)) + " <= 16")
 def p_sparse(spark, d):
-    h = vector_features(spark, d).selectExpr("id", *[_HOLES.format(k + 2, k) for k in range(8)])
-    return C.drop_sparse_rows(h, [f"f{k}" for k in range(8)], 0.25).select("id")
+    h = vector_features(spark, d).selectExpr("id", *[_HOLES.format(k + 2, k) for k in range(64)])
+    return C.drop_sparse_rows(h, [f"f{k}" for k in range(64)], 0.25).select("id")
 
 
 _MESSY = "CASE WHEN event_id % 9 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id * 2 AS {0}) END"
@@ -199,7 +199,7 @@ def _hashed(name: str) -> str:
     return "h_" + hashlib.sha256(f"salt{name}".encode()).hexdigest()[:16]
 
 
-@query("p_hash_cols", f"WITH {vector_sql()} SELECT id, label, " + ", ".join(f"{c} AS {_hashed(c)}" for c in ("domain", *[f"f{i}" for i in range(8)])) + " FROM b5")
+@query("p_hash_cols", f"WITH {vector_sql()} SELECT id, label, " + ", ".join(f"{c} AS {_hashed(c)}" for c in ("domain", *[f"f{i}" for i in range(64)])) + " FROM b5")
 def p_hash_cols(spark, d):
     return C.hashed_column_names(vector_features(spark, d), "salt", ("id", "label"))
 

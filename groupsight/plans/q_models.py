@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from groupsight.operators import models as M
 from groupsight.operators import stats
 from groupsight.plans.registry import query
+from groupsight.sources.bindings import VECTOR_NAMES as FS
 from groupsight.sources.bindings import vector_features, vector_scores
 
-FS = [f"f{i}" for i in range(8)]
-
 
 def _split(spark, d):
     v = vector_features(spark, d)
@@ -58,7 +57,7 @@ def m_gmm(spark, d):
 @query("m_embed")
 def m_embed(spark, d):
     g = np.random.default_rng(1)
-    return M.embed(vector_features(spark, d), "id", FS, [(g.normal(size=(8, 6)), np.zeros(6)), (g.normal(size=(6, 3)), np.zeros(3))])
+    return M.embed(vector_features(spark, d), "id", FS, [(g.normal(size=(len(FS), 6)), np.zeros(6)), (g.normal(size=(6, 3)), np.zeros(3))])
 
 
 @query("m_score")
@@ -67,22 +66,19 @@ def m_score(spark, d):
     return M.fit_score(train, vector_features(spark, d), FS, "logistic").groupBy("domain").agg(F.avg("score").alias("mean"), F.percentile("score", F.lit(0.9)).alias("p90"), F.count("*").alias("n"))
 
 
-ALL = [f"f{i}" for i in range(64)]
-
-
 @query("m_grid")
 def m_grid(spark, d):
-    return M.grid(vector_features(spark, d, 64), ALL, "domain", [{"ridge": r} for r in (0.001, 0.01, 0.1, 1.0)])
+    return M.grid(vector_features(spark, d), FS, "domain", [{"ridge": r} for r in (0.001, 0.01, 0.1, 1.0)])
 
 
 @query("m_forward")
 def m_forward(spark, d):
-    return spark.createDataFrame(M.forward_selection(vector_features(spark, d, 64), ALL, "domain"), "feature string, auc double")
+    return spark.createDataFrame(M.forward_selection(vector_features(spark, d), FS, "domain"), "feature string, auc double")
 
 
 @query("m_pair")
 def m_pair(spark, d):
-    return M.pair_rescue(vector_features(spark, d, 64), ALL, "domain")
+    return M.pair_rescue(vector_features(spark, d), FS, "domain")
 
 
 @query("t_calibrate")

@@ -103,9 +103,9 @@ def j_apply_labels(spark, d):
     return v.join(given, "id", "left").select("id", F.coalesce("given", "label").alias("label"))
 
 
-@query("j_shared_cols", f"WITH {vector_sql()} SELECT domain, f0, f1, f2, f4, f5, f6, f7, id, label FROM b5")
+@query("j_shared_cols", f"WITH {vector_sql()} SELECT * EXCLUDE (f3) FROM b5")
 def j_shared_cols(spark, d):
-    a, b = dict(vector_features(spark, d).dtypes), dict(vector_features(spark, d, 12).drop("f3").dtypes)
+    a, b = dict(vector_features(spark, d).dtypes), dict(vector_features(spark, d).drop("f3").withColumn("more", F.lit(0)).dtypes)
     shared = sorted(c for c in a if a[c] == b.get(c))
     return vector_features(spark, d).select(*shared)
 

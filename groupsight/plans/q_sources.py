@@ -9,7 +9,7 @@ from groupsight.functions.scalars import rounded
 from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources import io
-from groupsight.sources.bindings import table, vector_features, vector_sql
+from groupsight.sources.bindings import VECTOR_NAMES, table, vector_features, vector_sql
 from groupsight.sources.store import cut, shared_path
 
 _EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
@@ -150,10 +150,10 @@ def a_buckets(spark, d):
     return spark.read.schema(schema).json(path).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("a_matrix", f"WITH {vector_sql()} SELECT id, round(f0 + 2 * f1, 6) + 0.0 AS dot, label, CAST(greatest(2, least(10, round_even((id % 14)::DOUBLE, 0))) - 2 AS INTEGER) AS seat_bucket FROM b5")
+@query("a_matrix", f"WITH {vector_sql()} SELECT id, round({' + '.join(f"{i + 1} * {c}" for i, c in enumerate(VECTOR_NAMES))}, 6) + 0.0 AS dot, label, CAST(greatest(2, least(10, round_even((id % 14)::DOUBLE, 0))) - 2 AS INTEGER) AS seat_bucket FROM b5")
 def a_matrix(spark, d):
-    m = io.export_matrix(vector_features(spark, d).withColumn("seats", (F.col("id") % 14).cast("double")), "id", ["f0", "f1"], "label", "seats")
-    return m.select("id", rounded(F.col("features")[0] + 2 * F.col("features")[1]).alias("dot"), "label", "seat_bucket")
+    m = io.export_matrix(vector_features(spark, d).withColumn("seats", (F.col("id") % 14).cast("double")), "id", VECTOR_NAMES, "label", "seats")
+    return m.select("id", rounded(F.aggregate(F.transform("features", lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)).alias("dot"), "label", "seat_bucket")
 
 
 _CUSTOMER_HASH = """sha256('{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"label":' || (c_acctbal > 5000)::INT || '}')"""

@@ -14,10 +14,10 @@ from groupsight.operators.ordered import rolling_quantile
 from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES as DF
+from groupsight.sources.bindings import VECTOR_NAMES as FS
 from groupsight.sources.bindings import DOCUMENT_FEATURES, ORDER_EVENTS, document_features, order_events, table, vector_features, vector_scores, vector_sql
 from groupsight.sources.store import cut
 
-FS = [f"f{i}" for i in range(8)]
 B5, B4 = f"WITH {vector_sql()}", f"WITH {DOCUMENT_FEATURES}"
 LONG = "lf AS (" + " UNION ALL ".join(f"SELECT id, domain, label, '{c}' AS feature, {c} AS value FROM b5" for c in FS) + ")"
 DLONG = "lf AS (" + " UNION ALL ".join(f"SELECT id, domain, label, '{c}' AS feature, {c} AS value FROM b4 WHERE label IS NOT NULL" for c in DF) + ")"
@@ -118,12 +118,12 @@ def s_report(spark, d):
     return S.feature_report(docs(spark, d), DF).select("feature", "n_missing", "n_finite", "n_unique", *r("std", digits=4), *r("min", "max"), "constant", "near_constant")
 
 
-@query("s_dupcols", f"{B5} " + " UNION ALL ".join(f"SELECT '{b}' AS feature, '{a}' AS same_as FROM b5 HAVING bool_and({a} IS NOT DISTINCT FROM {'f1' if b == 'f1b' else b})" for i, a in enumerate(FS) for b in [*FS[i + 1 :], "f1b"]))
+@query("s_dupcols", f"{B5} " + "SELECT x.feature, x.same_as FROM (SELECT unnest([" + ", ".join(f"{{'feature': '{b}', 'same_as': '{a}', 'same': bool_and({a} IS NOT DISTINCT FROM {'f1' if b == 'f1b' else b})}}" for i, a in enumerate(FS) for b in [*FS[i + 1 :], "f1b"]) + "]) AS x FROM b5) WHERE x.same")
 def s_dupcols(spark, d):
     return S.duplicate_columns(v(spark, d).withColumn("f1b", F.col("f1")), "id", [*FS, "f1b"])
 
 
-@query("s_corr", f"{B5} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r, count(*) AS n FROM b5" for i, a in enumerate(FS) for b in FS[i + 1 :]))
+@query("s_corr", f"{B5} " + "SELECT x.a AS a, x.b AS b, round(x.r, 6) + 0.0 AS r, n FROM (SELECT count(*) AS n, unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr({a}, {b})}}" for i, a in enumerate(FS) for b in FS[i + 1 :]) + "]) AS x FROM b5)")
 def s_corr(spark, d):
     return S.correlations(v(spark, d), FS).select("a", "b", *r("r"), "n")
 
@@ -226,9 +226,9 @@ def s_recommend(spark, d):
 
 @query("s_prefilter")
 def s_prefilter(spark, d):
-    x = v(spark, d).withColumn("f9", 2 * F.col("f0"))
-    report = S.feature_report(x, [*FS, "f9"]).where("NOT near_constant").orderBy("feature")
-    kept = S.greedy_uncorrelated([q.feature for q in report.collect()], S.correlations(x, [*FS, "f9"]), 0.95)  # a row per feature
+    x = v(spark, d).withColumn("twice", 2 * F.col("f0"))
+    report = S.feature_report(x, [*FS, "twice"]).where("NOT near_constant").orderBy("feature")
+    kept = S.greedy_uncorrelated([q.feature for q in report.collect()], S.correlations(x, [*FS, "twice"]), 0.95)  # a row per feature
     return spark.createDataFrame([(k,) for k in kept], "feature string")
 
 
@@ -284,7 +284,7 @@ def s_fingerprint(spark, d):
 
 
 @query("s_fp_dist", f"""{B5}, p AS (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s' for c in FS)} FROM b5 WHERE label = 1)
-  SELECT domain, round(avg(sqrt(({' + '.join(f'{i + 1} * pow(({c} - {c}_m) / {c}_s, 2)' for i, c in enumerate(FS))}) / 36)), 6) AS distance FROM b5, p GROUP BY 1""")
+  SELECT domain, round(avg(sqrt(({' + '.join(f'{i + 1} * pow(({c} - {c}_m) / {c}_s, 2)' for i, c in enumerate(FS))}) / {len(FS) * (len(FS) + 1) // 2})), 6) AS distance FROM b5, p GROUP BY 1""")
 def s_fp_dist(spark, d):
     dist = S.fingerprint_distance(S.fingerprint(v(spark, d).where("label = 1"), FS), {c: float(i + 1) for i, c in enumerate(FS)})
     return v(spark, d).withColumn("distance", dist).groupBy("domain").agg(rounded(F.avg("distance")).alias("distance"))

@@ -105,14 +105,18 @@ b4 AS (
   LEFT JOIN (SELECT doc_id, CAST(max(toxic) AS INTEGER) AS label FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)"""
 
 
-def vector_features(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """B5: (id, domain, label, f0..): the first n of an embedding's 64 numbers, as doubles."""
+#: An embedding's numbers.
+VECTOR_NAMES = [f"f{i}" for i in range(64)]
+
+
+def vector_features(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
+    """B5: (id, domain, label, f0..): an embedding's 64 numbers, or the first n, as doubles."""
     v = table(spark, sf_dir, "embeddings")
     cols = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)]
     return v.select(F.col("vec_id").alias("id"), (F.col("label") % 3).cast("int").alias("domain"), (F.col("label") >= 5).cast("int").alias("label"), *cols)
 
 
-def vector_sql(n: int = 8) -> str:
+def vector_sql(n: int = 64) -> str:
     cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(n))
     return f"\nb5 AS (SELECT vec_id AS id, CAST(label % 3 AS INTEGER) AS domain, CAST(label >= 5 AS INTEGER) AS label, {cols} FROM embeddings)"
 
