@@ -237,9 +237,13 @@ def ema_scores(rewards: DataFrame, scorer: str, cycle: str, cycles: tuple[int, i
 
 
 def threshold_methods(df: DataFrame, by: list[str], score: str = "score", fixed: float = 0.5) -> DataFrame:
-    """(by, passive, hybrid): the batch median; the gap where there is one, else the mean of median and fixed."""
-    med = df.groupBy(*by).agg(F.percentile(score, F.lit(0.5)).alias("passive"))
-    return bimodal_gap(df, by, score).join(med, by).select(*by, "passive", F.coalesce("threshold", (F.col("passive") + fixed) / 2).alias("hybrid"))
+    """(by, passive, hybrid): the batch median; the gap where there is one, else the mean of median and fixed. Missing scores do not count; no task holds a group."""
+    rows = df.where(finite(F.col(score)).isNotNull())
+    med = medians(rows, by, score).select(F.col("median").alias("passive"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+    met = F.lit(True)
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return bimodal_gap(rows, by, score).join(med, met).select(*by, "passive", F.coalesce("threshold", (F.col("passive") + fixed) / 2).alias("hybrid"))
 
 
 def mixture_threshold(df: DataFrame, score: str = "score", rounds: int = 100, seed: int = 7) -> float | None:

@@ -55,8 +55,8 @@ def reservoir(df: DataFrame, key: str, n: int, seed: str = "s") -> DataFrame:
     return df.orderBy(hash_order(seed, F.col(key)), key).limit(n)
 
 
-def hash_rank(df: DataFrame, key: str, seed: str, by: list[str] | None = None) -> DataFrame:
-    """df with rank: the row's place in hash order, from 1, over all rows or within by (null is a group).
+def hash_rank(df: DataFrame, key: str, seed: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """df with rank: the row's place in hash order, from 1, over all rows or within by (null is a group). total names a column for the rows' or group's number.
 
     Places are counted in 4096 hash buckets, per group of by, and offset by the sizes of the buckets before, so no task
     sorts a whole table or group.
@@ -65,12 +65,12 @@ def hash_rank(df: DataFrame, key: str, seed: str, by: list[str] | None = None) -
     rows = df.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
     sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")  # 4096 rows at most per group
-    offsets = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_bucket"), before.alias("_before"))
+    offsets = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_bucket"), before.alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
     met = F.col("_b") == F.col("_bucket")
     for i, c in enumerate(by):
         met = met & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
-    return rows.withColumn("_place", place).join(offsets, met).withColumn("rank", (F.col("_place") + F.col("_before")).cast("long")).select(*df.columns, "rank")
+    return rows.withColumn("_place", place).join(offsets, met).withColumn("rank", (F.col("_place") + F.col("_before")).cast("long")).select(*df.columns, "rank", *([F.col("_total").alias(total)] if total else []))
 
 
 def sorted_places(df: DataFrame, *order: Column) -> DataFrame:
@@ -126,6 +126,28 @@ def with_replacement(df: DataFrame, key: str, draws: int, seed: str = "s") -> Da
     return picks.join(rows, "rank").drop("rank")
 
 
+def pool_at_ratio(a: DataFrame, b: DataFrame, key: str, share: float, replace: bool = False, seed: str = "s") -> DataFrame:
+    """Rows of a and b (same columns) with pool, 'a' or 'b', and draw: a gives `share` of all rows.
+
+    Without replacement it is the largest pool that keeps the ratio, at least one row of each, and draw is NULL; with it, twice the rows of the larger source are drawn, and draw is a
+    draw's number within its source. A share outside (0, 1) and an empty source are errors.
+    """
+    if not 0 < share < 1:
+        raise ValueError("share must lie between 0 and 1")
+    n_a, n_b = a.count(), b.count()
+    if not (n_a and n_b):
+        raise ValueError("both sources must have rows")
+    whole = 2 * max(n_a, n_b) if replace else int(min(n_a / share, n_b / (1 - share)))
+    take_a = round(whole * share)
+    sizes = [(a, "a", n_a, take_a), (b, "b", n_b, whole - take_a)]
+    if replace:
+        parts = [with_replacement(df, key, take, f"{seed}/{name}").withColumn("pool", F.lit(name)) for df, name, _, take in sizes]
+    else:
+        none = F.lit(None).cast("long").alias("draw")
+        parts = [hash_rank(df, key, f"{seed}/{name}").where(F.col("rank") <= max(1, min(take, n))).select(none, *df.columns, F.lit(name).alias("pool")) for df, name, n, take in sizes]
+    return parts[0].unionByName(parts[1])
+
+
 def lockbox(df: DataFrame, key: str, held: Column, seed: str = "s") -> DataFrame:
     """df with split: rows that are held are half lockbox, half test (a hash of the key), all others train."""
     return df.withColumn("split", F.when(F.coalesce(held, F.lit(False)), F.when(hash_unit(seed, F.col(key)) < 0.5, "lockbox").otherwise("test")).otherwise("train"))
@@ -176,10 +198,9 @@ def domain_mix(df: DataFrame, key: str, domain: str, caps: dict, repeats: dict,
 
 def stratified_split(df: DataFrame, key: str, label: str, val_share: float, seed: str = "s") -> DataFrame:
     """df with split: val_share of each class is 'val', at least one row of a class of two or more."""
-    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("_n"))  # a row per class
-    rows = hash_rank(df, key, seed, [label]).join(sizes, F.col(label).eqNullSafe(F.col("_class")))
+    rows = hash_rank(df, key, seed, [label], total="_n")
     want = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.floor(F.col("_n") * val_share + 0.5))).otherwise(0)
-    return rows.withColumn("split", F.when(F.col("rank") <= want, "val").otherwise("train")).drop("rank", "_n", "_class")
+    return rows.withColumn("split", F.when(F.col("rank") <= want, "val").otherwise("train")).drop("rank", "_n")
 
 
 def bernoulli_split(df: DataFrame, key: str, ratio: float, seed: str = "s") -> DataFrame:

@@ -194,6 +194,27 @@ def u_pool_ratio(spark, d):
     return U.ratio_sample(v.where("label = 1"), "id", 0.5).union(U.ratio_sample(v.where("label = 0"), "id", 2.0)).select("id", "copy")
 
 
+_SIDES = f"""WITH {vector_sql()}, x AS (SELECT id, label, CASE label WHEN 1 THEN 'a' ELSE 'b' END AS pool FROM b5), n AS (SELECT count(*) FILTER (pool = 'a') AS na, count(*) FILTER (pool = 'b') AS nb FROM x),
+  r AS (SELECT id, pool, row_number() OVER (PARTITION BY pool ORDER BY sha256('s/' || pool || '|' || CAST(id AS VARCHAR)), id) AS rk FROM x)"""
+
+
+@query("u_pool_share", f"""{_SIDES}, w AS (SELECT *, CAST(floor(least(na / 0.3, nb / (1 - 0.3))) AS BIGINT) AS whole FROM n), t AS (SELECT *, CAST(round_even(whole * 0.3, 0) AS BIGINT) AS ta FROM w)
+  SELECT pool, id, CAST(NULL AS BIGINT) AS draw FROM r, t WHERE rk <= CASE pool WHEN 'a' THEN greatest(1, least(ta, na)) ELSE greatest(1, least(whole - ta, nb)) END""")
+def u_pool_share(spark, d):
+    """The largest pool of positives and negatives of which 30 per cent are positive."""
+    v = vector_features(spark, d).select("id", "label")
+    return U.pool_at_ratio(v.where("label = 1"), v.where("label = 0"), "id", 0.3).select("pool", "id", "draw")
+
+
+@query("u_pool_draws", f"""{_SIDES}, t AS (SELECT *, 2 * greatest(na, nb) AS whole, CAST(round_even(2 * greatest(na, nb) * 0.3, 0) AS BIGINT) AS ta FROM n),
+  p AS (SELECT 'a' AS pool, unnest(range(ta)) AS draw, na AS n FROM t UNION ALL SELECT 'b', unnest(range(whole - ta)), nb FROM t),
+  k AS (SELECT pool, draw, CAST(floor(CAST('0x' || substr(sha256('s/' || pool || '/draw|' || CAST(draw AS VARCHAR)), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * n) AS BIGINT) + 1 AS rk FROM p)
+  SELECT pool, id, draw FROM k JOIN r USING (pool, rk)""")
+def u_pool_draws(spark, d):
+    v = vector_features(spark, d).select("id", "label")
+    return U.pool_at_ratio(v.where("label = 1"), v.where("label = 0"), "id", 0.3, replace=True).select("pool", "id", "draw")
+
+
 @query("u_domain_mix", f"""WITH {vector_sql()}, r AS (SELECT id, domain, row_number() OVER (PARTITION BY domain ORDER BY {_h('id')}, id) AS rk FROM b5)
   SELECT id, domain, CAST(unnest(range(1, CASE domain WHEN 1 THEN 4 ELSE 2 END)) AS INTEGER) AS copy, CASE domain WHEN 2 THEN 0.5 ELSE 1.0 END::DOUBLE AS sample_weight FROM r WHERE rk <= CASE domain WHEN 0 THEN 60 WHEN 1 THEN 20 ELSE 100000 END""")
 def u_domain_mix(spark, d):
@@ -253,7 +274,7 @@ def u_lockbox(spark, d):
     return U.lockbox(orders(spark, d), "o_orderkey", F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")).select("o_orderkey", "split")
 
 
-@query("u_replace")
+@query("u_replace", f"SELECT draw, c_custkey FROM (SELECT unnest(range(n)) AS draw, n FROM (SELECT count(*) AS n FROM customer)) JOIN ({_RANKED}) ON rk = CAST(floor({_unit('draw', 's/draw')} * n) AS BIGINT) + 1")
 def u_replace(spark, d):
     """As many draws with replacement as there are customers."""
     c = cust(spark, d).select("c_custkey")
