@@ -287,5 +287,5 @@ def test_domain_probe_by_its_own_forest(spark, tiny):
     p = model.transform(rows).select("domain", "probability").toPandas()
     want = np.mean([auc(np.array([v[k] for v in p.probability]), (p.domain == k).astype(int)) for k in range(3)])
     got = run("m_domain", spark, tiny)
-    assert got.auc.to_numpy() == pytest.approx(np.full(8, want)) and got.importance.sum() == pytest.approx(1)
+    assert got.auc.to_numpy() == pytest.approx(np.full(len(FS), want)) and got.importance.sum() == pytest.approx(1)
     assert dict(zip(got.feature, got.importance, strict=True)) == pytest.approx(dict(zip(FS, model.featureImportances.toArray(), strict=True)))

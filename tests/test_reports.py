@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from groupsight.operators import evaluate as E
 from groupsight.operators import reports as R
+from groupsight.operators import sampling as U
+from groupsight.operators import stats as S
 
 
 def rows_of(df, key):
@@ -103,3 +105,60 @@ def test_sessions_as_recorded(spark):
     assert [r.line for r in R.compact_session(e).orderBy("sess").collect()] == ["s0:C:1 | s0:R:2 | s1:F:1", "s0:C:7"]
     keys = spark.createDataFrame([(0.05, 2, 0, 6), (0.5, 6, 1, 7), (4.9, 7, 2, 14), (5.0, 1, 3, 15)], "u double, a int, st int, n int")
     assert [r[0] for r in keys.select(R.stratum_key(F.col("u"), F.col("a"), F.col("st"), F.col("n"))).collect()] == ["micro|hu|pf|short", "low|sh|flop|mid", "mid|fr|deep|mid", "high|hu|deep|long"]
+
+
+def test_correlations_by_numpy(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(400, 5)) + 1e4
+    x[:, 1] += x[:, 0]
+    x[:, 4] = 7.1
+    x[g.random((400, 5)) < 0.1] = np.nan
+    x[60:, 3] = np.inf
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"x{k} double" for k in range(5))).repartition(7)
+    got = {(r.a, r.b): r for r in S.correlations(df, df.columns).collect()}
+    assert len(got) == 10
+    for i in range(5):
+        for j in range(i + 1, 5):
+            both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+            r = got[f"x{i}", f"x{j}"]
+            assert r.n == both.sum()
+            if both.sum() < 50 or j == 4:
+                assert r.r is None
+            else:
+                assert r.r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    empty = S.correlations(df.limit(0), df.columns, least_rows=0).collect()
+    assert len(empty) == 10 and all(r.r is None and r.n == 0 for r in empty)
+    assert S.correlations(df, ["x0"]).count() == 0
+
+
+def test_moments_of_missing_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None), (float("nan"), None)], "a double, b double")
+    out = {r.feature: r for r in S.describe(df, ["a", "b"]).collect()}
+    assert (out["a"]["count"], out["a"].mean, out["a"].q50, out["a"].missing) == (2, 2.0, 2.0, pytest.approx(1 / 3))
+    assert (out["b"]["count"], out["b"].mean, out["b"].missing) == (0, None, 1.0)
+    assert [r["count"] for r in S.describe(df.limit(0), ["a", "b"]).collect()] == [0, 0]
+    assert [r.feature for r in S.profile(df, ["a", "b"]).collect()] == ["a"]
+    report = {r.feature: r for r in S.feature_report(df, ["a", "b"]).collect()}
+    assert (report["a"].n_unique, report["b"].n_unique, report["b"].constant) == (2, 0, True)
+
+
+def test_pools_keep_their_ratio(spark):
+    a = spark.createDataFrame([(i, "x") for i in range(10)], "id long, pool_name string")
+    b = spark.createDataFrame([(i, "y") for i in range(100, 190)], "id long, pool_name string")
+    once = U.pool_at_ratio(a, b, "id", 0.25).toPandas()
+    assert once.groupby("pool").size().to_dict() == {"a": 10, "b": 30} and once.id.is_unique and once.draw.isna().all()
+    drawn = U.pool_at_ratio(a, b, "id", 0.25, replace=True).toPandas()
+    assert drawn.groupby("pool").size().to_dict() == {"a": 45, "b": 135} and set(drawn.id[drawn.pool == "a"]) <= set(range(10)) and not drawn.id.is_unique
+    again = U.pool_at_ratio(a.repartition(5), b.repartition(3), "id", 0.25, replace=True).toPandas()
+    key = ["pool", "draw"]
+    assert drawn.sort_values(key).id.tolist() == again.sort_values(key).id.tolist()
+    for share, left in ((0.0, a), (1.0, a), (0.5, a.limit(0))):
+        with pytest.raises(ValueError):
+            U.pool_at_ratio(left, b, "id", share)
+
+
+def test_threshold_methods_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 0.2), (None, 0.4), (None, None), (1, 0.3), (1, float("nan"))], "k long, score double")
+    out = {r.k: r for r in E.threshold_methods(df, ["k"]).collect()}
+    assert out[None].passive == pytest.approx(0.3) and out[None].hybrid == pytest.approx(0.4) and out[1].passive == 0.3
