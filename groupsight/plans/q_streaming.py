@@ -69,10 +69,8 @@ _BEGIN = 1_700_000_000
 
 def _score_stream(spark, d):
     """Scores of a minute per cycle, in files that overlap by some cycles, two to a batch; a last row without a stream moves the clock past all others."""
-    path = shared_path(spark, "scores")
-    rows = cut(vector_scores(spark, d).select("scorer", "cycle", "score", F.timestamp_seconds(_BEGIN + F.col("cycle") * 60).alias("at"), F.floor((F.col("cycle") + F.col("id") % 3) / 4).cast("int").alias("file")), "scores")
-    for k in range((rows.agg(F.max("file")).first()[0] or 0) + 1):  # a file per four cycles, written in order
-        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
+    rows = cut(vector_scores(spark, d).select("scorer", "cycle", "score", F.timestamp_seconds(_BEGIN + F.col("cycle") * 60).alias("at"), F.floor((F.col("cycle") + F.col("id") % 3) / 4).alias("file")), "scores")
+    path = Z.arriving(rows, "file", "scores")
     end = rows.agg((_BEGIN + F.max("cycle") * 60 + 3600).alias("s")).select(F.lit(None).cast("long").alias("scorer"), F.lit(None).cast("long").alias("cycle"), F.lit(None).cast("double").alias("score"), F.timestamp_seconds("s").alias("at"))
     end.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema("scorer long, cycle long, score double, at timestamp").option("maxFilesPerTrigger", 2).parquet(path)

@@ -5,6 +5,7 @@ Late rows are bounded by watermarks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from groupsight.sources.store import shared_path
+from groupsight.sources.store import drop_table, shared_path
 
 
 def event_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -24,6 +25,31 @@ def event_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
+#: Rows of an arrival, and the least number of arrivals where there is so much to tell apart.
+ARRIVAL_ROWS, ARRIVALS = 250_000, 8
+
+
+def arriving(rows: DataFrame, by: str, name: str) -> str:
+    """A folder of files that came one after the other, each with the next rows in order of `by`; the column goes, and so do rows without it.
+
+    Rows of one value of `by` come together. The number of files depends on the rows, not on the values of `by`; one pass deals the rows, another writes each file from its own part.
+    """
+    spark = rows.sparkSession
+    path, dealt = shared_path(spark, name), shared_path(spark, f"{name}-dealt")
+    rows = rows.where(F.col(by).isNotNull())
+    n = max(ARRIVALS, math.ceil(rows.count() / ARRIVAL_ROWS))
+    bounds = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 10 * n)).first()[0] or []
+    arrival = F.lit(0)
+    if bounds := sorted(set(bounds)):
+        arrival = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda a, b: a + (F.col(by) > b).cast("int"))
+    rows.withColumn("arrival", arrival).drop(by).repartition(len(bounds) + 1, "arrival").write.partitionBy("arrival").parquet(dealt)
+    parts = spark.read.parquet(dealt)
+    for (k,) in sorted(parts.select("arrival").distinct().collect()):
+        parts.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+    drop_table(spark, dealt)
+    return path
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that came after the watermark had passed them, over the batches whose progress is kept (spark.sql.streaming.numRecentProgressUpdates)."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])

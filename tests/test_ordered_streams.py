@@ -121,3 +121,33 @@ def test_log_grows_by_batches_and_replays_add_nothing(spark, tmp_path):
     for _ in range(2):
         Z.put_batch(rows, f"{tmp_path}/log", 7)
     assert Z.read_log(spark, f"{tmp_path}/log", rows.schema).count() == 1
+
+
+def test_arrivals_do_not_grow_with_the_values_they_are_ordered_by(spark):
+    """As many files for 40000 cycles as for a few, later files with later rows, every row once."""
+    rows = spark.range(3000).select("id", F.floor(F.col("id") * 13 / 4).alias("file"))
+    path = Z.arriving(rows, "file", "scores")
+    found = spark.read.parquet(path).select("id", F.input_file_name().alias("f")).groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).orderBy("low").collect()
+    assert len(found) == Z.ARRIVALS and sum(r.n for r in found) == 3000
+    assert all(a.high < b.low for a, b in zip(found, found[1:], strict=False))
+    few = Z.arriving(spark.createDataFrame([(1, 5), (2, 5), (3, -1), (4, None)], "id long, file long"), "file", "scores")
+    assert sorted(r.id for r in spark.read.parquet(few).collect()) == [1, 2, 3]
+
+
+def test_scores_of_many_cycles_come_in_few_batches(spark, tmp_path):
+    """One file per four cycles made 500 files and as many jobs of 2000 cycles."""
+    from groupsight.plans import q_streaming as Q
+
+    v = spark.range(2000).select((F.col("id") * 50).alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.array(*[(F.sin(F.col("id") + i)).cast("float") for i in range(64)]).alias("embedding"))
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    stream = Q._score_stream(spark, str(tmp_path))
+    out, query = Z.run_through(K.threshold_stream(stream, "scorer", "cycle", "score", "at", "5 minutes"), "thresholds")
+    assert out.count() == 2000 and Z.late_rows(query) == 0
+    assert len(query.recentProgress) <= Z.ARRIVALS
+
+
+def test_a_row_without_sequence_leaves_the_others_whole_numbers(spark, tmp_path):
+    rows = [("a", 7 + s, 0.5, BEGIN + dt.timedelta(minutes=s)) for s in range(3)]
+    written(spark, f"{tmp_path}/s", [[*rows, ("a", None, 0.5, BEGIN)]])
+    out = Z.drained(K.served_stream(stream(spark, f"{tmp_path}/s", 1), "k", "seq", "at", "1 minute"), "v")
+    assert sorted((r.seq, r.times) for r in out.collect()) == [(7 + s, s + 1) for s in range(3)]
