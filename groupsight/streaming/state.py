@@ -11,6 +11,8 @@ A buffer holds the rows of one key within the watermark's delay; state beyond it
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,37 +39,42 @@ def in_order(
     ship_package(rows.sparkSession)
     kinds = dict(rows.dtypes)
     fields = [f.name for f in T._parse_datatype_string(out).fields]
+    integral = kinds[sequence] in ("tinyint", "smallint", "int", "bigint")
     wait = None if idle is None else int(pd.Timedelta(idle) / pd.Timedelta("1ms"))
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.exists:
             times, sequences, scores, last, *now = held.get
-            buffer = pd.DataFrame({"at": np.asarray(times, np.int64), "seq": list(sequences), "x": np.asarray(scores, float)})
+            rows = list(zip(times, sequences, scores, strict=True))
         else:
-            buffer, last, now = None, -1, list(start)
-        new = [buffer] if buffer is not None else []
+            rows, last, now = [], -1, list(start)
         for p in parts:
-            p = p[p[[at, sequence, score]].notna().all(axis=1)]
-            new.append(pd.DataFrame({"at": (p[at].to_numpy("datetime64[us]").astype(np.int64)), "seq": p[sequence].tolist(), "x": p[score].to_numpy(float)}))
-        rest = pd.concat([n for n in new if len(n)], ignore_index=True) if any(len(n) for n in new) else pd.DataFrame({"at": np.empty(0, np.int64), "seq": [], "x": np.empty(0)})
+            when, seq, x = p[at], p[sequence], p[score]
+            whole = ~(pd.isna(when.to_numpy()) | pd.isna(seq.to_numpy()) | pd.isna(x.to_numpy()))
+            if not whole.all():
+                when, seq, x = when[whole], seq[whole], x[whole]
+            # nulls beside them turn whole numbers into floats
+            seq = seq.astype("int64") if integral else seq
+            rows += zip(when.to_numpy("datetime64[us]").astype(np.int64).tolist(), seq.tolist(), x.to_numpy(float).tolist(), strict=True)
         water = held.getCurrentWatermarkMs()
-        due = rest["at"].to_numpy() <= water * 1000
+        due = sorted(r for r in rows if r[0] <= water * 1000)
+        rest = [r for r in rows if r[0] > water * 1000]
         found = []
-        for (when, s), part in rest[due].sort_values(["at", "seq", "x"]).groupby(["at", "seq"], sort=True):
-            now, made = step(tuple(now), s, part.x.to_numpy())
-            last = int(when)
+        for (when, s), part in groupby(due, itemgetter(0, 1)):
+            now, made = step(tuple(now), s, np.array([r[2] for r in part]))
+            last = when
             found += [(k[0], *m) for m in made]
-        rest = rest[~due]
-        if k[0] is None or (not len(rest) and (last < 0 or (wait is not None and last // 1000 + wait <= water))):
+        if k[0] is None or (not rest and (last < 0 or (wait is not None and last // 1000 + wait <= water))):
             if held.exists:
                 held.remove()
         else:
-            held.update((rest["at"].tolist(), rest["seq"].tolist(), rest["x"].tolist(), last, *now))
-            wake = int(rest["at"].min()) // 1000 + 1 if len(rest) else None if wait is None else last // 1000 + wait
+            times, sequences, scores = (list(c) for c in zip(*rest, strict=True)) if rest else ([], [], [])
+            held.update((times, sequences, scores, last, *now))
+            wake = min(times) // 1000 + 1 if rest else None if wait is None else last // 1000 + wait
             if wake is not None:
                 held.setTimeoutTimestamp(max(wake, water + 1))
         if found:
-            yield pd.DataFrame(found, columns=[key, *fields])
+            yield pd.DataFrame(dict(zip([key, *fields], map(list, zip(*found, strict=True)), strict=True)))
 
     marked = rows.select(key, at, sequence, score).withWatermark(at, delay)
     return marked.groupBy(key).applyInPandasWithState(
