@@ -162,3 +162,16 @@ def test_threshold_methods_of_a_null_group(spark):
     df = spark.createDataFrame([(None, 0.2), (None, 0.4), (None, None), (1, 0.3), (1, float("nan"))], "k long, score double")
     out = {r.k: r for r in E.threshold_methods(df, ["k"]).collect()}
     assert out[None].passive == pytest.approx(0.3) and out[None].hybrid == pytest.approx(0.4) and out[1].passive == 0.3
+
+
+def test_partitions_of_order_events_follow_the_rows(spark, tiny, monkeypatch):
+    """A table of many rows is dealt by session into tasks of bounded size; the events stay the same."""
+    from groupsight.sources import bindings as B
+
+    plain = B.order_events(spark, tiny)
+    monkeypatch.setattr(B, "MANY_ROWS", 100)
+    monkeypatch.setattr(B, "TASK_ROWS", 200)
+    events = B.order_events(spark, tiny)
+    n = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    assert events.rdd.getNumPartitions() == -(-n // 200) > 8
+    assert events.exceptAll(plain).isEmpty() and plain.exceptAll(events).isEmpty()
