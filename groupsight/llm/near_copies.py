@@ -1,8 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles, with MinHash candidates.
 
 Operator 1's rule for word shingles, "similarity of 0.8 or more", is about 10 of 64 differing bits, which
-multi-index hashing of SimHash fingerprints cannot search within the limits (README has the figures),
-so this search takes its candidates from MinHash bands.
+multi-index hashing of SimHash fingerprints cannot search alone within the limits (README has the figures).
+So operator 1 comes first: its fingerprints of the same `shingle`-word runs and its links within `radius` bits, each verified on
+the sets. MinHash bands then give the candidates whose fingerprints lie farther apart.
 
 Two documents are linked if their sets of `shingle`-word runs have a Jaccard similarity of at least
 `threshold`. Documents with equal sets are one entry. An entry of two shingles or more has `bands`
@@ -34,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groupsight.llm import op1_simhash
 from groupsight.llm.common import components, prepare, sized, with_row
 from groupsight.llm.op7_decontaminate import _halves, _permuted, permutation_seeds, shingle_hashes
 from groupsight.sources.store import cut
@@ -122,6 +124,17 @@ def _candidates(entries: DataFrame) -> DataFrame:
     return cut(table.select("key", "entry").join(sized(middle, "middles"), "key"), "candidates")
 
 
+def _simhash_pairs(entries: DataFrame, fp: str, radius: int) -> DataFrame:
+    """(a, b): entries whose fingerprints operator 1 links within radius bits; entries of one fingerprint are paired with its least entry."""
+    named = entries.groupBy(fp).agg(F.min("entry").alias("least"), F.count("*").alias("n"))
+    named = cut(named.withColumnRenamed(fp, "fp"), "fingerprints")
+    ends = sized(named.select("fp", "least"), "fingerprint_entries")
+    links = cut(op1_simhash.links(named.select("fp"), radius), "simhash_links")
+    far = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    same = entries.select(F.col(fp).alias("fp"), F.col("entry").alias("x")).join(sized(named.where("n > 1").select("fp", F.col("least").alias("y")), "shared_fingerprints"), "fp").where("x <> y").select("x", "y")
+    return far.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _open_keys(table: DataFrame, found: DataFrame) -> DataFrame:
     """(key, bundle, entry, root, stray, pairs) of the keys whose entries stand in two components or more; pairs: of strays and entries."""
     found = sized(found.toDF("entry", "root"), "roots")
@@ -158,7 +171,7 @@ def _in_cells(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, radius: int = 4,
     row_col: str | None = None,
 ) -> DataFrame:
     """(row, id, component_id, first_row): every document with the smallest id of its component.
@@ -171,11 +184,12 @@ def near_copies(
         docs, row_col = with_row(docs)
     source = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
 
-    @F.pandas_udf("entry long, keys array<long>")
+    @F.pandas_udf("entry long, keys array<long>, fp long")
     def keyed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             sets = [shingle_set(x, shingle) for x in s]
-            yield pd.DataFrame({"entry": np.array([_name(x) for x in sets], np.int64), "keys": band_keys(sets, bands, rows)})
+            fps = np.array([op1_simhash.simhash(x, shingle) for x in s], np.int64)
+            yield pd.DataFrame({"entry": np.array([_name(x) for x in sets], np.int64), "keys": band_keys(sets, bands, rows), "fp": fps})
 
     @F.pandas_udf("array<long>")
     def set_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -189,7 +203,7 @@ def near_copies(
 
     one = cut(source.select("row", "id", keyed("t").alias("x")).select("row", "id", "x.*"), "entries")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    least = cut(one.groupBy("entry").agg(first, F.first("keys").alias("keys")), "first_rows")
+    least = cut(one.groupBy("entry").agg(first, F.first("keys").alias("keys"), F.min("fp").alias("fp")), "first_rows")
     table = _candidates(least)
 
     def sets_of(entries: DataFrame) -> DataFrame:
@@ -198,7 +212,7 @@ def near_copies(
 
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("entry"))
     stars = table.where("entry <> middle").groupBy(F.col("entry").alias("a"), F.col("middle").alias("b")).agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    stars = cut(stars, "stars")
+    stars = cut(stars.union(_simhash_pairs(least, "fp", radius)).distinct(), "stars")
     stars = cut(_verified(stars, sets_of(ends(stars)), threshold), "star_links")
     left = _open_keys(table, components(stars))
 

@@ -834,3 +834,17 @@ def test_every_operator_is_registered():
     names = list(entry.queries())
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql())) and set(entry.oracle_sql()) <= set(names)
+
+
+def test_near_copies_take_operator_ones_links_first_and_verify_them(spark):
+    """One band gives no MinHash candidate, so what is linked comes from fingerprints within 4 bits, and only where the sets are alike."""
+    from groupsight.llm import near_copies
+    from groupsight.llm.op1_simhash import simhash
+
+    words = [f"w{(i * 7919) % 10007}" for i in range(800)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(words[:400]), 4: None, 5: " ", 6: "few words"}
+    a, b = (simhash(texts[k].encode(), 5) for k in (1, 2))
+    assert ((a ^ b) & (2**64 - 1)).bit_count() <= 4
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.id: r.component_id for r in near_copies.near_copies(docs, bands=1).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
