@@ -61,7 +61,11 @@ SAMPLE_SHARE = 64
 #: Splits of the input that one counting task takes at most, where there are more than cores.
 SPLITS = 32
 #: Windows that are scored at a time.
-STEP = 400
+STEP = 200
+#: Rows of a table of shares that are made at a time.
+STRIP = 256
+#: Cells of sums in an Arrow batch that leaves a task.
+CELLS_SENT = 100_000
 
 
 class Symbols:
@@ -94,7 +98,7 @@ def windows_of(docs: list[np.ndarray], symbols: Symbols) -> tuple[np.ndarray, np
 
 
 class Cells(NamedTuple):
-    """The non-zero cells of a table of counts."""
+    """The non-zero cells of a table of counts, in ascending order."""
 
     shape: tuple[int, ...]
     at: np.ndarray
@@ -130,7 +134,8 @@ class Counts:
 
     def __init__(self, pairs: np.ndarray, near: Cells, far: Cells):
         """pairs: the pairs (a, b) with rows of their own in near, as a * WIDTH + b."""
-        pack = lambda x: (x.shape, *(zlib.compress(y.astype("<i8").tobytes(), 1) for y in (np.diff(x.at, prepend=0), x.n)))
+        # places in a table fit 32 bits
+        pack = lambda x: (x.shape, *(zlib.compress(y.tobytes(), 1) for y in (np.diff(x.at, prepend=0).astype("<i4"), x.n.astype("<i8"))))
         self.pairs, self.packed, self.made = pairs, (pack(near), pack(far)), {}
 
     def __getstate__(self) -> dict:
@@ -138,8 +143,8 @@ class Counts:
 
     def cells(self) -> list[Cells]:
         """near and far."""
-        number = lambda x: np.frombuffer(zlib.decompress(x), "<i8")
-        return [Cells(shape, np.cumsum(number(gaps)), number(n)) for shape, gaps, n in self.packed]
+        number = lambda x, kind: np.frombuffer(zlib.decompress(x), kind)
+        return [Cells(shape, np.cumsum(number(gaps, "<i4"), dtype=np.int32), number(n, "<i8")) for shape, gaps, n in self.packed]
 
     def values(self, less: int = 0) -> Values:
         if less not in self.made:
@@ -153,15 +158,18 @@ class Counts:
 def smoothed(counts: Cells, prior: np.ndarray, prior_row: np.ndarray, strength: float, less: int) -> np.ndarray:
     """Shares of counts (each less `less`, 0 at least), drawn to a row of the prior as by `strength` more tokens."""
     rows, width = counts.shape
-    total = np.maximum(np.bincount(counts.at // width, counts.n, rows) - less, 0) + strength
     out = np.zeros(rows * width, np.float32)
-    out[counts.at] = np.maximum(counts.n - less, 0)
-    out = out.reshape(rows, width)
-    for k in range(0, rows, 512):
-        part = slice(k, k + 512)
-        out[part] += prior[prior_row[part]] * np.float32(strength)
-        out[part] /= total[part, None].astype(np.float32)
-    return out
+    by_row = out.reshape(rows, width)
+    # a few rows at a time: what is made on the way is small beside the table
+    for k in range(0, rows, STRIP):
+        part = by_row[k : k + STRIP]
+        a, b = np.searchsorted(counts.at, (k * width, (k + STRIP) * width))
+        at, n = counts.at[a:b] - k * width, counts.n[a:b]
+        total = np.maximum(np.bincount(at // width, n, len(part)) - less, 0) + strength
+        part.ravel()[at] = np.maximum(n - less, 0)
+        part += prior[prior_row[k : k + STRIP]] * np.float32(strength)
+        part /= total[:, None].astype(np.float32)
+    return by_row
 
 
 class Attention:
@@ -350,8 +358,10 @@ def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long
         table = np.zeros((columns, size), np.int64 if kind == "long" else np.float64)
         for pdf in parts:
             add(table, pdf)
-        at = np.flatnonzero(table.any(axis=0))
-        yield pd.DataFrame({"k": at} | {name: table[c, at].astype(np.int64 if kind == "long" else float) for c, name in enumerate(names)})
+        for k in range(0, size, CELLS_SENT):
+            part = table[:, k : k + CELLS_SENT]
+            at = np.flatnonzero(part.any(axis=0))
+            yield pd.DataFrame({"k": at + k} | {name: part[c, at] for c, name in enumerate(names)})
 
     # a task sends up to the table's cells, so it takes several splits; it takes few enough to be run again at a small cost
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // SPLITS)
@@ -359,6 +369,12 @@ def _summed(rows: DataFrame, size: int, add, columns: int = 1, kind: str = "long
     return cells.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
 
 
+def count(table: np.ndarray, cells: np.ndarray) -> None:
+    """Add one to the table's cell for each of cells; what is made on the way is of the size of cells, not of the table."""
+    at, n = np.unique(cells, return_counts=True)
+    table[at] += n
+
+
 def _table(found, size: int, columns: int = 1) -> np.ndarray:
     """The cells of _summed() as a (columns, size) table."""
     out = np.zeros((columns, size), found["n0"].to_numpy().dtype)
@@ -426,7 +442,7 @@ def _values_counted(train: DataFrame, symbols: Symbols) -> Counts:
         if len(pdf):
             at, line = targets(pdf)
             row = sent_place.value[line[at - 2] * WIDTH + line[at - 1]].astype(np.int64)
-            table[0] += np.bincount(row * SYMBOLS + line[at], minlength=rows * SYMBOLS)
+            count(table[0], row * SYMBOLS + line[at])
 
     near = _as_cells(_summed(ids, rows * SYMBOLS, add_near), (rows, SYMBOLS))
     return Counts(top // SYMBOLS * WIDTH + top % SYMBOLS, near, far)

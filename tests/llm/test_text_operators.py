@@ -672,6 +672,26 @@ def test_counts_travel_whole():
     assert place[5] == op10.WIDTH and place[7 * op10.WIDTH + 3] == op10.WIDTH + 1 and place[6] == 6
 
 
+def test_a_table_of_shares_is_made_with_little_memory_beside_it():
+    import tracemalloc
+
+    g = np.random.default_rng(3)
+    rows, width = 4000, op10.SYMBOLS
+    counts = op10.cells_of((g.random((rows, width)) < 0.3).astype(np.int64) * g.integers(1, 9, (rows, width)))
+    prior = g.random((5, width)).astype(np.float32)
+    prior_row = g.integers(0, 5, rows)
+    tracemalloc.start()
+    got = op10.smoothed(counts, prior, prior_row, 20.0, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * got.nbytes
+    dense = np.zeros(rows * width)
+    dense[counts.at] = counts.n
+    dense = dense.reshape(rows, width)
+    total = np.maximum(dense.sum(axis=1) - 1, 0) + 20
+    assert np.allclose(got, (np.maximum(dense - 1, 0) + prior[prior_row] * 20) / total[:, None], rtol=1e-5)
+
+
 def test_training_sums_are_the_gradient_and_a_step_helps(language_model):
     symbols, values, attention, docs = language_model
     windows, _ = op10.windows_of(docs, symbols)
