@@ -6,8 +6,13 @@ range, or one chunk of a bounded number of rows; what comes before a range is kn
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,34 +126,69 @@ def chunks(df: DataFrame, by: list[str], order: list[Column], size: int, halo: i
     return placed.withColumn("_own", own).withColumn("chunk", F.explode(F.sequence(own, last))).withColumn("in_halo", F.col("chunk") > F.col("_own")).drop("_own")
 
 
-def sliding_quantile(x: np.ndarray, skip: int, keep: int, q: float) -> np.ndarray:
-    """Linear quantile of the last `keep` values up to each of x[skip:]; missing values do not count."""
-    short = [np.nanquantile(w, q) if np.isfinite(w := x[max(0, i - keep + 1) : i + 1]).any() else np.nan for i in range(skip, min(len(x), keep - 1))]
-    full = x[max(0, skip - keep + 1) :]  # from the first window of `keep` values on
-    if len(full) < keep:
-        return np.array(short)
-    views = np.lib.stride_tricks.sliding_window_view(full, keep)
-    step = max(1, 2_000_000 // keep)
-    quantile = np.nanquantile if np.isnan(full).any() else np.quantile
-    return np.concatenate([np.array(short), *[quantile(views[i : i + step], q, axis=1) for i in range(0, len(views), step)]])
+class Sliding:
+    """Linear quantiles of the last `keep` values that came in, kept in order; missing values take a place but do not count."""
 
+    def __init__(self, keep: int, at: list[float]):
+        self.keep, self.at = keep, at
+        self.clear()
 
-def rolling_quantile(df: DataFrame, by: list[str], order: list[Column], value: str, q: float, keep: int = 500, size: int = 4096) -> DataFrame:
-    """df with quantile: the linear quantile of the last `keep` values of the row's group, itself included; null while there are none.
+    def clear(self) -> None:
+        self.came, self.held = deque(), []
+
+    def push(self, x: float) -> None:
+        self.came.append(x)
+        if x == x:
+            insort(self.held, x)
+        if len(self.came) > self.keep and (old := self.came.popleft()) == old:
+            del self.held[bisect_left(self.held, old)]
+
+    def quantiles(self) -> list[float]:
+        last, out = len(self.held) - 1, []
+        if last < 0:
+            return [math.nan] * len(self.at)
+        for q in self.at:
+            place = q * last
+            k = int(place)
+            low, high, t = self.held[k], self.held[min(k + 1, last)], place - k
+            # as numpy does: from the nearer end
+            out.append(low + (high - low) * t if t < 0.5 else high - (high - low) * (1 - t))
+        return out
 
-    A group is worked on in chunks of `size` rows, so one long stream is shared by many tasks.
+
+def rolling_quantiles(df: DataFrame, by: list[str], order: list[Column], value: str, at: dict[str, float], keep: int = 500, size: int = 4096) -> DataFrame:
+    """df with, for each name of at, the linear quantile of the last `keep` values of the row's group, itself included; null while there are none.
+
+    A group is worked on in chunks of `size` rows, so one long stream is shared by many tasks. Chunks of many groups go through a task as one stream.
     """
     ship_package(df.sparkSession)
     rows = chunks(df.withColumn("_x", F.col(value).cast("double")), by, order, size, keep - 1)
+    begins = F.col("place") == F.greatest(F.lit(1), F.col("chunk") * size + 2 - keep)
+    names, shares = df.columns, list(at.values())
+    rows = rows.withColumn("_begins", begins).repartition(*by, "chunk").sortWithinPartitions(*by, "chunk", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = Sliding(keep, shares)
+        for batch in batches:
+            x, begins, halo = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_begins", "in_halo"))
+            found = []
+            for v, new, before in zip(x.tolist(), begins.tolist(), halo.tolist(), strict=True):
+                if new:
+                    window.clear()
+                window.push(v)
+                if not before:
+                    found.append(window.quantiles())
+            found = np.array(found).reshape(-1, len(shares))
+            own = batch.select(names).filter(pa.array(~halo.astype(bool)))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(found[:, i]) for i in range(len(shares)))], [*names, *at])
+
+    out = rows.select(*df.columns, "_x", "_begins", "in_halo").mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in at]]))
+    return out.withColumns({n: finite(F.col(n)) for n in at})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        skip = int(pdf.in_halo.sum())
-        out = pdf[skip:].drop(columns=["_x", "place", "chunk", "in_halo"])
-        return out.assign(quantile=sliding_quantile(pdf._x.to_numpy(float), skip, keep, q))
 
-    out = rows.groupBy(*by, "chunk").applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("quantile", T.DoubleType())]))
-    return out.withColumn("quantile", finite(F.col("quantile")))
+def rolling_quantile(df: DataFrame, by: list[str], order: list[Column], value: str, q: float, keep: int = 500, size: int = 4096) -> DataFrame:
+    """rolling_quantiles() of one share, as column quantile."""
+    return rolling_quantiles(df, by, order, value, {"quantile": q}, keep, size)
 
 
 def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:

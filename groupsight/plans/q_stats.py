@@ -10,7 +10,7 @@ from groupsight.operators import reports as R
 from groupsight.operators import screen as C
 from groupsight.operators import stats as S
 from groupsight.operators import transform as T
-from groupsight.operators.ordered import rolling_quantile
+from groupsight.operators.ordered import rolling_quantile, rolling_quantiles
 from groupsight.operators.sampling import sorted_places
 from groupsight.plans.registry import query
 from groupsight.sources.bindings import DOCUMENT_FEATURE_NAMES as DF
@@ -436,9 +436,8 @@ def w_rolling(spark, d):
 def w_rolling_p(spark, d):
     """Percentiles of each user's last 500 values."""
     rows, order = table(spark, d, "events").select("user_id", "ts", "event_id", "value"), [F.col("ts"), F.col("event_id")]
-    top = rolling_quantile(rows, ["user_id"], order, "value", 0.9)
-    half = rolling_quantile(rows, ["user_id"], order, "value", 0.5)
-    return top.select("event_id", rounded("quantile").alias("p90")).join(half.select("event_id", rounded("quantile").alias("p50")), "event_id")
+    out = rolling_quantiles(rows, ["user_id"], order, "value", {"p90": 0.9, "p50": 0.5})
+    return out.select("event_id", rounded("p90").alias("p90"), rounded("p50").alias("p50"))
 
 
 @query("w_rolling_stream", "SELECT event_id, round(quantile_cont(value, 0.95) OVER (ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 6) AS p95 FROM events")
