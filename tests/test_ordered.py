@@ -1,5 +1,6 @@
 """Running sums, quantiles, rolling windows and what stands on them: against numpy, and as plans without a window over a whole group."""
 
+import datetime as dt
 import re
 
 import numpy as np
@@ -166,3 +167,28 @@ def test_gaps_of_one_array_and_of_groups_agree(spark):
     want = {k: E.gap_of(x) for k, x in groups.items()}
     assert {k: v for k, v in got.items() if v is not None} == {k: pytest.approx(v) for k, v in want.items() if v is not None}
     assert any(v is not None for v in want.values()) and set(got) == set(want)
+
+
+def test_rolling_percentiles_of_repeated_and_missing_event_ids(spark, tmp_path):
+    from groupsight.plans import catalog
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(7, 1, day, 1.0), (7, 1, day + dt.timedelta(1), 3.0), (None, 1, day + dt.timedelta(2), None), (9, None, day, float("nan"))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = catalog.queries()["w_rolling_p"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(7, 1.0, 1.0), (7, 2.8, 2.0), (None, 2.8, 2.0), (9, None, None)], key=str)
+
+
+def test_nearest_profiles_of_many_targets_with_missing_numbers(spark):
+    from groupsight.operators import records as R
+
+    g = np.random.default_rng(3)
+    x = np.round(g.normal(size=(900, 2)), 1)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(900, None, 0.0), (901, float("nan"), 0.0)]
+    asked = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.round(g.normal(size=(70, 2)), 1))] + [(70, None, 0.0)]
+    near = R.nearest_profiles(spark.createDataFrame(rows, "id long, a double, b double").repartition(5), spark.createDataFrame(asked, "t long, a double, b double"), "id", "t", {"a": 1.0, "b": 0.5}, 20)
+    got = {r.t: (r.id, r.distance) for r in near.collect()}
+    assert got.pop(70) == (0, None) and len(got) == 70
+    for t, a, b in asked[:70]:
+        d = np.round(np.abs(x[:, 0] - a) + 0.5 * np.abs(x[:, 1] - b), 9)
+        assert got[t] == (int(d.argmin()), pytest.approx(d.min()))
