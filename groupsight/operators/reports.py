@@ -169,8 +169,10 @@ def stratum_key(unit: Column, actors: Column, stages: Column, events: Column) ->
 def shortcut_features(events: DataFrame, by: str = "grp") -> DataFrame:
     """(by, sessions, and means per session of actors, events, stages, calls, raises, checks, folds, sum of amounts, sum of totals): what a leak probe looks at first."""
     n = {f"avg_{t}": F.count_if(F.col("type") == t) for t in ("call", "raise", "check", "fold")}
-    s = events.groupBy(by, "sess").agg(
-        F.count_distinct("actor").alias("avg_players"), F.count("*").alias("avg_actions"), F.count_distinct("stage").alias("avg_streets"), *[c.alias(k) for k, c in n.items()],
+    # one row stands for each actor and each stage: events that lie by session are not dealt again, as two distinct counts would
+    first = lambda c: (F.row_number().over(Window.partitionBy(by, "sess", c).orderBy(c)) == 1) & F.col(c).isNotNull()
+    s = events.withColumn("_actor", first("actor")).withColumn("_stage", first("stage")).groupBy(by, "sess").agg(
+        F.count_if("_actor").alias("avg_players"), F.count("*").alias("avg_actions"), F.count_if("_stage").alias("avg_streets"), *[c.alias(k) for k, c in n.items()],
         F.coalesce(F.sum("amount"), F.lit(0.0)).alias("avg_amount_sum"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("avg_total_sum"),
     )
     names = ["avg_players", "avg_actions", "avg_streets", *n, "avg_amount_sum", "avg_total_sum"]

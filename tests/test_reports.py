@@ -175,3 +175,12 @@ def test_partitions_of_order_events_follow_the_rows(spark, tiny, monkeypatch):
     n = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
     assert events.rdd.getNumPartitions() == -(-n // 200) > 8
     assert events.exceptAll(plain).isEmpty() and plain.exceptAll(events).isEmpty()
+
+
+def test_shortcut_features_count_actors_and_stages_without_dealing_rows_again(spark):
+    rows = [(1, 1, 1, 0, "call", 7, 1.0, 1.0), (1, 1, 2, 0, "fold", 7, 2.0, 3.0), (1, 1, 3, 1, "call", 8, 1.0, 4.0), (1, 1, 4, None, "raise", None, 1.0, 5.0), (1, 2, 1, 0, "check", None, None, None)]
+    events = spark.createDataFrame(rows, "grp long, sess long, ord long, stage int, type string, actor long, amount double, total double")
+    out = R.shortcut_features(events)
+    (r,) = out.collect()
+    assert (r.chunk_size, r.avg_players, r.avg_streets, r.avg_actions, r.avg_call, r.avg_amount_sum, r.avg_total_sum) == (2, 1.0, 1.5, 2.5, 1.0, 2.5, 6.5)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
