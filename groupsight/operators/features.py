@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import EPS, EVENT_TYPES, clamp, total
-from groupsight.operators.ordered import quantiles
+from groupsight.operators.ordered import SMALL, group_quantiles, quantile_of, quantiles
+from groupsight.sources.bindings import MANY_ROWS, dealt
 from groupsight.sources.store import cut, scratch
 
 # The contract's feature names, in order.
@@ -19,6 +23,7 @@ SESSION_FEATURES = (
 PERCENTILE_FEATURES = (
     "bet_ratio", "call_ratio", "check_ratio", "fold_ratio", "raise_ratio", "mean_norm_bb", "mean_pot_after", "aggression_factor", "action_entropy", "bet_size_mean",
 )
+PERCENTILES = (0.1, 0.5, 0.9)
 CONTRAST_FEATURES = (
     "raise_minus_call_mean", "bet_minus_fold_mean", "late_minus_early_mean", "raise_std_over_check_std", "pot_after_over_stack_mean",
     "aggression_std_over_mean", "entropy_range", "bet_size_cv",
@@ -97,20 +102,42 @@ def session_features(events: DataFrame, label: str | None = "label") -> DataFram
     return j.select(*keep, *[col.get(k, zero(k)).alias(k) for k in SESSION_FEATURES])
 
 
-def group_features(sessions: DataFrame, keys: tuple[str, ...] = ("grp",), names: tuple[str, ...] = SESSION_FEATURES, percentiles: tuple[str, ...] = PERCENTILE_FEATURES) -> DataFrame:
-    """Per group: number of sessions, mean, population std and max of each feature, exact p10/p50/p90 of some."""
-    aggs = [F.count("*").cast("double").alias("chunk_n_hands")]
+def group_features(
+    sessions: DataFrame, keys: tuple[str, ...] = ("grp",), names: tuple[str, ...] = SESSION_FEATURES, percentiles: tuple[str, ...] = PERCENTILE_FEATURES, large: int = SMALL
+) -> DataFrame:
+    """Per group: number of sessions, mean, population std and max of each feature, exact p10/p50/p90 of some.
+
+    Groups are first counted. Sessions are then dealt by group into tasks of a bounded number of them, where a group's percentiles are read from its sorted values;
+    groups of more than `large` sessions are added up in every task instead, and their percentiles come from running counts of their values.
+    """
+    sizes = sessions.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.max("_n")).first()
+    moments = [F.count("*").cast("double").alias("chunk_n_hands")]
     for k in names:
-        aggs += [F.avg(k).alias(f"{k}_mean"), F.stddev_pop(k).alias(f"{k}_std"), F.max(k).alias(f"{k}_max")]
-        if k in percentiles:
-            aggs.append(F.percentile(k, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f"_{k}"))
-    out = sessions.groupBy(*keys).agg(*aggs)
-    cols = list(keys) + ["chunk_n_hands"]
+        moments += [F.avg(k).alias(f"{k}_mean"), F.stddev_pop(k).alias(f"{k}_std"), F.max(k).alias(f"{k}_max")]
+    percentiles = tuple(k for k in names if k in percentiles)
+    cols = [*keys, "chunk_n_hands"]
     for k in names:
         cols += [f"{k}_mean", f"{k}_std", f"{k}_max"]
-        if k in percentiles:
-            cols += [F.col(f"_{k}")[i].alias(f"{k}_p{p}") for i, p in enumerate((10, 50, 90))]
-    return out.select(*cols)
+        cols += [F.col(f"_{k}")[i].alias(f"{k}_p{p}") for i, p in enumerate((10, 50, 90))] if k in percentiles else []
+
+    def held(few: DataFrame) -> DataFrame:
+        at_once = [F.collect_list(F.struct(*percentiles)).alias("_all")] if percentiles else []
+        few = dealt(few, rows, *keys) if rows > MANY_ROWS else few.repartition(*keys)  # before the lists are made: a task would make one per session
+        out = few.groupBy(*keys).agg(*moments, *at_once)
+        out = out.withColumns({f"_{k}": F.sort_array(F.array_compact(F.col("_all")[k])) for k in percentiles})
+        return out.withColumns({f"_{k}": F.array(*[quantile_of(F.col(f"_{k}"), p) for p in PERCENTILES]) for k in percentiles}).select(*cols)
+
+    if (most or 0) <= large:
+        return held(sessions)
+    big = cut(sizes.where(F.col("_n") > large), "large_groups").select(*[F.col(k).alias(f"_big_{k}") for k in keys])  # at most a row per `large` sessions
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_big_{k}")) for k in keys])
+    many = sessions.join(F.broadcast(big), same, "left_semi")
+    out = many.groupBy(*keys).agg(*moments)
+    if percentiles:
+        found = group_quantiles(many, list(keys), list(percentiles), PERCENTILES).select(*[F.col(k).alias(f"_big_{k}") for k in keys], *[f"_{k}" for k in percentiles])
+        out = out.join(found, same)
+    return held(sessions.join(F.broadcast(big), same, "left_anti")).unionByName(out.select(*cols))
 
 
 #: Aggregates that a feature of a spec may ask for.

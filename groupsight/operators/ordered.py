@@ -10,6 +10,8 @@ import math
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -200,3 +202,28 @@ def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
     middle = c.where(holds(low) | holds(high))  # one or two rows of a group
     return middle.groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
 
+
+def quantile_of(held: Column, share: float) -> Column:
+    """Linear quantile of a sorted array without nulls, as `percentile` gives it; null where it is empty."""
+    place = (F.size(held) - 1) * F.lit(share)
+    low, high = F.get(held, F.floor(place).cast("int")), F.get(held, F.ceil(place).cast("int"))
+    return between(place, low, high)
+
+
+def between(place: Column, low: Column, high: Column) -> Column:
+    """What lies at a place from 0 whose whole neighbours hold low and high."""
+    return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
+def group_quantiles(df: DataFrame, by: list[str], columns: list[str], at: tuple[float, ...]) -> DataFrame:
+    """(by, _<column> ...): exact linear quantiles of each column's values as an array per group of any size, nulls left out, from running counts of distinct values."""
+    values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(by, columns, "_feature", "_value").where(F.col("_value").isNotNull())
+    counts = values.groupBy(*by, "_feature", "_value").agg(F.count("*").alias("_n"))
+    c = running(counts, [*by, "_feature"], [F.col("_value")], {"_upto": F.col("_n")})
+    holds = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k)
+    places = [(F.col("_upto_total") - 1) * F.lit(p) for p in at]
+    ends = [(f"_{x}{i}", f(p)) for i, p in enumerate(places) for x, f in (("low", F.floor), ("high", F.ceil))]
+    rows = c.where(reduce(or_, [holds(k) for _, k in ends]))  # a few rows of a group
+    picked = rows.groupBy(*by, "_feature").agg(F.max("_upto_total").alias("_upto_total"), *[F.max(F.when(holds(k), F.col("_value"))).alias(n) for n, k in ends])
+    found = picked.select(*by, "_feature", F.array(*[between(p, F.col(f"_low{i}"), F.col(f"_high{i}")) for i, p in enumerate(places)]).alias("_q"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_feature") == k, F.col("_q"))).alias(f"_{k}") for k in columns])

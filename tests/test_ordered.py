@@ -4,13 +4,16 @@ import datetime as dt
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from groupsight.operators import evaluate as E
+from groupsight.operators import features as G
 from groupsight.operators import ordered as O
 from groupsight.operators import stats as S
 from groupsight.operators import transform as T
+from groupsight.sources import bindings
 
 
 @pytest.fixture(scope="module")
@@ -192,3 +195,27 @@ def test_nearest_profiles_of_many_targets_with_missing_numbers(spark):
     for t, a, b in asked[:70]:
         d = np.round(np.abs(x[:, 0] - a) + 0.5 * np.abs(x[:, 1] - b), 9)
         assert got[t] == (int(d.argmin()), pytest.approx(d.min()))
+
+
+def test_group_features_of_dealt_and_of_large_groups(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    rows = [(None if k == 0 else k, round(float(x), 1), None if i % 5 == 0 else float(y)) for k, n in enumerate([300, 250, *([1, 2, 7, 30] * 10)]) for i, (x, y) in enumerate(g.normal(size=(n, 2)))]
+    rows += [(99, 1.0, None)] * 60  # a large group without a value
+    df = spark.createDataFrame(rows, "grp int, a double, b double")
+    monkeypatch.setattr(bindings, "MANY_ROWS", 100)
+    monkeypatch.setattr(G, "MANY_ROWS", 100)
+    monkeypatch.setattr(bindings, "TASK_ROWS", 50)
+    dealt = G.group_features(df, names=("a", "b"), percentiles=("a", "b"))
+    assert dealt.rdd.getNumPartitions() >= len(rows) // 50
+    mixed = G.group_features(df, names=("a", "b"), percentiles=("a", "b"), large=50)
+    assert mixed.columns == dealt.columns
+    whole = pd.DataFrame(rows, columns=["grp", "a", "b"]).fillna({"grp": -1})
+    for got in (dealt, mixed):
+        got = got.fillna({"grp": -1}).toPandas().set_index("grp")
+        assert len(got) == whole.grp.nunique()
+        for k, part in whole.groupby("grp"):
+            assert got.chunk_n_hands[k] == len(part)
+            for c in "ab":
+                x = part[c].dropna().to_numpy()
+                want = [x.mean(), x.std(), x.max(), *np.quantile(x, [0.1, 0.5, 0.9])] if len(x) else [np.nan] * 6
+                assert got.loc[k, [f"{c}_{s}" for s in ("mean", "std", "max", "p10", "p50", "p90")]].to_numpy(float) == pytest.approx(want, abs=1e-9, nan_ok=True)
