@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupsight.functions.scalars import finite
@@ -69,6 +70,27 @@ class Fit:
     ridge: float = 0.01
 
 
+#: Scores of a model that are put in order together; values of a task; bytes that a task sends at once; rows that ranges are laid by.
+RANGE_ROWS, _TASK_VALUES, _SEND_BYTES, _EDGE_ROWS = 100_000, 4_000_000, 16_000_000, 20_000
+
+
+def counted(value: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, with the sums of p and q of each."""
+    order = np.argsort(value)
+    value = value[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    return value[first], np.add.reduceat(p[order], first, dtype=np.int64), np.add.reduceat(q[order], first, dtype=np.int64)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in a byte each where they are small, else in eight."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.int64).astype(np.int64)
+
+
 class Fits:
     """Many ridge logistic models of one table, classes balanced, by Newton steps that share their passes.
 
@@ -103,11 +125,14 @@ class Fits:
 
     def fitted(self, fits: list[Fit], tol: float = 1e-9, most_passes: int = 30) -> list[np.ndarray]:
         """Coefficients (features as they are, then the constant) of each model."""
-        plan = []
+        plan, scales, place = [], {}, {c: i for i, c in enumerate(self.columns)}
         for f in fits:
-            weight, sd = self._scales(f)
-            plan.append((np.array([self.columns.index(c) for c in f.features], int), f.out, weight, np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)))
-        total = [sum(g.n * p[2][g.y] for g in self.groups if g.fold != f.out) or 1.0 for f, p in zip(fits, plan, strict=True)]
+            if f.out not in scales:
+                weight, sd = self._scales(Fit(tuple(self.columns), f.out))
+                total = sum(g.n * weight[g.y] for g in self.groups if g.fold != f.out) or 1.0
+                scales[f.out] = (weight, np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0), total)
+            weight, scale, total = scales[f.out]
+            plan.append((np.array([place[c] for c in f.features], int), f.out, weight, scale, total))
         beta = [np.zeros(len(f.features) + 1) for f in fits]
         step, loss, open_ = [np.zeros_like(b) for b in beta], [np.inf] * len(fits), set(range(len(fits)))
         for _ in range(most_passes):
@@ -117,7 +142,7 @@ class Fits:
             sums = self._sums(plan, tried)
             for k in sorted(open_):
                 d, ridge = len(tried[k]), np.append(np.full(len(tried[k]) - 1, fits[k].ridge), 0.0)
-                s = sums.get(k, np.zeros(1 + d + d * d)) / total[k]
+                s = sums.get(k, np.zeros(1 + d + d * d)) / plan[k][4]
                 now = s[0] + (ridge * tried[k] ** 2).sum() / 2
                 if now > loss[k] + 1e-12:
                     step[k] = step[k] / 2
@@ -129,7 +154,7 @@ class Fits:
                 step[k] = -np.linalg.solve(hessian, gradient)
                 if np.abs(step[k]).max() < tol:
                     open_.discard(k)
-        return [np.append(b[:-1] * p[3], b[-1]) for b, p in zip(beta, plan, strict=True)]
+        return [np.append(b[:-1] * p[3][p[0]], b[-1]) for b, p in zip(beta, plan, strict=True)]
 
     def _sums(self, plan: list, beta: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         """Loss, gradient and Hessian of each model that is still open, added up over the table."""
@@ -140,19 +165,21 @@ class Fits:
             plan, beta = sent.value
             out = np.zeros(starts[-1])
             for pdf in parts:
-                x, y, fold = np.stack(pdf.x), pdf.y.to_numpy(), pdf.fold.to_numpy()
+                x, y, fold = np.stack(pdf.x).T, pdf.y.to_numpy(), pdf.fold.to_numpy()
                 inside = {}
                 for at, (k, b) in zip(starts, beta.items(), strict=False):
-                    columns, left_out, weight, scale = plan[k]
-                    if left_out not in inside:
-                        inside[left_out] = np.flatnonzero(fold != left_out) if left_out is not None else np.arange(len(y))
-                    mine = inside[left_out]
-                    z = np.column_stack([x[np.ix_(mine, columns)] * scale, np.ones(len(mine))])
-                    t = z @ b
-                    p, w = 1 / (1 + np.exp(-np.clip(t, -700, 700))), weight[y[mine]]
-                    out[at] += (w * (np.logaddexp(0, t) - y[mine] * t)).sum()
-                    out[at + 1 : at + 1 + len(b)] += z.T @ (w * (p - y[mine]))
-                    out[at + 1 + len(b) : at + 1 + len(b) + len(b) ** 2] += ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()
+                    columns, left_out, weight, scale, _ = plan[k]
+                    if left_out not in inside:  # a row per feature, scaled, and one of ones
+                        mine = np.flatnonzero(fold != left_out) if left_out is not None else np.arange(len(y))
+                        inside[left_out] = np.vstack([x[:, mine] * scale[:, None], np.ones(len(mine))]), y[mine], weight[y[mine]]
+                    features, ym, w = inside[left_out]
+                    z = features[np.append(columns, -1)]
+                    t = b @ z
+                    e = np.exp(-np.abs(t))
+                    p = np.where(t >= 0, 1.0, e) / (1 + e)
+                    out[at] += w @ (np.maximum(t, 0) + np.log1p(e) - ym * t)
+                    out[at + 1 : at + 1 + len(b)] += z @ (w * (p - ym))
+                    out[at + 1 + len(b) : at + 1 + len(b) + len(b) ** 2] += ((z * (w * p * (1 - p))) @ z.T).ravel()
             yield pd.DataFrame({"at": np.arange(len(out)), "v": out})
 
         found = self.rows.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # the models' sums
@@ -162,23 +189,73 @@ class Fits:
         return {k: whole[a:b] for k, a, b in zip(beta, starts[:-1], starts[1:], strict=True)}
 
     def held_out_auc(self, fits: list[Fit]) -> list[float | None]:
-        """AUC of each model on the fold it was not fitted on: one pass and one count of (model, score)."""
-        models = [(np.array([self.columns.index(c) for c in f.features], int), f.out, b) for f, b in zip(fits, self.fitted(fits), strict=True)]
-        sent = self.rows.sparkSession.sparkContext.broadcast(models)
+        """AUC of each model on the fold it was not fitted on.
+
+        A model's scores are cut into ranges of about RANGE_ROWS. A task sends what a batch of rows has in a range as one row of packed values in order, with
+        their positives and negatives; a range's are put in order together, and a row of totals per model and range gives the pairs that lie in different ranges.
+        """
+        place = {c: i for i, c in enumerate(self.columns)}
+        models = [(np.array([place[c] for c in f.features], int), f.out, b) for f, b in zip(fits, self.fitted(fits), strict=True)]
+        sizes: dict = {}
+        for g in self.groups:
+            sizes[g.fold] = sizes.get(g.fold, 0) + g.n
+        values = sum(sizes.get(out, 0) for _, out, _ in models)
+        if not values:
+            return [None] * len(fits)
+        sent = self.rows.sparkSession.sparkContext.broadcast((models, self._edges(models, sizes)))
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            models, edges = sent.value
+            ready, held = [], 0
             for pdf in parts:
-                x, y, fold = np.stack(pdf.x), pdf.y.to_numpy(), pdf.fold.to_numpy()
-                for k, (columns, out, b) in enumerate(sent.value):
-                    mine = np.flatnonzero(fold == out)
-                    if len(mine):
-                        yield pd.DataFrame({"model": np.int32(k), "value": x[np.ix_(mine, columns)] @ b[:-1] + b[-1], "y": y[mine]})
-
-        scores = self.rows.mapInPandas(run, "model int, value double, y int")
-        counts = scores.groupBy("model", "value").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
-        found = {r.model: r.auc for r in stats.auc_of_counts(counts, ["model"]).collect()}  # a row per model
+                x, y, fold = np.ascontiguousarray(np.stack(pdf.x).T), pdf.y.to_numpy(), pdf.fold.to_numpy()
+                inside = {out: np.flatnonzero(fold == out) for out in {m[1] for m in models}}
+                inside = {out: (x[:, mine], y[mine]) for out, mine in inside.items() if len(mine)}
+                for k, (columns, out, b) in enumerate(models):
+                    if out not in inside:
+                        continue
+                    xm, ym = inside[out]
+                    score = np.full(len(ym), b[-1])
+                    for c, slope in zip(columns, b, strict=False):
+                        score += slope * xm[c]
+                    value, p, q = counted(score, ym, 1 - ym)
+                    cuts = [0, *np.searchsorted(value, edges[k]), len(value)]
+                    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if lo < hi:
+                            ready.append((k, i, value[lo:hi].tobytes(), packed(p[lo:hi]), packed(q[lo:hi])))
+                            held += 10 * (hi - lo)
+                    if held > _SEND_BYTES:
+                        yield pd.DataFrame(ready, columns=names)
+                        ready, held = [], 0
+            if ready:
+                yield pd.DataFrame(ready, columns=names)
+
+        def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            value, p, q = counted(np.concatenate([np.frombuffer(v) for v in pdf.value]), *(np.concatenate([unpacked(c, len(v) // 8) for c, v in zip(pdf[n], pdf.value, strict=True)]) for n in "pq"))
+            return pd.DataFrame({"model": [key[0]], "part": [key[1]], "wins": [float((p * (np.cumsum(q) - q / 2)).sum())], "p": [float(p.sum())], "q": [float(q.sum())]})
+
+        names = ["model", "part", "value", "p", "q"]
+        rows = self.rows.mapInPandas(run, "model int, part int, value binary, p binary, q binary")
+        tasks = max(self.rows.sparkSession.sparkContext.defaultParallelism, math.ceil(values / _TASK_VALUES))
+        ranges = rows.repartition(tasks, "model", "part").groupBy("model", "part").applyInPandas(merged, "model int, part int, wins double, p double, q double")
+        below = F.coalesce(F.sum("q").over(Window.partitionBy("model").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        total = F.sum("p") * F.sum("q")
+        aucs = ranges.withColumn("wins", F.col("wins") + F.col("p") * below).groupBy("model").agg(F.when(total > 0, F.sum("wins") / total).alias("auc"))
+        found = {r.model: r.auc for r in aucs.collect()}  # a row per model
+        sent.destroy()
         return [found.get(k) for k in range(len(fits))]
 
+    def _edges(self, models: list, sizes: dict) -> list[np.ndarray]:
+        """What parts each model's scores into ranges: quantiles of a few rows' scores. Any edges give the same AUC."""
+        most = max(sizes.values())
+        if most <= RANGE_ROWS:
+            return [np.empty(0)] * len(models)
+        rows = self.rows.sample(min(1.0, _EDGE_ROWS / sum(sizes.values())), seed=SEED).toPandas()
+        x = np.stack(rows.x) if len(rows) else np.empty((0, len(self.columns)))
+        shares = {out: np.arange(1, math.ceil(n / RANGE_ROWS)) / math.ceil(n / RANGE_ROWS) for out, n in sizes.items()}
+        mine = {out: x[(rows.fold == out).to_numpy()] for out in sizes}
+        return [np.unique(np.quantile(mine[out][:, c] @ b[:-1] + b[-1], shares[out])) if len(mine.get(out, ())) else np.empty(0) for c, out, b in models]
+
     def left_out(self, sets: list[tuple[tuple[str, ...], float]]) -> list[dict]:
         """For each (features, ridge), the held-out AUC of every fold."""
         fits = [Fit(c, k, ridge) for c, ridge in sets for k in self.folds]
@@ -194,9 +271,10 @@ def _mean(aucs: dict) -> float | None:
 
 @contextmanager
 def _fits(df: DataFrame, columns: list[str], fold: str) -> Iterator[Fits]:
-    """Fits over df's columns, written once."""
+    """Fits over df's columns, written once, in as many files as there are cores, so that all take part in every pass."""
     with scratch(df.sparkSession):
-        yield Fits(cut(df.select(fold, "label", *columns), "fits"), columns, fold)
+        rows = df.select(fold, "label", *columns).repartition(df.sparkSession.sparkContext.defaultParallelism)
+        yield Fits(cut(rows, "fits"), columns, fold)
 
 
 def leave_one_out(df: DataFrame, columns: list[str], fold: str, kind: str = "logistic", **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,20 @@ def test_domain_probe_by_its_own_forest(spark, tiny):
     got = run("m_domain", spark, tiny)
     assert got.auc.to_numpy() == pytest.approx(np.full(len(FS), want)) and got.importance.sum() == pytest.approx(1)
     assert dict(zip(got.feature, got.importance, strict=True)) == pytest.approx(dict(zip(FS, model.featureImportances.toArray(), strict=True)))
+
+
+def test_held_out_auc_over_many_ranges(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    rows = [(i % 4, 1 if i % 4 == 3 else int(x > 0), round(float(x + g.normal()), 1), float(x * x + g.normal()), 1.0) for i, x in enumerate(g.normal(size=1200))]
+    whole = pd.DataFrame(rows, columns=["fold", "label", "f0", "f1", "f2"])
+    monkeypatch.setattr(M, "RANGE_ROWS", 40)
+    models = [M.Fit(c, k) for c in (("f0",), ("f0", "f1"), ("f2",)) for k in range(4)]
+    with M._fits(spark.createDataFrame(whole).repartition(3), ["f0", "f1", "f2"], "fold") as fits:
+        got, found = fits.held_out_auc(models), fits.fitted(models)
+        edges = fits._edges([([fits.columns.index(c) for c in f.features], f.out, b) for f, b in zip(models, found, strict=True)], {k: 300 for k in range(4)})
+    assert [len(e) for e in edges] == [7] * 8 + [1] * 4
+    for f, b, a in zip(models, found, got, strict=True):
+        part = whole[whole.fold == f.out]
+        score = b[-1] + sum(s * part[c] for c, s in zip(f.features, b, strict=False))
+        p, q = score[part.label == 1].to_numpy()[:, None], score[part.label == 0].to_numpy()[None]
+        assert a is None if f.out == 3 else a == pytest.approx(((p > q) + 0.5 * (p == q)).mean(), abs=1e-9)
