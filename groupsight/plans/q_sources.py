@@ -125,12 +125,14 @@ def a_parts(spark, d):
 def a_rotate(spark, d):
     """Rows, whether every file's size keeps the bound, and whether files are as few as tasks allow."""
     path, bound = shared_path(spark, "rotated"), 20_000
-    io.write_rotating(table(spark, d, "events"), path, bound)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    sizes = files.groupBy(F.regexp_extract("path", "file=([0-9]+)-", 1).alias("task")).agg(F.max("length").alias("most"), F.sum("length").alias("total"), F.count("*").alias("n"))
-    lines = spark.read.option("recursiveFileLookup", True).text(path).agg(F.count("*").alias("n_rows"))
+    # a table's file may have few row groups, and a task makes its files one by one: all cores take part
+    io.write_rotating(table(spark, d, "events").repartition(spark.sparkContext.defaultParallelism), path, bound)
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("length")).agg(F.count("*").alias("lines"))
+    task = F.regexp_extract("name", "part-([0-9]+)-", 1).alias("task")
+    sizes = files.groupBy(task).agg(F.max("length").alias("most"), F.sum("length").alias("total"), F.count("*").alias("n"), F.sum("lines").alias("lines"))
     # two neighbouring files of a task together hold more than the bound
-    return sizes.agg((F.max("most") <= bound).alias("within"), F.bool_and(F.col("n") <= 2 * F.col("total") / bound + 1).alias("full")).join(lines, F.lit(True)).select("n_rows", "within", "full")
+    full = F.bool_and(F.col("n") <= 2 * F.col("total") / bound + 1)
+    return sizes.agg(F.sum("lines").alias("n_rows"), (F.max("most") <= bound).alias("within"), full.alias("full"))
 
 
 @query("a_resume", "SELECT event_id % 8 AS shard, count(*) AS n FROM events GROUP BY 1")

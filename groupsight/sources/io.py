@@ -105,26 +105,30 @@ def write_parts(df: DataFrame, path: str, rows_per_file: int) -> None:
 def write_rotating(df: DataFrame, path: str, max_bytes: int) -> None:
     """JSON lines in files of at most max_bytes, but for single longer rows, which have a file each.
 
-    Each task adds up the bytes of its lines and begins a new file where the next line would go over; files lie in a folder each.
+    Each task adds up the bytes of its lines and begins a new file where the next line would go over. A file's lines go to the writer as one text, and
+    the writer gives each text a file: no folder is made and moved for each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, file, held = TaskContext.get().partitionId(), 0, 0
+        lines, held = [], 0
         for batch in batches:
             ends = np.cumsum(pc.binary_length(batch.column(0).cast(pa.large_binary())).to_numpy(zero_copy_only=False) + 1)
-            at, base, names = 0, 0, []
-            while at < len(ends):
+            rows, at, base, full = batch.column(0).to_pylist(), 0, 0, []
+            while at < len(rows):
                 fits = int(np.searchsorted(ends, base + max_bytes - held, "right"))
                 if fits <= at and held:
-                    file, held = file + 1, 0
+                    full.append("\n".join(lines))
+                    lines, held = [], 0
                     continue
                 fits = max(fits, at + 1)  # a row longer than a file is alone in its own
-                names += [f"{task:06d}-{file:06d}"] * (fits - at)
+                lines += rows[at:fits]
                 held, base, at = held + int(ends[fits - 1]) - base, int(ends[fits - 1]), fits
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0)], ["file", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.string())], ["value"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)], pa.string())], ["value"])
 
-    lines = df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "file string, value string")
-    lines.write.partitionBy("file").text(path)
+    texts = df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "value string")
+    texts.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_missing_shards(df: DataFrame, path: str, shard: str, present: DataFrame | None) -> None:

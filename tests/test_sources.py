@@ -54,6 +54,20 @@ def test_rotated_files_keep_their_bound(spark, tmp_path, parts):
     io.write_rotating(df.limit(0), f"{tmp_path}/none", 2000)
 
 
+def test_rotated_files_lie_in_one_folder_in_order(spark, tmp_path):
+    df = spark.range(25_000, numPartitions=1).select("id", F.repeat(F.lit("é"), (F.col("id") % 7).cast("int")).alias("t"))  # several batches
+    io.write_rotating(df, f"{tmp_path}/r", 20_000)
+    names = sorted(n for n in os.listdir(f"{tmp_path}/r") if not n.startswith(("_", ".")))
+    assert all(os.path.isfile(f"{tmp_path}/r/{n}") for n in names)
+    sizes = [os.path.getsize(f"{tmp_path}/r/{n}") for n in names]
+    assert max(sizes) <= 20_000 and min(sizes[:-1]) > 19_900
+    lines = []
+    for n in names:
+        with open(f"{tmp_path}/r/{n}") as f:
+            lines += [json.loads(x)["id"] for x in f]
+    assert lines == list(range(25_000))
+
+
 def test_manifest_of_a_write_depends_on_rows_not_on_order(spark, tmp_path):
     rows = [(i % 3, i % 2, float(i), {"b": i, "a": None}) for i in range(50)] + [(0, None, None, None)] * 2
     df = spark.createDataFrame(rows, "src int, label int, x double, m map<string,int>")
