@@ -177,6 +177,24 @@ def test_partitions_of_order_events_follow_the_rows(spark, tiny, monkeypatch):
     assert events.exceptAll(plain).isEmpty() and plain.exceptAll(events).isEmpty()
 
 
+def test_session_features_keep_the_tasks_that_events_were_dealt_into(spark, tiny, monkeypatch):
+    """The windows and the aggregate by session add no shuffle that would join dealt tasks again; the fitted indices stay the same."""
+    from groupsight.operators import features as G
+    from groupsight.plans.q_features import g_derived_fit
+    from groupsight.sources import bindings as B
+
+    plain = rows_of(g_derived_fit(spark, tiny), "grp")
+    for module in (B, G):
+        monkeypatch.setattr(module, "MANY_ROWS", 100)
+    monkeypatch.setattr(B, "TASK_ROWS", 200)
+    sessions = G.session_features(B.order_events(spark, tiny))
+    assert sessions.rdd.getNumPartitions() == -(-spark.read.parquet(f"{tiny}/lineitem.parquet").count() // 200) > 8
+    got = rows_of(g_derived_fit(spark, tiny), "grp")
+    assert got.keys() == plain.keys()
+    for k, r in got.items():
+        assert list(r) == pytest.approx(list(plain[k]), abs=2e-6)
+
+
 def test_shortcut_features_count_actors_and_stages_without_dealing_rows_again(spark):
     rows = [(1, 1, 1, 0, "call", 7, 1.0, 1.0), (1, 1, 2, 0, "fold", 7, 2.0, 3.0), (1, 1, 3, 1, "call", 8, 1.0, 4.0), (1, 1, 4, None, "raise", None, 1.0, 5.0), (1, 2, 1, 0, "check", None, None, None)]
     events = spark.createDataFrame(rows, "grp long, sess long, ord long, stage int, type string, actor long, amount double, total double")
