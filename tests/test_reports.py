@@ -1,5 +1,7 @@
 """Report operators by hand: missing values, empty sides, ties, failures."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +179,18 @@ def test_partitions_of_order_events_follow_the_rows(spark, tiny, monkeypatch):
     assert events.exceptAll(plain).isEmpty() and plain.exceptAll(events).isEmpty()
 
 
+def test_orders_meet_customers_in_tasks_that_follow_the_rows(spark, tiny, monkeypatch):
+    from groupsight.sources import bindings as B
+
+    monkeypatch.setattr(B, "MANY_ROWS", 100)
+    monkeypatch.setattr(B, "TASK_ROWS", 200)
+    parts = -(-spark.read.parquet(f"{tiny}/orders.parquet").count() // 200)
+    assert parts > spark.sparkContext.defaultParallelism
+    plan = B.order_events(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("o_custkey", "c_custkey"):
+        assert re.search(rf"RepartitionByExpression \[{key}#\d+L?\], {parts}\b", plan)
+
+
 def test_session_features_keep_the_tasks_that_events_were_dealt_into(spark, tiny, monkeypatch):
     """The windows and the aggregate by session add no shuffle that would join dealt tasks again; the fitted indices stay the same."""
     from groupsight.operators import features as G
